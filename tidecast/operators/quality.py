@@ -106,9 +106,7 @@ def file_shape(parsed: DataFrame) -> DataFrame:
         width.alias("width"),
         F.col("cells")[0].alias("first_cell"),
         ((F.col("row_num") == 1) & has_header).alias("is_header"),
-        F.when(
-            F.col("row_num") == 1, F.exists("cells", lambda c: ~F.is_valid_utf8(c))
-        ).alias("bad_utf8"),
+        "bad_utf8",
         F.when(
             F.col("row_num") == 2, ~F.exists("cells", lambda c: any_day(trimmed(c)))
         ).alias("no_dates"),

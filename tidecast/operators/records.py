@@ -149,7 +149,10 @@ def _unquoted(c: Column) -> Column:
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """``source, row_num, cells, malformed, too_long`` from assembled records."""
+    """``source, row_num, cells, malformed, bad_utf8, too_long`` from assembled records.
+
+    Whether the bytes are UTF-8 is asked before any text function touches them.
+    """
     text = F.when(
         F.col("row_num") == 1, F.regexp_replace("text", "^\\x{FEFF}", "")
     ).otherwise(F.col("text"))
@@ -158,6 +161,7 @@ def parse_records(records: DataFrame) -> DataFrame:
         "row_num",
         F.transform("written", _unquoted).alias("cells"),
         F.exists("written", lambda c: ~_well_formed(c)).alias("malformed"),
+        (~F.is_valid_utf8("text")).alias("bad_utf8"),
         "too_long",
     )
 
