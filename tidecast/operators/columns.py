@@ -6,7 +6,7 @@ so only one small row per (source, column) and task crosses the network.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast import fixed
@@ -14,6 +14,19 @@ from tidecast.functions import names as N
 from tidecast.functions.cells import trimmed, with_numbers
 
 
+# Days since 1970 and a record number share one long: room for 17 million million records.
+_ROW_BITS = 44
+
+
+def file_position(day: Column, row_num: Column) -> Column:
+    """Order by day, then by place in the file, as one number."""
+    return F.shiftleft(F.unix_date(day).cast("long"), _ROW_BITS) + row_num + 1
+
+
+def row_at(position: Column) -> Column:
+    return F.pmod(position, F.lit(1 << _ROW_BITS)) - 1
+
+
 def column_profile(rows: DataFrame) -> DataFrame:
     """One row per (source, column): how many cells are not numbers, and what they say."""
     cells = rows.select(
@@ -23,26 +36,26 @@ def column_profile(rows: DataFrame) -> DataFrame:
     facts = read.select(
         "source",
         "col_idx",
-        "row_num",
-        "day",
         "filled",
+        file_position(F.col("day"), F.col("row_num")).alias("at"),
         F.col("v").isNull().alias("bad"),
         F.col("v_percent").alias("percent"),
-        F.when(F.col("text") != "", F.col("text")).alias("said"),
+        (F.col("text") == "").alias("blank"),
         F.lower("text").isin(fixed.STATES_ON + fixed.STATES_OFF).alias("state"),
     )
     real = ~F.col("filled")
+    first_bad = F.min(F.when(F.col("bad"), F.col("at")))
+    # Every buffer has a fixed width, so cells are combined in a hash table as they are
+    # read; a string or struct here would sort them all first.
     return facts.groupBy("source", "col_idx").agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.count_if("bad").alias("n_bad"),
-        F.min(F.when(F.col("bad"), F.struct("day", "row_num")))["row_num"].alias("first_bad_row"),
+        row_at(first_bad).alias("first_bad_row"),
         F.bool_or("percent").alias("is_percent"),
-        F.min_by("bad", F.struct("day", "row_num")).alias("first_is_text"),
-        F.count_if(F.col("said").isNull()).alias("n_blank"),
+        F.coalesce(first_bad == F.min("at"), F.lit(False)).alias("first_is_text"),
+        F.count_if("blank").alias("n_blank"),
         F.count_if(F.col("state") & real).alias("n_state"),
-        F.count_if(~F.col("state") & F.col("said").isNotNull() & real).alias("n_other"),
-        F.min(F.when(real, F.col("said"))).alias("min_said"),
-        F.max(F.when(real, F.col("said"))).alias("max_said"),
+        F.count_if(~F.col("state") & ~F.col("blank") & real).alias("n_other"),
     )
 
 
@@ -305,21 +318,30 @@ def status_columns(columns: DataFrame) -> DataFrame:
     )
 
 
-def currency_columns(columns: DataFrame) -> DataFrame:
+def currency_columns(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """``source, currency_idx, currency, mixed`` from the leftmost currency text column."""
     is_currency = N.words(F.col("name")).contains(" currency ")
-    return (
+    found = (
         columns.where(is_currency & (F.col("role") == "text"))
         .groupBy("source")
-        .agg(F.min(F.struct("col_idx", "min_said", "max_said")).alias("c"))
-        .select(
-            "source",
-            F.col("c.col_idx").alias("currency_idx"),
-            F.when(F.col("c.min_said") == F.col("c.max_said"), F.col("c.min_said")).alias(
-                "currency"
-            ),
-            F.coalesce(F.col("c.min_said") != F.col("c.max_said"), F.lit(False)).alias("mixed"),
-        )
+        .agg(F.min("col_idx").alias("currency_idx"))
+    )
+    said = trimmed(F.element_at("cells", F.col("currency_idx") + 1))
+    distinct = (
+        rows.where(~F.col("filled"))
+        .join(found, "source")
+        .select("source", "currency_idx", said.alias("said"))
+        .groupBy("source", "currency_idx", "said")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return distinct.groupBy("source", "currency_idx").agg(
+        F.count_if(F.col("said") != "").alias("n_said"),
+        F.min(F.when(F.col("said") != "", F.col("said"))).alias("one"),
+    ).select(
+        "source",
+        "currency_idx",
+        F.when(F.col("n_said") == 1, F.col("one")).alias("currency"),
+        (F.col("n_said") > 1).alias("mixed"),
     )
 
 

@@ -347,16 +347,14 @@ def pooled_ridge(history: DataFrame, horizon: int, reg: float = 0.1) -> DataFram
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    by_day = W.partitionBy(*KEYS).orderBy("day")
     level = F.greatest(F.avg(F.abs("value")).over(W.partitionBy(*KEYS)), F.lit(1e-9))
     base = history.withColumn("level", level).withColumn("y", F.col("value") / F.col("level"))
     out = None
     for week in range(1, math.ceil(horizon / 7) + 1):
         lag = 7 * week
         # The days ahead are rows like any other, with no value yet.
-        ahead = F.filter(
-            next_days(F.col("as_of"), horizon),
-            lambda d, w=week: F.ceil(F.datediff(d, F.col("as_of")) / 7) == w,
+        ahead = F.sequence(
+            F.date_add("as_of", lag - 6), F.date_add("as_of", min(lag, horizon))
         )
         todo = (
             base.where("day = as_of")
@@ -364,17 +362,12 @@ def pooled_ridge(history: DataFrame, horizon: int, reg: float = 0.1) -> DataFram
             .withColumn("y", F.lit(None).cast("double"))
         )
         framed = base.unionByName(todo)
-        mean_back = F.avg("y").over(
-            W.partitionBy(*KEYS).orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(
-                -lag - 27, -lag
-            )
-        )
         at = W.partitionBy(*KEYS).orderBy(F.datediff("day", F.lit("1970-01-01")))
         featured = framed.select(
             *KEYS, "as_of", "day", "level", "y",
             F.avg("y").over(at.rangeBetween(-lag, -lag)).alias("lag_1"),
             F.avg("y").over(at.rangeBetween(-lag - 7, -lag - 7)).alias("lag_2"),
-            mean_back.alias("mean_28"),
+            F.avg("y").over(at.rangeBetween(-lag - 27, -lag)).alias("mean_28"),
         ).where("lag_1 is not null and lag_2 is not null and mean_28 is not null")
         assembled = VectorAssembler(
             inputCols=["lag_1", "lag_2", "mean_28"], outputCol="features"

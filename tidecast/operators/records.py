@@ -46,12 +46,16 @@ def block_summary(lines: DataFrame) -> DataFrame:
     )
 
 
-def to_records(lines: DataFrame) -> DataFrame:
+def to_records(lines: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Assemble ``source, row_num, text, too_long`` records from lines.
 
     ``row_num`` counts records from 1 in file order; blank lines are not records.
+    ``summary`` is ``block_summary(lines)``; given as a stored table, its size is known
+    and the planner need not shuffle the lines to meet it.
     """
-    located = lines.join(block_summary(lines), ["source", "block"])
+    if summary is None:
+        summary = block_summary(lines)
+    located = lines.join(summary, ["source", "block"])
     simple = located.where("one_line_each").select(
         "source",
         (F.col("lines_before") + F.col("line_id") - F.col("first_line_id") + 1).alias("row_num"),

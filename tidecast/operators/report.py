@@ -11,16 +11,17 @@ from tidecast.functions.text import display_value, first_names
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """The newest run of each model, among runs made from the newest data of a series."""
-    newest = F.max("as_of").over(W.partitionBy("series_id"))
-    latest = W.partitionBy("series_id", "model").orderBy(F.desc("created_at"), F.desc("id"))
-    return (
-        runs.withColumn("newest", newest)
-        .where("as_of = newest")
-        .withColumn("rn", F.row_number().over(latest))
-        .where("rn = 1")
-        .drop("newest", "rn")
+    """The newest run of each model, among runs made from the newest data of a series.
+
+    Aggregates, not windows over all runs: a series with a third of them is reduced to
+    one row per model and cut-off day before anything is compared.
+    """
+    whole = F.struct(*runs.columns)
+    per_cut = runs.groupBy("series_id", "model", "as_of").agg(
+        F.max_by(whole, F.struct("created_at", "id")).alias("run")
     )
+    newest = per_cut.groupBy("series_id").agg(F.max("as_of").alias("as_of"))
+    return per_cut.join(newest, ["series_id", "as_of"], "left_semi").select("run.*")
 
 
 def drawn_runs(latest: DataFrame, fitted: bool = False) -> DataFrame:
@@ -63,26 +64,33 @@ def forecast_days(forecasts: DataFrame) -> DataFrame:
     return forecasts.select("run_id", "day").distinct()
 
 
-def shared(runs: DataFrame, column: str) -> DataFrame:
-    """Entities (or metrics) that every compared run of a series forecast, account first.
+def shared(items: DataFrame, runs: DataFrame) -> DataFrame:
+    """Items that every compared run of a series has, the account first.
 
-    ``column`` is ``entities`` or ``metrics``; an item must occur in all runs.
+    ``items``: series_id, run_id, item, one row per entity (or metric) of a run.
     """
     n_runs = runs.groupBy("series_id").agg(F.count_distinct("id").alias("n_runs"))
-    items = runs.select("series_id", "id", F.explode(F.array_distinct(column)).alias("item"))
     return (
-        items.groupBy("series_id", "item")
-        .agg(F.count_distinct("id").alias("n"))
+        items.select("series_id", "run_id", "item").distinct()
+        .groupBy("series_id", "item")
+        .agg(F.count(F.lit(1)).alias("n"))
         .join(n_runs, "series_id")
         .where("n = n_runs")
         .select("series_id", "item", (F.col("item") != fixed.ACCOUNT).alias("after_account"))
     )
 
 
-def comparison(arrays: DataFrame, runs: DataFrame) -> DataFrame:
+def run_metrics(runs: DataFrame) -> DataFrame:
+    return runs.select("series_id", F.col("id").alias("run_id"), F.explode("metrics").alias("item"))
+
+
+def comparison(arrays: DataFrame, runs: DataFrame, run_entities: DataFrame) -> DataFrame:
     """One line per run for each (entity, metric) all runs of the series have."""
-    entities = shared(runs, "entities").select("series_id", F.col("item").alias("entity"))
-    metrics = shared(runs, "metrics").select("series_id", F.col("item").alias("metric"))
+    compared = run_entities.join(
+        runs.select(F.col("id").alias("run_id")), "run_id", "left_semi"
+    ).withColumnRenamed("entity", "item")
+    entities = shared(compared, runs).select("series_id", F.col("item").alias("entity"))
+    metrics = shared(run_metrics(runs), runs).select("series_id", F.col("item").alias("metric"))
     ids = runs.select(F.col("id").alias("run_id"), "series_id", "model")
     return (
         low_median_high(arrays)
@@ -188,9 +196,11 @@ def rate_explanations(columns: DataFrame) -> DataFrame:
     )
 
 
-def rebuilt(series: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rebuilt(
+    series: DataFrame, runs: DataFrame, run_entities: DataFrame
+) -> tuple[DataFrame, DataFrame]:
     """History behind stored runs, and the stored entities no run forecast."""
-    entities = runs.select("series_id", F.explode("entities").alias("entity")).distinct()
+    entities = run_entities.select("series_id", "entity").distinct()
     metrics = runs.select("series_id", F.explode("metrics").alias("metric")).distinct()
     history = series.join(entities, ["series_id", "entity"], "left_semi").join(
         metrics, ["series_id", "metric"], "left_semi"
@@ -212,12 +222,12 @@ def runs_without_history(runs: DataFrame, series: DataFrame) -> DataFrame:
     return runs.join(found.select("id").distinct(), "id", "left_anti").select("id", "series_id")
 
 
-def headline_entity(runs: DataFrame) -> DataFrame:
-    """The account where it was forecast, else the first entity."""
-    return runs.select(
-        "id",
-        F.when(F.array_contains("entities", fixed.ACCOUNT), F.lit(fixed.ACCOUNT))
-        .otherwise(F.col("entities")[0]).alias("entity"),
+def headline_entity(run_entities: DataFrame) -> DataFrame:
+    """The account where it was forecast, else the first entity: ``run_id, entity``."""
+    return run_entities.groupBy("run_id").agg(
+        F.coalesce(
+            F.max(F.when(F.col("entity") == fixed.ACCOUNT, F.col("entity"))), F.min("entity")
+        ).alias("entity")
     )
 
 

@@ -21,7 +21,12 @@ from tidecast.operators import records as R
 from tidecast.plans.understand import Batch, understand
 from tidecast.session import landed
 from tidecast.sources import exports
-from tidecast.sources.store import Store, make_runs, stored_forecasts
+from tidecast.sources.store import (
+    Store,
+    make_run_entities,
+    make_runs,
+    stored_forecasts,
+)
 
 DEFAULT_MODELS = ["seasonal_naive", "weekday_quantile", "trend_weekday"]
 
@@ -36,12 +41,18 @@ class Imported:
 
 def read_batch(lines: DataFrame, land: bool = True, **options) -> Batch:
     """Lines of any number of exports, understood."""
-    parsed = R.parse_records(R.to_records(lines))
+    summary = R.block_summary(lines)
+    if land:
+        summary = landed(summary, "blocks")
+    parsed = R.parse_records(R.to_records(lines, summary))
     if land:
         parsed = landed(parsed, "records")
     shape = [Q.not_a_csv(exports.sniff(lines)), Q.file_shape(parsed)]
     headers = R.headers_of(parsed)
     # A source that is no CSV, or has broken records, says nothing worth reading on.
+    if land:
+        shape = [landed(Q.union_all(shape), "shape")]
+        headers = landed(headers, "headers")
     broken = Q.union_all(shape).select("source").distinct()
     records = R.data_rows(parsed).join(broken, "source", "left_anti")
     return understand(records, headers, shape, land=land, **options)
@@ -62,7 +73,8 @@ def forecast_batch(
     good = Q.accepted(batch.stats, batch.violations).where(F.col("n_days") >= min_days)
     plan = P.window_plan(good)
     inputs = P.forecast_input(batch.panel, batch.columns, batch.states)
-    history = M.history_of(inputs, plan)
+    # One exchange by series; every forecaster starts from it.
+    history = M.history_of(inputs, plan).repartition(*M.KEYS)
     flights = [M.NATIVE[name](history, horizon) for name in models or DEFAULT_MODELS]
     plain = Q.union_all(flights)
     if fitted:
@@ -127,7 +139,7 @@ def import_lines(
     store.save_raw(Q.accepted(batch.rows, batch.violations), batch.headers)
     store.save_columns(Q.accepted(batch.columns, batch.violations))
     if keep_runs:
-        store.append_runs(runs, stored_forecasts(flight))
+        store.append_runs(runs, make_run_entities(flight), stored_forecasts(flight))
     return Imported(batch.violations, flight, runs, batch)
 
 

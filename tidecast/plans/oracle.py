@@ -502,6 +502,13 @@ SELECT series_id, entity, metric, '90d' AS "window", 'average' AS model, day, q_
 FROM (SELECT * FROM naive UNION ALL SELECT * FROM weekday UNION ALL SELECT * FROM trend) f
 WHERE "window" = '90d' GROUP BY series_id, entity, metric, day, q_idx"""
 
+_SQL["own_forecaster"] = _with(PANEL, history(), AHEAD, IDX, f"""recent AS (
+  SELECT {KEYS}, as_of, quantile_cont(value, {GRID}) AS q FROM hist
+  WHERE "window" = '90d' AND date_diff('day', day, as_of) < 28 GROUP BY ALL)""") + """
+SELECT series_id, entity, metric, "window", 'damped_mean' AS model,
+  CAST(as_of + CAST(h AS INTEGER) AS DATE) AS day, CAST(q_idx AS INTEGER) AS q_idx,
+  ROUND(q[q_idx + 1], 4) + 0.0 AS value FROM recent, ahead, idx"""
+
 LAST = """last_week AS (
   SELECT source AS series_id, entity, metric, day, value, hi
   FROM panel JOIN spans USING (source) WHERE date_diff('day', day, hi) < 7)"""

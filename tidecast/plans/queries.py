@@ -237,7 +237,7 @@ def near_duplicates(spark, sf):
 @query
 def one_currency(spark, sf):
     rows, stats, columns = _classified(spark, sf, T.order_export)
-    return C.currency_columns(columns).select("source", "currency", "mixed")
+    return C.currency_columns(rows, columns).select("source", "currency", "mixed")
 
 
 # --- days and entities ------------------------------------------------------------------
@@ -495,12 +495,13 @@ def raw_json_query(spark, sf):
 
 
 def _item_history(spark, sf, panel=None):
+    """Histories by window, exchanged once by series for whatever forecasters follow."""
     panel = T.item_panel(spark, sf) if panel is None else panel
     items = T.daily_items(spark, sf)
     stats = items.groupBy("source").agg(
         F.min("day").alias("first_day"), F.max("day").alias("last_day")
     ).withColumn("n_days", F.datediff("last_day", "first_day") + 1)
-    return T.panel_history(panel, P.window_plan(stats))
+    return T.panel_history(panel, P.window_plan(stats)).repartition(*M.KEYS)
 
 
 def _long(flight):
@@ -602,26 +603,29 @@ def pooled_ridge(spark, sf):
     return _long(M.pooled_ridge(history, HORIZON))
 
 
-class DampedMean:
-    """A forecaster of a user's own: the mean of the last four weeks, spread by their noise."""
+def _damped_mean():
+    """A forecaster of a user's own: quantiles of the last four weeks, every day alike.
 
-    name = "damped_mean"
-    quantiles = fixed.GRID
-    covariates = False
+    Defined inside a function, so that it travels to the workers by value.
+    """
+
+    class DampedMean:
+        name = "damped_mean"
+        quantiles = fixed.GRID
+        covariates = False
+
+        def forecast(self, past: pd.DataFrame, horizon: int, metrics: list[str], future=None):
+            recent = past.tail(28)
+            spread = {m: np.quantile(recent[m].to_numpy(), self.quantiles) for m in metrics}
+            return {m: [spread[m].tolist()] * horizon for m in metrics}
 
-    def forecast(self, past: pd.DataFrame, horizon: int, metrics: list[str], future=None):
-        recent = past.tail(28)
-        out = {}
-        for m in metrics:
-            spread = np.quantile(recent[m].to_numpy(), self.quantiles)
-            out[m] = [spread.tolist()] * horizon
-        return out
+    return DampedMean()
 
 
 @query
 def own_forecaster(spark, sf):
     history = _item_history(spark, sf).where("window = '90d'")
-    return _long(M.with_plugin(history, DampedMean(), HORIZON))
+    return _long(M.with_plugin(history, _damped_mean(), HORIZON))
 
 
 @query
@@ -663,11 +667,10 @@ def _stored(spark, sf):
         F.struct(F.date_add("as_of", 2).cast("string").alias("trained_through"))
     )
     runs = flight.groupBy("series_id", "model", "window", "as_of").agg(
-        F.array_sort(F.collect_set("entity")).alias("entities"),
         F.array_sort(F.collect_set("metric")).alias("metrics"),
     ).select(
         S.run_id("series_id", "model", "window", "as_of").alias("id"),
-        "series_id", "model", "as_of", "entities", "metrics",
+        "series_id", "model", "as_of", "metrics",
         F.when(F.col("model") == "weekday_quantile", fitted).otherwise(F.lit("{}")).alias(
             "model_info"
         ),
@@ -678,11 +681,11 @@ def _stored(spark, sf):
         .where(F.datediff("end", "day") >= 2)
         .select(F.col("source").alias("series_id"), "entity", "metric", "day", "value")
     )
-    return runs, forecasts, series
+    return runs, S.make_run_entities(flight), forecasts, series
 
 
 def _view(spark, sf):
-    runs, forecasts, series = _stored(spark, sf)
+    runs, _, forecasts, series = _stored(spark, sf)
     return A.accuracy_view(forecasts, runs, series)
 
 
@@ -720,7 +723,7 @@ def waiting_leaked(spark, sf):
 
 @query
 def known_values(spark, sf):
-    runs, forecasts, _ = _stored(spark, sf)
+    runs, _, forecasts, _ = _stored(spark, sf)
     return A.known_values(forecasts, runs, "entity").withColumnRenamed("entity", "name").union(
         A.known_values(forecasts, runs, "metric")
     )
@@ -730,8 +733,8 @@ def known_values(spark, sf):
 
 
 def _lines(spark, sf):
-    runs, forecasts, series = _stored(spark, sf)
-    return O.comparison(O.quantile_arrays(forecasts), runs), runs, series
+    runs, entities, forecasts, series = _stored(spark, sf)
+    return O.comparison(O.quantile_arrays(forecasts), runs, entities), runs, series
 
 
 @query
@@ -786,17 +789,16 @@ def chart_payload(spark, sf):
 @query
 def idle_entities(spark, sf):
     """Stored entities that no stored run forecast; runs were asked for the account only."""
-    runs, _, series = _stored(spark, sf)
-    asked = runs.withColumn("entities", F.array(F.lit(fixed.ACCOUNT)))
-    return O.rebuilt(series, asked)[1]
+    runs, entities, _, series = _stored(spark, sf)
+    asked = entities.where(F.col("entity") == fixed.ACCOUNT)
+    return O.rebuilt(series, runs, asked)[1]
 
 
 @query
 def headline_entity(spark, sf):
-    runs, _, _ = _stored(spark, sf)
-    return O.headline_entity(runs).join(runs.select("id", "series_id", "model"), "id").select(
-        "series_id", "model", "entity"
-    )
+    runs, entities, _, _ = _stored(spark, sf)
+    ids = runs.select(F.col("id").alias("run_id"), "series_id", "model")
+    return O.headline_entity(entities).join(ids, "run_id").select("series_id", "model", "entity")
 
 
 def _order_runs(spark, sf):
@@ -841,11 +843,13 @@ def provenance(spark, sf):
 @query
 def shared_entities(spark, sf):
     """Parts that every line number of a status has."""
-    items = T.table(spark, sf, "lineitem")
-    sets = items.groupBy(
-        F.col("l_linestatus").alias("series_id"), F.col("l_linenumber").cast("string").alias("id")
-    ).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("entities"))
-    return O.shared(sets, "entities").select("series_id", "item", "after_account")
+    parts = T.table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("series_id"),
+        F.col("l_linenumber").alias("run_id"),
+        F.col("l_partkey").cast("string").alias("item"),
+    )
+    runs = parts.select("series_id", F.col("run_id").alias("id")).distinct()
+    return O.shared(parts, runs).select("series_id", "item", "after_account")
 
 
 @query

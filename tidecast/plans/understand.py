@@ -49,6 +49,8 @@ def understand(
     are written once to the shared folder, since many passes read them.
     """
     order = D.date_order(records)
+    if land:
+        order = landed(order, "order")
     dated = D.dated_rows(records, order)
     if land:
         dated = landed(dated, "rows")
@@ -62,7 +64,12 @@ def understand(
         first_look = C.classify(
             C.name_columns(C.column_profile(rows), headers), raw_stats, wanted
         )
+        if land:
+            first_look = landed(first_look, "first_look")
+            raw_stats = landed(raw_stats, "raw_stats")
         marks = C.per_day_label(first_look, C.label_stats(rows, first_look), group_by)
+        if land:
+            marks = landed(marks, "marks")
         spans = P.entity_spans(rows, marks)
         rules += [
             Q.no_fill_label(raw_stats, marks),
@@ -76,10 +83,14 @@ def understand(
 
     per_day = D.rows_per_day(rows)
     stats = D.day_stats(per_day)
+    if land:
+        stats = landed(stats, "stats")
     named = C.name_columns(C.column_profile(rows), headers)
+    if land:
+        named = landed(named, "profile")
     columns = C.choose_weights(C.classify(named, stats, wanted))
     if land:
-        columns, stats = landed(columns, "columns"), landed(stats, "stats")
+        columns = landed(columns, "columns")
     labels_found = C.label_stats(rows, columns)
     if land:
         labels_found = landed(labels_found, "labels")
@@ -87,7 +98,9 @@ def understand(
     if land:
         groups = landed(groups, "groups")
     labels = C.entity_labels(rows, columns, groups)
-    currencies = C.currency_columns(columns)
+    if land:
+        labels = landed(labels, "entity_labels")
+    currencies = C.currency_columns(rows, columns)
     keyed = P.keyed_rows(rows, groups, labels)
     panel = P.build_panel(keyed, columns)
     if wanted:

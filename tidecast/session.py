@@ -54,8 +54,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def landed(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts lineage in a way that survives a lost executor, and gives the passes that
-    follow a columnar, prunable input instead of a recomputation.
+    Cuts lineage in a way that survives a lost executor, gives the passes that follow a
+    columnar input instead of a recomputation, and tells the planner the true size: a
+    small table is broadcast under Spark's own threshold, a large one is joined by
+    shuffle, without a hint that would hold only for today's data.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)

@@ -17,28 +17,37 @@ MAGIC = [
 CSV_FILES = "[!.]*.[cC][sS][vV]"
 
 
-def _lines(reader_df: DataFrame) -> DataFrame:
+def _located(reader_df: DataFrame) -> DataFrame:
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return reader_df.select(
         F.url_decode(F.regexp_replace(name, r"[.][^.]*$", "")).alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_id"),
         F.col("value").alias("text"),
     )
 
 
+def numbered(located: DataFrame) -> DataFrame:
+    """Add ``line_id``, which grows along each file block as it is read."""
+    return located.withColumn("line_id", F.monotonically_increasing_id())
+
+
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of every CSV file in a folder. Large files are split across tasks."""
-    return _lines(
-        spark.read.format("text")
-        .option("lineSep", "\n")
-        .option("pathGlobFilter", CSV_FILES)
-        .load(folder)
+    return numbered(
+        _located(
+            spark.read.format("text")
+            .option("lineSep", "\n")
+            .option("pathGlobFilter", CSV_FILES)
+            .load(folder)
+        )
     )
 
 
 def stream_lines(spark: SparkSession, folder: str, archive: str | None = None) -> DataFrame:
-    """The same lines as a stream of files, each read once; read files may be archived."""
+    """The same lines as a stream of files, each read once; read files may be archived.
+
+    Lines are numbered in the micro-batch, see ``numbered``.
+    """
     reader = (
         spark.readStream.format("text")
         .option("lineSep", "\n")
@@ -46,7 +55,7 @@ def stream_lines(spark: SparkSession, folder: str, archive: str | None = None) -
     )
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return _lines(reader.load(folder))
+    return _located(reader.load(folder))
 
 
 def sniff(lines: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """The stored tables and what may be done to them.
 
 ``raw`` (source, row_num, day, data), ``series`` (series_id, entity, metric, day, value),
-``columns`` (source, name, role, ...), ``runs`` and ``forecasts``, as Parquet below one
-root on shared storage. Datasets are replaced whole, runs are appended.
+``columns`` (source, name, role, ...), ``runs``, ``run_entities`` and ``forecasts``, as
+Parquet below one root on shared storage. Datasets are replaced whole, runs are appended.
+The entities of a run are rows: a list of them in one cell would grow with the data.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ SCHEMAS = {
     "columns": "name string, role string, concept string, averaged boolean, "
     "is_percent boolean, weighted_by string, source string",
     "runs": "id string, series_id string, model string, horizon int, created_at timestamp, "
-    "as_of date, metrics array<string>, entities array<string>, group_by string, "
+    "as_of date, metrics array<string>, n_entities bigint, group_by string, "
     "input_hash string, model_info string",
+    "run_entities": "run_id string, series_id string, entity string",
     "forecasts": "run_id string, entity string, metric string, day date, q_idx int, "
     "quantile double, value double",
 }
@@ -58,9 +60,8 @@ class Store:
         back empty has no rows to overwrite with; ``keys`` names those to empty.
         """
         part = PARTITION[table]
-        columns = [f.name for f in T._parse_datatype_string(SCHEMAS[table]).fields]
         (
-            df.select(*columns)
+            self._shaped(table, df)
             .hint("rebalance", F.col(part))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -91,28 +92,28 @@ class Store:
 
     # -- runs --------------------------------------------------------------------------
 
-    def append_runs(self, runs: DataFrame, forecasts: DataFrame) -> None:
+    def append_runs(
+        self, runs: DataFrame, run_entities: DataFrame, forecasts: DataFrame
+    ) -> None:
         """Store finished runs. A run must hold a forecast for each of its entities."""
-        have = forecasts.groupBy("run_id").agg(F.count_distinct("entity").alias("n"))
-        lacking = (
-            runs.join(have, runs["id"] == have["run_id"], "left")
-            .where(F.coalesce("n", F.lit(0)) < F.size("entities"))
-            .select("id")
-            .limit(1)
-            .collect()
-        )
+        pairs = forecasts.select("run_id", "entity").distinct()
+        lacking = run_entities.join(pairs, ["run_id", "entity"], "left_anti").limit(1).collect()
         if lacking:
-            raise ValueError(f"run {lacking[0][0]} lacks a forecast for one of its entities")
-        columns = [f.name for f in T._parse_datatype_string(SCHEMAS["forecasts"]).fields]
+            raise ValueError(
+                f"run {lacking[0]['run_id']} lacks a forecast for {lacking[0]['entity']!r}"
+            )
         (
-            forecasts.select(*columns)
+            self._shaped("forecasts", forecasts)
             .repartitionByRange("entity", "metric", "quantile", "run_id", "day")
             .sortWithinPartitions("entity", "metric", "quantile")
             .write.mode("append")
             .parquet(self.path("forecasts"))
         )
-        columns = [f.name for f in T._parse_datatype_string(SCHEMAS["runs"]).fields]
-        runs.select(*columns).write.mode("append").parquet(self.path("runs"))
+        for name, df in (("run_entities", run_entities), ("runs", runs)):
+            self._shaped(name, df).write.mode("append").parquet(self.path(name))
+
+    def _shaped(self, name: str, df: DataFrame) -> DataFrame:
+        return df.select(*[f.name for f in T._parse_datatype_string(SCHEMAS[name]).fields])
 
     def run_list(self) -> DataFrame:
         return self.read("runs").select(
@@ -180,11 +181,17 @@ def make_runs(
     )
     for name, text in infos.items():
         info = F.when(F.col("model") == name, F.lit(text)).otherwise(info)
-    entity_names = flight.groupBy("series_id", "model", "window", "as_of").agg(
-        F.array_sort(F.collect_set("metric")).alias("metrics"),
-        F.array_sort(F.collect_set("entity")).alias("entities"),
+    # Distinct pairs first, so that a run of any size is counted, never gathered.
+    pairs = flight.select("series_id", "model", "window", "as_of", "entity", "metric").distinct()
+    keys = ["series_id", "model", "window", "as_of"]
+    metrics = pairs.select(*keys, "metric").distinct().groupBy(*keys).agg(
+        F.array_sort(F.collect_list("metric")).alias("metrics")
     )
-    per = entity_names.join(hashes, ["series_id", "window"], "left").join(
+    counts = pairs.select(*keys, "entity").distinct().groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_entities")
+    )
+    found = metrics.join(counts, keys)
+    per = found.join(hashes, ["series_id", "window"], "left").join(
         groups.select(F.col("source").alias("series_id"), "group_by"), "series_id", "left"
     )
     return per.select(
@@ -195,13 +202,19 @@ def make_runs(
         F.current_timestamp().alias("created_at"),
         "as_of",
         "metrics",
-        "entities",
+        "n_entities",
         F.coalesce("group_by", F.lit("")).alias("group_by"),
         "input_hash",
         info.alias("model_info"),
     )
 
 
+def make_run_entities(flight: DataFrame) -> DataFrame:
+    return flight.select(
+        run_id("series_id", "model", "window", "as_of").alias("run_id"), "series_id", "entity"
+    ).distinct()
+
+
 def run_id(series_id, model, window, as_of):
     return F.substring(
         F.sha2(F.concat_ws("/", series_id, model, window, F.col(as_of).cast("string")), 256), 1, 16

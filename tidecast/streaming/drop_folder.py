@@ -7,8 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidecast.plans.import_job import import_lines
 from tidecast.session import landed
-from tidecast.sources.exports import stream_lines
-from tidecast.sources.store import Store
+from tidecast.sources.exports import numbered, stream_lines
+from tidecast.sources.store import Store, make_run_entities, stored_forecasts
 
 
 def start_import(
@@ -27,15 +27,16 @@ def start_import(
     def one_batch(lines: DataFrame, _batch_id: int) -> None:
         if lines.isEmpty():
             return
-        kept = landed(lines, "lines")
+        kept = landed(numbered(lines), "lines")
         seen = store.read("runs").select("id")
         done = import_lines(kept, store, keep_runs=False, **options)
-        new = done.runs.join(seen, "id", "left_anti")
-        from tidecast.sources.store import stored_forecasts
-
-        rows = stored_forecasts(done.flight)
-        fresh_rows = rows.join(new.selectExpr("id as run_id"), "run_id", "left_semi")
-        store.append_runs(landed(new, "new_runs"), fresh_rows)
+        new = landed(done.runs.join(seen, "id", "left_anti"), "new_runs")
+        ids = new.selectExpr("id as run_id")
+        store.append_runs(
+            new,
+            make_run_entities(done.flight).join(ids, "run_id", "left_semi"),
+            stored_forecasts(done.flight).join(ids, "run_id", "left_semi"),
+        )
 
     return (
         stream_lines(spark, folder, archive)
