@@ -15,12 +15,18 @@ NO_DATA = ["", "-", "--", "---", "–", "—", "n/a", "na", "nan", "null", "nil"
 # Characters dropped from a cell before it is read as a number.
 CURRENCY_SYMBOLS = "$£€¥₹"
 
-# Every Unicode white-space character, as a regex character class body.
-SPACES = r"\t\n\x0B\f\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Every Unicode white-space character.
+SPACES = (
+    "\t\n\x0b\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # A plain decimal number.
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
+# A number that carries no decoration and no separator to settle.
+PLAIN_NUMBER = r"^-?[0-9]+([.][0-9]+)?$"
+
 # Metric concepts in match order: (concept, addable, canonical count, patterns).
 CONCEPTS = [
     ("cost per", False, 0,

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from tidecast import fixed
 
 
+_DECORATION = fixed.CURRENCY_SYMBOLS + "%" + fixed.SPACES
+
+
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{fixed.SPACES}]+|[{fixed.SPACES}]+$", "")
+    return F.btrim(c, F.lit(fixed.SPACES))
 
 
 def trimmed(c: Column) -> Column:
@@ -26,7 +29,7 @@ def without_controls(c: Column) -> Column:
 
 
 def _bare(c: Column) -> Column:
-    return F.regexp_replace(_trim(c), r"^[()]+|[()]+$", "")
+    return F.btrim(_trim(c), F.lit("()"))
 
 
 def is_negative(c: Column) -> Column:
@@ -45,8 +48,7 @@ def plain_number_text(c: Column) -> Column:
     The separator that comes last is the decimal one. Commas alone are a decimal
     comma unless exactly three characters follow the last of them.
     """
-    drop = f"[{fixed.CURRENCY_SYMBOLS}%{fixed.SPACES}]"
-    return _settle_separator(F.regexp_replace(_bare(c), drop, ""))
+    return _settle_separator(F.translate(_bare(c), _DECORATION, ""))
 
 
 def _settle_separator(s: Column) -> Column:
@@ -63,8 +65,11 @@ def is_no_data(c: Column) -> Column:
     return F.lower(plain_number_text(c)).isin(fixed.NO_DATA)
 
 
-def _read(text: Column, negative: Column) -> Column:
-    parsed = F.when(text.rlike(fixed.NUMBER), text.try_cast("double"))
+def _read(text: Column, negative: Column, plain: Column | None = None) -> Column:
+    is_number = text.rlike(fixed.NUMBER)
+    if plain is not None:
+        is_number = plain | is_number
+    parsed = F.when(is_number, text.try_cast("double"))
     finite = F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
     signed = F.when(negative, -finite).otherwise(finite)
     return F.when(F.lower(text).isin(fixed.NO_DATA), F.lit(0.0)).otherwise(signed)
@@ -82,20 +87,36 @@ def with_numbers(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
     columns of their own, so that a wide scan evaluates every pattern once per cell.
     """
     names = list(cells)
-    drop = f"[{fixed.CURRENCY_SYMBOLS}%{fixed.SPACES}]"
     df = df.withColumns({f"_{n}_t": _trim(c) for n, c in cells.items()})
     df = df.withColumns(
-        {f"_{n}_b": F.regexp_replace(f"_{n}_t", r"^[()]+|[()]+$", "") for n in names}
+        {f"_{n}_b": F.btrim(F.col(f"_{n}_t"), F.lit("()")) for n in names}
+    )
+    # Most cells are bare numbers already and skip the rest.
+    df = df.withColumns({f"_{n}_n": F.col(f"_{n}_b").rlike(fixed.PLAIN_NUMBER) for n in names})
+    df = df.withColumns(
+        {
+            f"_{n}_s": F.when(F.col(f"_{n}_n"), F.col(f"_{n}_b")).otherwise(
+                F.translate(f"_{n}_b", _DECORATION, "")
+            )
+            for n in names
+        }
+    )
+    df = df.withColumns(
+        {
+            f"_{n}_p": F.when(F.col(f"_{n}_n"), F.col(f"_{n}_s")).otherwise(
+                _settle_separator(F.col(f"_{n}_s"))
+            )
+            for n in names
+        }
     )
-    df = df.withColumns({f"_{n}_s": F.regexp_replace(f"_{n}_b", drop, "") for n in names})
-    df = df.withColumns({f"_{n}_p": _settle_separator(F.col(f"_{n}_s")) for n in names})
     out = {}
     for n in names:
         t = F.col(f"_{n}_t")
-        out[n] = _read(F.col(f"_{n}_p"), t.startswith("(") & t.endswith(")"))
+        plain = F.col(f"_{n}_n")
+        out[n] = _read(F.col(f"_{n}_p"), t.startswith("(") & t.endswith(")"), plain)
         out[f"{n}_percent"] = F.col(f"_{n}_b").endswith("%")
         out[f"{n}_no_data"] = F.lower(f"_{n}_p").isin(fixed.NO_DATA)
-    steps = [f"_{n}_{k}" for n in names for k in "tbsp"]
+    steps = [f"_{n}_{k}" for n in names for k in "tbnsp"]
     return df.withColumns(out).drop(*steps)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidecast import fixed
 
 
-def _decimals(v: Column, digits: int) -> Column:
+def decimals(v: Column, digits: int) -> Column:
     """A fixed number of decimals, rounded on the exact binary value."""
     return F.replace(F.format_number(v, digits), F.lit(","), F.lit(""))
 
@@ -33,9 +33,9 @@ def display_value(v: Column, percent: Column | None = None) -> Column:
     text = (
         F.when(v == 0, F.lit("0"))
         .when((a >= 1e15) | (a < 1e-4), _scientific(v))
-        .when(a < 1, _decimals(v, 6))
-        .when(a < 100, _decimals(v, 3))
-        .otherwise(_decimals(v, 2))
+        .when(a < 1, decimals(v, 6))
+        .when(a < 100, decimals(v, 3))
+        .otherwise(decimals(v, 2))
     )
     if percent is None:
         return text

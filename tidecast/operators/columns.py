@@ -368,31 +368,39 @@ def entity_labels(rows: DataFrame, columns: DataFrame, groups: DataFrame) -> Dat
         "cells",
     )
     said = trimmed(F.element_at("cells", F.col("col_idx") + 1)).alias("value")
-    per_day = (
-        keyed.select("source", "col_idx", "key", "day", "row_num", said)
-        .groupBy("source", "col_idx", "key", "day")
+    at = file_position(F.col("day"), F.col("row_num"))
+    # The name is a grouping key and positions are numbers, so the passes over rows
+    # combine in hash tables; what is left per id is its few different names.
+    per_day = keyed.groupBy("source", "col_idx", "key", "day", said).agg(
+        F.min(at).alias("first_at"), F.max(at).alias("last_at")
+    )
+    two_names = (
+        per_day.groupBy("source", "col_idx", "key", "day")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("source", "col_idx")
+        .distinct()
+    )
+    per_key = (
+        per_day.groupBy("source", "col_idx", "key", "value")
+        .agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+        .groupBy("source", "col_idx", "key")
         .agg(
-            F.min_by("value", "row_num").alias("first_value"),
-            F.max_by("value", "row_num").alias("last_value"),
-            (F.min("value") != F.max("value")).alias("two_names"),
+            F.min_by("value", "first_at").alias("first_name"),
+            F.max_by("value", "last_at").alias("last_name"),
         )
     )
-    per_key = per_day.groupBy("source", "col_idx", "key").agg(
-        F.min_by("first_value", "day").alias("first_name"),
-        F.max_by("last_value", "day").alias("last_name"),
-        F.bool_or("two_names").alias("two_names"),
-    )
     per_name = per_key.groupBy("source", "col_idx", "last_name").agg(
-        F.bool_or("two_names").alias("two_names"), F.count(F.lit(1)).alias("n_keys")
+        F.count(F.lit(1)).alias("n_keys")
     )
     best = (
         per_name.groupBy("source", "col_idx")
-        .agg(F.bool_or("two_names").alias("two_names"), F.count(F.lit(1)).alias("score"))
-        .where("not two_names")
+        .agg(F.count(F.lit(1)).alias("score"))
+        .join(two_names, ["source", "col_idx"], "left_anti")
         .groupBy("source")
         .agg(F.min_by("col_idx", F.struct(-F.col("score"), F.col("col_idx"))).alias("col_idx"))
     )
-    shared = per_name.select("source", "col_idx", "last_name", "n_keys")
+    shared = per_name
     label = F.when(
         F.col("n_keys") > 1, F.format_string("%s (%s)", F.col("last_name"), F.col("key"))
     ).otherwise(F.col("last_name"))

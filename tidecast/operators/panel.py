@@ -31,8 +31,8 @@ def entity_spans(rows: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("day").alias("first_day"),
         F.max("day").alias("last_day"),
         F.collect_set("day").alias("seen"),
-        F.min_by("cells", "row_num").alias("template"),
-        F.first("label_idx").alias("label_idx"),
+        F.min("row_num").alias("first_row"),
+        F.max("label_idx").alias("label_idx"),
     )
 
 
@@ -83,22 +83,25 @@ def fill_absent(
     ids = named.groupBy("source").agg(
         F.collect_list(F.when(N.is_identifier(F.col("name")), F.col("col_idx"))).alias("id_idx")
     )
-    missing = (
+    absent = (
         spans.join(stats.select("source", "days"), "source")
-        .join(ids, "source")
-        .join(order, "source")
         .select(
             "source",
             "label_idx",
-            "id_idx",
-            "date_order",
-            "template",
-            F.explode(
-                F.filter(
-                    "days", lambda d: (d < F.col("first_day")) | (d > F.col("last_day"))
-                )
-            ).alias("day"),
+            F.col("first_row").alias("row_num"),
+            F.filter(
+                "days", lambda d: (d < F.col("first_day")) | (d > F.col("last_day"))
+            ).alias("absent"),
         )
+        .where(F.size("absent") > 0)
+    )
+    # The entity's first row is the pattern for its missing ones, fetched by row number.
+    missing = (
+        rows.select("source", "row_num", F.col("cells").alias("template"))
+        .join(absent, ["source", "row_num"])
+        .join(ids, "source")
+        .join(order, "source")
+        .withColumn("day", F.explode("absent"))
     )
 
     def blank(cell: Column, i: Column) -> Column:

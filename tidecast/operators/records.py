@@ -130,9 +130,7 @@ def split_cells(text: Column) -> Column:
     )
     return F.transform(
         F.split(masked, ",", -1),
-        lambda c: F.regexp_replace(
-            F.replace(c, F.lit("\x00"), F.lit(",")), f"^[{fixed.SPACES}]+", ""
-        ),
+        lambda c: F.ltrim(F.replace(c, F.lit("\x00"), F.lit(",")), F.lit(fixed.SPACES)),
     )
 
 

@@ -699,6 +699,47 @@ SELECT c_custkey, kind, CASE WHEN v = 0 THEN '0' WHEN abs(v) >= 1e15 OR abs(v) <
   || CASE WHEN kind = 1 AND (v = 0 OR abs(v) >= 1e-4) THEN '%' ELSE '' END AS shown
 FROM vals"""
 
+# --- the whole way -----------------------------------------------------------------------------
+
+_SQL["full_import"] = _with(DAILY, CTR, f"""long AS (
+  SELECT source, entity, metric, value FROM ctr, LATERAL (VALUES ('Cost', cost),
+    ('Clicks', clicks), ('Impr.', impr), ('Budget', 500.0), ('CTR', ctr),
+    ('Discount rate', ROUND(COALESCE(discount, 0.0), 6))) v(metric, value)
+  UNION ALL
+  SELECT source, '{fixed.ACCOUNT}', metric, value FROM (
+    SELECT source, day, SUM(cost) AS cost, SUM(clicks) AS clicks, SUM(impr) AS impr,
+      CAST(COUNT(*) * 500 AS DOUBLE) AS budget,
+      CASE WHEN SUM(impr) = 0 THEN 0.0 ELSE SUM(ctr * impr) / SUM(impr) END AS ctr,
+      COALESCE(AVG(ROUND(discount, 6)), 0.0) AS rate
+    FROM ctr GROUP BY ALL) x, LATERAL (VALUES ('Cost', cost), ('Clicks', clicks),
+    ('Impr.', impr), ('Budget', budget), ('CTR', ctr), ('Discount rate', rate))
+    v(metric, value))""") + """
+SELECT source, entity, metric, COUNT(*) AS n_days, ROUND(SUM(value), 3) AS total,
+  CASE WHEN entity = 'R' THEN 'paused' ELSE 'live' END AS state
+FROM long GROUP BY source, entity, metric"""
+
+_SQL["violation_counts"] = _with(
+    RAGGED,
+    "seen AS (SELECT source, entity, MIN(day) AS first_seen FROM ragged GROUP BY ALL)",
+    """steps AS (
+  SELECT source, date_diff('day', LAG(day) OVER (PARTITION BY source ORDER BY day), day) AS step
+  FROM per_day)""",
+) + """
+SELECT * FROM (
+  SELECT source, 'uneven_days' AS rule, COUNT(*) AS n FROM per_day
+  JOIN first_days USING (source) WHERE n_rows <> rows_per_day GROUP BY source
+  UNION ALL
+  SELECT source, 'day_gap', COUNT(*) FROM steps WHERE step > 1 GROUP BY source
+  UNION ALL
+  SELECT source, 'entity_new', COUNT(*) FROM seen JOIN first_days USING (source)
+  WHERE first_seen > first_day AND rows_per_day > 1 GROUP BY source
+  UNION ALL
+  SELECT s.source, 'entity_missing', COUNT(*)
+  FROM seen s JOIN first_days f USING (source) JOIN per_day p USING (source)
+  WHERE first_seen = first_day AND rows_per_day > 1 AND NOT EXISTS (
+    SELECT 1 FROM ragged r WHERE r.source = s.source AND r.entity = s.entity AND r.day = p.day)
+  GROUP BY s.source) x"""
+
 # --- storage and streams ----------------------------------------------------------------------
 
 _SQL["store_replace"] = _with(PANEL) + """

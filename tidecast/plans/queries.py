@@ -23,6 +23,8 @@ from tidecast.operators import panel as P
 from tidecast.operators import quality as Q
 from tidecast.operators import records as R
 from tidecast.operators import report as O
+from tidecast.plans.import_job import read_batch
+from tidecast.plans.understand import understand
 from tidecast.session import landed, scratch_path
 from tidecast.sources import store as S
 from tidecast.sources import tables as T
@@ -52,7 +54,8 @@ def _big(name: str):
 
 
 def _dated(records: DataFrame) -> DataFrame:
-    return D.dated_rows(records, D.date_order(records))
+    """Dated rows. The order, one row per source, is stored so that its size is known."""
+    return D.dated_rows(records, landed(D.date_order(records), "order"))
 
 
 def _classified(spark, sf, export=T.campaign_export):
@@ -257,9 +260,9 @@ def uneven_days(spark, sf):
 
 def _spans(spark, sf, entity="c_nationkey"):
     records, headers = T.ragged_export(spark, sf, entity)
-    order = D.date_order(records)
+    order = landed(D.date_order(records), "order")
     rows = landed(D.dated_rows(records, order), "rows")
-    stats = D.day_stats(D.rows_per_day(rows))
+    stats = landed(D.day_stats(D.rows_per_day(rows)), "stats")
     labels = headers.select("source", F.lit(1).alias("label_idx"))
     return rows, headers, order, stats, P.entity_spans(rows, labels)
 
@@ -275,8 +278,8 @@ def entity_span(spark, sf):
 @query
 def fill_absent(spark, sf):
     rows, headers, order, stats, spans = _spans(spark, sf)
-    named = C.name_columns(C.column_profile(rows), headers)
-    filled = P.fill_absent(rows, spans, stats, named, order).where("filled")
+    named = landed(C.name_columns(C.column_profile(rows), headers), "named")
+    filled = P.fill_absent(rows, landed(spans, "spans"), stats, named, order).where("filled")
     return filled.select(
         "source", "day", F.col("cells")[1].alias("entity"), F.col("cells")[0].alias("written"),
         F.col("cells")[2].alias("cost"), F.col("cells")[3].alias("orders"),
@@ -887,6 +890,30 @@ def display_values(spark, sf):
     )
 
 
+# --- the whole way -------------------------------------------------------------------------------
+
+
+@query
+def full_import(spark, sf):
+    """CSV lines of two accounts to checked panels: records, dates, columns, groups, rates."""
+    batch = read_batch(landed(T.campaign_lines(spark, sf), "lines"))
+    good = Q.accepted(batch.panel, batch.violations)
+    totals = good.groupBy("source", "entity", "metric").agg(
+        F.count(F.lit(1)).alias("n_days"), F.round(F.sum("value"), 3).alias("total")
+    )
+    return totals.join(batch.states, ["source", "entity"]).select(
+        "source", "entity", "metric", "n_days", "total", "state"
+    )
+
+
+@query
+def violation_counts(spark, sf):
+    """Every rule at once over exports that break several: how often each is broken."""
+    records, headers = T.ragged_export(spark, sf)
+    batch = understand(records, headers, land=True)
+    return batch.violations.groupBy("source", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- storage and streams --------------------------------------------------------------------------
 
 

@@ -19,6 +19,8 @@ def build_session(app: str = "tidecast", cpus: str = "*", shuffle_partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Generated methods above this size are not compiled by the JVM; run them in parts.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

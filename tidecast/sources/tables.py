@@ -7,9 +7,11 @@ they had come from CSV files, or a finished panel.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidecast import fixed
+from tidecast.functions.text import decimals
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,14 +128,13 @@ def campaign_export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     cost, clicks = F.coalesce("cost", zero), F.coalesce("clicks", zero)
     impr = F.coalesce("impr", zero)
     ctr = F.when(
-        impr > 0, F.concat(F.format_string("%.6f", F.lit(100.0) * clicks / impr), F.lit("%"))
+        impr > 0, F.concat(decimals(F.lit(100.0) * clicks / impr, 6), F.lit("%"))
     ).otherwise(F.lit("--"))
     status = F.when(
         (F.col("entity") == "R") & (F.col("day") >= F.lit("1999-01-01").cast("date")),
         F.lit("Paused"),
     ).otherwise(F.lit("Enabled"))
-    rate = F.coalesce(F.format_string("%.6f", F.col("discount")), F.lit("-"))
-    rate = F.when(F.col("discount").isNull(), F.lit("-")).otherwise(rate)
+    rate = F.coalesce(decimals(F.col("discount"), 6), F.lit("-"))
     records = dense(daily_items(spark, sf_dir)).select(
         "source",
         (
@@ -157,6 +158,42 @@ def campaign_export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return records, _headers(table(spark, sf_dir, "lineitem"), "l_linestatus", CAMPAIGN_COLUMNS)
 
 
+def campaign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The campaign export as lines of CSV files: source, block, line_id, text.
+
+    Lines are numbered by day and by the campaign's place among its source's campaigns.
+    """
+    records, headers = campaign_export(spark, sf_dir)
+    code = F.col("row_num") % 1000
+    places = (
+        records.groupBy("source", code.alias("code"))
+        .agg(F.min("row_num").alias("first_row"))
+        .withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("code")))
+        .withColumn("n_places", F.count(F.lit(1)).over(W.partitionBy("source")))
+        .withColumn("first_day", F.floor(F.col("first_row") / 1000))
+    )
+
+    def csv(cells: str) -> Column:
+        quoted = F.transform(
+            cells,
+            lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')),
+        )
+        return F.array_join(quoted, ",").alias("text")
+
+    day_index = F.floor(F.col("row_num") / 1000) - F.col("first_day")
+    body = records.withColumn("code", code).join(places, ["source", "code"]).select(
+        "source",
+        F.lit(0).cast("long").alias("block"),
+        (day_index * F.col("n_places") + F.col("place")).alias("line_id"),
+        csv("cells"),
+    )
+    head = headers.select(
+        "source", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("line_id"),
+        csv("header"),
+    )
+    return head.unionByName(body)
+
+
 # --- a ragged export: a row only where there was activity ---------------------------------
 
 RAGGED_COLUMNS = ["Day", "Market", "Cost", "Orders", "Cost per order"]
