@@ -173,6 +173,22 @@ NATIVE: dict[str, Callable[[DataFrame, int], DataFrame]] = {
 }
 
 
+# Which forecasters can use values known ahead. The pooled one is fitted to the data.
+COVARIATES = {
+    "seasonal_naive": False,
+    "weekday_quantile": False,
+    "trend_weekday": False,
+    "covariate_line": True,
+    "pooled_ridge": False,
+}
+
+
+def require_inputs_usable(name: str, covariates: bool, inputs: list[str]) -> None:
+    """Known-future values a model cannot use are refused, never ignored."""
+    if inputs and not covariates:
+        raise ValueError(f"{name} cannot use known-future values: {inputs}")
+
+
 # --- forecasters brought by the user -------------------------------------------------
 
 
@@ -205,8 +221,7 @@ def with_plugin(
     them to a forecaster that cannot use them is an error, never ignored.
     """
     inputs = inputs or []
-    if inputs and not forecaster.covariates:
-        raise ValueError(f"{forecaster.name} cannot use known-future values: {inputs}")
+    require_inputs_usable(forecaster.name, forecaster.covariates, inputs)
     schema = (
         "series_id string, entity string, metric string, window string, model string, "
         "as_of date, day date, q array<double>"

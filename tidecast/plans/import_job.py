@@ -37,6 +37,7 @@ class Imported:
     flight: DataFrame
     runs: DataFrame
     batch: Batch
+    history: DataFrame
 
 
 def read_batch(lines: DataFrame, land: bool = True, **options) -> Batch:
@@ -67,7 +68,7 @@ def forecast_batch(
 ) -> tuple[DataFrame, DataFrame]:
     """Every model on every window a source can fill, repaired, plus their average.
 
-    Returns the flight and the histories' fingerprints.
+    Returns the flight and the histories it was made from.
     """
     Q.check_horizon(horizon)
     good = Q.accepted(batch.stats, batch.violations).where(F.col("n_days") >= min_days)
@@ -84,7 +85,7 @@ def forecast_batch(
     ready = landed(M.floored(M.repaired(plain)), "flight")
     average = M.average_runs(M.averaged_members(ready, ["pooled_ridge"]))
     average = average.withColumns({"crossing": F.lit(0.0), "clamped": F.lit(0)})
-    return ready.unionByName(average.drop("n_runs")), M.series_hash(history)
+    return ready.unionByName(average.drop("n_runs")), history
 
 
 def run_infos(models: list[str], trained_through: str | None = None) -> dict[str, str]:
@@ -119,7 +120,7 @@ def import_lines(
     Q.check_horizon(horizon)
     batch = read_batch(lines, fill_absent=fill_absent, min_days=fixed.IMPORT_MIN_DAYS)
     names = models or DEFAULT_MODELS
-    flight, hashes = forecast_batch(batch, horizon, names, fitted)
+    flight, history = forecast_batch(batch, horizon, names, fitted)
     flight = landed(flight, "flight")
     problems = M.contract_violations(flight, horizon)
     first = problems.limit(1).collect()
@@ -129,7 +130,10 @@ def import_lines(
     if fitted:
         through = str(batch.stats.agg(F.max("last_day")).first()[0])
     runs = landed(
-        make_runs(flight, hashes, batch.groups, horizon, run_infos(names, through)), "runs"
+        make_runs(
+            flight, M.series_hash(history), batch.groups, horizon, run_infos(names, through)
+        ),
+        "runs",
     )
 
     if fresh:
@@ -140,7 +144,9 @@ def import_lines(
     store.save_columns(Q.accepted(batch.columns, batch.violations))
     if keep_runs:
         store.append_runs(runs, make_run_entities(flight), stored_forecasts(flight))
-    return Imported(batch.violations, flight, runs, batch)
+        if fitted:
+            store.append_models(history.where("window = 'full'"), "pooled_ridge")
+    return Imported(batch.violations, flight, runs, batch, history)
 
 
 def import_folder(spark: SparkSession, folder: str, store: Store, **options) -> Imported:

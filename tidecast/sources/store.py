@@ -1,7 +1,8 @@
 """The stored tables and what may be done to them.
 
 ``raw`` (source, row_num, day, data), ``series`` (series_id, entity, metric, day, value),
-``columns`` (source, name, role, ...), ``runs``, ``run_entities`` and ``forecasts``, as
+``columns`` (source, name, role, ...), ``runs``, ``run_entities``, ``forecasts`` and the
+``models`` fitted to stored data, as
 Parquet below one root on shared storage. Datasets are replaced whole, runs are appended.
 The entities of a run are rows: a list of them in one cell would grow with the data.
 """
@@ -14,7 +15,9 @@ from pyspark.sql import types as T
 
 from tidecast.functions import names as N
 from tidecast.functions.cells import trimmed
-from tidecast.operators.forecast import long_form
+from tidecast.functions.text import run_label
+from tidecast.operators.accuracy import accuracy_view
+from tidecast.operators.forecast import COVARIATES, long_form
 
 SCHEMAS = {
     "raw": "row_num bigint, day date, data map<string,string>, source string",
@@ -25,6 +28,8 @@ SCHEMAS = {
     "as_of date, metrics array<string>, n_entities bigint, group_by string, "
     "input_hash string, model_info string",
     "run_entities": "run_id string, series_id string, entity string",
+    "models": "model string, series_id string, trained_through date, metrics array<string>, "
+    "n_rows bigint, created_at timestamp",
     "forecasts": "run_id string, entity string, metric string, day date, q_idx int, "
     "quantile double, value double",
 }
@@ -112,6 +117,21 @@ class Store:
         for name, df in (("run_entities", run_entities), ("runs", runs)):
             self._shaped(name, df).write.mode("append").parquet(self.path(name))
 
+    def append_models(self, history: DataFrame, model: str) -> None:
+        """Record what a fitted model has seen, per series: last day, metrics, rows."""
+        seen = history.groupBy("series_id").agg(
+            F.max("day").alias("trained_through"),
+            F.array_sort(F.collect_set("metric")).alias("metrics"),
+            F.count(F.lit(1)).alias("n_rows"),
+        ).withColumns({"model": F.lit(model), "created_at": F.current_timestamp()})
+        self._shaped("models", seen).write.mode("append").parquet(self.path("models"))
+
+    def accuracy_view(self, name: str = "forecast_accuracy") -> DataFrame:
+        """Forecasts against actuals as a temporary view; nothing is copied."""
+        view = accuracy_view(self.read("forecasts"), self.read("runs"), self.read("series"))
+        view.createOrReplaceTempView(name)
+        return view
+
     def _shaped(self, name: str, df: DataFrame) -> DataFrame:
         return df.select(*[f.name for f in T._parse_datatype_string(SCHEMAS[name]).fields])
 
@@ -168,17 +188,17 @@ def make_runs(
     groups: DataFrame,
     horizon: int,
     infos: dict[str, str] | None = None,
+    with_window: bool = True,
 ) -> DataFrame:
     """One ``runs`` row per (series, model, window), with what explains it.
 
     The id is derived from what identifies the run, so a repeated job appends the same
     id rather than a second one.
     """
-    label = F.concat_ws("@", "model", "window")
+    label = run_label(F.col("model"), F.col("window")) if with_window else F.col("model")
     infos = infos or {}
-    info = F.to_json(
-        F.struct(F.col("model").alias("model"), F.lit(True).alias("covariates"))
-    )
+    can = F.col("model").isin([m for m, yes in COVARIATES.items() if yes])
+    info = F.to_json(F.struct("model", can.alias("covariates")))
     for name, text in infos.items():
         info = F.when(F.col("model") == name, F.lit(text)).otherwise(info)
     # Distinct pairs first, so that a run of any size is counted, never gathered.
