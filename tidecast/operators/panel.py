@@ -218,17 +218,21 @@ def flat_entities(panel: DataFrame, columns: DataFrame) -> DataFrame:
     )
 
 
-def running_entities(keyed: DataFrame, status: DataFrame, stats: DataFrame) -> DataFrame:
+def with_status(keyed: DataFrame, status: DataFrame) -> DataFrame:
+    """Add ``status``, what a source's status column says, NULL where it has none."""
+    said = F.lower(trimmed(F.element_at("cells", F.col("status_idx") + 1)))
+    return keyed.join(status, "source", "left").withColumn("status", said).drop("status_idx")
+
+
+def running_entities(keyed: DataFrame, stats: DataFrame) -> DataFrame:
     """Entities the export says are switched on as of its last day: ``source, entity``.
 
     Rows that were filled in are not part of what the export said.
     """
-    said = F.lower(trimmed(F.element_at("cells", F.col("status_idx") + 1)))
+    on = keyed.where(~F.col("filled") & F.col("status").isin(fixed.STATES_ON))
     return (
-        keyed.where(~F.col("filled"))
+        on.select("source", "entity", "day")
         .join(stats.select("source", F.col("last_day").alias("day")), ["source", "day"])
-        .join(status, "source")
-        .where(said.isin(fixed.STATES_ON))
         .select("source", "entity")
         .distinct()
     )

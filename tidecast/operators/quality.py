@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidecast import fixed
 from tidecast.functions import names as N
-from tidecast.functions.cells import any_day, trimmed
+from tidecast.functions.cells import trimmed
 from tidecast.operators.columns import measured_distinct
 
 # Rules in the order they are met.
@@ -94,51 +94,40 @@ def _why_one_column(cell: Column) -> Column:
 
 
 def file_shape(parsed: DataFrame) -> DataFrame:
-    """Rules about records before any is understood: size, width, encoding, dates."""
-    width = F.size("cells")
-    big_cell = F.exists("cells", lambda c: F.octet_length(c) > fixed.MAX_CELL_BYTES)
-    has_header = ~any_day(trimmed(F.col("cells")[0]))
-    facts = parsed.select(
-        "source",
-        "row_num",
-        (F.col("too_long") | big_cell | (width > fixed.MAX_COLUMNS)).alias("too_large"),
-        "malformed",
-        width.alias("width"),
-        F.col("cells")[0].alias("first_cell"),
-        ((F.col("row_num") == 1) & has_header).alias("is_header"),
-        "bad_utf8",
-        F.when(
-            F.col("row_num") == 2, ~F.exists("cells", lambda c: any_day(trimmed(c)))
-        ).alias("no_dates"),
-    )
+    """Rules about records before any is understood: size, width, encoding, dates.
+
+    Reads the facts stored beside the cells; only a record with too few columns is
+    looked into.
+    """
     # The width rows must have is that of the first data row; a header is not compared.
     data = ~F.col("is_header")
-    per_source = facts.groupBy("source").agg(
+    per_source = parsed.groupBy("source").agg(
         F.min_by("width", F.when(data, F.col("row_num"))).alias("data_width"),
         F.count_if(data).alias("n_data"),
     )
     ragged = (
-        facts.where(data)
+        parsed.where(data)
         .select("source", "row_num", "width")
         .join(per_source, "source")
         .where("width <> data_width")
     )
+    row_num = F.col("row_num")
     return union_all(
         [
-            _row(facts.where("too_large"), "too_large", row_num=F.col("row_num")),
-            _row(facts.where("malformed"), "malformed", row_num=F.col("row_num")),
+            _row(parsed.where("too_large"), "too_large", row_num=row_num),
+            _row(parsed.where("malformed"), "malformed", row_num=row_num),
             _row(
-                facts.where("width < 2"),
+                parsed.where("width < 2"),
                 "too_few_columns",
-                row_num=F.col("row_num"),
-                detail=_why_one_column(F.col("first_cell")),
+                row_num=row_num,
+                detail=_why_one_column(F.col("cells")[0]),
             ),
-            _row(facts.where("is_header and bad_utf8"), "header_not_utf8"),
-            _row(facts.where("no_dates"), "no_dates"),
+            _row(parsed.where("is_header and bad_utf8"), "header_not_utf8"),
+            _row(parsed.where("no_dates"), "no_dates"),
             _row(
                 ragged,
                 "ragged_rows",
-                row_num=F.col("row_num"),
+                row_num=row_num,
                 detail=F.format_string("%d of %d", F.col("width"), F.col("data_width")),
             ),
             _row(per_source.where("n_data = 0"), "no_rows"),

@@ -151,31 +151,50 @@ def _unquoted(c: Column) -> Column:
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """``source, row_num, cells, malformed, bad_utf8, too_long`` from assembled records.
+    """Cells of assembled records, and the facts about each that rules ask for later.
 
-    Whether the bytes are UTF-8 is asked before any text function touches them.
+    ``source, row_num, cells, width, is_header, malformed, bad_utf8, too_large, no_dates,
+    opening``. The facts are columns of their own, so that rules read them without
+    reading cells. Whether the bytes are UTF-8 is asked before any text function
+    touches them.
     """
     text = F.when(
         F.col("row_num") == 1, F.regexp_replace("text", "^\\x{FEFF}", "")
     ).otherwise(F.col("text"))
-    return records.withColumn("written", split_cells(text)).select(
-        "source",
-        "row_num",
-        F.transform("written", _unquoted).alias("cells"),
-        F.exists("written", lambda c: ~_well_formed(c)).alias("malformed"),
-        (~F.is_valid_utf8("text")).alias("bad_utf8"),
-        "too_long",
+    first = F.col("row_num") == 1
+    big_cell = F.exists("cells", lambda c: F.octet_length(c) > fixed.MAX_CELL_BYTES)
+    return (
+        records.withColumn("written", split_cells(text))
+        .withColumn("cells", F.transform("written", _unquoted))
+        .withColumn("width", F.size("cells"))
+        .select(
+            "source",
+            "row_num",
+            "cells",
+            "width",
+            (first & ~any_day(trimmed(F.col("cells")[0]))).alias("is_header"),
+            F.exists("written", lambda c: ~_well_formed(c)).alias("malformed"),
+            (first & ~F.is_valid_utf8("text")).alias("bad_utf8"),
+            (F.col("too_long") | big_cell | (F.col("width") > fixed.MAX_COLUMNS)).alias(
+                "too_large"
+            ),
+            F.when(
+                F.col("row_num") == 2, ~F.exists("cells", lambda c: any_day(trimmed(c)))
+            ).alias("no_dates"),
+            F.when(first, F.hex(F.substring(F.col("text").cast("binary"), 1, 4))).alias(
+                "opening"
+            ),
+        )
     )
 
 
 def headers_of(parsed: DataFrame) -> DataFrame:
     """``source, header``: the first record, where it is not already data."""
-    return parsed.where(
-        (F.col("row_num") == 1) & ~any_day(trimmed(F.col("cells")[0]))
-    ).select("source", F.col("cells").alias("header"))
+    return parsed.where("row_num = 1 and is_header").select(
+        "source", F.col("cells").alias("header")
+    )
 
 
 def data_rows(parsed: DataFrame) -> DataFrame:
     """Records that are not the header."""
-    header = (F.col("row_num") == 1) & ~any_day(trimmed(F.col("cells")[0]))
-    return parsed.where(~header).select("source", "row_num", "cells")
+    return parsed.where("not is_header").select("source", "row_num", "cells")

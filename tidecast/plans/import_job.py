@@ -48,7 +48,12 @@ def read_batch(lines: DataFrame, land: bool = True, **options) -> Batch:
     parsed = R.parse_records(R.to_records(lines, summary))
     if land:
         parsed = landed(parsed, "records")
-    shape = [Q.not_a_csv(exports.sniff(lines)), Q.file_shape(parsed)]
+    magic = exports.magic_kinds(parsed)
+    suspects = parsed.where("width < 2").select("source").distinct()
+    if land:
+        suspects = landed(suspects, "suspects")
+    separated = exports.other_separators(lines, suspects.join(magic, "source", "left_anti"))
+    shape = [Q.not_a_csv(magic), Q.not_a_csv(separated), Q.file_shape(parsed)]
     headers = R.headers_of(parsed)
     # A source that is no CSV, or has broken records, says nothing worth reading on.
     if land:

@@ -316,10 +316,10 @@ def flat_entities(spark, sf):
 def _campaign_states(spark, sf):
     rows, stats, columns = _classified(spark, sf)
     groups = C.group_columns(columns, C.label_stats(rows, columns), stats)
-    keyed = P.keyed_rows(rows, groups)
-    panel = P.build_panel(keyed, columns)
     status = C.status_columns(columns)
-    return P.entity_states(panel, columns, P.running_entities(keyed, status, stats), status)
+    keyed = P.with_status(P.keyed_rows(rows, groups), status)
+    panel = P.build_panel(keyed, columns)
+    return P.entity_states(panel, columns, P.running_entities(keyed, stats), status)
 
 
 @query

@@ -101,7 +101,11 @@ def understand(
     if land:
         labels = landed(labels, "entity_labels")
     currencies = C.currency_columns(rows, columns)
-    keyed = P.keyed_rows(rows, groups, labels)
+    status = C.status_columns(columns)
+    keyed = P.with_status(P.keyed_rows(rows, groups, labels), status)
+    if land:
+        # From here on only the panel reads cells; the rules read narrow columns.
+        keyed = landed(keyed, "keyed")
     panel = P.build_panel(keyed, columns)
     if wanted:
         asked = [w.strip().lower() for w in wanted]
@@ -113,7 +117,6 @@ def understand(
         )
     if land:
         panel = landed(panel, "panel")
-    status = C.status_columns(columns)
     stopped_names = None
     if stopped is not None:
         renamed = stopped.join(
@@ -123,7 +126,7 @@ def understand(
         )
         stopped_names = renamed.select("source", F.coalesce("label", "entity").alias("entity"))
     states = P.entity_states(
-        panel, columns, P.running_entities(keyed, status, stats), status, stopped_names
+        panel, columns, P.running_entities(keyed, stats), status, stopped_names
     )
     rules += [
         Q.uneven_days(per_day, stats),

@@ -58,13 +58,28 @@ def stream_lines(spark: SparkSession, folder: str, archive: str | None = None) -
     return _located(reader.load(folder))
 
 
-def sniff(lines: DataFrame) -> DataFrame:
-    """``source, kind`` for files that are something other than comma-separated text.
+def magic_kinds(parsed: DataFrame) -> DataFrame:
+    """``source, kind`` of files that open with the bytes of another format."""
+    named = [
+        F.when(F.col("opening").startswith(code), F.lit(kind))
+        for kind, codes in MAGIC
+        for code in codes
+    ]
+    return (
+        parsed.where("row_num = 1")
+        .select("source", F.coalesce(*named).alias("kind"))
+        .where("kind is not null")
+    )
+
 
-    Judged on the opening bytes and the opening lines only: a report title above the
-    header must not hide the separator.
+def other_separators(lines: DataFrame, suspects: DataFrame) -> DataFrame:
+    """``source, kind`` of files separated by tabs or semicolons and nothing else.
+
+    Judged over the opening lines: a report title above the header must not hide the
+    separator. Only ``suspects`` are read, sources with a record that did not split;
+    usually there are none.
     """
-    start = lines.where("block = 0")
+    start = lines.where("block = 0").join(suspects, "source", "left_semi")
     first = start.groupBy("source").agg(F.min("line_id").alias("first_id"))
     head = start.join(first, "source").where(
         F.col("line_id") - F.col("first_id") < fixed.SNIFF_LINES
@@ -74,7 +89,6 @@ def sniff(lines: DataFrame) -> DataFrame:
     gathered = head.groupBy("source").agg(
         F.array_sort(F.collect_list(F.struct(at, opening))).alias("lines")
     )
-    magic = F.hex(F.substring(F.col("lines")[0]["bytes"], 1, 4))
     joined = F.array_join(F.transform("lines", lambda x: F.hex(x["bytes"])), "0A")
     window = F.substring(joined, 1, 2 * fixed.SNIFF_BYTES)
     pairs = F.regexp_extract_all(window, F.lit("(..)"), F.lit(1))
@@ -82,11 +96,7 @@ def sniff(lines: DataFrame) -> DataFrame:
     def has(code: str):
         return F.array_contains(pairs, code)
 
-    named = [
-        F.when(magic.startswith(code), F.lit(kind)) for kind, codes in MAGIC for code in codes
-    ]
     kind = F.coalesce(
-        *named,
         F.when(~has("2C") & has("09"), F.lit("tabs")),
         F.when(~has("2C") & has("3B"), F.lit("semicolons")),
     )
