@@ -34,7 +34,10 @@ def imported(spark):
     put(folder, "acme.csv", _campaigns())
     put(folder, "bad.csv", "Day,Cost\n2026-01-01,1\n")
     store = Store(spark, folder + "/store").create()
-    return import_folder(spark, folder, store, models=["seasonal_naive", "weekday_quantile"]), store
+    done = import_folder(
+        spark, folder, store, models=["seasonal_naive", "weekday_quantile"], fitted=True
+    )
+    return done, store
 
 
 def test_import(imported):
@@ -42,10 +45,10 @@ def test_import(imported):
     assert {r["source"] for r in done.violations.collect()} == {"bad"}
     runs = {r["model"]: r for r in store.read("runs").collect()}
     assert set(runs) == {"seasonal_naive@full", "seasonal_naive@90d", "weekday_quantile@full",
-                         "weekday_quantile@90d", "average@90d"}
+                         "weekday_quantile@90d", "average@90d", "pooled_ridge@full"}
     assert runs["average@90d"]["n_entities"] == 3
     assert runs["average@90d"]["metrics"] == ["Clicks", "Cost"]
-    assert store.read("forecasts").count() == 5 * 3 * 2 * 7 * 9
+    assert store.read("forecasts").count() == 6 * 3 * 2 * 7 * 9
     assert {r[0] for r in store.read("series").select("entity").distinct().collect()} == {
         "(account)", "Brand", "Sale", "Old"}
     raw = store.read("raw")
@@ -54,6 +57,19 @@ def test_import(imported):
     assert [r["model"] for r in store.run_list().collect()].count("average@90d") == 1
 
 
+def test_fitted_model_says_what_it_saw(imported):
+    _, store = imported
+    model = store.read("models").first()
+    assert (model["model"], str(model["trained_through"])) == ("pooled_ridge", day(99))
+    view = store.accuracy_view("scores").where("model = 'pooled_ridge@full'")
+    assert {r["trained_through"] for r in view.select("trained_through").collect()} == {day(99)}
+    other = store.accuracy_view("scores").where("model = 'average@90d'")
+    assert other.where("trained_through is not null").count() == 0
+    latest = O.latest_runs(store.read("runs"))
+    drawn = {r["model"] for r in O.drawn_runs(latest, fitted=True).collect()}
+    assert drawn == {"average@90d", "pooled_ridge@full"}
+
+
 def test_pages(imported):
     _, store = imported
     runs, series = store.read("runs"), store.read("series")
@@ -65,12 +81,12 @@ def test_pages(imported):
     assert [r["item"] for r in ordered] == ["(account)", "Brand", "Sale"]
     assert [r["entity"] for r in O.rebuilt(series, runs, entities)[1].collect()] == ["Old"]
     lines = O.comparison(O.quantile_arrays(store.read("forecasts")), runs, entities)
-    assert lines.count() == 5 * 3 * 2 * 7
+    assert lines.count() == 6 * 3 * 2 * 7
     assert {r["entity"] for r in O.headline_entity(entities).collect()} == {"(account)"}
     members = O.provenance(runs).where("model = 'average@90d'").first()["averaged"]
     assert sorted(members) == ["seasonal_naive@90d", "weekday_quantile@90d"]
     assert O.runs_without_history(runs, series).count() == 0
-    assert O.runs_without_history(runs, series.where("metric = 'x'")).count() == 5
+    assert O.runs_without_history(runs, series.where("metric = 'x'")).count() == 6
 
 
 def test_replace_leaves_other_datasets(spark):

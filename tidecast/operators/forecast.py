@@ -183,6 +183,10 @@ COVARIATES = {
 }
 
 
+# Forecasters that learn from the data they are later scored on.
+FITTED = ["pooled_ridge"]
+
+
 def require_inputs_usable(name: str, covariates: bool, inputs: list[str]) -> None:
     """Known-future values a model cannot use are refused, never ignored."""
     if inputs and not covariates:

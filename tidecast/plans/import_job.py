@@ -88,24 +88,19 @@ def forecast_batch(
             M.pooled_ridge(history.where("window = 'full'"), horizon)
         )
     ready = landed(M.floored(M.repaired(plain)), "flight")
-    average = M.average_runs(M.averaged_members(ready, ["pooled_ridge"]))
+    average = M.average_runs(M.averaged_members(ready, M.FITTED))
     average = average.withColumns({"crossing": F.lit(0.0), "clamped": F.lit(0)})
     return ready.unionByName(average.drop("n_runs")), history
 
 
-def run_infos(models: list[str], trained_through: str | None = None) -> dict[str, str]:
+def average_info(models: list[str]) -> dict[str, str]:
+    """What an averaged run says of itself: its members and their common grid."""
     average = {
         "model": fixed.AVERAGE_LABEL,
         "averaged": [f"{m}@{fixed.AVERAGE_WINDOW}" for m in models],
         "quantiles": fixed.GRID,
     }
-    infos = {"average": json.dumps(average)}
-    if trained_through is not None:
-        infos["pooled_ridge"] = json.dumps(
-            {"model": "pooled_ridge", "covariates": False, "quantiles": fixed.GRID,
-             "trained_through": trained_through}
-        )
-    return infos
+    return {"average": json.dumps(average)}
 
 
 def import_lines(
@@ -131,12 +126,9 @@ def import_lines(
     first = problems.limit(1).collect()
     if first:
         raise ValueError(f"unusable forecast, nothing was written: {first[0].asDict()}")
-    through = None
-    if fitted:
-        through = str(batch.stats.agg(F.max("last_day")).first()[0])
     runs = landed(
         make_runs(
-            flight, M.series_hash(history), batch.groups, horizon, run_infos(names, through)
+            flight, M.series_hash(history), batch.groups, horizon, average_info(names)
         ),
         "runs",
     )

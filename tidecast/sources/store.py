@@ -17,7 +17,7 @@ from tidecast.functions import names as N
 from tidecast.functions.cells import trimmed
 from tidecast.functions.text import run_label
 from tidecast.operators.accuracy import accuracy_view
-from tidecast.operators.forecast import COVARIATES, long_form
+from tidecast.operators.forecast import COVARIATES, FITTED, long_form
 
 SCHEMAS = {
     "raw": "row_num bigint, day date, data map<string,string>, source string",
@@ -198,7 +198,16 @@ def make_runs(
     label = run_label(F.col("model"), F.col("window")) if with_window else F.col("model")
     infos = infos or {}
     can = F.col("model").isin([m for m, yes in COVARIATES.items() if yes])
-    info = F.to_json(F.struct("model", can.alias("covariates")))
+    # NULL fields are left out of the document, so only fitted models carry a cut-off.
+    fitted = F.col("model").isin(FITTED)
+    info = F.to_json(
+        F.struct(
+            "model",
+            can.alias("covariates"),
+            F.when(fitted, F.col("as_of").cast("string")).alias("trained_through"),
+            F.when(fitted, F.col("series_id")).alias("trained_on"),
+        )
+    )
     for name, text in infos.items():
         info = F.when(F.col("model") == name, F.lit(text)).otherwise(info)
     # Distinct pairs first, so that a run of any size is counted, never gathered.
