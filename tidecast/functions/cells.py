@@ -14,6 +14,11 @@ from tidecast import fixed
 _DECORATION = fixed.CURRENCY_SYMBOLS + "%" + fixed.SPACES
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time per row."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def _trim(c: Column) -> Column:
     return F.btrim(c, F.lit(fixed.SPACES))
 
@@ -76,8 +81,14 @@ def _read(text: Column, negative: Column, plain: Column | None = None) -> Column
 
 
 def number(c: Column) -> Column:
-    """The cell as DOUBLE: 0 for no data, NULL for anything that is not a finite number."""
-    return _read(plain_number_text(c), is_negative(c))
+    """The cell as DOUBLE: 0 for no data, NULL for anything that is not a finite number.
+
+    Each step is computed once per cell; over wide scans use ``with_numbers``.
+    """
+    return once(
+        F.translate(_bare(c), _DECORATION, ""),
+        lambda s: once(_settle_separator(s), lambda p: _read(p, is_negative(c))),
+    )
 
 
 def with_numbers(df: DataFrame, cells: dict[str, Column]) -> DataFrame:

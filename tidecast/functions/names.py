@@ -8,12 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidecast import fixed
-from tidecast.functions.cells import trimmed, without_controls
-
-
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value computed a single time per row."""
-    return F.transform(F.array(value), lambda x: use(x))[0]
+from tidecast.functions.cells import once, trimmed, without_controls
 
 
 def column_name(header: Column, index: Column) -> Column:
@@ -54,7 +49,7 @@ def _concept_of_words(w: Column) -> Column:
 
 def plain_concept(name: Column) -> Column:
     """The first concept, in match order, that one of the name's words belongs to."""
-    return _once(words(name), _concept_of_words)
+    return once(words(name), _concept_of_words)
 
 
 def concept(name: Column) -> Column:
@@ -65,7 +60,7 @@ def concept(name: Column) -> Column:
         one_is_metric = F.exists(F.split(bare, "/"), lambda p: _any_word(words(p), every))
         return F.when(bare.contains("/") & one_is_metric, F.lit("ratio"))
 
-    return F.coalesce(_once(without_qualifier(name), of_bare), plain_concept(name))
+    return F.coalesce(once(without_qualifier(name), of_bare), plain_concept(name))
 
 
 def is_addable(concept_col: Column) -> Column:
@@ -87,9 +82,9 @@ def rate_denominator(name: Column) -> Column:
 
     def of_words(w: Column) -> Column:
         implied = [F.when(_any_word(w, p), F.lit(c)) for c, p in fixed.IMPLIED_DENOMINATORS]
-        return F.coalesce(*implied, _once(_after_per(w), _concept_of_words))
+        return F.coalesce(*implied, once(_after_per(w), _concept_of_words))
 
-    return F.coalesce(plain_concept(_after_last_slash(name)), _once(words(name), of_words))
+    return F.coalesce(plain_concept(_after_last_slash(name)), once(words(name), of_words))
 
 
 def denominator_phrase(name: Column) -> Column:
@@ -97,7 +92,7 @@ def denominator_phrase(name: Column) -> Column:
     after = _after_last_slash(without_qualifier(name))
     return F.coalesce(
         F.when(after.isNotNull(), F.btrim(words(after))),
-        F.btrim(_once(words(name), _after_per)),
+        F.btrim(once(words(name), _after_per)),
         F.lit(""),
     )
 
