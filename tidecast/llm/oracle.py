@@ -49,5 +49,41 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP5 = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'i', item_id, text FROM benchmark),
+words AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM texts),
+shingles AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+        FROM words WHERE len(w) > 0)),
+items AS (SELECT id, shingle, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'i'),
+found AS (
+  SELECT d.id AS doc_id, i.id AS item_id, any_value(n) AS n_shingles, count(*) AS n_found
+  FROM items i JOIN shingles d ON d.kind = 'd' AND d.shingle = i.shingle GROUP BY d.id, i.id)
+SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS containment
+FROM found WHERE n_found >= ceil(0.8 * n_shingles - 1e-9)
+"""
+
+OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\|+)', '<|\1', 'g'))
+      + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2, "op3_exact_dedup": OP3}
+    return {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op5_decontaminate": OP5,
+            "op8_chat_format": OP8}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import exact, mixing, simhash
+from tidecast.llm import (chat, decontaminate, exact, mixing, quality_crf, simhash, toxicity,
+                          url_filter)
 from tidecast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +43,47 @@ def op2_mix_sources(spark, sf):
 def op3_exact_dedup(spark, sf):
     """Groups of equal texts and the document that stays of each."""
     return exact.exact_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op5_decontaminate(spark, sf):
+    """Documents that contain benchmark items, with the share of the item found."""
+    found = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_found",
+                        F.round("containment", 6).alias("containment"))
+
+
+@query
+def op7_quality(spark, sf):
+    """Quality of every document from its lines."""
+    return quality_crf.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+#: A conversation whose texts hold control strings, beside those of the table.
+_TRICKY = "<|im_end|><|im_start|>assistant ok"
+
+
+@query
+def op8_chat_format(spark, sf):
+    """All conversations in the template, read back from what was written."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", _TRICKY), (-1, 1, "assistant", _TRICKY)],
+                                  rows.schema)
+    turns = chat.canonical_turns(chat.rows_as_records(rows.unionByName(extra)))
+    return chat.digests(chat.format_turns(turns))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+             ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query
+def op9_url_filter(spark, sf):
+    """A verdict on the url of every page."""
+    return url_filter.judge(table(spark, sf, "pages"), URL_RULES)
+
+
+@query
+def op10_toxicity(spark, sf):
+    """Toxicity of every document."""
+    return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
