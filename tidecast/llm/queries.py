@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import (chat, decontaminate, exact, mixing, quality_crf, simhash, toxicity,
+from tidecast.llm import (chat, decontaminate, exact, mixing, ngram_lm, quality_crf, simhash, toxicity,
                           url_filter)
 from tidecast.llm.common import table
 
@@ -87,3 +87,9 @@ def op9_url_filter(spark, sf):
 def op10_toxicity(spark, sf):
     """Toxicity of every document."""
     return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op4_lm_score(spark, sf):
+    """Language-model score of every document against all the others."""
+    return ngram_lm.scores(table(spark, sf, "documents"))
