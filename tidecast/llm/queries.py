@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import (chat, decontaminate, exact, mixing, ngram_lm, quality_crf, simhash, toxicity,
-                          url_filter)
+from tidecast.llm import (chat, decontaminate, exact, mixing, ngram_lm, quality_crf, simhash,
+                          substring, toxicity, url_filter)
 from tidecast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,9 @@ def op10_toxicity(spark, sf):
 def op4_lm_score(spark, sf):
     """Language-model score of every document against all the others."""
     return ngram_lm.scores(table(spark, sf, "documents"))
+
+
+@query
+def op6_substring_dedup(spark, sf):
+    """What stays of every document when repeated passages go."""
+    return substring.repeated_passages(table(spark, sf, "documents"))
