@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         "left", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     ranked = ranked.withColumn("level", (F.col("total") - F.col("capped")) / F.col("left"))
     below = F.when(F.col("level") <= F.col("reach"), F.col("level"))
-    level = F.min(below).over(whole)
+    level = F.max(below).over(whole)
     target = F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap")))
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 

@@ -19,7 +19,7 @@ l AS (
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
   SELECT source, source_size, least(cap, coalesce(
-    min(CASE WHEN level <= reach THEN level END) OVER () * weight, cap)) AS target FROM l),
+    max(CASE WHEN level <= reach THEN level END) OVER () * weight, cap)) AS target FROM l),
 n AS (SELECT source, size, ceil(count(*) / 10000.0)::BIGINT AS cells FROM d GROUP BY ALL),
 k AS (
   SELECT d.*, t.source_size, t.target,
