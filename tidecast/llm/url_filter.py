@@ -34,6 +34,7 @@ http://payday-loans.example.com/apply https://quick-loans.example.net/cash http:
 https://replica-watches.example.com/shop http://fake-luxury.example.net/bags https://warez-crack.example.org/dl
 http://torrent-crack.example.com/keygen https://free-keygen.example.net/get http://hack-tools.example.org/free
 https://blog.casino-bonus.example.net/de/44 http://www.jackpot-bets.example.org/fr/18
+https://m.live-bets.example.com/en/6 http://bets-club.example.net/today http://blog.top-bets.example.org/es/2
 """.split()
 ALLOWED = """
 http://news.example.com/en/1 https://www.dailypaper.example.net/world/2024 http://citynews.example.org/local
@@ -97,8 +98,8 @@ def features(host: str, path: str, buckets: int = BUCKETS) -> np.ndarray:
     return np.fromiter(found, np.int64, len(found))
 
 
-def fit(blocked: list[str], allowed: list[str], buckets: int = BUCKETS, l2: float = 1e-3,
-        steps: int = 400, rate: float = 4.0) -> tuple[np.ndarray, float]:
+def fit(blocked: list[str], allowed: list[str], buckets: int = BUCKETS, l2: float = 1e-4,
+        steps: int = 2000, rate: float = 4.0) -> tuple[np.ndarray, float]:
     """Weights and intercept by gradient descent; a URL's features have unit length."""
     rows = [(_split(u), 1.0) for u in blocked] + [(_split(u), 0.0) for u in allowed]
     found = [features(*parts, buckets) for parts, _ in rows]
