@@ -10,6 +10,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Masks of the bits below each bit of a word.
+_LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of the suffixes, ordered by at least their first ``depth`` symbols."""
     n = len(text)
@@ -34,7 +38,8 @@ class WaveletMatrix:
             padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
             padded[:len(bit)] = bit
             packed = np.packbits(padded, bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])
+            before = np.cumsum(np.bitwise_count(packed), dtype=np.int64)
+            before -= np.bitwise_count(packed)
             self.rows.append((packed, before))
             self.zeros.append(int(len(bit) - bit.sum()))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
@@ -43,10 +48,10 @@ class WaveletMatrix:
         """Where the count of a symbol before a position ends up, with the symbol's own offset."""
         for level, (packed, before) in enumerate(self.rows):
             word = at >> 6
-            low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = before[word] + np.bitwise_count(packed[word] & low)
-            bit = (symbol >> (self.bits - 1 - level)) & 1
-            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
+            ones = before.take(word)
+            ones += np.bitwise_count(packed.take(word) & _LOW.take(at & 63))
+            one = (symbol & (1 << (self.bits - 1 - level))) != 0
+            at = np.where(one, ones + self.zeros[level], at - ones)
         return at
 
 
@@ -60,10 +65,16 @@ class FMIndex:
         self.size, top = len(text), int(text.max(initial=0))
         order = sorted_suffixes(text, depth)
         self.matrix = WaveletMatrix(text[order - 1], top)
-        first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])[:-1]
+        self.ends = np.cumsum(np.bincount(text, minlength=top + 1))
+        first = np.concatenate([[0], self.ends])[:-1]
+        self.first = first
         symbols = np.arange(top + 1)
         self.base = first - self.matrix.place(symbols, np.zeros(top + 1, np.int64))
 
+    def start(self, symbol: np.ndarray):
+        """Ranges of the patterns of one symbol."""
+        return self.first[symbol], self.ends[symbol]
+
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         """Ranges of the patterns with one symbol more in front."""
         both = self.matrix.place(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
@@ -82,9 +93,9 @@ def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, lengt
     found = []
     who = np.flatnonzero(lengths >= window)
     end = lengths[who] - 1
-    at, lo, hi = end.copy(), np.zeros(len(who), np.int64), np.full(len(who), index.size)
+    at = end.copy()
+    lo, hi = index.start(text[starts[who] + at])
     while len(who):
-        lo, hi = index.step(text[starts[who] + at], lo, hi)
         twice = hi - lo >= 2
         stop = ~twice | (at == 0)
         left = np.where(twice, at, at + 1)  # the match is left..end
@@ -95,6 +106,9 @@ def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, lengt
         end = np.where(again, np.minimum(end - 1, at + window - 1), end)
         live = ~(twice & (at == 0)) & ~(again & (end < window - 1))
         at = np.where(again, end, at - 1)
-        lo, hi = np.where(again, 0, lo), np.where(again, index.size, hi)
-        who, end, at, lo, hi = who[live], end[live], at[live], lo[live], hi[live]
+        who, end, at, again = who[live], end[live], at[live], again[live]
+        symbol, lo, hi = text[starts[who] + at], lo[live], hi[live]
+        more = ~again
+        lo[more], hi[more] = index.step(symbol[more], lo[more], hi[more])
+        lo[again], hi[again] = index.start(symbol[again])
     return found

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import landed
 from tidecast.llm.fm_index import FMIndex, repeated_windows
 from tidecast.llm.tokens import (BUCKET_ROWS, CHUNK_WORDS, Chunk, answered, answers, bucket_bits,
-                                 chunked, grouped, pack, questions, totals_of, unpack)
+                                 chunked, grouped, pack, questions, rows_of, totals_of, unpack)
 
 WINDOW = 35
 ANCHOR_WORDS = 12
@@ -85,7 +85,7 @@ def segments(c: Chunk, totals: np.ndarray, window: int, run: int, shards: int, h
     return out
 
 
-def shard_spans(rows: list[tuple[int, bytes, int, np.ndarray]], window: int,
+def shard_spans(rows: list[tuple[int, bytes, int, list[int]]], window: int,
                 run: int) -> dict[int, list[tuple[int, int]]]:
     """By chunk, the (first window, number of windows) that are repeated.
 
@@ -104,9 +104,9 @@ def shard_spans(rows: list[tuple[int, bytes, int, np.ndarray]], window: int,
     for _, text, chunk, starts in rows:
         if times[text] > 1:
             n = text.count(b" ") + 2 - window
-            spans[chunk] += [(s, n) for s in starts.tolist()]
+            spans[chunk] += [(s, n) for s in starts]
         elif text in single:
-            where[single[text]] = (chunk, int(starts[0]))
+            where[single[text]] = (chunk, starts[0])
     if single:
         number = defaultdict()
         number.default_factory = lambda: len(number) + 1
@@ -162,7 +162,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor_words: int =
     def send(batches):
         names = ["shard", "anchor", "chunk", "segment", "starts"]
         for b in batches:
-            for row in b.to_pylist():
+            for row in rows_of(b, 1):
                 c = Chunk(row["lengths"], row["vocab"], row["tokens"])
                 out = segments(c, totals_of(row["answers"], 0), window, anchor_words, shards,
                                hot_anchor)
@@ -174,15 +174,15 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor_words: int =
                          pa.array(np.array([k[1] for k in some], np.uint64).view(np.int64)),
                          pa.array([row["chunk"]] * len(some), pa.int64()),
                          pa.array([k[2] for k in some], pa.binary()),
-                         pa.array([pack(out[k]) for k in some], pa.binary())], names)
+                         pa.array([out[k] for k in some], pa.list_(pa.int32()))], names)
 
     sent = answered(chunks, counts).select("chunk", "lengths", "vocab", "tokens", "answers")
     sent = sent.mapInArrow(
-        send, "shard long, anchor long, chunk long, segment binary, starts binary")
+        send, "shard long, anchor long, chunk long, segment binary, starts array<int>")
 
     def search(batches):
         for _, rows in grouped(batches, "shard"):
-            spans = shard_spans([(r["anchor"], r["segment"], r["chunk"], unpack(r["starts"]))
+            spans = shard_spans([(r["anchor"], r["segment"], r["chunk"], r["starts"])
                                  for r in rows], window, anchor_words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(spans), pa.int64()),
@@ -198,7 +198,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor_words: int =
     def finish(batches):
         for b in batches:
             ids = b.column("ids")
-            for i, row in enumerate(b.drop_columns(["ids"]).to_pylist()):
+            for i, row in enumerate(rows_of(b.drop_columns(["ids"]), 1)):
                 c = Chunk(row["lengths"], row["vocab"], row["tokens"])
                 none = np.zeros(0, np.int64)
                 starts = np.concatenate([none, *(unpack(s["starts"]) for s in row["spans"] or [])])

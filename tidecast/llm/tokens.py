@@ -26,6 +26,11 @@ CHUNK_WORDS = 1 << 20
 BUCKET_ROWS = 1 << 20
 
 
+#: Base of the sums that n-gram hashes are read from, and its inverse modulo 2^64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers, seven bits to a byte."""
     v = np.asarray(values, np.uint64)
@@ -79,10 +84,14 @@ class Chunk:
 
     def ngrams(self, hashes: np.ndarray, n: int) -> np.ndarray:
         """Hash of the n words from each position on, also across the ends of documents."""
-        out = np.full(max(len(hashes) - n + 1, 0), n, np.uint64)
-        for k in range(n):
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + len(out)])
-        return out
+        size = max(len(hashes) - n + 1, 0)
+        power = np.full(len(hashes), _BASE)
+        power[:1] = 1
+        power = np.cumprod(power)  # all arithmetic is modulo 2^64
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power)])
+        back = np.full(size, _BACK)
+        back[:1] = 1
+        return mixed((sums[n:] - sums[:size]) * np.cumprod(back) + np.uint64(n))
 
     def inside(self, n: int) -> np.ndarray:
         """Positions whose n words all belong to one document."""
@@ -150,7 +159,7 @@ def questions(chunks: DataFrame, ask: Callable[[Chunk], dict[int, np.ndarray]],
     def run(batches):
         edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         for b in batches:
-            for row in b.to_pylist():
+            for row in rows_of(b, 1):
                 for slot, hashes in ask(Chunk(row["lengths"], row["vocab"], row["tokens"])).items():
                     found, counts = np.unique(hashes, return_counts=True)
                     cuts = np.searchsorted(found, edges)
@@ -187,11 +196,17 @@ def answers(asked: DataFrame) -> DataFrame:
         run, "chunk long, slot int, bucket int, totals binary")
 
 
+def rows_of(batch: pa.RecordBatch, some: int) -> Iterator[dict]:
+    """Rows of a batch as Python values, some at a time, since rows are large."""
+    for i in range(0, batch.num_rows, some):
+        yield from batch.slice(i, some).to_pylist()
+
+
 def grouped(batches, key: str) -> Iterator[tuple[object, list[dict]]]:
     """Runs of rows with one key, of rows that come sorted by it."""
     at, rows = None, []
     for b in batches:
-        for row in b.to_pylist():
+        for row in rows_of(b, 256):
             if rows and row[key] != at:
                 yield at, rows
                 rows = []
