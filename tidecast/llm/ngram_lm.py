@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.common import landed
 from tidecast.llm.tokens import (BUCKET_ROWS, CHUNK_WORDS, Chunk, answered, answers, bucket_bits,
-                                 chunked, questions, totals_of)
+                                 chunked, questions, rows_of, totals_of)
 
 ORDER = 2
 BACKOFF = 0.4
@@ -85,7 +85,7 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF,
     def run(batches):
         for b in batches:
             ids = b.column("ids")
-            for i, row in enumerate(b.drop_columns(["ids"]).to_pylist()):
+            for i, row in enumerate(rows_of(b.drop_columns(["ids"]), 1)):
                 c = Chunk(row["lengths"], row["vocab"], row["tokens"])
                 by_order = {n: totals_of(row["answers"], n) for n in range(1, order + 1)}
                 doc = np.repeat(np.arange(len(c.lengths)), c.lengths)
