@@ -118,7 +118,7 @@ def batch(spark):
     put(folder, ".hidden.csv", "x")
     put(folder, "notes.txt", "x")
     put(folder, "UPPER.CSV", _files()["good"][0])
-    return read_batch(exports.read_lines(spark, folder))
+    return read_batch(exports.read_lines(spark, folder), max_columns=512)
 
 
 @pytest.fixture(scope="module")

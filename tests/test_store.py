@@ -14,7 +14,12 @@ from tidecast.operators import accuracy as A
 from tidecast.operators import report as O
 from tidecast.plans.import_job import import_folder
 from tidecast.sources.store import Store
-from tidecast.streaming.closed_days import closed_days, late_rows, write_closed_days
+from tidecast.streaming.closed_days import (
+    closed_days,
+    late_rows,
+    write_closed_days,
+    write_late_events,
+)
 from tidecast.streaming.drop_folder import start_import
 from tidecast.streaming.live_accuracy import score_arrivals
 
@@ -210,7 +215,7 @@ def test_closed_days(spark):
 
     def run():
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in/*")
-        q = write_closed_days(closed_days(stream), folder + "/out", folder + "/progress")
+        q = write_closed_days(closed_days(stream, "0 seconds"), folder + "/out", folder + "/progress")
         q.awaitTermination()
         return q
 
@@ -220,6 +225,11 @@ def test_closed_days(spark):
     first = {(str(r["day"]), r["n_events"], r["total"]) for r in spark.read.parquet(folder + "/out").collect()}
     assert first == {("2026-01-01", 2, 3.0)}
     add("b", [("2026-01-01T23:00:00", "x", 100.0), ("2026-01-03T01:00:00", "x", 7.0)])
+    late = write_late_events(
+        spark.readStream.schema(schema).parquet(f"{folder}/in/b"), folder + "/out",
+        folder + "/late", folder + "/late-progress")
+    late.awaitTermination()
+    assert [r["value"] for r in spark.read.parquet(folder + "/late").collect()] == [100.0]
     q = run()
     rows = {(str(r["day"]), r["total"]) for r in spark.read.parquet(folder + "/out").collect()}
     assert rows == {("2026-01-01", 3.0), ("2026-01-02", 5.0)}

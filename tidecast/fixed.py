@@ -83,10 +83,6 @@ DATE_HEADERS = ["day", "date", "days", "dates", "datum", "fecha", "data"]
 NON_NEGATIVE = ["spend", "impressions", "clicks", "conversions", "cost per"]
 
 # Limits and thresholds.
-MAX_COLUMNS = 512
-MAX_CELL_BYTES = 1 << 20
-SNIFF_BYTES = 8192
-SNIFF_LINES = 25
 MIN_DAYS = 32
 IMPORT_MIN_DAYS = 90
 IMPORT_GOOD_DAYS = 365

@@ -15,19 +15,14 @@ def accuracy_view(forecasts: DataFrame, runs: DataFrame, series: DataFrame) -> D
     """One row per forecast day with its actual, error and band.
 
     The three quantiles come out of one scan and one exchange by conditional
-    aggregation. Only those quantiles are read: the filter reaches the files.
+    aggregation, which the join with the actuals reuses. Only those quantiles and only days
+    after the oldest run are read: both filters reach the files.
     """
-    keys = ["run_id", "entity", "metric", "day"]
+    keys = ["series_id", "entity", "metric", "day"]
 
     def at(q: float):
         return F.max(F.when(F.col("quantile") == q, F.col("value")))
 
-    bands = (
-        forecasts.where(F.col("quantile").isin(LOW, MID, HIGH))
-        .groupBy(*keys)
-        .agg(at(MID).alias("forecast"), at(LOW).alias("low"), at(HIGH).alias("high"))
-        .where("forecast is not null")
-    )
     info = runs.select(
         F.col("id").alias("run_id"),
         "series_id",
@@ -35,12 +30,19 @@ def accuracy_view(forecasts: DataFrame, runs: DataFrame, series: DataFrame) -> D
         "as_of",
         F.get_json_object("model_info", "$.trained_through").alias("trained_through"),
     )
-    actuals = series.select(
-        "series_id", "entity", "metric", "day", F.col("value").alias("actual")
-    )
-    joined = bands.join(info, "run_id").join(
-        actuals, ["series_id", "entity", "metric", "day"], "left"
+    # Dealt by series and day, the quantiles of a day meet each other and its actual.
+    bands = (
+        forecasts.where(F.col("quantile").isin(LOW, MID, HIGH))
+        .join(info, "run_id")
+        .repartition(*keys)
+        .groupBy(*keys, "run_id", "model", "as_of", "trained_through")
+        .agg(at(MID).alias("forecast"), at(LOW).alias("low"), at(HIGH).alias("high"))
+        .where("forecast is not null")
     )
+    # No forecast is of a day before the first run was made.
+    since = runs.agg(F.min("as_of")).scalar()
+    actuals = series.where(F.col("day") > since).select(*keys, F.col("value").alias("actual"))
+    joined = bands.join(actuals, keys, "left")
     error = F.col("forecast") - F.col("actual")
     trained_on = F.coalesce(
         F.col("day") <= F.col("trained_through").try_cast("date"), F.lit(False)

@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 
 
-def origins_of(stats: DataFrame, n_origins: int, horizon: int, step: int = 7) -> DataFrame:
-    """``source, origin``: the last ``n_origins`` cut days that leave a whole horizon."""
-    backs = F.sequence(F.lit(0), F.lit(n_origins - 1))
-    return stats.select("source", "first_day", "last_day", F.explode(backs).alias("i")).select(
-        "source", F.date_sub("last_day", horizon + F.col("i") * step).alias("origin"), "first_day"
-    ).where("origin > first_day").drop("first_day")
+def origins_of(
+    stats: DataFrame, n_origins: int | None, horizon: int, step: int = 7
+) -> DataFrame:
+    """``source, origin``: cut days that leave a whole horizon, ``step`` days apart.
+
+    All of them, or the last ``n_origins`` where that many are asked for.
+    """
+    last = F.date_sub("last_day", horizon)
+    first = F.date_add("first_day", 1)
+    if n_origins is not None:
+        first = F.greatest(first, F.date_sub(last, (n_origins - 1) * step))
+    back = F.expr(f"make_dt_interval(-{int(step)})")
+    some = stats.where(last > F.col("first_day")).select(
+        "source", F.explode(F.sequence(last, first, back)).alias("origin")
+    )
+    return some.select("source", F.col("origin").cast("date").alias("origin"))
 
 
 def history_at(inputs: DataFrame, origins: DataFrame, windows: list[tuple[str, int]]) -> DataFrame:
@@ -53,12 +63,13 @@ def backtest(
     stats: DataFrame,
     forecasters: list[Callable[[DataFrame, int], DataFrame]],
     horizon: int = 7,
-    n_origins: int = 4,
+    n_origins: int | None = None,
     windows: list[tuple[str, int]] | None = None,
+    step: int = 7,
 ) -> DataFrame:
     """``series_id, entity, metric, model, window, origin, day, forecast, actual, ...``."""
     windows = windows or [("full", 0), ("90d", 90)]
-    history = history_at(inputs, origins_of(stats, n_origins, horizon), windows)
+    history = history_at(inputs, origins_of(stats, n_origins, horizon, step), windows)
     flights = None
     for forecaster in forecasters:
         one = forecaster(history, horizon)

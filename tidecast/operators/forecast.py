@@ -1,8 +1,8 @@
 """Quantile forecasts of every series at once, and the contract they must satisfy.
 
 ``history``: series_id, entity, metric, concept, window, as_of, day, value.
-A forecaster returns ``FLIGHT`` rows, one per forecast day, with the quantiles of that
-day as an array. Native forecasters are window aggregates over one exchange on
+A forecaster returns ``FLIGHT`` rows, one per forecast day, with the values ``q`` of that
+day at the ``quantiles`` the model declares, both as arrays. Native forecasters are window aggregates over one exchange on
 (series, entity, metric, window); a group is one series' calendar.
 """
 
@@ -21,7 +21,7 @@ from tidecast import fixed
 from tidecast.functions import names as N
 
 KEYS = ["series_id", "entity", "metric", "window"]
-FLIGHT = [*KEYS, "model", "as_of", "day", "q"]
+FLIGHT = [*KEYS, "model", "as_of", "day", "quantiles", "q"]
 
 
 def history_of(inputs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -59,14 +59,23 @@ def _grid() -> Column:
     return F.array(*[F.lit(q) for q in fixed.GRID])
 
 
+def _native(flight: DataFrame, model: str) -> DataFrame:
+    """Rows of a forecaster of this module, which all share one grid."""
+    return flight.withColumns({"model": F.lit(model), "quantiles": _grid()}).select(*FLIGHT)
+
+
 def seasonal_naive(history: DataFrame, horizon: int, season: int = 7) -> DataFrame:
-    """The value one season ago, spread by the quantiles of past season-on-season changes."""
+    """The value one season ago, spread by the quantiles of past season-on-season changes.
+
+    A day without a value one season ago starts from the newest value there is.
+    """
     by_day = W.partitionBy(*KEYS).orderBy("day")
     back = F.datediff("as_of", "day")
     changes = history.select(
         *KEYS,
         "as_of",
         back.alias("back"),
+        "day",
         "value",
         (F.col("value") - F.lag("value", season).over(by_day)).alias("change"),
     )
@@ -75,20 +84,18 @@ def seasonal_naive(history: DataFrame, horizon: int, season: int = 7) -> DataFra
         F.map_from_entries(
             F.collect_list(F.when(F.col("back") < season, F.struct("back", "value")))
         ).alias("last"),
+        F.max_by("value", "day").alias("newest"),
     )
     steps = per_series.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     source_back = (F.ceil(F.col("step") / season) * season - F.col("step")).cast("int")
-    return (
-        steps.withColumn("base", F.try_element_at("last", source_back))
-        .where("base is not null")
-        .select(
-            *KEYS,
-            F.lit("seasonal_naive").alias("model"),
-            "as_of",
-            F.date_add("as_of", F.col("step")).alias("day"),
-            F.transform("spread", lambda r: F.col("base") + r).alias("q"),
-        )
+    base = F.coalesce(F.try_element_at("last", source_back), "newest")
+    flight = steps.withColumn("base", base).select(
+        *KEYS,
+        "as_of",
+        F.date_add("as_of", F.col("step")).alias("day"),
+        F.transform("spread", lambda r: F.col("base") + r).alias("q"),
     )
+    return _native(flight, "seasonal_naive")
 
 
 def weekday_quantile(history: DataFrame, horizon: int) -> DataFrame:
@@ -97,9 +104,8 @@ def weekday_quantile(history: DataFrame, horizon: int) -> DataFrame:
         F.percentile("value", _grid()).alias("q")
     )
     days = F.filter(next_days(F.col("as_of"), horizon), lambda d: F.weekday(d) == F.col("wd"))
-    return per_weekday.withColumn("day", F.explode(days)).select(
-        *KEYS, F.lit("weekday_quantile").alias("model"), "as_of", "day", "q"
-    )
+    flight = per_weekday.withColumn("day", F.explode(days)).select(*KEYS, "as_of", "day", "q")
+    return _native(flight, "weekday_quantile")
 
 
 def trend_weekday(history: DataFrame, horizon: int) -> DataFrame:
@@ -124,13 +130,13 @@ def trend_weekday(history: DataFrame, horizon: int) -> DataFrame:
         + F.col("slope") * F.col("step")
         + F.coalesce(F.try_element_at("effects", F.weekday(day)), F.lit(0.0))
     )
-    return steps.withColumn("base", base).select(
+    flight = steps.withColumn("base", base).select(
         *KEYS,
-        F.lit("trend_weekday").alias("model"),
         "as_of",
         day.alias("day"),
         F.transform("spread", lambda r: F.col("base") + r).alias("q"),
     )
+    return _native(flight, "trend_weekday")
 
 
 def covariate_line(history: DataFrame, past: DataFrame, future: DataFrame) -> DataFrame:
@@ -153,17 +159,13 @@ def covariate_line(history: DataFrame, past: DataFrame, future: DataFrame) -> Da
     )
     ahead = future.select("series_id", "entity", "day", "x")
     base = F.col("level") + F.col("slope") * F.col("x")
-    return (
-        per_series.join(ahead, ["series_id", "entity"])
-        .withColumn("base", base)
-        .select(
-            *KEYS,
-            F.lit("covariate_line").alias("model"),
-            "as_of",
-            "day",
-            F.transform("spread", lambda r: F.col("base") + r).alias("q"),
-        )
+    flight = per_series.join(ahead, ["series_id", "entity"]).withColumn("base", base).select(
+        *KEYS,
+        "as_of",
+        "day",
+        F.transform("spread", lambda r: F.col("base") + r).alias("q"),
     )
+    return _native(flight, "covariate_line")
 
 
 NATIVE: dict[str, Callable[[DataFrame, int], DataFrame]] = {
@@ -228,20 +230,23 @@ def with_plugin(
     require_inputs_usable(forecaster.name, forecaster.covariates, inputs)
     schema = (
         "series_id string, entity string, metric string, window string, model string, "
-        "as_of date, day date, q array<double>"
+        "as_of date, day date, quantiles array<double>, q array<double>"
     )
     keys = ["series_id", "entity", "window"]
+    grid = [float(x) for x in forecaster.quantiles]
+    if sorted(set(grid)) != grid or not grid or not 0 < grid[0] <= grid[-1] < 1:
+        raise ValueError(f"{forecaster.name} must declare rising quantiles between 0 and 1")
 
     def run(past: pd.DataFrame, ahead: pd.DataFrame | None) -> pd.DataFrame:
         if past.empty:
             return pd.DataFrame(columns=FLIGHT)
-        wide = past.pivot_table(index="day", columns="metric", values="value").sort_index()
+        wide = past.pivot(index="day", columns="metric", values="value").sort_index()
         if wide.isna().any().any():
             raise ValueError("metrics of one entity must cover the same days")
         metrics = [m for m in wide.columns if m not in inputs]
         known = None
         if ahead is not None and not ahead.empty:
-            known = ahead.pivot_table(index="day", columns="metric", values="value").sort_index()
+            known = ahead.pivot(index="day", columns="metric", values="value").sort_index()
             if len(known) != horizon or known.isna().any().any():
                 raise ValueError("known-future values must cover the horizon")
         answer = forecaster.forecast(wide, horizon, metrics, known)
@@ -251,12 +256,12 @@ def with_plugin(
         )]
         out = [
             (first["series_id"], first["entity"], m, first["window"], forecaster.name,
-             first["as_of"], day, [float(v) for v in values])
+             first["as_of"], day, grid, [float(v) for v in values])
             for m in metrics
             for day, values in zip(days, answer[m], strict=True)
         ]
         return pd.DataFrame(out, columns=["series_id", "entity", "metric", "window", "model",
-                                          "as_of", "day", "q"])
+                                          "as_of", "day", "quantiles", "q"])
 
     if future is None:
         return history.groupBy(*keys).applyInPandas(
@@ -296,13 +301,20 @@ def with_crossing(flight: DataFrame) -> DataFrame:
 
 
 def contract_violations(
-    flight: DataFrame, horizon: int, n_quantiles: int = len(fixed.GRID)
+    flight: DataFrame, horizon: int, n_quantiles: int | None = None
 ) -> DataFrame:
-    """``series_id, entity, metric, window, model, problem`` for unusable forecasts."""
+    """``series_id, entity, metric, window, model, problem`` for unusable forecasts.
+
+    A day must have a value for each quantile its model declares, or, in a flight without
+    that column, ``n_quantiles`` of them.
+    """
+    wanted = F.lit(n_quantiles or len(fixed.GRID))
+    if n_quantiles is None and "quantiles" in flight.columns:
+        wanted = F.size("quantiles")
     bad = F.exists("q", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     per = with_crossing(flight).groupBy(*KEYS, "model").agg(
         F.count(F.lit(1)).alias("n_days"),
-        F.count_if(F.size("q") != n_quantiles).alias("n_short"),
+        F.count_if(F.size("q") != wanted).alias("n_short"),
         F.count_if(bad).alias("n_bad"),
         F.max("crossing").alias("crossing"),
     )
@@ -345,29 +357,64 @@ def repair_stats(fixed_flight: DataFrame) -> DataFrame:
 
 
 def long_form(flight: DataFrame, quantiles: list[float] | None = None) -> DataFrame:
-    """One row per quantile, as stored."""
+    """One row per quantile, as stored, on the grid the flight carries unless one is given."""
     grid = F.array(*[F.lit(q) for q in (quantiles or fixed.GRID)])
-    rest = [c for c in flight.columns if c != "q"]
-    return flight.select(*rest, F.posexplode("q").alias("q_idx", "value")).withColumn(
-        "quantile", F.element_at(grid, F.col("q_idx") + 1)
+    if quantiles is None and "quantiles" in flight.columns:
+        grid = F.col("quantiles")
+    rest = [c for c in flight.columns if c not in ("q", "quantiles")]
+    pairs = F.posexplode(F.arrays_zip(grid.alias("quantile"), F.col("q").alias("value")))
+    return flight.select(*rest, pairs.alias("q_idx", "pair")).select(
+        *rest, "q_idx", F.col("pair.value").alias("value"),
+        F.col("pair.quantile").alias("quantile"),
     )
 
 
-# --- a model fitted on all series together ---------------------------------------------
+# --- a model fitted to each account's own data ------------------------------------------
+
+
+def _solved(x: list[str], reg: float) -> list[Column]:
+    """Coefficients of a ridge regression of ``y`` on three inputs, from sums of products.
+
+    Inputs and ``y`` are taken from their means, so the intercept is not penalised; the
+    penalty is ``reg`` times the variance of each input. Three equations, solved by
+    determinants.
+    """
+
+    def co(a: str, b: str) -> Column:
+        both = F.avg(F.col(a) * F.col(b)) - F.avg(a) * F.avg(b)
+        return both * (1 + reg) if a == b else both
+
+    m = [[co(a, b) for b in x] for a in x]
+    v = [co(a, "y") for a in x]
+
+    def det(c: list[list[Column]]) -> Column:
+        return (
+            c[0][0] * (c[1][1] * c[2][2] - c[1][2] * c[2][1])
+            - c[0][1] * (c[1][0] * c[2][2] - c[1][2] * c[2][0])
+            + c[0][2] * (c[1][0] * c[2][1] - c[1][1] * c[2][0])
+        )
+
+    whole = det(m)
+    return [
+        F.coalesce(
+            F.try_divide(det([[v[r] if c == k else m[r][c] for c in range(3)]
+                              for r in range(3)]), whole),
+            F.lit(0.0),
+        )
+        for k in range(3)
+    ]
 
 
 def pooled_ridge(history: DataFrame, horizon: int, reg: float = 0.1) -> DataFrame:
-    """A ridge regression on weekly lags, fitted once over every series.
+    """A ridge regression on weekly lags, fitted to all series of an account together.
 
     Each value is divided by its series' own level so that large and small series share
-    coefficients. Weeks ahead use lags that far back, one fit per week of horizon. The
-    fit is distributed; only the coefficients reach the driver.
+    coefficients. Weeks ahead use lags that far back, one fit per week of the horizon. An
+    account's fit is a row of sums; what other accounts hold makes no difference to it.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
     level = F.greatest(F.avg(F.abs("value")).over(W.partitionBy(*KEYS)), F.lit(1e-9))
     base = history.withColumn("level", level).withColumn("y", F.col("value") / F.col("level"))
+    inputs = ["lag_1", "lag_2", "mean_28"]
     out = None
     for week in range(1, math.ceil(horizon / 7) + 1):
         lag = 7 * week
@@ -380,33 +427,31 @@ def pooled_ridge(history: DataFrame, horizon: int, reg: float = 0.1) -> DataFram
             .withColumn("day", F.explode(ahead))
             .withColumn("y", F.lit(None).cast("double"))
         )
-        framed = base.unionByName(todo)
         at = W.partitionBy(*KEYS).orderBy(F.datediff("day", F.lit("1970-01-01")))
-        featured = framed.select(
+        featured = base.unionByName(todo).select(
             *KEYS, "as_of", "day", "level", "y",
             F.avg("y").over(at.rangeBetween(-lag, -lag)).alias("lag_1"),
             F.avg("y").over(at.rangeBetween(-lag - 7, -lag - 7)).alias("lag_2"),
             F.avg("y").over(at.rangeBetween(-lag - 27, -lag)).alias("mean_28"),
         ).where("lag_1 is not null and lag_2 is not null and mean_28 is not null")
-        assembled = VectorAssembler(
-            inputCols=["lag_1", "lag_2", "mean_28"], outputCol="features"
-        ).transform(featured)
-        model = LinearRegression(
-            labelCol="y", featuresCol="features", regParam=reg, elasticNetParam=0.0,
-            solver="normal",
-        ).fit(assembled.where("y is not null"))
-        scored = model.transform(assembled)
-        spread = scored.where("y is not null").groupBy(*KEYS).agg(
-            F.percentile(F.col("y") - F.col("prediction"), _grid()).alias("spread")
+        fits = featured.where("y is not null").groupBy("series_id", "window").agg(
+            *[c.alias(f"b_{x}") for c, x in zip(_solved(inputs, reg), inputs, strict=True)],
+            F.avg("y").alias("mean_y"), *[F.avg(x).alias(f"mean_{x}") for x in inputs],
         )
-        part = scored.where("y is null").join(spread, KEYS).select(
-            *KEYS, F.lit("pooled_ridge").alias("model"), "as_of", "day",
-            F.transform(
-                "spread", lambda r: (F.col("prediction") + r) * F.col("level")
-            ).alias("q"),
+        prediction = F.col("mean_y")
+        for x in inputs:
+            prediction = prediction + F.col(f"b_{x}") * (F.col(x) - F.col(f"mean_{x}"))
+        scored = featured.join(fits, ["series_id", "window"]).withColumn("p", prediction)
+        # Days ahead have no residual, so one aggregate gives the spread and their list.
+        part = scored.groupBy(*KEYS, "as_of", "level").agg(
+            F.percentile(F.col("y") - F.col("p"), _grid()).alias("spread"),
+            F.collect_list(F.when(F.col("y").isNull(), F.struct("day", "p"))).alias("days"),
+        ).select(*KEYS, "as_of", "level", "spread", F.explode("days").alias("d")).select(
+            *KEYS, "as_of", F.col("d.day").alias("day"),
+            F.transform("spread", lambda r: (F.col("d.p") + r) * F.col("level")).alias("q"),
         )
         out = part if out is None else out.unionByName(part)
-    return out
+    return _native(out, "pooled_ridge")
 
 
 # --- windows averaged ---------------------------------------------------------------------
@@ -419,23 +464,43 @@ def average_runs(
 ) -> DataFrame:
     """The mean of several runs, per entity, metric, day and quantile.
 
-    ``flight`` holds only the member runs. Those on another quantile grid are left out,
-    and with fewer than two left there is no average.
+    ``flight`` holds only the member runs. Values are averaged within a quantile grid, never
+    across two; of several grids that hold two runs or more, the one with most runs is kept,
+    and the finest of those. With fewer than two runs on a grid there is no average. Given
+    ``quantiles``, only runs on that grid count.
     """
-    grid = quantiles or fixed.GRID
-    members = flight.where(F.size("q") == len(grid))
-    if "quantiles" in flight.columns:
-        members = members.where(F.col("quantiles") == F.array(*[F.lit(q) for q in grid]))
-    means = F.array(*[F.avg(F.col("q")[i]) for i in range(len(grid))])
+    if "quantiles" not in flight.columns:
+        grid = quantiles or fixed.GRID
+        flight = flight.where(F.size("q") == len(grid)).withColumn(
+            "quantiles", F.array(*[F.lit(q) for q in grid])
+        )
+    elif quantiles:
+        flight = flight.where(F.col("quantiles") == F.array(*[F.lit(q) for q in quantiles]))
+    keys = ["series_id", "entity", "metric", "as_of", "day"]
+    # The number of runs on a grid is that of the whole run, so that all days agree.
+    sizes = (
+        flight.select("series_id", "model", "window", "quantiles").distinct()
+        .groupBy("series_id", "quantiles").agg(F.count(F.lit(1)).alias("members"))
+    )
+    chosen = sizes.groupBy("series_id").agg(
+        F.max_by("quantiles", F.struct("members", F.size("quantiles"), "quantiles")).alias(
+            "quantiles"
+        )
+    )
+    members = flight.join(chosen, ["series_id", "quantiles"], "left_semi")
+    values = members.select(*keys, "quantiles", F.posexplode("q").alias("i", "value"))
     return (
-        members.groupBy("series_id", "entity", "metric", "as_of", "day")
-        .agg(F.count(F.lit(1)).alias("n_runs"), means.alias("q"))
+        values.groupBy(*keys, "quantiles", "i")
+        .agg(F.count(F.lit(1)).alias("n_runs"), F.avg("value").alias("value"))
         .where("n_runs > 1")
+        .groupBy(*keys, "quantiles", "n_runs")
+        .agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("pairs"))
         .select(
             "series_id", "entity", "metric",
             F.lit(label.split("@")[-1]).alias("window"),
             F.lit(label.split("@")[0]).alias("model"),
-            "as_of", "day", "q", "n_runs",
+            "as_of", "day", "quantiles",
+            F.transform("pairs", lambda p: p["value"]).alias("q"), "n_runs",
         )
     )
 
@@ -454,12 +519,14 @@ def averaged_members(flight: DataFrame, excluded_models: list[str] | None = None
 
 
 def series_hash(history: DataFrame) -> DataFrame:
-    """``series_id, window, input_hash``: a fingerprint of the exact numbers forecast from.
+    """``series_id, window, input_hash``: a fingerprint of the numbers forecast from, as
+    whole millionths.
 
     Each series is hashed over its own ordered days; series are combined by sums, which
     do not depend on order and need no gathering.
     """
-    pair = F.concat_ws("=", F.col("day").cast("string"), F.format_string("%.10g", F.col("value")))
+    millionths = F.round(F.col("value") * 1e6).cast("decimal(38,0)").cast("string")
+    pair = F.concat_ws("=", F.col("day").cast("string"), millionths)
     per_series = history.groupBy(*KEYS).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list(pair)), "\n"), 256).alias("h")
     ).withColumn("h", F.sha2(F.concat_ws("/", "entity", "metric", "h"), 256))

@@ -37,24 +37,21 @@ def entity_spans(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def interior_holes(spans: DataFrame, stats: DataFrame) -> DataFrame:
-    """Days missing from inside an entity's own run: a gap in the data, never filled."""
+    """Entities with days missing from inside their own run: a gap in the data, never filled.
+
+    ``day`` is the first one missing, ``n`` how many are.
+    """
+    inside = F.filter(
+        "days", lambda d: (d > F.col("first_day")) & (d < F.col("last_day"))
+    )
+    lacking = F.array_except(inside, "seen")
     return (
         spans.join(stats.select("source", "days"), "source")
         .select(
-            "source",
-            "entity",
-            "first_day",
-            "last_day",
-            F.explode(
-                F.array_except(
-                    F.filter(
-                        "days",
-                        lambda d: (d > F.col("first_day")) & (d < F.col("last_day")),
-                    ),
-                    "seen",
-                )
-            ).alias("day"),
+            "source", "entity", "first_day", "last_day", F.array_min(lacking).alias("day"),
+            F.size(lacking).alias("n"),
         )
+        .where("n > 0")
     )
 
 

@@ -1,6 +1,8 @@
 """Data-quality rules. Every refusal is a row, so one job reports a whole batch.
 
-``violations``: source, rule, rule_order, row_num, day, entity, column_name, detail.
+``violations``: source, rule, rule_order, row_num, day, entity, column_name, detail, n.
+There is one row per source, rule and, where the rule is about them, entity or column: the
+first row or day that breaks it, and in ``n`` how many do.
 ``rule_order`` is the order in which a reader of a single file would meet the rules; the
 first one per source is the headline. A source with any violation is left out of the
 panel.
@@ -26,7 +28,7 @@ RULES = [
     "interior_hole", "uneven_days", "bad_cell", "same_column_name", "nothing_to_forecast",
     "mixed_currency", "group_column", "named_account", "entity_twice", "entity_missing",
     "entity_new", "overflow", "segmented", "day_gap", "too_short", "column_not_forecastable",
-    "entity_not_forecast", "future_input",
+    "entity_not_forecast", "future_input", "unusable_forecast",
 ]
 
 
@@ -38,6 +40,7 @@ def _row(
     entity: Column | None = None,
     column_name: Column | None = None,
     detail: Column | None = None,
+    n: Column | None = None,
 ) -> DataFrame:
     def or_null(c, kind):
         return (c if c is not None else F.lit(None)).cast(kind)
@@ -51,6 +54,21 @@ def _row(
         or_null(entity, "string").alias("entity"),
         or_null(column_name, "string").alias("column_name"),
         or_null(detail, "string").alias("detail"),
+        (n if n is not None else F.lit(1)).cast("long").alias("n"),
+    )
+
+
+def _first_rows(df: DataFrame, rule: str, detail: Column | None = None, **columns) -> DataFrame:
+    """One row per source: the first record that breaks a rule, and how many do."""
+    shown = detail if detail is not None else F.lit(None).cast("string")
+    more = {k: F.min_by(c, "row_num").alias(k) for k, c in columns.items()}
+    per = df.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(shown, "row_num").alias("detail"), *more.values(),
+        F.min("row_num").alias("row_num"),
+    )
+    return _row(
+        per, rule, row_num=F.col("row_num"), detail=F.col("detail"), n=F.col("n"),
+        **{k: F.col(k) for k in columns},
     )
 
 
@@ -62,7 +80,7 @@ def first_violation(violations: DataFrame) -> DataFrame:
     """The headline of each refused source."""
     return violations.groupBy("source").agg(
         F.min_by(
-            F.struct("rule", "row_num", "day", "entity", "column_name", "detail"),
+            F.struct("rule", "row_num", "day", "entity", "column_name", "detail", "n"),
             F.struct(
                 F.col("rule_order"),
                 F.coalesce("row_num", F.lit(0)),
@@ -78,6 +96,21 @@ def accepted(df: DataFrame, violations: DataFrame) -> DataFrame:
     return df.join(violations.select("source").distinct(), "source", "left_anti")
 
 
+# --- forecasts that cannot be used -------------------------------------------------
+
+
+def unusable_forecasts(problems: DataFrame) -> DataFrame:
+    """One row per source, model and problem of forecasts that break the contract."""
+    per = problems.groupBy("series_id", "model", "window", "problem").agg(
+        F.min("entity").alias("entity"), F.min("metric").alias("metric"),
+        F.count(F.lit(1)).alias("n"),
+    ).withColumnRenamed("series_id", "source")
+    return _row(
+        per, "unusable_forecast", entity=F.col("entity"), column_name=F.col("metric"),
+        detail=F.format_string("%s@%s: %s", "model", "window", "problem"), n=F.col("n"),
+    )
+
+
 # --- shape of the file -------------------------------------------------------------
 
 
@@ -111,24 +144,19 @@ def file_shape(parsed: DataFrame) -> DataFrame:
         .join(per_source, "source")
         .where("width <> data_width")
     )
-    row_num = F.col("row_num")
     return union_all(
         [
-            _row(parsed.where("too_large"), "too_large", row_num=row_num),
-            _row(parsed.where("malformed"), "malformed", row_num=row_num),
-            _row(
-                parsed.where("width < 2"),
-                "too_few_columns",
-                row_num=row_num,
-                detail=_why_one_column(F.col("cells")[0]),
+            _first_rows(parsed.where("too_large"), "too_large"),
+            _first_rows(parsed.where("malformed"), "malformed"),
+            _first_rows(
+                parsed.where("width < 2"), "too_few_columns", _why_one_column(F.col("cells")[0])
             ),
             _row(parsed.where("is_header and bad_utf8"), "header_not_utf8"),
             _row(parsed.where("no_dates"), "no_dates"),
-            _row(
+            _first_rows(
                 ragged,
                 "ragged_rows",
-                row_num=row_num,
-                detail=F.format_string("%d of %d", F.col("width"), F.col("data_width")),
+                F.format_string("%d of %d", F.col("width"), F.col("data_width")),
             ),
             _row(per_source.where("n_data = 0"), "no_rows"),
         ]
@@ -155,17 +183,14 @@ def unreadable_dates(rows: DataFrame, headers: DataFrame) -> DataFrame:
         "source",
         F.when(
             F.exists(
-                F.slice("header", 2, fixed.MAX_COLUMNS),
+                F.slice("header", F.lit(2), F.size("header")),
                 lambda h: F.lower(trimmed(h)).isin(fixed.DATE_HEADERS),
             ),
             elsewhere,
         ).alias("hint"),
     )
     bad = rows.where("day is null").join(hint, "source", "left")
-    return _row(
-        bad, "unreadable_date", row_num=F.col("row_num"), column_name=F.col("hint"),
-        detail=F.col("cells")[0],
-    )
+    return _first_rows(bad, "unreadable_date", F.col("cells")[0], column_name=F.col("hint"))
 
 
 def uneven_days(per_day: DataFrame, stats: DataFrame) -> DataFrame:
@@ -176,11 +201,13 @@ def uneven_days(per_day: DataFrame, stats: DataFrame) -> DataFrame:
         .join(per_day, "source")
         .where("n_rows <> rows_per_day")
     )
+    said = F.format_string("%d rows, not %d", F.col("n_rows"), F.col("rows_per_day"))
+    per = odd.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(said, "day").alias("detail"),
+        F.min("day").alias("day"),
+    )
     return _row(
-        odd,
-        "uneven_days",
-        day=F.col("day"),
-        detail=F.format_string("%d rows, not %d", F.col("n_rows"), F.col("rows_per_day")),
+        per, "uneven_days", day=F.col("day"), detail=F.col("detail"), n=F.col("n")
     )
 
 
@@ -225,10 +252,17 @@ def calendar(per_day: DataFrame, stats: DataFrame, min_days: int = fixed.MIN_DAY
         [
             _row(segmentation(steps), "segmented", detail=F.col("period")),
             _row(
-                gaps(steps),
+                gaps(steps).groupBy("source").agg(
+                    F.min_by(
+                        F.format_string("%d missing after %s", "missing", "prev_day"), "day"
+                    ).alias("detail"),
+                    F.count(F.lit(1)).alias("n"),
+                    F.min("day").alias("day"),
+                ),
                 "day_gap",
                 day=F.col("day"),
-                detail=F.format_string("%d missing after %s", F.col("missing"), F.col("prev_day")),
+                detail=F.col("detail"),
+                n=F.col("n"),
             ),
             _row(
                 stats.where(F.col("n_days") < min_days),
@@ -342,7 +376,9 @@ def no_fill_label(stats: DataFrame, fill_labels: DataFrame) -> DataFrame:
 
 
 def holes(found: DataFrame) -> DataFrame:
-    return _row(found, "interior_hole", day=F.col("day"), entity=F.col("entity"))
+    return _row(
+        found, "interior_hole", day=F.col("day"), entity=F.col("entity"), n=F.col("n")
+    )
 
 
 # --- entities ----------------------------------------------------------------------
@@ -363,18 +399,25 @@ def same_entities(per_entity_day: DataFrame, stats: DataFrame) -> DataFrame:
     Entities are compared one by one through their own set of days, a calendar each;
     the set of all entities of a source is never gathered.
     """
-    twice = per_entity_day.where("n > 1")
+    twice = per_entity_day.where("n > 1").groupBy("source", "entity").agg(
+        F.min("day").alias("day"), F.count(F.lit(1)).alias("n")
+    )
     days = per_entity_day.groupBy("source", "entity").agg(
         F.min("day").alias("first_seen"), F.collect_set("day").alias("seen")
     ).join(stats.select("source", "first_day", "days"), "source")
+    lacking = F.array_except("days", "seen")
     missing = days.where("first_seen = first_day").select(
-        "source", "entity", F.explode(F.array_except("days", "seen")).alias("day")
-    )
+        "source", "entity", F.array_min(lacking).alias("day"), F.size(lacking).alias("n")
+    ).where("n > 0")
     new = days.where("first_seen > first_day")
     return union_all(
         [
-            _row(twice, "entity_twice", day=F.col("day"), entity=F.col("entity")),
-            _row(missing, "entity_missing", day=F.col("day"), entity=F.col("entity")),
+            _row(
+                twice, "entity_twice", day=F.col("day"), entity=F.col("entity"), n=F.col("n")
+            ),
+            _row(
+                missing, "entity_missing", day=F.col("day"), entity=F.col("entity"), n=F.col("n")
+            ),
             _row(new, "entity_new", day=F.col("first_seen"), entity=F.col("entity")),
         ]
     )
@@ -382,17 +425,21 @@ def same_entities(per_entity_day: DataFrame, stats: DataFrame) -> DataFrame:
 
 def named_account(keyed: DataFrame) -> DataFrame:
     hit = keyed.where(F.col("entity") == fixed.ACCOUNT)
-    return _row(hit, "named_account", row_num=F.col("row_num"), entity=F.col("entity"))
+    return _first_rows(hit, "named_account", entity=F.col("entity"))
 
 
 def overflow(panel: DataFrame) -> DataFrame:
     off = F.isnan("value") | (F.abs("value") == float("inf"))
+    per = panel.where(off).groupBy("source", "entity", "metric").agg(
+        F.min("day").alias("day"), F.count(F.lit(1)).alias("n")
+    )
     return _row(
-        panel.where(off),
+        per,
         "overflow",
         day=F.col("day"),
         entity=F.col("entity"),
         column_name=F.col("metric"),
+        n=F.col("n"),
     )
 
 

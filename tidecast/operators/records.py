@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tidecast import fixed
 from tidecast.functions.cells import any_day, trimmed
 
-_MAX_RECORD_BYTES = fixed.MAX_CELL_BYTES * fixed.MAX_COLUMNS
+#: A text beyond this cannot be one value of a row, so its record is refused by size.
+_MAX_RECORD_BYTES = 1 << 30
 
 
 def block_summary(lines: DataFrame) -> DataFrame:
@@ -94,8 +95,8 @@ def to_records(lines: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     sizes = numbered.groupBy("source", "row_num").agg(
         F.sum(F.octet_length("text").cast("long")).alias("n_bytes")
     )
-    # A record beyond the cell and column limits together breaks one of them whatever it
-    # says, so it is refused by size and its text never gathered.
+    # An open quote can make a record of the rest of a file. What no row can hold is
+    # refused by size and its text never gathered.
     kept = numbered.join(sizes, ["source", "row_num"]).withColumn(
         "text", F.when(F.col("n_bytes") <= _MAX_RECORD_BYTES, F.col("text"))
     )
@@ -150,9 +151,13 @@ def _unquoted(c: Column) -> Column:
     return F.when(_quoted(c), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(c)
 
 
-def parse_records(records: DataFrame) -> DataFrame:
+def parse_records(
+    records: DataFrame, max_columns: int | None = None, max_cell_bytes: int | None = None
+) -> DataFrame:
     """Cells of assembled records, and the facts about each that rules ask for later.
 
+    Records past ``max_columns`` or ``max_cell_bytes``, where given, are marked too large.
+
     ``source, row_num, cells, width, is_header, malformed, bad_utf8, too_large, no_dates,
     opening``. The facts are columns of their own, so that rules read them without
     reading cells. Whether the bytes are UTF-8 is asked before any text function
@@ -162,7 +167,11 @@ def parse_records(records: DataFrame) -> DataFrame:
         F.col("row_num") == 1, F.regexp_replace("text", "^\\x{FEFF}", "")
     ).otherwise(F.col("text"))
     first = F.col("row_num") == 1
-    big_cell = F.exists("cells", lambda c: F.octet_length(c) > fixed.MAX_CELL_BYTES)
+    large = F.col("too_long")
+    if max_cell_bytes is not None:
+        large = large | F.exists("cells", lambda c: F.octet_length(c) > max_cell_bytes)
+    if max_columns is not None:
+        large = large | (F.col("width") > max_columns)
     return (
         records.withColumn("written", split_cells(text))
         .withColumn("cells", F.transform("written", _unquoted))
@@ -175,9 +184,7 @@ def parse_records(records: DataFrame) -> DataFrame:
             (first & ~any_day(trimmed(F.col("cells")[0]))).alias("is_header"),
             F.exists("written", lambda c: ~_well_formed(c)).alias("malformed"),
             (first & ~F.is_valid_utf8("text")).alias("bad_utf8"),
-            (F.col("too_long") | big_cell | (F.col("width") > fixed.MAX_COLUMNS)).alias(
-                "too_large"
-            ),
+            large.alias("too_large"),
             F.when(
                 F.col("row_num") == 2, ~F.exists("cells", lambda c: any_day(trimmed(c)))
             ).alias("no_dates"),

@@ -15,7 +15,13 @@ from tidecast.operators import panel as P
 from tidecast.operators import quality as Q
 from tidecast.plans.import_job import Imported, read_batch
 from tidecast.session import landed
-from tidecast.sources.store import Store, make_run_entities, make_runs, stored_forecasts
+from tidecast.sources.store import (
+    Store,
+    identified,
+    make_run_entities,
+    make_runs,
+    stored_forecasts,
+)
 
 
 def future_frame(stats: DataFrame, given: dict[str, list[float]], horizon: int) -> DataFrame:
@@ -89,13 +95,15 @@ def forecast_lines(
     )
     flight = _fly(model, history, good, ahead, plan, list(future), horizon)
     flight = landed(M.floored(M.repaired(flight)), "flight")
-    first = M.contract_violations(flight, horizon).limit(1).collect()
-    if first:
-        raise ValueError(f"unusable forecast, no run was stored: {first[0].asDict()}")
+    unusable = landed(Q.unusable_forecasts(M.contract_violations(flight, horizon)), "unusable")
+    violations = violations.unionByName(unusable)
+    refused = unusable.select(F.col("source").alias("series_id")).distinct()
+    flight = flight.join(refused, "series_id", "left_anti")
     runs = landed(
         make_runs(flight, M.series_hash(history), batch.groups, horizon, with_window=False),
         "runs",
     )
+    flight = identified(flight, runs, with_window=False)
     store.append_runs(runs, make_run_entities(flight), stored_forecasts(flight))
     return Imported(violations, flight, runs, batch, history)
 

@@ -23,6 +23,7 @@ from tidecast.session import landed
 from tidecast.sources import exports
 from tidecast.sources.store import (
     Store,
+    identified,
     make_run_entities,
     make_runs,
     stored_forecasts,
@@ -40,12 +41,21 @@ class Imported:
     history: DataFrame
 
 
-def read_batch(lines: DataFrame, land: bool = True, **options) -> Batch:
-    """Lines of any number of exports, understood."""
+def read_batch(
+    lines: DataFrame,
+    land: bool = True,
+    max_columns: int | None = None,
+    max_cell_bytes: int | None = None,
+    **options,
+) -> Batch:
+    """Lines of any number of exports, understood.
+
+    ``max_columns`` and ``max_cell_bytes`` refuse exports past a size; by default none is.
+    """
     summary = R.block_summary(lines)
     if land:
         summary = landed(summary, "blocks")
-    parsed = R.parse_records(R.to_records(lines, summary))
+    parsed = R.parse_records(R.to_records(lines, summary), max_columns, max_cell_bytes)
     if land:
         parsed = landed(parsed, "records")
     magic = exports.magic_kinds(parsed)
@@ -112,38 +122,43 @@ def import_lines(
     models: list[str] | None = None,
     fitted: bool = False,
     keep_runs: bool = True,
+    **limits,
 ) -> Imported:
     """Import a batch: understand, forecast, check, and only then write.
 
-    ``fresh`` empties the store first, as the first batch of a new account does.
+    A source with an unusable forecast is refused like one with unusable rows; the others
+    are stored. ``fresh`` empties the store first, as the first batch of a new account does.
+    ``limits`` are those of ``read_batch``.
     """
     Q.check_horizon(horizon)
-    batch = read_batch(lines, fill_absent=fill_absent, min_days=fixed.IMPORT_MIN_DAYS)
+    batch = read_batch(
+        lines, fill_absent=fill_absent, min_days=fixed.IMPORT_MIN_DAYS, **limits
+    )
     names = models or DEFAULT_MODELS
     flight, history = forecast_batch(batch, horizon, names, fitted)
     flight = landed(flight, "flight")
-    problems = M.contract_violations(flight, horizon)
-    first = problems.limit(1).collect()
-    if first:
-        raise ValueError(f"unusable forecast, nothing was written: {first[0].asDict()}")
+    unusable = Q.unusable_forecasts(M.contract_violations(flight, horizon))
+    violations = landed(batch.violations.unionByName(unusable), "violations")
+    refused = violations.select(F.col("source").alias("series_id")).distinct()
+    flight = flight.join(refused, "series_id", "left_anti")
     runs = landed(
         make_runs(
             flight, M.series_hash(history), batch.groups, horizon, average_info(names)
         ),
         "runs",
     )
+    flight = identified(flight, runs)
 
     if fresh:
         store.clear()
-    good = Q.accepted(batch.panel, batch.violations)
-    store.save_series(good)
-    store.save_raw(Q.accepted(batch.rows, batch.violations), batch.headers)
-    store.save_columns(Q.accepted(batch.columns, batch.violations))
+    store.save_series(Q.accepted(batch.panel, violations))
+    store.save_raw(Q.accepted(batch.rows, violations), batch.headers)
+    store.save_columns(Q.accepted(batch.columns, violations))
     if keep_runs:
         store.append_runs(runs, make_run_entities(flight), stored_forecasts(flight))
         if fitted:
             store.append_models(history.where("window = 'full'"), "pooled_ridge")
-    return Imported(batch.violations, flight, runs, batch, history)
+    return Imported(violations, flight, runs, batch, history)
 
 
 def import_folder(spark: SparkSession, folder: str, store: Store, **options) -> Imported:

@@ -157,7 +157,8 @@ SELECT source, CASE WHEN source IN ('2-HIGH', '3-MEDIUM') THEN
 FROM oc GROUP BY source"""
 
 _SQL["unreadable_dates"] = _with(OC) + """
-SELECT source, o_orderkey + 2 AS row_num, 'Day' AS column_name, c_mktsegment AS detail FROM oc"""
+SELECT source, MIN(o_orderkey) + 2 AS row_num, 'Day' AS column_name,
+  arg_min(c_mktsegment, o_orderkey) AS detail, COUNT(*) AS n FROM oc GROUP BY source"""
 
 # --- columns ---------------------------------------------------------------------------
 
@@ -306,8 +307,9 @@ FROM (SELECT source, CASE WHEN source = '5-LOW' AND c_nationkey < 5 THEN 'EUR' E
 _SQL["rows_per_day"] = _with(RAGGED) + "SELECT source, day, n_rows FROM per_day"
 
 _SQL["uneven_days"] = _with(RAGGED) + """
-SELECT source, day, printf('%d rows, not %d', n_rows, rows_per_day) AS detail
-FROM per_day JOIN first_days USING (source) WHERE n_rows <> rows_per_day"""
+SELECT source, MIN(day) AS day, arg_min(printf('%d rows, not %d', n_rows, rows_per_day), day)
+  AS detail, COUNT(*) AS n
+FROM per_day JOIN first_days USING (source) WHERE n_rows <> rows_per_day GROUP BY source"""
 
 NATIONS = OC + """,
 nations AS (
@@ -325,11 +327,12 @@ SELECT source, d.day, entity, CAST(d.day AS VARCHAR) AS written, '0' AS cost, '0
 FROM nation_spans JOIN days d USING (source) WHERE d.day < first_day OR d.day > last_day"""
 
 _SQL["interior_holes"] = _with(RAGGED) + """
-SELECT s.source, s.entity, p.day
+SELECT s.source, s.entity, MIN(p.day) AS day, COUNT(*) AS n
 FROM (SELECT source, entity, MIN(day) AS lo, MAX(day) AS hi FROM ragged GROUP BY ALL) s
 JOIN per_day p USING (source)
 WHERE p.day > lo AND p.day < hi AND NOT EXISTS (
-  SELECT 1 FROM ragged r WHERE r.source = s.source AND r.entity = s.entity AND r.day = p.day)"""
+  SELECT 1 FROM ragged r WHERE r.source = s.source AND r.entity = s.entity AND r.day = p.day)
+GROUP BY s.source, s.entity"""
 
 _SQL["stopped_entities"] = _with(NATIONS) + """
 SELECT source, entity, last_day FROM nation_spans
@@ -354,6 +357,10 @@ SELECT DISTINCT l_linestatus AS source, l_returnflag AS entity
 FROM lineitem WHERE l_returnflag = 'R'"""
 
 _SQL["excluded_entities"] = """
+SELECT DISTINCT l_linestatus AS source, l_returnflag AS entity, 'paused' AS state
+FROM lineitem WHERE l_returnflag = 'R'"""
+
+_SQL["exclusion_lists"] = """
 SELECT DISTINCT l_linestatus AS source, 'paused' AS state, CAST(1 AS BIGINT) AS n, 'R' AS names
 FROM lineitem WHERE l_returnflag = 'R'"""
 
@@ -380,12 +387,13 @@ _SQL["same_entities"] = _with(
     RAGGED,
     "seen AS (SELECT source, entity, MIN(day) AS first_seen FROM ragged GROUP BY ALL)",
 ) + """
-SELECT s.source, 'entity_missing' AS rule, s.entity, p.day
+SELECT s.source, 'entity_missing' AS rule, s.entity, MIN(p.day) AS day, COUNT(*) AS n
 FROM seen s JOIN first_days f USING (source) JOIN per_day p USING (source)
 WHERE first_seen = first_day AND NOT EXISTS (
   SELECT 1 FROM ragged r WHERE r.source = s.source AND r.entity = s.entity AND r.day = p.day)
+GROUP BY s.source, s.entity
 UNION ALL
-SELECT source, 'entity_new', entity, first_seen FROM seen JOIN first_days USING (source)
+SELECT source, 'entity_new', entity, first_seen, 1 FROM seen JOIN first_days USING (source)
 WHERE first_seen > first_day"""
 
 _SQL["day_gaps"] = """
@@ -480,7 +488,7 @@ _SQL["trend_weekday"] = _with(PANEL, history(), AHEAD, IDX, TREND) + LONG.format
 _SQL["covariate_forecast"] = _with(PANEL, history(), IDX, f"""x AS (
   SELECT source AS series_id, entity, day, value AS x FROM panel WHERE metric = 'Clicks'),
 pairs AS (
-  SELECT h.*, x.x FROM hist h JOIN x USING (series_id, entity, day) WHERE metric = 'Cost'),
+  SELECT h.*, x.x FROM hist h JOIN x USING (series_id, entity, day) WHERE metric <> 'Clicks'),
 fit AS (
   SELECT {KEYS}, as_of, COALESCE(regr_slope(value, x), 0.0) AS slope,
     AVG(value) - COALESCE(regr_slope(value, x), 0.0) * AVG(x) AS level
@@ -489,7 +497,7 @@ resid AS (
   SELECT p.series_id, p.entity, p.metric, p."window", p.as_of, slope, level,
     quantile_cont(value - level - slope * x, {GRID}) AS spread
   FROM pairs p JOIN fit f ON p.series_id = f.series_id AND p.entity = f.entity
-    AND p."window" = f."window" GROUP BY ALL)""") + """
+    AND p.metric = f.metric AND p."window" = f."window" GROUP BY ALL)""") + """
 SELECT r.series_id, r.entity, metric, "window", 'covariate_line' AS model,
   CAST(x.day + 7 AS DATE) AS day, CAST(q_idx AS INTEGER) AS q_idx,
   ROUND(level + slope * x.x + spread[q_idx + 1], 4) + 0.0 AS value
@@ -504,34 +512,118 @@ WHERE "window" = '90d' GROUP BY series_id, entity, metric, day, q_idx"""
 
 _SQL["own_forecaster"] = _with(PANEL, history(), AHEAD, IDX, f"""recent AS (
   SELECT {KEYS}, as_of, quantile_cont(value, {GRID}) AS q FROM hist
-  WHERE "window" = '90d' AND date_diff('day', day, as_of) < 28 GROUP BY ALL)""") + """
+  WHERE date_diff('day', day, as_of) < 28 GROUP BY ALL)""") + """
 SELECT series_id, entity, metric, "window", 'damped_mean' AS model,
   CAST(as_of + CAST(h AS INTEGER) AS DATE) AS day, CAST(q_idx AS INTEGER) AS q_idx,
   ROUND(q[q_idx + 1], 4) + 0.0 AS value FROM recent, ahead, idx"""
 
-LAST = """last_week AS (
-  SELECT source AS series_id, entity, metric, day, value, hi
-  FROM panel JOIN spans USING (source) WHERE date_diff('day', day, hi) < 7)"""
+WIDE = "[0.01, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, " \
+    "0.75, 0.8, 0.85, 0.9, 0.95, 0.99]"
+_SQL["quantile_grids"] = _with(PANEL, history(), AHEAD, IDX, NAIVE, WEEKDAY, f"""recent AS (
+  SELECT {KEYS}, as_of, quantile_cont(value, {WIDE}) AS q FROM hist
+  WHERE "window" = '90d' AND date_diff('day', day, as_of) < 28 GROUP BY ALL),
+nine AS (
+  SELECT * FROM (SELECT * FROM naive UNION ALL SELECT * FROM weekday) f WHERE "window" = '90d'),
+every AS (
+  SELECT series_id, entity, metric, 'damped_mean' AS model,
+    CAST(as_of + CAST(h AS INTEGER) AS DATE) AS day, {WIDE}[i] AS quantile, q[i] AS value
+  FROM recent, ahead, (SELECT UNNEST(generate_series(1, 21)) AS i) x
+  UNION ALL
+  SELECT series_id, entity, metric, model, day, {GRID}[q_idx + 1], value FROM nine
+  UNION ALL
+  SELECT series_id, entity, metric, 'average', day, {GRID}[q_idx + 1], AVG(value)
+  FROM nine GROUP BY series_id, entity, metric, day, q_idx)""") + """
+SELECT series_id, entity, metric, model, day, CAST(quantile AS DOUBLE) AS quantile,
+  ROUND(value, 4) + 0.0 AS value FROM every"""
 
-_SQL["quantile_repair"] = _with(PANEL, LAST, IDX, """scaled AS (
-  SELECT *, MAX(abs(value) * 1.1) OVER (PARTITION BY series_id, entity, metric) AS scale,
+RIDGE = f"""accounts AS (
+  SELECT * FROM hist
+  UNION ALL
+  SELECT * REPLACE ('copy of ' || series_id AS series_id, value * 2 AS value) FROM hist),
+scaled AS (
+  SELECT *, value / level AS y FROM (
+    SELECT *, greatest(AVG(abs(value)) OVER (PARTITION BY {KEYS}), 1e-9) AS level
+    FROM accounts) x),
+framed AS (
+  SELECT {KEYS}, as_of, day, level, y FROM scaled
+  UNION ALL
+  SELECT {KEYS}, as_of, CAST(as_of + CAST(h AS INTEGER) AS DATE), level, NULL
+  FROM scaled, ahead WHERE day = as_of),
+featured AS (
+  SELECT * FROM (
+    SELECT *, LAG(y, 7) OVER s AS a, LAG(y, 14) OVER s AS b,
+      AVG(y) OVER (PARTITION BY {KEYS} ORDER BY day ROWS BETWEEN 34 PRECEDING AND 7 PRECEDING) AS c
+    FROM framed WINDOW s AS (PARTITION BY {KEYS} ORDER BY day)) x
+  WHERE a IS NOT NULL AND b IS NOT NULL),
+sums AS (
+  SELECT series_id, "window", AVG(y) AS my, AVG(a) AS ma, AVG(b) AS mb, AVG(c) AS mc,
+    (AVG(a * a) - AVG(a) * AVG(a)) * 1.1 AS aa,
+    (AVG(b * b) - AVG(b) * AVG(b)) * 1.1 AS bb,
+    (AVG(c * c) - AVG(c) * AVG(c)) * 1.1 AS cc,
+    AVG(a * b) - AVG(a) * AVG(b) AS ab, AVG(a * c) - AVG(a) * AVG(c) AS ac,
+    AVG(b * c) - AVG(b) * AVG(c) AS bc, AVG(a * y) - AVG(a) * AVG(y) AS ay,
+    AVG(b * y) - AVG(b) * AVG(y) AS "by", AVG(c * y) - AVG(c) * AVG(y) AS cy
+  FROM featured WHERE y IS NOT NULL GROUP BY series_id, "window"),
+dets AS (
+  SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS d,
+    ay * (bb * cc - bc * bc) - ab * ("by" * cc - bc * cy) + ac * ("by" * bc - bb * cy) AS da,
+    aa * ("by" * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - "by" * ac) AS db,
+    aa * (bb * cy - "by" * bc) - ab * (ab * cy - "by" * ac) + ay * (ab * bc - bb * ac) AS dc
+  FROM sums),
+guessed AS (
+  SELECT f.*, my + coalesce(da / nullif(d, 0), 0) * (a - ma) + coalesce(db / nullif(d, 0), 0) * (b - mb)
+    + coalesce(dc / nullif(d, 0), 0) * (c - mc) AS p
+  FROM featured f JOIN dets USING (series_id, "window")),
+ridge_spread AS (
+  SELECT {KEYS}, quantile_cont(y - p, {GRID}) AS spread FROM guessed WHERE y IS NOT NULL
+  GROUP BY ALL),
+ridge AS (
+  SELECT g.series_id, g.entity, g.metric, g."window", 'pooled_ridge' AS model, day,
+    CAST(q_idx AS INTEGER) AS q_idx, (p + spread[q_idx + 1]) * level AS value
+  FROM guessed g JOIN ridge_spread r ON g.series_id = r.series_id AND g.entity = r.entity
+    AND g.metric = r.metric AND g."window" = r."window", idx
+  WHERE y IS NULL)"""
+_SQL["pooled_ridge"] = _with(PANEL, history(), AHEAD, IDX, RIDGE) + LONG.format("ridge")
+
+_SQL["input_hash"] = _with(PANEL, history(), f"""texts AS (
+  SELECT {KEYS}, sha256(string_agg(pair, chr(10) ORDER BY pair)) AS h FROM (
+    SELECT *, CAST(day AS VARCHAR) || '=' || CAST(CAST(ROUND(value * 1e6) AS HUGEINT) AS VARCHAR)
+      AS pair FROM hist) x GROUP BY ALL),
+named AS (
+  SELECT series_id, "window", sha256(entity || '/' || metric || '/' || h) AS h FROM texts),
+pieces AS (
+  SELECT series_id, "window", i, SUM(('0x' || h[1 + 15 * i:15 + 15 * i])::BIGINT) AS p
+  FROM named, (SELECT UNNEST(generate_series(0, 3)) AS i) x GROUP BY ALL)""") + """
+SELECT series_id, "window", sha256(string_agg(CAST(p AS VARCHAR), '-' ORDER BY i)) AS input_hash
+FROM pieces GROUP BY series_id, "window\""""
+
+WEEKS = """weeks AS (
+  SELECT source AS series_id, entity, metric, day, value,
+    CAST(floor(date_diff('day', day, hi) / 7) AS INTEGER) AS week, hi
+  FROM panel JOIN spans USING (source))"""
+
+_SQL["quantile_repair"] = _with(PANEL, WEEKS, IDX, """scaled AS (
+  SELECT *, MAX(abs(value) * 1.1) OVER (PARTITION BY series_id, entity, metric, week) AS scale,
     list_sort(list_transform([0.9, 0.92, 0.91, 0.95, 1.0, 1.02, 1.01, 1.05, 1.1],
       lambda f: value * CAST(f AS DOUBLE))) AS q
-  FROM last_week)""") + """
+  FROM weeks)""") + """
 SELECT series_id, entity, metric, day, CAST(q_idx AS INTEGER) AS q_idx,
   ROUND(q[q_idx + 1], 4) + 0.0 AS value,
-  ROUND(CASE WHEN scale < 1e-6 THEN 0.0 ELSE 0.01 * value / scale END, 6) + 0.0 AS crossing
+  ROUND(CASE WHEN scale < 1e-6 THEN 0.0 ELSE 0.01 * value / scale END, 9) + 0.0 AS crossing
 FROM scaled, idx"""
 
-_SQL["forecast_contract"] = _with(PANEL, LAST, """sizes AS (
-  SELECT series_id, entity, metric, MAX(value) AS top FROM last_week GROUP BY ALL)""") + """
-SELECT series_id, entity, metric,
-  CASE WHEN metric = 'Clicks' THEN 'out of order' ELSE 'days' END AS problem
-FROM sizes WHERE metric = 'Discount rate' OR (metric = 'Clicks' AND top > 0)"""
+_SQL["forecast_contract"] = _with(PANEL, WEEKS, """sizes AS (
+  SELECT series_id, entity, metric, week, COUNT(*) AS n, MAX(value) AS top FROM weeks
+  GROUP BY ALL)""") + """
+SELECT series_id, entity, metric, CAST(week AS VARCHAR) AS "window",
+  CASE WHEN metric = 'Discount rate' OR n < 7 THEN 'days' ELSE 'out of order' END AS problem
+FROM sizes
+WHERE (metric = 'Discount rate' AND n > 1) OR (metric <> 'Discount rate' AND n < 7)
+  OR (metric = 'Clicks' AND top > 0)"""
 
-_SQL["floor_at_zero"] = _with(PANEL, LAST, IDX, """bent AS (
+_SQL["floor_at_zero"] = _with(PANEL, WEEKS, IDX, """bent AS (
   SELECT *, list_transform([-0.5, -0.25, -0.1, 0.0, 0.1, 0.5, 1.0, 1.5, 2.0],
-    lambda f: value * CAST(f AS DOUBLE)) AS q FROM last_week)""") + """
+    lambda f: value * CAST(f AS DOUBLE)) AS q FROM weeks)""") + """
 SELECT series_id, entity, metric, day, CAST(q_idx AS INTEGER) AS q_idx,
   ROUND(CASE WHEN metric <> 'Discount rate' AND q[q_idx + 1] < 0 THEN 0.0
     ELSE q[q_idx + 1] END, 4) + 0.0 AS value,
@@ -539,8 +631,9 @@ SELECT series_id, entity, metric, day, CAST(q_idx AS INTEGER) AS q_idx,
 FROM bent, idx"""
 
 _SQL["backtest"] = _with(PANEL, f"""origins AS (
-  SELECT source, lo, CAST(hi - CAST(7 + i * 7 AS INTEGER) AS DATE) AS as_of
-  FROM spans, (SELECT UNNEST(generate_series(0, 3)) AS i) x),
+  SELECT source, lo, CAST(hi - CAST(7 + i * 28 AS INTEGER) AS DATE) AS as_of
+  FROM spans, (SELECT UNNEST(generate_series(0, 200)) AS i) x
+  WHERE hi - CAST(7 + i * 28 AS INTEGER) > lo),
 hist AS (
   SELECT p.source AS series_id, entity, metric, w || '|' || as_of AS "window", as_of, day, value
   FROM panel p JOIN origins o USING (source), (VALUES ('full', 0), ('90d', 90)) v(w, wd)
@@ -551,10 +644,11 @@ hist AS (
     MAX(value) FILTER (q_idx = 8) AS high
   FROM (SELECT * FROM naive UNION ALL SELECT * FROM weekday) f GROUP BY ALL)""") + """
 SELECT model, "window", b.metric, COUNT(*) AS n_days,
-  ROUND(AVG(abs(forecast - p.value)), 4) + 0.0 AS mae,
-  ROUND(AVG(CASE WHEN p.value <> 0 THEN 100.0 * abs(forecast - p.value) / abs(p.value) END), 4)
-    + 0.0 AS mape,
-  ROUND(AVG(CASE WHEN p.value BETWEEN low AND high THEN 1 ELSE 0 END) * 100, 4) + 0.0 AS in_range
+  ROUND(AVG(abs(forecast - ROUND(p.value, 6))), 4) + 0.0 AS mae,
+  ROUND(AVG(CASE WHEN ROUND(p.value, 6) <> 0
+    THEN 100.0 * abs(forecast - ROUND(p.value, 6)) / abs(ROUND(p.value, 6)) END), 4) + 0.0 AS mape,
+  ROUND(AVG(CASE WHEN ROUND(p.value, 6) BETWEEN ROUND(low, 6) AND ROUND(high, 6) THEN 1 ELSE 0 END)
+    * 100, 4) + 0.0 AS in_range
 FROM bands b JOIN panel p ON b.series_id = p.source AND b.entity = p.entity
   AND b.metric = p.metric AND b.day = p.day
 GROUP BY ALL"""
@@ -569,8 +663,9 @@ past AS (SELECT panel.* FROM panel JOIN spans USING (source) WHERE date_diff('da
 {NAIVE},
 {WEEKDAY},
 stored AS (
-  SELECT *, CASE WHEN model = 'weekday_quantile' THEN CAST(as_of + 2 AS DATE) END AS through
-  FROM (SELECT * FROM naive UNION ALL SELECT * FROM weekday) f WHERE "window" = '90d'),
+  SELECT * REPLACE (model || '@' || "window" AS model),
+    CASE WHEN f.model = 'weekday_quantile' THEN CAST(as_of + 2 AS DATE) END AS through
+  FROM (SELECT * FROM naive UNION ALL SELECT * FROM weekday) f),
 series AS (
   SELECT source AS series_id, entity, metric, day, value
   FROM panel JOIN spans USING (source) WHERE date_diff('day', day, hi) >= 2),
@@ -622,10 +717,10 @@ SELECT series_id, entity, metric, model, metric = 'Discount rate' AS is_rate,
     AS total
 FROM bands GROUP BY series_id, entity, metric, model"""
 _SQL["compare_pivot"] = _with(STORED) + """
-SELECT series_id, entity, metric, day,
-  ROUND(MAX(forecast) FILTER (model = 'seasonal_naive'), 4) + 0.0 AS seasonal_naive,
-  ROUND(MAX(forecast) FILTER (model = 'weekday_quantile'), 4) + 0.0 AS weekday_quantile
-FROM bands GROUP BY ALL"""
+SELECT series_id, entity, metric, day, """ + ",\n".join(
+    f"ROUND(MAX(forecast) FILTER (model = '{m}@{w}'), 4) AS {m}_{w}"
+    for m in ("seasonal_naive", "weekday_quantile") for w in ("full", "270d", "90d")) + """
+FROM bands GROUP BY series_id, entity, metric, day"""
 _SQL["observed_totals"] = _with(STORED) + """
 SELECT series_id, entity, metric, COUNT(*) AS n_days, ROUND(SUM(value), 4) + 0.0 AS observed
 FROM (SELECT *, MAX(day) OVER (PARTITION BY series_id) AS last_day FROM series) s
@@ -640,9 +735,26 @@ SELECT series_id, entity, metric, ROUND(CASE WHEN lo > 0 AND lo < hi * 0.6 THEN
 _SQL["idle_entities"] = """
 SELECT DISTINCT l_linestatus AS series_id, l_returnflag AS entity FROM lineitem"""
 _SQL["headline_entity"] = f"""
-SELECT series_id, model, '{fixed.ACCOUNT}' AS entity
+SELECT series_id, model || '@' || w AS model, '{fixed.ACCOUNT}' AS entity
 FROM (SELECT DISTINCT l_linestatus AS series_id FROM lineitem) s,
-  (VALUES ('seasonal_naive'), ('weekday_quantile')) v(model)"""
+  (VALUES ('seasonal_naive'), ('weekday_quantile')) v(model), (VALUES ('full'), ('270d'), ('90d')) x(w)"""
+_SQL["chart_payload"] = _with(STORED) + """
+SELECT series_id, entity, metric, 'actual' AS line, day, ROUND(value, 4) + 0.0 AS median,
+  NULL::DOUBLE AS low, NULL::DOUBLE AS high,
+  CAST(COUNT(*) OVER (PARTITION BY series_id, entity, metric) AS INTEGER) AS cut FROM series
+UNION ALL
+SELECT b.series_id, b.entity, b.metric, model, b.day, ROUND(forecast, 4) + 0.0,
+  ROUND(low, 4) + 0.0, ROUND(high, 4) + 0.0, CAST(n AS INTEGER)
+FROM bands b JOIN (SELECT series_id, entity, metric, COUNT(*) AS n FROM series GROUP BY ALL) c
+  ON b.series_id = c.series_id AND b.entity = c.entity AND b.metric = c.metric"""
+_SQL["revised_runs"] = _with(STORED, """twice AS (
+  SELECT *, 1.0::DOUBLE AS f FROM bands WHERE model = 'weekday_quantile@90d'
+  UNION ALL SELECT *, 1.5 FROM bands WHERE model = 'weekday_quantile@90d')""") + """
+SELECT b.series_id, model, b.entity, b.metric, b.day, ROUND(forecast * f, 4) + 0.0 AS forecast,
+  ROUND(s.value, 4) + 0.0 AS actual, ROUND(low * f, 4) + 0.0 AS low,
+  ROUND(high * f, 4) + 0.0 AS high, s.value BETWEEN low * f AND high * f AS inside_range
+FROM twice b LEFT JOIN series s ON b.series_id = s.series_id AND b.entity = s.entity
+  AND b.metric = s.metric AND b.day = s.day"""
 
 ORDER_RUNS = OC + f""",
 order_runs AS (
@@ -683,8 +795,8 @@ WITH runs AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS id, MIN(CAST(l_suppkey AS VARCHAR)) AS series_id
   FROM lineitem GROUP BY l_orderkey),
 series AS (
-  SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS series_id, l_returnflag AS metric
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-11-02')
+  SELECT CAST(l_suppkey AS VARCHAR) AS series_id, l_returnflag AS metric
+  FROM lineitem GROUP BY ALL HAVING COUNT(*) > 1 AND MAX(l_linenumber) < 7)
 SELECT id, series_id FROM runs r WHERE NOT EXISTS (
   SELECT 1 FROM lineitem l JOIN series s ON l.l_returnflag = s.metric
   WHERE CAST(l.l_orderkey AS VARCHAR) = r.id AND s.series_id = r.series_id)"""
@@ -694,9 +806,9 @@ WITH vals AS (
     (0, c_acctbal), (1, c_acctbal / 1000), (2, c_acctbal / 1e5), (3, 0.0),
     (4, c_custkey * 1e12)) x(kind, v))
 SELECT c_custkey, kind, CASE WHEN v = 0 THEN '0' WHEN abs(v) >= 1e15 OR abs(v) < 1e-4
-    THEN 'scientific' ELSE CASE WHEN abs(v) < 1 THEN printf('%.6f', v)
+    THEN regexp_replace(printf('%.5e', v), '\\.?0*e', 'e') ELSE CASE WHEN abs(v) < 1 THEN printf('%.6f', v)
     WHEN abs(v) < 100 THEN printf('%.3f', v) ELSE printf('%.2f', v) END END
-  || CASE WHEN kind = 1 AND (v = 0 OR abs(v) >= 1e-4) THEN '%' ELSE '' END AS shown
+  || CASE WHEN kind = 1 THEN '%' ELSE '' END AS shown
 FROM vals"""
 
 # --- the whole way -----------------------------------------------------------------------------

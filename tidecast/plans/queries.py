@@ -49,6 +49,14 @@ def _r(name: str, digits: int = 6):
     return (F.round(name, digits) + F.lit(0.0)).alias(name)
 
 
+def _p(path: str, name: str):
+    return (F.round(F.col(path), 4) + F.lit(0.0)).alias(name)
+
+
+def _none(name: str):
+    return F.lit(None).cast("double").alias(name)
+
+
 def _big(name: str):
     return F.col(name).cast("bigint").alias(name)
 
@@ -141,7 +149,7 @@ def unreadable_dates(spark, sf):
         F.concat(F.slice("header", 2, 1), F.slice("header", 1, 1), F.slice("header", 3, 9)),
     )
     bad = Q.unreadable_dates(_dated(swapped), header)
-    return bad.select("source", _big("row_num"), "column_name", "detail")
+    return bad.select("source", _big("row_num"), "column_name", "detail", "n")
 
 
 # --- columns -------------------------------------------------------------------------
@@ -255,7 +263,7 @@ def rows_per_day(spark, sf):
 @query
 def uneven_days(spark, sf):
     per_day = D.rows_per_day(_dated(T.ragged_export(spark, sf)[0]))
-    return Q.uneven_days(per_day, D.day_stats(per_day)).select("source", "day", "detail")
+    return Q.uneven_days(per_day, D.day_stats(per_day)).select("source", "day", "detail", "n")
 
 
 def _spans(spark, sf, entity="c_nationkey"):
@@ -289,7 +297,7 @@ def fill_absent(spark, sf):
 @query
 def interior_holes(spark, sf):
     _, _, _, stats, spans = _spans(spark, sf, "c_mktsegment")
-    return P.interior_holes(spans, stats).select("source", "entity", "day")
+    return P.interior_holes(spans, stats).select("source", "entity", "day", _big("n"))
 
 
 @query
@@ -334,6 +342,13 @@ def paused_entities(spark, sf):
 
 @query
 def excluded_entities(spark, sf):
+    """Every entity that is stored and not forecast."""
+    return O.exclusions(_campaign_states(spark, sf)).select("source", "entity", "state")
+
+
+@query
+def exclusion_lists(spark, sf):
+    """The same for a page: how many, and the first few names."""
     excluded = O.exclusion_lists(O.exclusions(_campaign_states(spark, sf)))
     return excluded.select("source", "state", "n", F.array_join("names", ", ").alias("names"))
 
@@ -371,7 +386,7 @@ def same_entities(spark, sf):
     groups = stats.select("source", F.lit(1).alias("group_idx"))
     keyed = P.keyed_rows(rows, groups)
     found = Q.same_entities(Q.entity_days(keyed), stats)
-    return found.select("source", "rule", "entity", "day")
+    return found.select("source", "rule", "entity", "day", "n")
 
 
 def _order_days(spark, sf):
@@ -530,9 +545,9 @@ def trend_weekday(spark, sf):
 
 @query
 def covariate_forecast(spark, sf):
-    """Cost on clicks, the clicks of the days ahead taken as those of the last week."""
+    """The other metrics on clicks, those of the days ahead taken as the last week's."""
     panel = T.item_panel(spark, sf)
-    history = _item_history(spark, sf, panel).where("metric = 'Cost'")
+    history = _item_history(spark, sf, panel).where("metric <> 'Clicks'")
     clicks = panel.where("metric = 'Clicks'").select(
         F.col("source").alias("series_id"), "entity", "day", F.col("value").alias("x")
     )
@@ -555,11 +570,17 @@ def ensemble_average(spark, sf):
 
 
 def _bent(spark, sf, factors):
-    """Flights out of the last days of each series, quantiles bent by fixed factors."""
-    last = P.last_days(T.item_panel(spark, sf), HORIZON)
-    return last.select(
-        F.col("source").alias("series_id"), "entity", "metric", F.lit("full").alias("window"),
-        F.lit("bent").alias("model"), F.col("day").alias("as_of"), "day",
+    """Flights out of every week of each series, quantiles bent by fixed factors.
+
+    Weeks are counted back from the last day; the oldest may be shorter.
+    """
+    panel = T.item_panel(spark, sf)
+    ends = panel.groupBy("source").agg(F.max("day").alias("end"))
+    week = F.floor(F.datediff("end", "day") / HORIZON).cast("int")
+    return panel.join(ends, "source").withColumn("week", week).select(
+        F.col("source").alias("series_id"), "entity", "metric",
+        F.col("week").cast("string").alias("window"), F.lit("bent").alias("model"),
+        F.date_sub("end", (F.col("week") + 1) * HORIZON).alias("as_of"), "day",
         F.transform(F.array(*[F.lit(f) for f in factors]), lambda f: F.col("value") * f).alias("q"),
     )
 
@@ -568,7 +589,7 @@ def _bent(spark, sf, factors):
 def quantile_repair(spark, sf):
     flight = _bent(spark, sf, [0.9, 0.92, 0.91, 0.95, 1.0, 1.02, 1.01, 1.05, 1.1])
     return M.long_form(M.repaired(flight)).select(
-        "series_id", "entity", "metric", "day", "q_idx", _r("value", 4), _r("crossing", 6)
+        "series_id", "entity", "metric", "day", "q_idx", _r("value", 4), _r("crossing", 9)
     )
 
 
@@ -577,13 +598,13 @@ def forecast_contract(spark, sf):
     """Clicks are far out of order, discount rates lack their last day, cost is fine."""
     good = _bent(spark, sf, [0.9, 0.92, 0.91, 0.95, 1.0, 1.02, 1.01, 1.05, 1.1])
     bad = _bent(spark, sf, [0.9, 0.92, 0.91, 0.95, 1.0, 0.5, 1.01, 1.05, 1.1])
-    ends = good.groupBy("series_id").agg(F.max("day").alias("end"))
-    short = good.where("metric = 'Discount rate'").join(ends, "series_id").where("day < end")
+    last = F.date_add("as_of", HORIZON)
+    short = good.where("metric = 'Discount rate'").where(F.col("day") < last)
     flight = good.where("metric = 'Cost'").unionByName(
         bad.where("metric = 'Clicks'")
-    ).unionByName(short.drop("end"))
+    ).unionByName(short)
     return M.contract_violations(flight, HORIZON).select(
-        "series_id", "entity", "metric", "problem"
+        "series_id", "entity", "metric", "window", "problem"
     )
 
 
@@ -595,6 +616,27 @@ def floor_at_zero(spark, sf):
     )
 
 
+@query
+def revised_runs(spark, sf):
+    """A run, the same run again, and one over a revised export: two runs, scored apart."""
+    panel = landed(T.item_panel(spark, sf), "panel")
+    store = S.Store(spark, scratch_path(spark, "store")).create()
+    store.save_series(_past(panel, 2))
+    groups = panel.select("source", F.lit("Campaign").alias("group_by")).distinct()
+    past = landed(_past(panel, HORIZON), "past")
+    revised = past.withColumn("value", F.col("value") * 1.5)
+    for given in (past, past, revised):
+        history = _history_of(given, ["90d"])
+        flight = landed(M.weekday_quantile(history, HORIZON), "flight")
+        runs = landed(S.make_runs(flight, M.series_hash(history), groups, HORIZON), "runs")
+        named = S.identified(flight, runs)
+        store.append_runs(runs, S.make_run_entities(named), S.stored_forecasts(named))
+    return store.accuracy_view().select(
+        "series_id", "model", "entity", "metric", "day", _r("forecast", 4), _r("actual", 4),
+        _r("low", 4), _r("high", 4), "inside_range",
+    )
+
+
 @query
 def input_hash(spark, sf):
     return M.series_hash(_item_history(spark, sf))
@@ -602,11 +644,15 @@ def input_hash(spark, sf):
 
 @query
 def pooled_ridge(spark, sf):
-    history = landed(_item_history(spark, sf).where("window = '90d'"), "history")
-    return _long(M.pooled_ridge(history, HORIZON))
+    """Fitted per account; a second account, twice the first, changes nothing in it."""
+    history = landed(_item_history(spark, sf), "history")
+    other = history.withColumns(
+        {"series_id": F.concat(F.lit("copy of "), "series_id"), "value": F.col("value") * 2}
+    )
+    return _long(M.pooled_ridge(history.unionByName(other), HORIZON))
 
 
-def _damped_mean():
+def _damped_mean(grid):
     """A forecaster of a user's own: quantiles of the last four weeks, every day alike.
 
     Defined inside a function, so that it travels to the workers by value.
@@ -614,7 +660,7 @@ def _damped_mean():
 
     class DampedMean:
         name = "damped_mean"
-        quantiles = fixed.GRID
+        quantiles = grid
         covariates = False
 
         def forecast(self, past: pd.DataFrame, horizon: int, metrics: list[str], future=None):
@@ -627,19 +673,38 @@ def _damped_mean():
 
 @query
 def own_forecaster(spark, sf):
+    return _long(M.with_plugin(_item_history(spark, sf), _damped_mean(fixed.GRID), HORIZON))
+
+
+WIDE_GRID = [0.01, *[round(0.05 * i, 2) for i in range(1, 20)], 0.99]
+
+
+@query
+def quantile_grids(spark, sf):
+    """A model of 21 quantiles beside two of nine; only the nine are averaged."""
     history = _item_history(spark, sf).where("window = '90d'")
-    return _long(M.with_plugin(history, _damped_mean(), HORIZON))
+    flight = landed(Q.union_all([
+        M.with_plugin(history, _damped_mean(WIDE_GRID), HORIZON),
+        M.seasonal_naive(history, HORIZON), M.weekday_quantile(history, HORIZON),
+    ]), "flight")
+    average = M.average_runs(M.averaged_members(flight)).drop("n_runs")
+    return M.long_form(flight.unionByName(average)).select(
+        "series_id", "entity", "metric", "model", "day", "quantile", _r("value", 4)
+    )
 
 
 @query
 def backtest(spark, sf):
+    """Every fourth week of the whole history as a point to forecast from."""
     panel = landed(T.item_panel(spark, sf), "panel").withColumn(
         "concept", F.lit(None).cast("string")
     )
     scored = B.backtest(
         panel, T.panel_stats(panel), [M.seasonal_naive, M.weekday_quantile],
-        horizon=HORIZON, n_origins=4,
+        horizon=HORIZON, step=28,
     )
+    # A value on the edge of its band is inside it, whatever its last binary digit.
+    scored = scored.withColumns({c: F.round(c, 6) for c in ("actual", "low", "high")})
     return B.backtest_summary(scored).select(
         "model", "window", "metric", "n_days", _r("mae", 4), _r("mape", 4), _r("in_range", 4)
     )
@@ -648,20 +713,46 @@ def backtest(spark, sf):
 # --- scoring stored forecasts ----------------------------------------------------------------
 
 
+#: Stored tables by session and data folder: what they hold is written once, so that a
+#: query over a store reads one.
+_STORES: dict[tuple[str, str], list[str]] = {}
+STORED_MODELS = [f"{m}@{w}" for m in ("seasonal_naive", "weekday_quantile")
+                 for w, _ in fixed.WINDOWS]
+
+
 def _stored(spark, sf):
-    """Runs and forecasts a week old, and a history that lacks the newest two days.
+    """Runs on every window and forecasts a week old; the history lacks the newest two days.
 
     One of the two models declares that it was fitted through the second forecast day.
     """
-    panel = landed(T.item_panel(spark, sf), "panel")
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        paths = [scratch_path(spark, x) for x in ("runs", "entities", "forecasts", "series")]
+        for path, df in zip(paths, _to_store(spark, sf), strict=True):
+            df.write.parquet(path)
+        _STORES[key] = paths
+    return tuple(spark.read.parquet(p) for p in _STORES[key])
+
+
+def _past(panel, days):
+    """The panel without the newest days of each source."""
     last = panel.groupBy("source").agg(F.max("day").alias("end"))
-    past = panel.join(last, "source").where(F.datediff("end", "day") >= HORIZON)
-    spans = past.groupBy("source").agg(
+    return panel.join(last, "source").where(F.datediff("end", "day") >= days).drop("end")
+
+
+def _history_of(panel, windows=None):
+    spans = panel.groupBy("source").agg(
         F.min("day").alias("first_day"), F.max("day").alias("last_day")
     )
-    stats = spans.withColumn("n_days", F.datediff("last_day", "first_day") + 1)
-    plan = P.window_plan(stats).where("window = '90d'")
-    history = T.panel_history(past.drop("end"), plan)
+    plan = P.window_plan(
+        spans.withColumn("n_days", F.datediff("last_day", "first_day") + 1)
+    )
+    return T.panel_history(panel, plan.where(F.col("window").isin(windows)) if windows else plan)
+
+
+def _to_store(spark, sf):
+    panel = landed(T.item_panel(spark, sf), "panel")
+    history = _history_of(_past(panel, HORIZON))
     flight = landed(
         Q.union_all([f(history, HORIZON) for f in (M.seasonal_naive, M.weekday_quantile)]),
         "flight",
@@ -669,22 +760,22 @@ def _stored(spark, sf):
     fitted = F.to_json(
         F.struct(F.date_add("as_of", 2).cast("string").alias("trained_through"))
     )
+    label = X.run_label(F.col("model"), F.col("window")).alias("model")
     runs = flight.groupBy("series_id", "model", "window", "as_of").agg(
         F.array_sort(F.collect_set("metric")).alias("metrics"),
     ).select(
-        S.run_id("series_id", "model", "window", "as_of").alias("id"),
-        "series_id", "model", "as_of", "metrics",
+        S.run_id("series_id", label, "as_of").alias("id"), "series_id", label, "as_of", "metrics",
         F.when(F.col("model") == "weekday_quantile", fitted).otherwise(F.lit("{}")).alias(
             "model_info"
         ),
     )
-    forecasts = S.stored_forecasts(flight)
-    series = (
-        panel.join(last, "source")
-        .where(F.datediff("end", "day") >= 2)
-        .select(F.col("source").alias("series_id"), "entity", "metric", "day", "value")
-    )
-    return runs, S.make_run_entities(flight), forecasts, series
+    runs = landed(runs, "runs")
+    named = S.identified(flight, runs)
+    forecasts = S.stored_forecasts(named).sort("quantile", "entity", "metric")
+    series = _past(panel, 2).select(
+        F.col("source").alias("series_id"), "entity", "metric", "day", "value"
+    ).sort("day")
+    return runs, S.make_run_entities(named), forecasts, series
 
 
 def _view(spark, sf):
@@ -761,9 +852,9 @@ def horizon_totals(spark, sf):
 @query
 def compare_pivot(spark, sf):
     lines, _, _ = _lines(spark, sf)
-    models = ["seasonal_naive", "weekday_quantile"]
-    return O.compare_pivot(lines, models).select(
-        "series_id", "entity", "metric", "day", *[_r(m, 4) for m in models]
+    return O.compare_pivot(lines, STORED_MODELS).select(
+        "series_id", "entity", "metric", "day",
+        *[F.round(F.col(f"`{m}`"), 4).alias(m.replace("@", "_")) for m in STORED_MODELS],
     )
 
 
@@ -785,8 +876,24 @@ def axis_bounds(spark, sf):
 
 @query
 def chart_payload(spark, sf):
+    """The documents behind charts, read back into their rows."""
     lines, _, series = _lines(spark, sf)
-    return O.chart_payload(series, lines)
+    shape = (
+        "days array<date>, actual array<double>, cut int, lines array<struct<model: string, "
+        "points: array<struct<day: date, median: double, low: double, high: double>>>>"
+    )
+    doc = O.chart_payload(series, lines).withColumn("d", F.from_json("payload", shape))
+    keys = ["series_id", "entity", "metric"]
+    past = doc.select(
+        *keys, F.lit("actual").alias("line"),
+        F.explode(F.arrays_zip(F.col("d.days").alias("day"), F.col("d.actual").alias("v"))).alias("p"),
+        F.col("d.cut").alias("cut"),
+    ).select(*keys, "line", "p.day", _p("p.v", "median"), _none("low"), _none("high"), "cut")
+    ahead = doc.select(*keys, F.explode("d.lines").alias("l"), F.col("d.cut").alias("cut")).select(
+        *keys, F.col("l.model").alias("line"), F.explode("l.points").alias("p"), "cut"
+    ).select(*keys, "line", "p.day", _p("p.median", "median"), _p("p.low", "low"),
+             _p("p.high", "high"), "cut")
+    return past.unionByName(ahead)
 
 
 @query
@@ -863,9 +970,11 @@ def runs_without_history(spark, sf):
         F.min(F.col("l_suppkey").cast("string")).alias("series_id"),
         F.collect_set("l_returnflag").alias("metrics"),
     )
-    late = items.where(F.col("l_shipdate") >= F.lit("2001-11-02").cast("timestamp_ntz"))
-    series = late.select(
+    # What a supplier has only one line item of is taken as not stored.
+    series = items.groupBy(
         F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_returnflag").alias("metric")
+    ).agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").alias("line")).where(
+        "n > 1 and line < 7"
     )
     return O.runs_without_history(runs, series)
 
@@ -883,11 +992,8 @@ def display_values(spark, sf):
             )
         ).alias("kind", "v"),
     )
-    small = (F.abs("v") < 1e15) & ((F.abs("v") >= 1e-4) | (F.col("v") == 0))
     shown = X.display_value(F.col("v"), F.col("kind") == 1)
-    return values.select(
-        _big("c_custkey"), "kind", F.when(small, shown).otherwise(F.lit("scientific")).alias("shown")
-    )
+    return values.select(_big("c_custkey"), "kind", shown.alias("shown"))
 
 
 # --- the whole way -------------------------------------------------------------------------------
@@ -911,7 +1017,7 @@ def violation_counts(spark, sf):
     """Every rule at once over exports that break several: how often each is broken."""
     records, headers = T.ragged_export(spark, sf)
     batch = understand(records, headers, land=True)
-    return batch.violations.groupBy("source", "rule").agg(F.count(F.lit(1)).alias("n"))
+    return batch.violations.groupBy("source", "rule").agg(F.sum("n").alias("n"))
 
 
 # --- storage and streams --------------------------------------------------------------------------
@@ -954,5 +1060,5 @@ def closed_days_stream(spark, sf):
         .withColumn("ts", F.col("ts").cast("timestamp"))
     )
     out, progress = scratch_path(spark, "closed"), scratch_path(spark, "progress")
-    write_closed_days(closed_days(stream), out, progress).awaitTermination()
+    write_closed_days(closed_days(stream, "0 seconds"), out, progress).awaitTermination()
     return spark.read.parquet(out).select("entity", "day", "n_events", _r("total", 4))

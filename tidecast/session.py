@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -49,8 +50,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the application's own folder below the shared one.
+
+    The folder goes when the driver's Python ends: results are lazy, so what they read
+    must stay as long as anyone may ask for them.
+    """
+    top = f"{shared_dir(spark)}/tidecast-{spark.sparkContext.applicationId}"
+    if top not in _OWN:
+        _OWN.add(top)
+        atexit.register(drop_folder, spark, top)
+    return f"{top}/{label}-{uuid.uuid4().hex}"
+
+
+_OWN: set[str] = set()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever storage it lies; nothing happens once Spark is gone."""
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may have ended before
+        return
 
 
 def landed(df: DataFrame, label: str) -> DataFrame:

@@ -18,6 +18,7 @@ from tidecast.functions.cells import trimmed
 from tidecast.functions.text import run_label
 from tidecast.operators.accuracy import accuracy_view
 from tidecast.operators.forecast import COVARIATES, FITTED, long_form
+from tidecast.session import landed
 
 SCHEMAS = {
     "raw": "row_num bigint, day date, data map<string,string>, source string",
@@ -33,6 +34,9 @@ SCHEMAS = {
     "forecasts": "run_id string, entity string, metric string, day date, q_idx int, "
     "quantile double, value double",
 }
+#: What a run is: another value in any of these is another run.
+RUN_IDENTITY = ["series_id", "model", "as_of", "horizon", "group_by", "metrics", "n_entities",
+                "input_hash"]
 PARTITION = {"raw": "source", "series": "series_id", "columns": "source"}
 
 
@@ -100,13 +104,23 @@ class Store:
     def append_runs(
         self, runs: DataFrame, run_entities: DataFrame, forecasts: DataFrame
     ) -> None:
-        """Store finished runs. A run must hold a forecast for each of its entities."""
+        """Store finished runs. A run must hold a forecast for each of its entities.
+
+        A run that is stored already is left as it is. The row in ``runs`` comes last: until
+        it is there, nothing reads the run's forecasts, so a job that fails half-way and is
+        repeated leaves no half run behind.
+        """
         pairs = forecasts.select("run_id", "entity").distinct()
         lacking = run_entities.join(pairs, ["run_id", "entity"], "left_anti").limit(1).collect()
         if lacking:
             raise ValueError(
                 f"run {lacking[0]['run_id']} lacks a forecast for {lacking[0]['entity']!r}"
             )
+        seen = self.read("runs").select("id")
+        runs = landed(runs.join(seen, "id", "left_anti"), "new_runs")
+        ids = runs.select(F.col("id").alias("run_id"))
+        run_entities = run_entities.join(ids, "run_id", "left_semi")
+        forecasts = forecasts.join(ids, "run_id", "left_semi")
         (
             self._shaped("forecasts", forecasts)
             .repartitionByRange("entity", "metric", "quantile", "run_id", "day")
@@ -192,8 +206,8 @@ def make_runs(
 ) -> DataFrame:
     """One ``runs`` row per (series, model, window), with what explains it.
 
-    The id is derived from what identifies the run, so a repeated job appends the same
-    id rather than a second one.
+    The id is derived from all that makes the run what it is, the numbers it was forecast
+    from included: the same job again gives the same id, a revised export another one.
     """
     label = run_label(F.col("model"), F.col("window")) if with_window else F.col("model")
     infos = infos or {}
@@ -223,36 +237,48 @@ def make_runs(
     per = found.join(hashes, ["series_id", "window"], "left").join(
         groups.select(F.col("source").alias("series_id"), "group_by"), "series_id", "left"
     )
-    return per.select(
-        run_id("series_id", "model", "window", "as_of").alias("id"),
+    named = per.withColumn("model_info", info).withColumns(
+        {"model": label, "group_by": F.coalesce("group_by", F.lit("")), "horizon": F.lit(horizon)}
+    )
+    return named.select(
+        run_id(*RUN_IDENTITY).alias("id"),
         "series_id",
-        label.alias("model"),
-        F.lit(horizon).alias("horizon"),
+        "model",
+        "horizon",
         F.current_timestamp().alias("created_at"),
         "as_of",
         "metrics",
         "n_entities",
-        F.coalesce("group_by", F.lit("")).alias("group_by"),
+        "group_by",
         "input_hash",
-        info.alias("model_info"),
+        "model_info",
     )
 
 
-def make_run_entities(flight: DataFrame) -> DataFrame:
-    return flight.select(
-        run_id("series_id", "model", "window", "as_of").alias("run_id"), "series_id", "entity"
-    ).distinct()
+def run_id(*parts):
+    """A short name for the given columns, written out so that no two can be confused."""
+    return F.substring(F.sha2(F.to_json(F.struct(*parts)), 256), 1, 16)
 
 
-def run_id(series_id, model, window, as_of):
-    return F.substring(
-        F.sha2(F.concat_ws("/", series_id, model, window, F.col(as_of).cast("string")), 256), 1, 16
+def identified(flight: DataFrame, runs: DataFrame, with_window: bool = True) -> DataFrame:
+    """The flight with the ``run_id`` of the run each row belongs to."""
+    label = run_label(F.col("model"), F.col("window")) if with_window else F.col("model")
+    ids = runs.select(
+        F.col("id").alias("run_id"), "series_id", F.col("model").alias("label"), "as_of"
+    )
+    return flight.withColumn("label", label).join(ids, ["series_id", "label", "as_of"]).drop(
+        "label"
     )
 
 
+def make_run_entities(flight: DataFrame) -> DataFrame:
+    """Of a flight with run ids, the entities of each run."""
+    return flight.select("run_id", "series_id", "entity").distinct()
+
+
 def stored_forecasts(flight: DataFrame) -> DataFrame:
+    """Of a flight with run ids, its rows as stored."""
     return long_form(flight).select(
-        run_id("series_id", "model", "window", "as_of").alias("run_id"),
-        "entity", "metric", "day", F.col("q_idx").cast("int").alias("q_idx"),
+        "run_id", "entity", "metric", "day", F.col("q_idx").cast("int").alias("q_idx"),
         "quantile", "value",
     )

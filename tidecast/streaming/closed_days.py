@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def closed_days(events: DataFrame, late_by: str = "0 seconds") -> DataFrame:
+def closed_days(events: DataFrame, late_by: str) -> DataFrame:
     """``entity, day, n_events, total`` per event type and day.
 
+    ``late_by`` is how long a day stays open for events that come late; there is no default,
+    since what comes later still is left out and kept by ``write_late_events`` instead.
     In append mode a day is emitted once the watermark has passed its end, and never
     changes after. The state is one row per (type, day) still open.
     """
@@ -34,6 +36,32 @@ def write_closed_days(stream: DataFrame, path: str, checkpoint: str) -> Streamin
     )
 
 
+def write_late_events(
+    events: DataFrame, closed_path: str, late_path: str, checkpoint: str
+) -> StreamingQuery:
+    """Keep the events whose day had been emitted before they were read.
+
+    Run before each run of ``write_closed_days``: what it finds closed then is what the
+    watermark leaves out. The closed days are one row per (type, day), read anew in each
+    micro-batch.
+    """
+
+    def keep(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        closed = spark.read.schema(
+            "entity string, day date, n_events bigint, total double"
+        ).parquet(closed_path).select("day").distinct()
+        late = batch.withColumn("day", F.col("ts").cast("date")).join(closed, "day", "left_semi")
+        late.drop("day").write.mode("append").parquet(late_path)
+
+    return (
+        events.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def late_rows(query: StreamingQuery) -> int:
     """How many events came after their day had been emitted and were left out."""
     dropped = 0

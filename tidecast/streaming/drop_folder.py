@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidecast.plans.import_job import import_lines
 from tidecast.session import landed
 from tidecast.sources.exports import numbered, stream_lines
-from tidecast.sources.store import Store, make_run_entities, stored_forecasts
+from tidecast.sources.store import Store
 
 
 def start_import(
@@ -21,22 +21,14 @@ def start_import(
 ) -> StreamingQuery:
     """Import what is new in the folder and stop. Progress is kept in ``checkpoint``.
 
-    A replayed batch replaces the same datasets, and its runs carry the same ids.
+    A replayed batch replaces the same datasets, and its runs, which carry the same ids, are
+    stored once. A revised file gives runs of its own.
     """
 
     def one_batch(lines: DataFrame, _batch_id: int) -> None:
         if lines.isEmpty():
             return
-        kept = landed(numbered(lines), "lines")
-        seen = store.read("runs").select("id")
-        done = import_lines(kept, store, keep_runs=False, **options)
-        new = landed(done.runs.join(seen, "id", "left_anti"), "new_runs")
-        ids = new.selectExpr("id as run_id")
-        store.append_runs(
-            new,
-            make_run_entities(done.flight).join(ids, "run_id", "left_semi"),
-            stored_forecasts(done.flight).join(ids, "run_id", "left_semi"),
-        )
+        import_lines(landed(numbered(lines), "lines"), store, **options)
 
     return (
         stream_lines(spark, folder, archive)

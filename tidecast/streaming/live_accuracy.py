@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidecast.operators.accuracy import accuracy_view
+from tidecast.session import landed
 
 
 def score_arrivals(actuals: DataFrame, forecasts: DataFrame, runs: DataFrame) -> DataFrame:
     """Accuracy rows for actuals of a stream: series_id, entity, metric, day, value.
 
+    The bands of the stored forecasts are worked out once, before the stream starts.
+
     A stream-static inner join without state: a forecast row is emitted in the
     micro-batch its actual arrives in.
     """
-    view = accuracy_view(forecasts, runs, _no_actuals(actuals)).select(
+    bands = accuracy_view(forecasts, runs, _no_actuals(actuals)).select(
         "run_id", "series_id", "model", "as_of", "days_ahead", "entity", "metric", "day",
         "forecast", "low", "high", "trained_on",
     )
+    view = landed(bands, "bands")
     joined = actuals.withColumnRenamed("value", "actual").join(
         view, ["series_id", "entity", "metric", "day"]
     )
