@@ -865,3 +865,47 @@ _SQL["closed_days_stream"] = """
 SELECT event_type AS entity, CAST(ts AS DATE) AS day, COUNT(*) AS n_events,
   ROUND(SUM(value), 4) + 0.0 AS total
 FROM events WHERE CAST(ts AS DATE) < (SELECT MAX(CAST(ts AS DATE)) FROM events) GROUP BY ALL"""
+
+_SQL["run_list"] = """
+SELECT DISTINCT l_linestatus AS series_id, 'weekday_quantile@90d' AS model, 7 AS horizon,
+  CAST(2 AS BIGINT) AS n_runs, CAST(2 AS BIGINT) AS n_ids FROM lineitem"""
+_SQL["dataset_list"] = """
+SELECT DISTINCT l_linestatus AS series_id, 'all' AS asked FROM lineitem
+UNION ALL SELECT DISTINCT l_linestatus, 'f' FROM lineitem WHERE l_linestatus = 'F'"""
+_SQL["series_read"] = _with(PANEL) + f"""
+SELECT source AS series_id, day, ROUND(value, 4) + 0.0 AS value FROM panel JOIN spans USING (source)
+WHERE entity = '{fixed.ACCOUNT}' AND metric = 'Cost' AND date_diff('day', day, hi) >= 2"""
+_SQL["forecast_days"] = _with(PANEL, AHEAD) + """
+SELECT source AS series_id, CAST(hi - 7 + CAST(h AS INTEGER) AS DATE) AS day,
+  CAST(2 AS BIGINT) AS n_runs
+FROM spans, ahead"""
+_SQL["cleared_store"] = _with(PANEL) + """
+SELECT source AS series_id, COUNT(*) AS n FROM panel GROUP BY source
+UNION ALL SELECT t, 0 FROM (VALUES ('raw'), ('series'), ('columns'), ('runs'), ('run_entities'),
+  ('models'), ('forecasts')) v(t)"""
+
+_SQL["import_scored"] = _with(DAILY, CTR, f"""panel AS (
+  SELECT source, entity, day, metric, value FROM ctr, LATERAL (VALUES ('Cost', cost),
+    ('Clicks', clicks), ('Impr.', impr), ('CTR', ctr),
+    ('Discount rate', ROUND(COALESCE(discount, 0.0), 6))) v(metric, value)
+  WHERE entity <> 'R'
+  UNION ALL
+  SELECT source, '{fixed.ACCOUNT}', day, metric, value FROM (
+    SELECT source, day, SUM(cost) AS cost, SUM(clicks) AS clicks, SUM(impr) AS impr,
+      CASE WHEN SUM(impr) = 0 THEN 0.0 ELSE SUM(ctr * impr) / SUM(impr) END AS ctr,
+      COALESCE(AVG(ROUND(discount, 6)), 0.0) AS rate
+    FROM ctr GROUP BY ALL) x, LATERAL (VALUES ('Cost', cost), ('Clicks', clicks),
+    ('Impr.', impr), ('CTR', ctr), ('Discount rate', rate)) v(metric, value))""",
+    history(), AHEAD, IDX, NAIVE, WEEKDAY, TREND, """plain AS (
+  SELECT series_id, entity, metric, model || '@' || "window" AS model, "window" AS w, day, q_idx,
+    CASE WHEN metric IN ('Cost', 'Clicks', 'Impr.') THEN greatest(value, 0.0) ELSE value END AS value
+  FROM (SELECT * FROM naive UNION ALL SELECT * FROM weekday UNION ALL SELECT * FROM trend) f),
+stored AS (
+  SELECT series_id, entity, metric, model, day, q_idx, value FROM plain
+  UNION ALL
+  SELECT series_id, entity, metric, 'average@90d', day, q_idx, AVG(value) FROM plain
+  WHERE w = '90d' GROUP BY ALL)""") + """
+SELECT series_id, model, entity, metric, day, ROUND(MAX(value) FILTER (q_idx = 4), 3) + 0.0 AS forecast,
+  ROUND(MAX(value) FILTER (q_idx = 0), 3) + 0.0 AS low,
+  ROUND(MAX(value) FILTER (q_idx = 8), 3) + 0.0 AS high, NULL::DOUBLE AS actual, false AS trained_on
+FROM stored GROUP BY series_id, model, entity, metric, day"""

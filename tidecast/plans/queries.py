@@ -23,7 +23,7 @@ from tidecast.operators import panel as P
 from tidecast.operators import quality as Q
 from tidecast.operators import records as R
 from tidecast.operators import report as O
-from tidecast.plans.import_job import read_batch
+from tidecast.plans.import_job import import_lines, read_batch
 from tidecast.plans.understand import understand
 from tidecast.session import landed, scratch_path
 from tidecast.sources import store as S
@@ -616,11 +616,14 @@ def floor_at_zero(spark, sf):
     )
 
 
-@query
-def revised_runs(spark, sf):
-    """A run, the same run again, and one over a revised export: two runs, scored apart."""
+def _revised_store(spark, sf):
+    """A store that was given a run, the same run again, and one over a revised export."""
+    key = (spark.sparkContext.applicationId, f"revised {sf}")
+    if key in _STORES:
+        return S.Store(spark, _STORES[key][0])
     panel = landed(T.item_panel(spark, sf), "panel")
-    store = S.Store(spark, scratch_path(spark, "store")).create()
+    root = scratch_path(spark, "store")
+    store = S.Store(spark, root).create()
     store.save_series(_past(panel, 2))
     groups = panel.select("source", F.lit("Campaign").alias("group_by")).distinct()
     past = landed(_past(panel, HORIZON), "past")
@@ -631,12 +634,68 @@ def revised_runs(spark, sf):
         runs = landed(S.make_runs(flight, M.series_hash(history), groups, HORIZON), "runs")
         named = S.identified(flight, runs)
         store.append_runs(runs, S.make_run_entities(named), S.stored_forecasts(named))
-    return store.accuracy_view().select(
+    _STORES[key] = [root]
+    return store
+
+
+@query
+def revised_runs(spark, sf):
+    """Two runs of one series and cut-off day over different input, scored apart."""
+    return _revised_store(spark, sf).accuracy_view().select(
         "series_id", "model", "entity", "metric", "day", _r("forecast", 4), _r("actual", 4),
         _r("low", 4), _r("high", 4), "inside_range",
     )
 
 
+@query
+def run_list(spark, sf):
+    """Runs of the store, newest first: each run once, however often it was appended."""
+    listed = _revised_store(spark, sf).run_list()
+    return listed.groupBy("series_id", "model", "horizon").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.count_distinct("id").alias("n_ids")
+    )
+
+
+@query
+def dataset_list(spark, sf):
+    store = _revised_store(spark, sf)
+    every = store.datasets().withColumn("asked", F.lit("all"))
+    return every.unionByName(store.datasets("f").withColumn("asked", F.lit("f")))
+
+
+@query
+def series_read(spark, sf):
+    """One stored series of each dataset, by day."""
+    store = _revised_store(spark, sf)
+    return Q.union_all([
+        store.series_of(x, fixed.ACCOUNT, "Cost").select(
+            F.lit(x).alias("series_id"), "day", _r("value", 4))
+        for x in ("F", "O")
+    ])
+
+
+@query
+def forecast_days(spark, sf):
+    store = _revised_store(spark, sf)
+    days = O.forecast_days(store.read("forecasts"))
+    ids = store.read("runs").select(F.col("id").alias("run_id"), "series_id")
+    return days.join(ids, "run_id").groupBy("series_id", "day").agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+@query
+def cleared_store(spark, sf):
+    """Rows per dataset before and after a store is cleared; after, every table still reads."""
+    store = S.Store(spark, scratch_path(spark, "store")).create()
+    store.save_series(T.item_panel(spark, sf))
+    before = landed(store.read("series").groupBy("series_id").agg(F.count(F.lit(1)).alias("n")), "n")
+    store.clear()
+    after = Q.union_all([
+        store.read(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("series_id"), "n")
+        for t in S.SCHEMAS
+    ])
+    return before.unionByName(after)
+
+
 @query
 def input_hash(spark, sf):
     return M.series_hash(_item_history(spark, sf))
@@ -1012,6 +1071,17 @@ def full_import(spark, sf):
     )
 
 
+@query
+def import_scored(spark, sf):
+    """CSV lines through the whole import: forecast, averaged, stored, and read by the view."""
+    store = S.Store(spark, scratch_path(spark, "store")).create()
+    import_lines(landed(T.campaign_lines(spark, sf), "lines"), store, horizon=HORIZON)
+    return store.accuracy_view().select(
+        "series_id", "model", "entity", "metric", "day", _r("forecast", 3), _r("low", 3),
+        _r("high", 3), "actual", "trained_on",
+    )
+
+
 @query
 def violation_counts(spark, sf):
     """Every rule at once over exports that break several: how often each is broken."""
