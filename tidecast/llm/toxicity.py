@@ -103,21 +103,21 @@ def fit_rows(rows, y, weight, mentions: Counter, terms=IDENTITY_TERMS, l1: float
     y, weight = np.asarray(y, float), np.asarray(weight, float)
     if len(rows) == 0:
         return Model({}, 0.0, buckets)
-    size = [len(f) for f, _ in rows]
-    raw = np.concatenate([np.asarray(f, np.int64) for f, _ in rows])
-    value = np.log1p(np.concatenate([np.asarray(c, float) for _, c in rows]))
-    at = np.repeat(np.arange(len(rows)), size)
-    kept, col, often = np.unique(raw, return_inverse=True, return_counts=True)
-    ones = np.bincount(col, y[at], len(kept))
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in rows])
+    raw = np.concatenate([np.asarray(f, np.int32) for f, _ in rows])
+    often = np.bincount(raw, minlength=buckets)
     chance = often * y.mean() * (1 - y.mean())
-    telling = np.abs(ones - often * y.mean()) / np.sqrt(np.maximum(chance, 1e-9))
+    telling = np.abs(np.bincount(raw, y[at], buckets) - often * y.mean())
+    telling /= np.sqrt(np.maximum(chance, 1e-9))
     telling[often < min(3, len(rows))] = -1.0
-    kept_at = np.sort(np.argsort(-telling, kind="stable")[:features])
-    kept_at = kept_at[telling[kept_at] >= 0]
-    new = np.full(len(kept), -1)
-    new[kept_at] = np.arange(len(kept_at))
-    col, kept = new[col], kept[kept_at]
-    at, col, value = at[col >= 0], col[col >= 0], value[col >= 0]
+    kept = np.sort(np.argsort(-telling, kind="stable")[:features])
+    kept = kept[telling[kept] >= 0]
+    new = np.full(buckets, -1, np.int32)
+    new[kept] = np.arange(len(kept))
+    col = new[raw]
+    use = col >= 0
+    at, col = at[use], col[use]
+    value = np.log1p(np.concatenate([np.asarray(c, np.int32) for _, c in rows])[use])
     place = {int(f): i for i, f in enumerate(kept)}
 
     swaps = []  # (change of each feature, share of the sentences)
