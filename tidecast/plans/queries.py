@@ -779,7 +779,7 @@ STORED_MODELS = [f"{m}@{w}" for m in ("seasonal_naive", "weekday_quantile")
                  for w, _ in fixed.WINDOWS]
 
 
-def _stored(spark, sf):
+def stored(spark, sf):
     """Runs on every window and forecasts a week old; the history lacks the newest two days.
 
     One of the two models declares that it was fitted through the second forecast day.
@@ -838,7 +838,7 @@ def _to_store(spark, sf):
 
 
 def _view(spark, sf):
-    runs, _, forecasts, series = _stored(spark, sf)
+    runs, _, forecasts, series = stored(spark, sf)
     return A.accuracy_view(forecasts, runs, series)
 
 
@@ -876,7 +876,7 @@ def waiting_leaked(spark, sf):
 
 @query
 def known_values(spark, sf):
-    runs, _, forecasts, _ = _stored(spark, sf)
+    runs, _, forecasts, _ = stored(spark, sf)
     return A.known_values(forecasts, runs, "entity").withColumnRenamed("entity", "name").union(
         A.known_values(forecasts, runs, "metric")
     )
@@ -886,7 +886,7 @@ def known_values(spark, sf):
 
 
 def _lines(spark, sf):
-    runs, entities, forecasts, series = _stored(spark, sf)
+    runs, entities, forecasts, series = stored(spark, sf)
     return O.comparison(O.quantile_arrays(forecasts), runs, entities), runs, series
 
 
@@ -958,14 +958,14 @@ def chart_payload(spark, sf):
 @query
 def idle_entities(spark, sf):
     """Stored entities that no stored run forecast; runs were asked for the account only."""
-    runs, entities, _, series = _stored(spark, sf)
+    runs, entities, _, series = stored(spark, sf)
     asked = entities.where(F.col("entity") == fixed.ACCOUNT)
     return O.rebuilt(series, runs, asked)[1]
 
 
 @query
 def headline_entity(spark, sf):
-    runs, entities, _, _ = _stored(spark, sf)
+    runs, entities, _, _ = stored(spark, sf)
     ids = runs.select(F.col("id").alias("run_id"), "series_id", "model")
     return O.headline_entity(entities).join(ids, "run_id").select("series_id", "model", "entity")
 
