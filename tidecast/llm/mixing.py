@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
             joined = joined.drop(b[n])
         return joined
 
-    cell = F.when(F.col("cells") > 1, F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+    cell = F.when(F.col("cells") > 1, F.pmod(F.coalesce(F.col("doc_id").try_cast("long"), F.lit(0)),
                                              F.col("cells"))).otherwise(0)
     placed = landed(add(slim, steps, "source", "size").withColumn("cell", cell), "cells")
     counts = placed.groupBy("source", "size", "cell").agg(F.count("*").alias("n"))
