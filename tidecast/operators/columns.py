@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidecast import fixed
 from tidecast.functions import names as N
 from tidecast.functions.cells import trimmed, with_numbers
+from tidecast.session import landed
 
 
 # Days since 1970 and a record number share one long: room for 17 million million records.
@@ -166,6 +167,19 @@ def choose_weights(columns: DataFrame) -> DataFrame:
     return columns.join(chosen, ["source", "col_idx"], "left")
 
 
+def _said(idx: str) -> Column:
+    """A row for each wanted place: ``col_idx`` and the ``value`` there, nothing else of the
+    record."""
+    return F.explode(
+        F.transform(
+            idx,
+            lambda i: F.struct(
+                i.alias("col_idx"), trimmed(F.element_at("cells", i + 1)).alias("value")
+            ),
+        )
+    ).alias("said")
+
+
 def label_stats(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Distinct values of the columns that could name what a row is about.
 
@@ -175,11 +189,10 @@ def label_stats(rows: DataFrame, columns: DataFrame) -> DataFrame:
     picked = columns.where("role in ('text', 'identifier')").groupBy("source").agg(
         F.collect_list("col_idx").alias("label_idx")
     )
-    values = rows.join(picked, "source").select(
-        "source", "day", F.explode("label_idx").alias("col_idx"), "cells"
+    values = rows.join(picked, "source").select("source", "day", _said("label_idx")).select(
+        "source", "day", "said.*"
     )
-    said = trimmed(F.element_at("cells", F.col("col_idx") + 1)).alias("value")
-    per_day = values.groupBy("source", "col_idx", "day", said).agg(
+    per_day = values.groupBy("source", "col_idx", "day", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
     per_value = per_day.groupBy("source", "col_idx", "value").agg(F.max("n").alias("most"))
@@ -196,12 +209,9 @@ def measured_distinct(rows: DataFrame, columns: DataFrame) -> DataFrame:
     picked = columns.where("role not in ('text', 'identifier')").groupBy("source").agg(
         F.collect_list("col_idx").alias("idx")
     )
-    values = rows.join(picked, "source").select(
-        "source", F.explode("idx").alias("col_idx"), "cells"
-    )
-    said = trimmed(F.element_at("cells", F.col("col_idx") + 1)).alias("value")
+    values = rows.join(picked, "source").select("source", _said("idx")).select("source", "said.*")
     return (
-        values.groupBy("source", "col_idx", said)
+        values.groupBy("source", "col_idx", "value")
         .agg(F.lit(1).alias("one"))
         .groupBy("source", "col_idx")
         .agg(F.count(F.lit(1)).alias("n_distinct"))
@@ -364,15 +374,17 @@ def entity_labels(rows: DataFrame, columns: DataFrame, groups: DataFrame) -> Dat
         "day",
         "row_num",
         trimmed(F.element_at("cells", F.col("group_idx") + 1)).alias("key"),
-        F.explode("idx").alias("col_idx"),
-        "cells",
-    )
-    said = trimmed(F.element_at("cells", F.col("col_idx") + 1)).alias("value")
+        _said("idx"),
+    ).select("source", "day", "row_num", "key", "said.*")
     at = file_position(F.col("day"), F.col("row_num"))
     # The name is a grouping key and positions are numbers, so the passes over rows
-    # combine in hash tables; what is left per id is its few different names.
-    per_day = keyed.groupBy("source", "col_idx", "key", "day", said).agg(
-        F.min(at).alias("first_at"), F.max(at).alias("last_at")
+    # combine in hash tables; what is left per id is its few different names. Two answers
+    # are drawn from it, so it is written once.
+    per_day = landed(
+        keyed.groupBy("source", "col_idx", "key", "day", "value").agg(
+            F.min(at).alias("first_at"), F.max(at).alias("last_at")
+        ),
+        "names",
     )
     two_names = (
         per_day.groupBy("source", "col_idx", "key", "day")

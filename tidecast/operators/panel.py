@@ -156,16 +156,20 @@ def build_panel(keyed: DataFrame, columns: DataFrame) -> DataFrame:
             F.struct("col_idx", "name", "averaged", "weight_idx")
         ).alias("usable")
     )
-    cells = keyed.join(usable, "source").select(
-        "source", "day", "entity", "cells", "filled", F.explode("usable").alias("u")
+    # Only the cells that are read leave the record.
+    pairs = F.transform(
+        "usable",
+        lambda u: F.struct(
+            u["name"].alias("name"), u["averaged"].alias("averaged"),
+            u["weight_idx"].alias("weight_idx"),
+            F.element_at("cells", u["col_idx"] + 1).alias("v"),
+            F.element_at("cells", u["weight_idx"] + 1).alias("by"),
+        ),
     )
-    read = with_numbers(
-        cells,
-        {
-            "v": F.element_at("cells", F.col("u.col_idx") + 1),
-            "by": F.element_at("cells", F.col("u.weight_idx") + 1),
-        },
+    cells = keyed.join(usable, "source").select(
+        "source", "day", "entity", "filled", F.explode(pairs).alias("u")
     )
+    read = with_numbers(cells, {"v": F.col("u.v"), "by": F.col("u.by")})
     plain = F.when(F.col("filled") | F.col("v_no_data"), 0.0).otherwise(1.0)
     weight = F.when(F.col("u.weight_idx").isNotNull(), F.col("by")).otherwise(plain)
     measured = read.select(
