@@ -87,3 +87,19 @@ def test_empty_tables(spark):
     assert [r["score"] for r in T.judge(docs, none).collect()] == [0.5, 0.5]
     assert T.judge(docs.limit(0), none).collect() == []
     assert T.clean_documents(docs, none).count() == 2
+
+
+def test_score_is_the_fitted_sum_on_short_and_long_texts(spark):
+    model = fitted(10.0)
+    assert model.weights
+    long = " ".join(f"muslims{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)) + " idiot river"
+    texts = ["idiot", "muslims garden idiot", "", long, long + " idiotic idiots"]
+    want = []
+    for t in texts:
+        counts = T.text_features(t.encode())
+        z = model.bias + sum(model.weights.get(f, 0.0) * np.log1p(n) for f, n in counts.items())
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose([model.score(t.encode()) for t in texts], want, rtol=1e-9)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["__score"] for r in T.scores(df, model, ["doc_id"]).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-9)

@@ -13,10 +13,13 @@ Scoring is one pass over whole texts, without a shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +86,17 @@ class Model:
     bias: float
     buckets: int = BUCKETS
 
-    def word(self, word: str) -> float:
-        return sum(self.weights.get(f, 0.0) for f in word_features(word, self.buckets))
+    def weighted(self, word: str) -> list[int]:
+        """Features of the word that have a weight."""
+        return [f for f in word_features(word, self.buckets) if f in self.weights]
+
+    def logit(self, text: bytes, weighted: Callable[[str], list[int]] | None = None) -> float:
+        """As in the fit, a feature counts with log1p of the number of words that have it."""
+        counts = Counter(chain.from_iterable(map(weighted or self.weighted, set(words_of(text)))))
+        return math.fsum([self.bias, *(self.weights[f] * math.log1p(n) for f, n in counts.items())])
 
     def score(self, text: bytes) -> float:
-        z = self.bias + sum(map(self.word, set(words_of(text))))
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -50, 50))))
 
 
 def fit_rows(rows, y, weight, mentions: Counter, terms=IDENTITY_TERMS, l1: float = 1e-5,
@@ -204,19 +212,18 @@ def scores(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     fields = docs.select(*carry).schema.fields
 
     def run(batches):
-        known: dict[str, float] = {}
-        weights, buckets = model.weights, model.buckets
+        known: dict[str, list[int]] = {}
 
-        def word(w: str) -> float:
-            s = known.get(w)
-            if s is None:
+        def weighted(w: str) -> list[int]:
+            found = known.get(w)
+            if found is None:
                 if len(known) > 200_000:
                     known.clear()
-                s = known[w] = sum(weights.get(f, 0.0) for f in word_features(w, buckets))
-            return s
+                found = known[w] = model.weighted(w)
+            return found
 
         for b in batches:
-            z = np.array([model.bias + sum(map(word, set(words_of(t)))) for t in texts(b)])
+            z = np.array([model.logit(t, weighted) for t in texts(b)])
             score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in carry), pa.array(score, pa.float64())],
