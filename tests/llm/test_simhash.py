@@ -112,3 +112,14 @@ def test_query_against_all_pairs(spark):
            for r in all_queries()["op1_simhash_near_dedup"](spark, sf).collect()}
     assert got == {d["doc_id"]: (f"{p:016x}", w)
                    for d, p, w in zip(docs, prints, want, strict=True)}
+
+
+def test_unlinked_texts_that_share_an_id_or_have_none_all_stay(spark):
+    rows = [(None, "a river runs past the old mill"), (None, "nobody sold bread on that market"),
+            (None, "nobody sold bread on that market"), (6, "winter came late to the northern hills"),
+            (6, "three letters lay unread upon his desk"), (7, "Winter came late to the northern hills")]
+    prints = sorted({slow_print(t) for _, t in rows})
+    assert all((a ^ b).bit_count() > 3 for i, a in enumerate(prints) for b in prints[:i])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in S.one_of_each(df).collect()}
+    assert kept == set(rows[:5]) and S.one_of_each(df).count() == 4

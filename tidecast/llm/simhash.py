@@ -208,11 +208,12 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS,
                     tree_rows: int = TREE_ROWS) -> DataFrame:
-    """Of every row: doc_id, text_key, bits and the component's smallest doc_id.
+    """Of every row: doc_id, text_key, bits, the component's root and its smallest doc_id.
 
     Null texts count as empty ones, and texts without a word all have fingerprint zero: they
     are linked like any other. A null doc_id is never the smallest unless a component has
-    no other. Repeated rows each get a row. Columns besides doc_id and text play no part.
+    no other. Repeated rows each get a row. Columns besides doc_id and text play no part. The
+    root is a fingerprint and, unlike the smallest doc_id, that of one component only.
     """
     prints = landed(fingerprints(docs, words), "fingerprints")
     distinct = landed(prints.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "distinct")
@@ -220,17 +221,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     placed = distinct.join(roots, distinct["bits"] == roots["node"], "left").select(
         "bits", "first_id", F.coalesce("root", "bits").alias("root"))
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = landed(placed.join(ids, "root").select("bits", "component_id"), "classes")
+    classes = landed(placed.join(ids, "root").select("bits", "root", "component_id"), "classes")
     return prints.join(classes, "bits")
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows that stay: of each component the one with its smallest doc_id.
 
-    Among several texts with that id the one with the smallest text_key stays.
+    Among several texts with that id the one with the smallest text_key stays. Components
+    are told apart by their roots: several may share an id, or have none.
     """
     found = near_duplicates(docs, words, radius)
-    mine = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = mine.groupBy("doc_id", "component_id", "bits").agg(F.min("text_key").alias("text_key"))
-    keep = keep.groupBy("doc_id", "component_id").agg(F.min("text_key").alias("text_key"))
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key")
+    keep = found.groupBy("root").agg(F.min(first).alias("first")).select("first.*")
     return only_rows_of(docs, landed(keep.select("doc_id", "text_key"), "kept"))
