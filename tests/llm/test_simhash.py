@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import xxhash
 
 from tidecast.llm import simhash as S
@@ -123,3 +124,35 @@ def test_unlinked_texts_that_share_an_id_or_have_none_all_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {(r["doc_id"], r["text"]) for r in S.one_of_each(df).collect()}
     assert kept == set(rows[:5]) and S.one_of_each(df).count() == 4
+
+
+def test_a_large_shard_is_split_and_not_sent_to_every_tree(spark):
+    r = random.Random(8)
+    prints = [r.getrandbits(47) << 16 | 77 for _ in range(1500)]
+    prints = sorted({*prints, *(p ^ (1 << 60) ^ (1 << 20) for p in prints[:200])})
+    df = spark.createDataFrame([(p,) for p in prints], "bits long")
+    placed = S.shards(df, tree_rows=50)
+    assert placed.count() < 20 * len(prints)  # 34 trees for one of the four blocks alone before
+    sizes = placed.where("own").groupBy("mask", "value", "tree").count().agg({"count": "max"})
+    assert sizes.first()[0] <= 50
+    roots = {r["node"]: r["root"] for r in S.components(S.near_links(df, tree_rows=50)).collect()}
+    assert [roots.get(p, p) for p in prints] == slow_components(prints, prints)
+
+
+def test_members_stream_past_a_tree():
+    own, others = [1 << 40, 5 << 40], [(1 << 40) + 1 + i % 2 for i in range(90_000)]
+    taken = 0
+
+    def batches():
+        nonlocal taken
+        rows = [(x, True) for x in own] + [(x, False) for x in others]
+        for at in range(0, len(rows), 1000):
+            taken += 1
+            bits, mine = zip(*rows[at:at + 1000], strict=True)
+            key = {n: pa.array([0] * len(bits)) for n in ("mask", "value", "tree", "block")}
+            yield pa.RecordBatch.from_pydict({**key, "bits": pa.array(bits), "own": pa.array(mine)})
+
+    found = S._search(3)(batches())
+    first = next(found)
+    assert taken < 20 and first.num_rows <= 8192
+    assert first.num_rows + sum(b.num_rows for b in found) == 1 + len(others)  # own ones are a class

@@ -5,8 +5,10 @@ A fingerprint has 64 bits; two texts are linked when their fingerprints differ i
 differ when three bits do, so every link lies inside a shard of fingerprints that agree on
 one block. Each shard is searched through a BK-tree of its own, whose children are keyed by
 their distance to the parent; a search follows only edges within the radius. A shard that is
-larger than one tree is cut into trees of ``tree_rows`` fingerprints, and all members of the
-shard are streamed past each of them, so that no link is lost and no task holds more.
+larger than one tree is split by further blocks: of its other 48 bits at most three differ
+too, so its links agree on one of four blocks of these. What stays larger than a tree after
+two such splits is dealt to trees of about ``tree_rows`` own fingerprints each, and the shard's
+others are streamed past each of them, so that no link is lost and a task holds one tree.
 
 Only distinct fingerprints are searched: a group of copies is one of them, however large. A
 tree returns each fingerprint's smallest partner class, never all pairs.
@@ -15,6 +17,8 @@ tree returns each fingerprint's smallest partner class, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ RADIUS = 3
 BLOCKS = 4
 #: Fingerprints that one tree holds; larger shards get several trees.
 TREE_ROWS = 4096
+#: How often a large shard is split by further blocks before it gets several trees.
+SPLITS = 2
 _SEED = 42
 _STEP = 8192
 
@@ -98,85 +104,129 @@ class BKTree:
         return found
 
 
-def shard_links(own: list[int], others: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Links that join what one tree holds, and others to it, a few for each fingerprint.
+class Shard:
+    """A tree's own members and their classes: those within the radius of each other.
 
-    Members found near each other form classes; each member is linked to the smallest
-    member of its class, each other fingerprint to the smallest of every class it touches.
+    Each member is linked to the smallest member of its class, each other fingerprint to the
+    smallest of every class it touches.
     """
-    tree, up = BKTree(), list(range(len(own)))
 
-    def top(i: int) -> int:
+    def __init__(self, own: list[int], radius: int):
+        self.own, self.radius = sorted(own), radius  # so that a class's first is its smallest
+        self.tree, self.up = BKTree(), list(range(len(own)))
+        for i, bits in enumerate(self.own):
+            for j in self.tree.near(bits, radius):
+                a, b = self.top(i), self.top(j)
+                if a != b:
+                    self.up[max(a, b)] = min(a, b)
+            self.tree.add(bits)
+
+    def top(self, i: int) -> int:
+        up = self.up
         while up[i] != i:
             up[i] = up[up[i]]
             i = up[i]
         return i
 
-    for i, bits in enumerate(own):
-        for j in tree.near(bits, radius):
-            a, b = top(i), top(j)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        tree.add(bits)
-    for i, bits in enumerate(own):  # ascending, so that a class's first member is its smallest
-        if top(i) != i:
-            yield bits, own[top(i)]
-    for bits in others:
-        for root in {top(j) for j in tree.near(bits, radius)}:
-            yield bits, own[root]
+    def links(self) -> Iterator[tuple[int, int]]:
+        for i, bits in enumerate(self.own):
+            if self.top(i) != i:
+                yield bits, self.own[self.top(i)]
 
+    def links_of(self, other: int) -> Iterator[tuple[int, int]]:
+        for root in {self.top(j) for j in self.tree.near(other, self.radius)}:
+            yield other, self.own[root]
 
-def _search(radius: int) -> Callable:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def links_of(group: list[tuple[int, bool]]) -> pa.RecordBatch:
-        own = sorted({x for x, mine in group if mine})
-        others = sorted({x for x, mine in group if not mine})
-        pairs = np.array(list(shard_links(own, others, radius)), dtype="<u8").view("<i8")
-        pairs = pairs.reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
-                                          schema=schema)
 
-    def run(batches):
-        """Rows arrive sorted by shard; one shard's tree is held at a time."""
-        at, group = None, []
+def _search(radius: int) -> Callable:
+    def links_in(rows) -> Iterator[tuple[int, int]]:
+        """Of rows sorted by shard, a shard's own members first; only those are held."""
+        at, own, shard = None, [], None
+        for name, x, mine in rows:
+            if name != at:
+                if shard is None:
+                    yield from Shard(own, radius).links()
+                at, own, shard = name, [], None
+            if mine:
+                own.append(x)
+                continue
+            if shard is None:
+                shard = Shard(own, radius)
+                yield from shard.links()
+            yield from shard.links_of(x)
+        if shard is None:
+            yield from Shard(own, radius).links()
+
+    def rows_of(batches):
         for b in batches:
             bits = b.column("bits").to_numpy().view("<u8").tolist()
-            shards = zip(column_of(b, "block"), column_of(b, "value"), column_of(b, "tree"),
-                         strict=True)
-            for shard, x, mine in zip(shards, bits, column_of(b, "own"), strict=True):
-                if shard != at:
-                    if len(group) > 1:
-                        yield links_of(group)
-                    at, group = shard, []
-                group.append((x, mine))
-        if len(group) > 1:
-            yield links_of(group)
+            names = zip(column_of(b, "mask"), column_of(b, "value"), column_of(b, "tree"),
+                        strict=True)
+            yield from zip(names, bits, column_of(b, "own"), strict=True)
+
+    def run(batches):
+        links = links_in(rows_of(batches))
+        while some := list(islice(links, _STEP)):
+            pairs = np.array(some, dtype="<u8").view("<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
+                                             ["a", "b"])
 
     return run
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _narrower(mask: int) -> list[int]:
+    """The mask with each of four blocks of the bits it leaves out."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    cuts = [len(free) * k // BLOCKS for k in range(BLOCKS + 1)]
+    return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def shards(prints: DataFrame, tree_rows: int = TREE_ROWS, splits: int = SPLITS) -> DataFrame:
+    """Where fingerprints meet: mask, value (of the bits in the mask), tree, own and bits.
+
+    Members of a shard of more than ``tree_rows`` meet again where they agree on one of four
+    blocks of their other bits too, so many ``splits`` deep. What is too large even then is
+    dealt to several trees: each member is the own one of one of them and is sent past all.
+    """
+    masks, level, parts = [0], prints.select("bits", F.lit(0).cast("long").alias("mask")), []
+    for depth in range(splits + 1):
+        below = {m: _narrower(m) for m in masks}
+        known = F.create_map(*[c for m, kids in below.items() for c in (
+            F.lit(_signed(m)), F.array(*[F.lit(_signed(k)) for k in kids]))])
+        masks = list(dict.fromkeys(k for kids in below.values() for k in kids))
+        level = level.select("bits", F.explode(known[F.col("mask")]).alias("mask")).select(
+            "bits", "mask", F.col("bits").bitwiseAND(F.col("mask")).alias("value"))
+        sizes = level.groupBy("mask", "value").agg(F.count("*").alias("n"))
+        large = landed(sizes.where(F.col("n") > tree_rows).select(
+            "mask", "value", F.ceil(F.col("n") / tree_rows).cast("int").alias("trees")), "shards")
+        if large.isEmpty():
+            parts.append(level.withColumn("trees", F.lit(1)))
+            break
+        on = ["mask", "value"]
+        if depth == splits:
+            parts.append(level.join(large, on, "left").select(
+                "bits", *on, F.coalesce("trees", F.lit(1)).alias("trees")))
+        else:
+            parts.append(level.join(large, on, "left_anti").withColumn("trees", F.lit(1)))
+            level = landed(level.join(large, on, "left_semi").select("bits", "mask"), "split")
+    members = reduce(DataFrame.unionByName, parts)
+    home = F.pmod(F.xxhash64("bits"), F.col("trees")).cast("int")
+    trees = members.withColumn("home", home).withColumn(
+        "tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    return trees.select("mask", "value", "tree", "bits",
+                        (F.col("tree") == F.col("home")).alias("own"))
+
+
 def near_links(prints: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all those within the radius."""
     if radius >= BLOCKS:
         raise ValueError(f"{BLOCKS} blocks find at most {BLOCKS - 1} differing bits")
-    width = 64 // BLOCKS
-    parts = F.array(*[
-        F.struct(F.lit(i).alias("block"),
-                 F.shiftrightunsigned("bits", i * width).bitwiseAND((1 << width) - 1).alias("value"))
-        for i in range(BLOCKS)])
-    members = prints.select("bits", F.explode(parts).alias("s")).select("bits", "s.*")
-    sizes = members.groupBy("block", "value").agg(F.count("*").alias("n"))
-    large = landed(sizes.where(F.col("n") > tree_rows).select(
-        "block", "value", F.ceil(F.col("n") / tree_rows).cast("int").alias("trees")), "shards")
-    members = members.join(large, ["block", "value"], "left")
-    home = F.pmod(F.xxhash64("bits"), F.coalesce("trees", F.lit(1))).cast("int")
-    trees = members.withColumn("home", home).withColumn(
-        "tree", F.explode(F.sequence(F.lit(0), F.coalesce("trees", F.lit(1)) - 1)))
-    placed = trees.select("block", "value", "tree", "bits",
-                          (F.col("tree") == F.col("home")).alias("own"))
-    placed = placed.repartition("block", "value", "tree").sortWithinPartitions(
-        "block", "value", "tree")
+    placed = shards(prints, tree_rows).repartition("mask", "value", "tree").sortWithinPartitions(
+        "mask", "value", "tree", F.desc("own"))
     return placed.mapInArrow(_search(radius), "a long, b long").distinct()
 
 
