@@ -16,4 +16,4 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_a_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in all_queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in all_queries()) == list(range(1, 14))

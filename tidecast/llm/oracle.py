@@ -83,7 +83,96 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (
+  SELECT doc_id, t, n, [('0x' || substr(h, 1 + 8 * i, 8))::BIGINT FOR i IN range(4)] AS h FROM d),
+c AS (
+  SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a,
+    greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+              OR h[3] % 100 >= 90 THEN 'plain'
+         WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle,
+    substring(t, b + 1, n - b) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP12 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+first AS (SELECT t, min(doc_id) AS first_id FROM w GROUP BY t),
+l AS (
+  SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic
+  FROM labels GROUP BY doc_id),
+d AS (
+  SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+     100 * len(regexp_extract_all(w.t, '[A-Z]')) > 10 * length(w.t),
+     regexp_matches(w.t, '[#$%&*|]'), coalesce(w.doc_id > first.first_id, false)] AS fails
+  FROM w JOIN first ON w.t = first.t LEFT JOIN l ON w.doc_id = l.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+m AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good,
+    count(*) FILTER (WHERE toxic) AS toxic FROM d GROUP BY part, fails),
+steps AS (
+  SELECT filter_order, step::INT AS step, ascii(filter_order[step]) - 64 AS f,
+    [ascii(x) - 64 FOR x IN string_split(filter_order[1:step - 1], '')] AS before
+  FROM orders, range(1, 6) AS r(step)),
+e AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS bad,
+    coalesce(list_bool_or([fails[x] FOR x IN before]), false) AS gone,
+    coalesce(list_bool_or([fails[x] FOR x IN range(1, 6) IF x <> f]), false) AS elsewhere
+  FROM m, steps),
+s AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND NOT bad), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND bad), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE gone AND bad), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE bad AND NOT elsewhere), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE NOT gone AND bad), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE NOT gone AND bad), 0)::BIGINT AS toxic_lost
+  FROM e GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley
+FROM s
+"""
+
+OP13 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
+    AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN e]) AND list_bool_or([x <> 0 FOR x IN e])),
+pairs AS (
+  SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k <> b.k
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT k AS a, k AS b FROM v
+  UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+c AS (SELECT r.a, min(v.vec_id) AS component_id FROM reach r JOIN v ON r.b = v.k GROUP BY r.a),
+n AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id,
+  v.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM v JOIN c ON v.k = c.a LEFT JOIN n ON v.k = n.a
+"""
+
 
 def all_sql() -> dict[str, str]:
     return {"op2_mix_sources": OP2, "op3_exact_dedup": OP3, "op5_decontaminate": OP5,
-            "op8_chat_format": OP8}
+            "op8_chat_format": OP8, "op11_fill_middle": OP11, "op12_filter_audit": OP12,
+            "op13_embedding_near_dedup": OP13}

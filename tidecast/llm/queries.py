@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import (chat, decontaminate, exact, mixing, ngram_lm, quality_crf, simhash,
-                          substring, toxicity, url_filter)
+from tidecast.llm import (chat, decontaminate, embeddings, exact, fill_middle, filter_audit, mixing,
+                          ngram_lm, quality_crf, simhash, substring, toxicity, url_filter)
 from tidecast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,25 @@ def op4_lm_score(spark, sf):
 def op6_substring_dedup(spark, sf):
     """What stays of every document when repeated passages go."""
     return substring.repeated_passages(table(spark, sf, "documents"))
+
+
+@query
+def op11_fill_middle(spark, sf):
+    """Every document cut in three and put together anew, with digests of both ways."""
+    made = fill_middle.transform(table(spark, sf, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       digest(F.col("output")).alias("output_sha256"),
+                       digest(fill_middle.restored()).alias("restored_sha256"))
+
+
+@query
+def op12_filter_audit(spark, sf):
+    """What each of five filters removes at each place of every order, by language."""
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op13_embedding_near_dedup(spark, sf):
+    """Links and components of near-duplicate vectors."""
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
