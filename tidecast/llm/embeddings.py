@@ -30,8 +30,8 @@ CELL_ROWS, MOST_CELLS = 2048, 512
 #: Vectors of each length that the centres are fitted to, and how often they are moved.
 SAMPLE_ROWS, ROUNDS = 20_000, 10
 #: Numbers that one block may hold, and the blocks of a cell that is smaller than that.
-BLOCK_NUMBERS, BLOCKS = 1 << 20, 16
-LEAST_BLOCK = 256
+BLOCK_NUMBERS, BLOCKS = 1 << 20, 8
+LEAST_BLOCK = 2048
 _ROWS = 256
 _SLACK = 1e-9
 
