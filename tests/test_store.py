@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tidecast.operators import accuracy as A
 from tidecast.operators import report as O
 from tidecast.plans.import_job import import_folder
+from tidecast.sources import ledger
+from tidecast.sources import store as S
+from tidecast.sources.exports import read_lines
+from tidecast.sources.files import Files
 from tidecast.sources.store import Store
 from tidecast.streaming.closed_days import (
     closed_days,
@@ -107,7 +111,7 @@ def test_replace_leaves_other_datasets(spark):
     store.save_series(frame("a", "new", 2))
     got = {(r["series_id"], r["entity"]) for r in store.read("series").collect()}
     assert got == {("a", "new"), ("b", "x")} and store.read("series").count() == 5
-    store.save_series(frame("a", "new", 0), keys=["a"])
+    store.save_series(frame("a", "new", 0), keys=spark.createDataFrame([("a",)], "k string"))
     assert {r["series_id"] for r in store.read("series").collect()} == {"b"}
     store.clear()
     assert store.read("series").count() == 0
@@ -121,6 +125,169 @@ def test_a_run_must_be_whole(spark, imported):
         store.append_runs(run, whole, store.read("forecasts").where("false"))
 
 
+class Broken(RuntimeError):
+    pass
+
+
+def _rows_of(store):
+    return {t: sorted(map(str, store.read(t).collect())) for t in S.SCHEMAS}
+
+
+def _job(spark, store, n, fresh=False):
+    """What an import writes, of small frames: datasets, runs, a model, files."""
+    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(n)]
+    panel = spark.createDataFrame(
+        [(s, "x", "Cost", d, float(n)) for s in ("a", "b") for d in days],
+        "source string, entity string, metric string, day date, value double")
+    rows = spark.createDataFrame(
+        [(s, i, d, ["1", "2"], False) for s in ("a", "b") for i, d in enumerate(days)],
+        "source string, row_num long, day date, cells array<string>, filled boolean")
+    headers = spark.createDataFrame([(s, ["Day", "Cost"]) for s in ("a", "b")],
+                                    "source string, header array<string>")
+    columns = spark.createDataFrame([(s, "Cost", "metric", "cost", False, False, None) for s in ("a", "b")],
+                                    "source string, name string, role string, concept string, "
+                                    "averaged boolean, is_percent boolean, weighted_by string")
+    runs = spark.createDataFrame(
+        [(f"r{n}", "a", "m", 7, dt.datetime(2026, 2, 1), days[-1], ["Cost"], 1, "", "h", "{}")],
+        S.SCHEMAS["runs"])
+    entities = spark.createDataFrame([(f"r{n}", "a", "x")], S.SCHEMAS["run_entities"])
+    forecasts = spark.createDataFrame(
+        [(f"r{n}", "x", "Cost", days[-1] + dt.timedelta(days=1), q, q / 10, 1.0) for q in range(9)],
+        S.SCHEMAS["forecasts"])
+    files = spark.createDataFrame([(f"/{n}.csv", "a", n, dt.datetime(2026, 2, 1), "d", True,
+                                    dt.datetime(2026, 2, 1))], S.SCHEMAS["files"])
+    with store.change() as change:
+        if fresh:
+            change.clear()
+        change.save_series(panel)
+        change.save_raw(rows, headers)
+        change.save_columns(columns)
+        change.append_runs(runs, entities, forecasts)
+        change.append_models(panel.withColumnRenamed("source", "series_id"), "m")
+        change.append("files", files)
+
+
+STEPS = ["save_series", "save_raw", "save_columns", "append_runs", "append_models", "append"]
+
+
+def test_a_job_that_fails_at_any_write_changes_nothing(spark, monkeypatch):
+    store = Store(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/store").create(buckets=2)
+    _job(spark, store, 3)
+    before, version = _rows_of(store), store.version()
+    assert all(before.values())
+    for fresh in (False, True):
+        for step in STEPS:
+            real = getattr(S.Change, step)
+
+            def broken(self, *args, real=real):
+                real(self, *args)  # the files are written, and then the job dies
+                raise Broken
+
+            with monkeypatch.context() as m:
+                m.setattr(S.Change, step, broken)
+                with pytest.raises(Broken):
+                    _job(spark, store, 5, fresh)
+            assert store.version() == version
+        assert _rows_of(store) == before
+    with monkeypatch.context() as m:
+        m.setattr(Files, "publish", lambda *_: False)
+        with pytest.raises(S.StaleStore):
+            _job(spark, store, 5)
+    assert _rows_of(store) == before
+
+    for _ in range(2):  # repeated, its run is stored once
+        _job(spark, store, 5)
+    assert store.version() == version + 2 and _rows_of(store.at(version)) == before
+    assert sorted(r["id"] for r in store.read("runs").collect()) == ["r3", "r5"]
+    assert store.read("forecasts").count() == 18 and store.read("raw").count() == 10
+    _job(spark, store, 4, fresh=True)
+    assert [r["id"] for r in store.read("runs").collect()] == ["r4"]
+    store.sweep(keep=1)
+    assert store.versions() == [version + 3] and store.read("series").count() == 8
+
+
+def test_an_import_that_fails_is_repeated(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    inbox = folder + "/inbox"
+    os.mkdir(inbox)
+    put(inbox, "one.csv", _campaigns(95))
+    store = Store(spark, folder + "/store").create()
+
+    def broken(*_):
+        raise Broken
+
+    with monkeypatch.context() as m:
+        m.setattr(S.Change, "append", broken)
+        with pytest.raises(Broken):
+            import_folder(spark, inbox, store, models=["seasonal_naive"])
+    assert store.version() == 0 and not any(_rows_of(store).values())
+    import_folder(spark, inbox, store, models=["seasonal_naive"])
+    assert store.version() == 1 and store.read("raw").count() == 285
+    assert store.read("files").count() == 1 and store.read("runs").count() > 0
+
+
+def test_two_changes_at_once(spark):
+    store = Store(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/store").create(buckets=2)
+    panel = spark.createDataFrame(
+        [(s, "x", "Cost", dt.date(2026, 1, 1), 1.0) for s in "abcdef"],
+        "source string, entity string, metric string, day date, value double")
+    with pytest.raises(S.StaleStore), store.change() as slow:
+        slow.save_series(panel.where("source = 'a'"))
+        store.save_series(panel.where("source <> 'a'"))
+    assert {r["series_id"] for r in store.read("series").collect()} == set("bcdef")
+    with pytest.raises(ValueError), store.at(0).change():
+        pass
+    with pytest.raises(ValueError):
+        Store(spark, store.root + "-none").read("runs")
+    assert Store(spark, store.root).create().version() == 1  # a store that exists is left
+
+
+def test_ledger(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    inbox, done = folder + "/in +1", folder + "/done"
+    os.mkdir(inbox)
+    put(inbox, "a.csv", _campaigns(95))
+    put(inbox, "a.CSV", _campaigns(96))
+    put(inbox, "b + [c] 1.csv", _campaigns(97))
+    put(inbox, "bad.csv", "Day,Cost\n2026-01-01,1\n")
+    put(inbox, ".hidden.csv", _campaigns(95))
+    store = Store(spark, folder + "/store").create()
+    options = {"models": ["seasonal_naive"]}
+    folder_of = lambda: {n for n in os.listdir(inbox) if not n.startswith(".")}
+
+    import_folder(spark, inbox, store, **options)
+    days = {r[0]: r[1] for r in store.read("raw").groupBy("source").count().collect()}
+    assert days == {"a": 285, "a.CSV": 288, "b + [c] 1": 291}
+    version = store.version()
+    again = import_folder(spark, inbox, store, **options)  # only what was refused is read again
+    assert {r["source"] for r in again.violations.collect()} == {"bad"}
+    assert again.runs.count() == 0 and store.read("files").count() == 3
+    os.remove(inbox + "/bad.csv")
+    assert import_folder(spark, inbox, store, **options) is None
+    assert store.version() == version + 1
+
+    os.utime(inbox + "/a.csv", (1, 1))  # touched: another time, the same lines
+    assert import_folder(spark, inbox, store, archive=done, **options) is None
+    assert folder_of() == set() and set(os.listdir(done)) >= {"a.csv", "a.CSV", "b + [c] 1.csv"}
+    put(inbox, "a.csv", _campaigns(98))
+    import_folder(spark, inbox, store, archive=done, **options)
+    kept = [n for n in os.listdir(done) if n.startswith("a") and n.endswith(".csv")]
+    assert len(kept) == 2 and folder_of() == set()
+    assert store.read("raw").where("source = 'a'").count() == 294
+    imports = {r[0]: r[1] for r in store.read("files").where("imported").groupBy("source").count().collect()}
+    assert imports == {"a": 2, "a.CSV": 1, "b + [c] 1": 1}
+
+
+def test_digest_sees_order_and_every_line(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    lines = [f"line {i}" for i in range(50)]
+    swapped = [*lines[:10], lines[11], lines[10], *lines[12:]]
+    for name, some in (("a", lines), ("b", lines), ("c", swapped), ("d", [*lines, lines[-1]])):
+        put(folder, f"{name}.csv", "\n".join(some))
+    got = {r["source"]: r["digest"] for r in ledger.digests(read_lines(spark, folder)).collect()}
+    assert got["a"] == got["b"] and len(set(got.values())) == 3
+
+
 def _tables(spark, actuals, through=None):
     d = [dt.date(2026, 1, i) for i in range(1, 7)]
     info = "{}" if through is None else f'{{"trained_through": "{through}"}}'
@@ -201,6 +368,7 @@ def test_drop_folder_stream(spark):
     assert {r[0] for r in store.read("series").select("series_id").distinct().collect()} == {
         "one", "two"}
     assert store.read("forecasts").count() == 2 * before
+    assert sorted(r["source"] for r in store.read("files").collect()) == ["one", "two"]
     ids = [r["id"] for r in store.read("runs").collect()]
     assert len(ids) == len(set(ids))
 

@@ -13,7 +13,7 @@ from tidecast import fixed
 from tidecast.operators import forecast as M
 from tidecast.operators import panel as P
 from tidecast.operators import quality as Q
-from tidecast.plans.import_job import Imported, read_batch
+from tidecast.plans.import_job import Imported, read_batch, save_batch
 from tidecast.session import landed
 from tidecast.sources.store import (
     Store,
@@ -78,10 +78,6 @@ def forecast_lines(
     violations = landed(Q.union_all(rules), "violations")
 
     good = Q.accepted(batch.panel, violations)
-    store.save_series(good)
-    store.save_raw(Q.accepted(batch.rows, violations), batch.headers)
-    store.save_columns(Q.accepted(batch.columns, violations))
-
     inputs = P.forecast_input(good, batch.columns, batch.states)
     if entities:
         chosen = [fixed.ACCOUNT if e.lower() == "account" else e for e in entities]
@@ -96,7 +92,7 @@ def forecast_lines(
     flight = _fly(model, history, good, ahead, plan, list(future), horizon)
     flight = landed(M.floored(M.repaired(flight)), "flight")
     unusable = landed(Q.unusable_forecasts(M.contract_violations(flight, horizon)), "unusable")
-    violations = violations.unionByName(unusable)
+    usable, violations = violations, violations.unionByName(unusable)
     refused = unusable.select(F.col("source").alias("series_id")).distinct()
     flight = flight.join(refused, "series_id", "left_anti")
     runs = landed(
@@ -104,7 +100,10 @@ def forecast_lines(
         "runs",
     )
     flight = identified(flight, runs, with_window=False)
-    store.append_runs(runs, make_run_entities(flight), stored_forecasts(flight))
+    with store.change() as change:
+        # An unusable forecast is no fault of the data, which are stored all the same.
+        save_batch(change, batch, usable)
+        change.append_runs(runs, make_run_entities(flight), stored_forecasts(flight))
     return Imported(violations, flight, runs, batch, history)
 
 

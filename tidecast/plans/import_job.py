@@ -2,7 +2,8 @@
 
 Everything is computed and checked before anything stored is touched. What the later
 steps read is first written to the shared folder, so that a lost executor costs a
-task, and a failure leaves the store as it was.
+task. Tables change together, by one version of the store: a job that fails anywhere
+leaves it as it was and can be repeated.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from tidecast.operators import quality as Q
 from tidecast.operators import records as R
 from tidecast.plans.understand import Batch, understand
 from tidecast.session import landed
-from tidecast.sources import exports
+from tidecast.sources import exports, ledger
 from tidecast.sources.store import (
+    Change,
     Store,
     identified,
     make_run_entities,
@@ -122,13 +124,15 @@ def import_lines(
     models: list[str] | None = None,
     fitted: bool = False,
     keep_runs: bool = True,
+    files: DataFrame | None = None,
     **limits,
 ) -> Imported:
-    """Import a batch: understand, forecast, check, and only then write.
+    """Import a batch: understand, forecast, check, and only then publish what is new.
 
     A source with an unusable forecast is refused like one with unusable rows; the others
     are stored. ``fresh`` empties the store first, as the first batch of a new account does.
-    ``limits`` are those of ``read_batch``.
+    ``files`` are the ledger's rows of what is read here; those of sources that were stored
+    are recorded with them. ``limits`` are those of ``read_batch``.
     """
     Q.check_horizon(horizon)
     batch = read_batch(
@@ -149,17 +153,48 @@ def import_lines(
     )
     flight = identified(flight, runs)
 
-    if fresh:
-        store.clear()
-    store.save_series(Q.accepted(batch.panel, violations))
-    store.save_raw(Q.accepted(batch.rows, violations), batch.headers)
-    store.save_columns(Q.accepted(batch.columns, violations))
-    if keep_runs:
-        store.append_runs(runs, make_run_entities(flight), stored_forecasts(flight))
-        if fitted:
-            store.append_models(history.where("window = 'full'"), "pooled_ridge")
+    with store.change() as change:
+        if fresh:
+            change.clear()
+        save_batch(change, batch, violations)
+        if keep_runs:
+            change.append_runs(runs, make_run_entities(flight), stored_forecasts(flight))
+            if fitted:
+                change.append_models(history.where("window = 'full'"), "pooled_ridge")
+        if files is not None:
+            change.append("files", Q.accepted(files, violations))
     return Imported(violations, flight, runs, batch, history)
 
 
-def import_folder(spark: SparkSession, folder: str, store: Store, **options) -> Imported:
-    return import_lines(exports.read_lines(spark, folder), store, **options)
+def save_batch(change: Change, batch: Batch, violations: DataFrame) -> None:
+    """Datasets of the sources without a violation, also where nothing of one is left."""
+    keys = Q.accepted(batch.stats, violations).select("source")
+    change.save_series(Q.accepted(batch.panel, violations), keys)
+    change.save_raw(Q.accepted(batch.rows, violations), batch.headers, keys)
+    change.save_columns(Q.accepted(batch.columns, violations), keys)
+
+
+def import_folder(
+    spark: SparkSession, folder: str, store: Store, archive: str | None = None, **options
+) -> Imported | None:
+    """Import the files of a folder that are new or changed; None if none is.
+
+    What was read is in the store's ledger, published with the data that came of it. A file
+    that was refused is not in it and is read again the next time. ``archive`` is a folder
+    that imported files are moved to, none over another; a move that failed is made up for
+    by the next import. ``fresh`` reads every file.
+    """
+    new = ledger.pending(spark, folder, store, everything=options.get("fresh", False))
+    done = None
+    if not new.isEmpty():
+        lines = exports.read_lines(spark, ledger.paths(new))
+        files, changed = ledger.recorded(new, lines, store)
+        if changed.isEmpty():
+            with store.change() as change:
+                change.append("files", files)
+        else:
+            lines = lines.join(changed, "source", "left_semi")
+            done = import_lines(lines, store, files=files, **options)
+    if archive:
+        ledger.archive(spark, folder, store, archive)
+    return done

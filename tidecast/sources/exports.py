@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The first bytes of files that are not CSV whatever their name says.
@@ -15,10 +15,18 @@ MAGIC = [
 CSV_FILES = "[!.]*.[cC][sS][vV]"
 
 
+def source_of(path: Column) -> Column:
+    """The name of a file's dataset: the file's without ``.csv``.
+
+    Another spelling of the ending stays, so that ``a.csv`` and ``a.CSV`` are two.
+    """
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)[.]csv$", "")
+
+
 def _located(reader_df: DataFrame) -> DataFrame:
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return reader_df.select(
-        F.url_decode(F.regexp_replace(name, r"[.][^.]*$", "")).alias("source"),
+        source_of(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+        .alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("text"),
     )
@@ -29,8 +37,8 @@ def numbered(located: DataFrame) -> DataFrame:
     return located.withColumn("line_id", F.monotonically_increasing_id())
 
 
-def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of every CSV file in a folder. Large files are split across tasks."""
+def read_lines(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """Lines of every CSV file in a folder, or of the files named. Large ones are split."""
     return numbered(
         _located(
             spark.read.format("text")
@@ -41,19 +49,17 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stream_lines(spark: SparkSession, folder: str, archive: str | None = None) -> DataFrame:
-    """The same lines as a stream of files, each read once; read files may be archived.
+def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same lines as a stream of files, each read once.
 
     Lines are numbered in the micro-batch, see ``numbered``.
     """
-    reader = (
+    return _located(
         spark.readStream.format("text")
         .option("lineSep", "\n")
         .option("pathGlobFilter", CSV_FILES)
+        .load(folder)
     )
-    if archive:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return _located(reader.load(folder))
 
 
 def magic_kinds(parsed: DataFrame) -> DataFrame:

@@ -1,15 +1,26 @@
 """The stored tables and what may be done to them.
 
 ``raw`` (source, row_num, day, data), ``series`` (series_id, entity, metric, day, value),
-``columns`` (source, name, role, ...), ``runs``, ``run_entities``, ``forecasts`` and the
-``models`` fitted to stored data, as
-Parquet below one root on shared storage. Datasets are replaced whole, runs are appended.
-The entities of a run are rows: a list of them in one cell would grow with the data.
+``columns`` (source, name, role, ...), ``runs``, ``run_entities``, ``forecasts``, the
+``models`` fitted to stored data and the ``files`` that were read, as Parquet below one root
+on shared storage. Datasets are replaced whole, runs and files are appended. The entities of
+a run are rows: a list of them in one cell would grow with the data.
+
+A store has versions. A change writes its files into folders of its own and is published by
+one small manifest, renamed into place, that names the folders of every table. Readers see
+the manifest they opened and nothing else, so a change is there whole or not at all, and a
+job that died can be repeated. Datasets lie in hash buckets: replacing some rewrites the
+buckets they are in, however many accounts the store has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +30,7 @@ from tidecast.functions.text import run_label
 from tidecast.operators.accuracy import accuracy_view
 from tidecast.operators.forecast import COVARIATES, FITTED, long_form
 from tidecast.session import landed
+from tidecast.sources.files import Files
 
 SCHEMAS = {
     "raw": "row_num bigint, day date, data map<string,string>, source string",
@@ -33,112 +45,125 @@ SCHEMAS = {
     "n_rows bigint, created_at timestamp",
     "forecasts": "run_id string, entity string, metric string, day date, q_idx int, "
     "quantile double, value double",
+    "files": "path string, source string, length bigint, modified timestamp, digest string, "
+    "imported boolean, read_at timestamp",
 }
 #: What a run is: another value in any of these is another run.
 RUN_IDENTITY = ["series_id", "model", "as_of", "horizon", "group_by", "metrics", "n_entities",
                 "input_hash"]
-PARTITION = {"raw": "source", "series": "series_id", "columns": "source"}
+#: Tables that hold datasets, and the column that names a row's dataset.
+DATASET = {"raw": "source", "series": "series_id", "columns": "source"}
+BUCKETS = 64
+
+
+class StaleStore(RuntimeError):
+    """Another change was published since this one began; it can be made again."""
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    """A store at its newest version or, from ``at``, at a given one."""
+
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.files = Files(spark)
+        self._version = version
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def create(self) -> "Store":
-        """Make every table exist, so that reading an empty store works."""
-        for table, schema in SCHEMAS.items():
-            empty = self.spark.createDataFrame([], schema)
-            writer = empty.write.mode("append")
-            writer.parquet(self.path(table))
+    def create(self, buckets: int = BUCKETS) -> Store:
+        """Make the store exist, every table empty, unless it does already."""
+        if not self.versions():
+            self._publish(0, {"buckets": buckets, "tables": {t: [] for t in SCHEMAS}})
         return self
 
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+    # -- versions ------------------------------------------------------------------------
 
-    # -- replacing datasets ----------------------------------------------------------
+    def versions(self) -> list[int]:
+        names = self.files.names(f"{self.root}/versions")
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def _replace(self, table: str, df: DataFrame, keys: list[str] | None) -> None:
-        """Overwrite only the partitions present in ``df``.
+    def version(self) -> int:
+        if self._version is not None:
+            return self._version
+        found = self.versions()
+        if not found:
+            raise ValueError(f"there is no store in {self.root}")
+        return found[-1]
 
-        Rows are rebalanced by partition key; a key too large for one task is split, so
-        the largest source neither becomes one file nor one task. A dataset that comes
-        back empty has no rows to overwrite with; ``keys`` names those to empty.
-        """
-        part = PARTITION[table]
-        (
-            self._shaped(table, df)
-            .hint("rebalance", F.col(part))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(part)
-            .parquet(self.path(table))
-        )
-        for key in keys or []:
-            if not df.where(F.col(part) == key).limit(1).count():
-                empty = self.spark.createDataFrame([], SCHEMAS[table]).drop(part)
-                empty.write.mode("overwrite").parquet(f"{self.path(table)}/{part}={key}")
+    def at(self, version: int) -> Store:
+        """The store as that version left it, for reading."""
+        return Store(self.spark, self.root, version)
 
-    def save_raw(self, rows: DataFrame, headers: DataFrame, keys: list[str] | None = None):
-        self._replace("raw", raw_rows(rows, headers), keys)
+    def manifest(self) -> dict:
+        return json.loads(self.files.text(self._manifest_path(self.version())))
 
-    def save_series(self, panel: DataFrame, keys: list[str] | None = None):
-        self._replace("series", panel.withColumnRenamed("source", "series_id"), keys)
+    def _manifest_path(self, version: int) -> str:
+        return f"{self.root}/versions/{version:012d}.json"
 
-    def save_columns(self, columns: DataFrame, keys: list[str] | None = None):
-        self._replace("columns", columns, keys)
+    def _publish(self, version: int, manifest: dict) -> None:
+        if not self.files.publish(self._manifest_path(version), json.dumps(manifest)):
+            raise StaleStore(f"version {version} of {self.root} was published by another job")
 
-    def clear(self) -> None:
-        """Empty every table, leaving it readable."""
-        for table, schema in SCHEMAS.items():
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-                self.path(table)
-            )
-
-    # -- runs --------------------------------------------------------------------------
-
-    def append_runs(
-        self, runs: DataFrame, run_entities: DataFrame, forecasts: DataFrame
-    ) -> None:
-        """Store finished runs. A run must hold a forecast for each of its entities.
-
-        A run that is stored already is left as it is. The row in ``runs`` comes last: until
-        it is there, nothing reads the run's forecasts, so a job that fails half-way and is
-        repeated leaves no half run behind.
+    def read(self, table: str) -> DataFrame:
+        return self._read(table, self.manifest()["tables"][table])
+
+    def _read(self, table: str, folders: list[str]) -> DataFrame:
+        """The rows in some of a table's folders, named below the table's own."""
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        top = f"{self.root}/{table}"
+        schema = SCHEMAS[table]
+        return self.spark.read.schema(schema).parquet(*[f"{top}/{x}" for x in folders])
+
+    @contextmanager
+    def change(self) -> Iterator[Change]:
+        """What is done to the change is published together when the block ends well."""
+        if self._version is not None:
+            raise ValueError("only the newest version of a store can be changed")
+        change = Change(self)
+        yield change
+        self._publish(change.base + 1, change.manifest)
+
+    def sweep(self, keep: int = 2) -> None:
+        """Forget all but the newest versions, and delete the folders only older ones name.
+
+        Folders that no manifest names, of a change under way or a failed one, are left.
         """
-        pairs = forecasts.select("run_id", "entity").distinct()
-        lacking = run_entities.join(pairs, ["run_id", "entity"], "left_anti").limit(1).collect()
-        if lacking:
-            raise ValueError(
-                f"run {lacking[0]['run_id']} lacks a forecast for {lacking[0]['entity']!r}"
-            )
-        seen = self.read("runs").select("id")
-        runs = landed(runs.join(seen, "id", "left_anti"), "new_runs")
-        ids = runs.select(F.col("id").alias("run_id"))
-        run_entities = run_entities.join(ids, "run_id", "left_semi")
-        forecasts = forecasts.join(ids, "run_id", "left_semi")
-        (
-            self._shaped("forecasts", forecasts)
-            .repartitionByRange("entity", "metric", "quantile", "run_id", "day")
-            .sortWithinPartitions("entity", "metric", "quantile")
-            .write.mode("append")
-            .parquet(self.path("forecasts"))
-        )
-        for name, df in (("run_entities", run_entities), ("runs", runs)):
-            self._shaped(name, df).write.mode("append").parquet(self.path(name))
+        found = self.versions()
+        old, kept = found[:-keep], found[-keep:]
+        used = {(t, x) for v in kept for t, xs in self.at(v).manifest()["tables"].items() for x in xs}
+        for v in old:
+            for t, xs in self.at(v).manifest()["tables"].items():
+                for x in xs:
+                    if (t, x) not in used:
+                        self.files.delete(f"{self.root}/{t}/{x}")
+            self.files.delete(self._manifest_path(v))
+
+    # -- changes of one step -------------------------------------------------------------
+
+    def save_raw(self, rows: DataFrame, headers: DataFrame, keys: DataFrame | None = None):
+        with self.change() as c:
+            c.save_raw(rows, headers, keys)
+
+    def save_series(self, panel: DataFrame, keys: DataFrame | None = None):
+        with self.change() as c:
+            c.save_series(panel, keys)
+
+    def save_columns(self, columns: DataFrame, keys: DataFrame | None = None):
+        with self.change() as c:
+            c.save_columns(columns, keys)
+
+    def append_runs(self, runs: DataFrame, run_entities: DataFrame, forecasts: DataFrame) -> None:
+        with self.change() as c:
+            c.append_runs(runs, run_entities, forecasts)
 
     def append_models(self, history: DataFrame, model: str) -> None:
-        """Record what a fitted model has seen, per series: last day, metrics, rows."""
-        seen = history.groupBy("series_id").agg(
-            F.max("day").alias("trained_through"),
-            F.array_sort(F.collect_set("metric")).alias("metrics"),
-            F.count(F.lit(1)).alias("n_rows"),
-        ).withColumns({"model": F.lit(model), "created_at": F.current_timestamp()})
-        self._shaped("models", seen).write.mode("append").parquet(self.path("models"))
+        with self.change() as c:
+            c.append_models(history, model)
+
+    def clear(self) -> None:
+        """Empty every table; older versions still read."""
+        with self.change() as c:
+            c.clear()
 
     def accuracy_view(self, name: str = "forecast_accuracy") -> DataFrame:
         """Forecasts against actuals as a temporary view; nothing is copied."""
@@ -146,9 +171,6 @@ class Store:
         view.createOrReplaceTempView(name)
         return view
 
-    def _shaped(self, name: str, df: DataFrame) -> DataFrame:
-        return df.select(*[f.name for f in T._parse_datatype_string(SCHEMAS[name]).fields])
-
     def run_list(self) -> DataFrame:
         return self.read("runs").select(
             "id", "series_id", "model", "horizon", "created_at",
@@ -175,6 +197,111 @@ class Store:
         return names.orderBy("series_id")
 
 
+class Change:
+    """Tables as they will be: written now, seen by readers only once they are published."""
+
+    def __init__(self, store: Store):
+        self.store, self.spark = store, store.spark
+        self.base = store.version()
+        self.manifest = store.at(self.base).manifest()
+        self.name, self.steps = uuid.uuid4().hex, 0
+
+    def read(self, table: str) -> DataFrame:
+        return self.store._read(table, self.manifest["tables"][table])
+
+    def clear(self) -> None:
+        self.manifest["tables"] = {t: [] for t in SCHEMAS}
+
+    def _folder(self) -> str:
+        self.steps += 1
+        return f"v={self.name}-{self.steps}"
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.manifest["buckets"])).cast("int")
+
+    def replace(self, table: str, df: DataFrame, keys: DataFrame | None = None) -> None:
+        """Datasets in ``df`` and those named by ``keys`` have the rows of ``df`` from now on.
+
+        ``keys`` has the dataset's name in its first column: one that came back empty has no
+        row to say so. Only the buckets that hold these datasets are written anew. A bucket
+        too large for one task is split, so the largest dataset is neither one file nor one
+        task.
+        """
+        key = DATASET[table]
+        named = df.select(key)
+        if keys is not None:
+            named = named.union(keys.select(keys.columns[0]))
+        named = landed(named.distinct(), "datasets")
+        buckets = [r[0] for r in named.select(self._bucket(key)).distinct().collect()]
+        names = tuple(f"/bucket={b}" for b in buckets)
+        have = self.manifest["tables"][table]
+        touched = [x for x in have if x.endswith(names)] if names else []
+        rows = _shaped(table, df)
+        if touched:
+            rows = rows.unionByName(self.store._read(table, touched).join(named, key, "left_anti"))
+        folder = self._folder()
+        (
+            rows.withColumn("bucket", self._bucket(key))
+            .hint("rebalance", F.col("bucket"))
+            .write.partitionBy("bucket")
+            .parquet(f"{self.store.root}/{table}/{folder}")
+        )
+        made = self.store.files.names(f"{self.store.root}/{table}/{folder}")
+        made = [f"{folder}/{n}" for n in sorted(made) if n.startswith("bucket=")]
+        self.manifest["tables"][table] = [x for x in have if x not in touched] + made
+
+    def append(self, table: str, df: DataFrame) -> None:
+        folder = self._folder()
+        _shaped(table, df).write.parquet(f"{self.store.root}/{table}/{folder}")
+        self.manifest["tables"][table].append(folder)
+
+    def save_raw(self, rows: DataFrame, headers: DataFrame, keys: DataFrame | None = None):
+        self.replace("raw", raw_rows(rows, headers), keys)
+
+    def save_series(self, panel: DataFrame, keys: DataFrame | None = None):
+        self.replace("series", panel.withColumnRenamed("source", "series_id"), keys)
+
+    def save_columns(self, columns: DataFrame, keys: DataFrame | None = None):
+        self.replace("columns", columns, keys)
+
+    def append_runs(self, runs: DataFrame, run_entities: DataFrame, forecasts: DataFrame) -> None:
+        """Store finished runs. A run must hold a forecast for each of its entities.
+
+        A run that is stored already is left as it is. Forecasts become visible together with
+        their run, so a job that fails half-way and is repeated stores each of them once.
+        """
+        pairs = forecasts.select("run_id", "entity").distinct()
+        lacking = run_entities.join(pairs, ["run_id", "entity"], "left_anti").limit(1).collect()
+        if lacking:
+            raise ValueError(
+                f"run {lacking[0]['run_id']} lacks a forecast for {lacking[0]['entity']!r}"
+            )
+        seen = self.read("runs").select("id")
+        runs = landed(runs.join(seen, "id", "left_anti"), "new_runs")
+        ids = runs.select(F.col("id").alias("run_id"))
+        ordered = (
+            forecasts.join(ids, "run_id", "left_semi")
+            .repartitionByRange("entity", "metric", "quantile", "run_id", "day")
+            .sortWithinPartitions("entity", "metric", "quantile")
+        )
+        self.append("forecasts", ordered)
+        self.append("run_entities", run_entities.join(ids, "run_id", "left_semi"))
+        self.append("runs", runs)
+
+    def append_models(self, history: DataFrame, model: str) -> None:
+        """Record what a fitted model has seen, per series: last day, metrics, rows."""
+        seen = history.groupBy("series_id").agg(
+            F.max("day").alias("trained_through"),
+            F.array_sort(F.collect_set("metric")).alias("metrics"),
+            F.count(F.lit(1)).alias("n_rows"),
+        ).withColumns({"model": F.lit(model), "created_at": F.current_timestamp()})
+        self.append("models", seen)
+
+
+def _shaped(table: str, df: DataFrame) -> DataFrame:
+    return df.select(*[f.name for f in T._parse_datatype_string(SCHEMAS[table]).fields])
+
+
 def raw_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Input rows as they came, keyed by column name. Rows that were filled in are not
     input and never stored here."""

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tidecast.plans.import_job import import_lines
-from tidecast.session import landed
-from tidecast.sources.exports import numbered, stream_lines
+from tidecast.plans.import_job import import_folder
+from tidecast.sources.exports import stream_lines
 from tidecast.sources.store import Store
 
 
@@ -21,17 +20,16 @@ def start_import(
 ) -> StreamingQuery:
     """Import what is new in the folder and stop. Progress is kept in ``checkpoint``.
 
-    A replayed batch replaces the same datasets, and its runs, which carry the same ids, are
-    stored once. A revised file gives runs of its own.
+    The stream says when there is something new; what is new is the store's ledger to say,
+    so a batch that is replayed, in whole or for one of its files, finds what was imported
+    before recorded and moves it to ``archive`` in the same batch.
     """
 
-    def one_batch(lines: DataFrame, _batch_id: int) -> None:
-        if lines.isEmpty():
-            return
-        import_lines(landed(numbered(lines), "lines"), store, **options)
+    def one_batch(_: DataFrame, _batch_id: int) -> None:
+        import_folder(spark, folder, store, archive, **options)
 
     return (
-        stream_lines(spark, folder, archive)
+        stream_lines(spark, folder)
         .writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
