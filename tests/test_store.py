@@ -19,10 +19,10 @@ from tidecast.sources.exports import read_lines
 from tidecast.sources.files import Files
 from tidecast.sources.store import Store
 from tidecast.streaming.closed_days import (
+    close_days,
     closed_days,
-    late_rows,
+    read_days,
     write_closed_days,
-    write_late_events,
 )
 from tidecast.streaming.drop_folder import start_import
 from tidecast.streaming.live_accuracy import score_arrivals
@@ -375,33 +375,34 @@ def test_drop_folder_stream(spark):
 
 def test_closed_days(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    schema = "ts timestamp, event_type string, value double"
+    schema = "ts timestamp, event_type string, value double, note string"
 
     def add(name, rows):
-        df = spark.createDataFrame([(dt.datetime.fromisoformat(t), e, v) for t, e, v in rows], schema)
+        df = spark.createDataFrame(
+            [(t and dt.datetime.fromisoformat(t), e, v, name) for t, e, v in rows], schema)
         df.coalesce(1).write.parquet(f"{folder}/in/{name}")
 
     def run():
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in/*")
-        q = write_closed_days(closed_days(stream, "0 seconds"), folder + "/out", folder + "/progress")
-        q.awaitTermination()
-        return q
+        write_closed_days(closed_days(stream, "0 seconds"), folder + "/out", folder + "/cp").awaitTermination()
+        close_days(stream, folder + "/days", folder + "/cp2", "0 seconds").awaitTermination()
+        return [sorted((str(r["day"]) if "day" in r else str(r["ts"]), r[i], r[j]) for r in x.collect())
+                for x, i, j in zip(read_days(spark, folder + "/days"), (0, 0, 1), (3, 3, 2), strict=True)]
 
     add("a", [("2026-01-01T10:00:00", "x", 1.0), ("2026-01-01T12:00:00", "x", 2.0),
               ("2026-01-02T09:00:00", "x", 5.0)])
-    run()
-    first = {(str(r["day"]), r["n_events"], r["total"]) for r in spark.read.parquet(folder + "/out").collect()}
-    assert first == {("2026-01-01", 2, 3.0)}
-    add("b", [("2026-01-01T23:00:00", "x", 100.0), ("2026-01-03T01:00:00", "x", 7.0)])
-    late = write_late_events(
-        spark.readStream.schema(schema).parquet(f"{folder}/in/b"), folder + "/out",
-        folder + "/late", folder + "/late-progress")
-    late.awaitTermination()
-    assert [r["value"] for r in spark.read.parquet(folder + "/late").collect()] == [100.0]
-    q = run()
+    assert run() == [[("2026-01-01", "x", 3.0)], [("2026-01-02", "x", 5.0)], []]
+    # Late rows: of a closed day, of a type and of a day that had none, and one without a time.
+    add("b", [("2026-01-01T23:00:00", "x", 100.0), ("2026-01-01T23:00:00", "y", 50.0),
+              ("2025-12-30T01:00:00", "x", 25.0), (None, "x", 9.0),
+              ("2026-01-02T10:00:00", "y", 2.0), ("2026-01-03T01:00:00", "x", 7.0)])
+    closed, still_open, late = run()
+    assert closed == [("2026-01-01", "x", 3.0), ("2026-01-02", "x", 5.0), ("2026-01-02", "y", 2.0)]
+    assert still_open == [("2026-01-03", "x", 7.0)]
+    assert sorted(v for _, _, v in late) == [9.0, 25.0, 50.0, 100.0]
+    assert {r["note"] for r in read_days(spark, folder + "/days")[2].collect()} == {"b"}
     rows = {(str(r["day"]), r["total"]) for r in spark.read.parquet(folder + "/out").collect()}
-    assert rows == {("2026-01-01", 3.0), ("2026-01-02", 5.0)}
-    assert late_rows(q) == 1
+    assert rows == {("2026-01-01", 3.0), ("2026-01-02", 5.0), ("2026-01-02", 2.0)}
 
 
 def test_scores_as_actuals_arrive(spark):

@@ -682,6 +682,12 @@ scored AS (
   FROM bands b LEFT JOIN series s ON b.series_id = s.series_id AND b.entity = s.entity
     AND b.metric = s.metric AND b.day = s.day)"""
 
+_SQL["stored_tables"] = _with(STORED) + """
+SELECT series_id, model, as_of, COUNT(*) AS n_values, COUNT(DISTINCT entity) AS n_entities,
+  any_value(n_days) AS n_days
+FROM stored JOIN (SELECT series_id, COUNT(DISTINCT day) AS n_days FROM series GROUP BY ALL) n
+  USING (series_id) GROUP BY ALL"""
+
 _SQL["forecast_accuracy"] = _with(STORED) + """
 SELECT series_id, model, as_of, days_ahead, entity, metric, day, ROUND(forecast, 4) + 0.0
   AS forecast, ROUND(actual, 4) + 0.0 AS actual, ROUND(error, 4) + 0.0 AS error,
@@ -858,6 +864,39 @@ _SQL["store_replace"] = _with(PANEL) + """
 SELECT source AS series_id, entity, metric, COUNT(*) AS n_days, ROUND(SUM(value), 3) AS total
 FROM panel JOIN spans USING (source)
 WHERE source <> 'F' OR date_diff('day', day, hi) < 30 GROUP BY ALL"""
+_SQL["published_versions"] = _with(PANEL) + """
+SELECT CAST(1 AS INTEGER) AS version, source AS series_id, entity, metric, COUNT(*) AS n_days,
+  ROUND(SUM(value), 3) AS total FROM panel GROUP BY ALL
+UNION ALL
+SELECT 2, source, entity, metric, COUNT(*), ROUND(SUM(value), 3)
+FROM panel JOIN spans USING (source)
+WHERE source <> 'F' OR date_diff('day', day, hi) < 30 GROUP BY ALL"""
+_SQL["repeated_append"] = _with(STORED) + """
+SELECT series_id, model, entity, metric, day, q_idx, CAST(1 AS BIGINT) AS n,
+  ROUND(value, 4) AS value
+FROM stored WHERE model LIKE 'weekday_quantile@%'"""
+_SQL["ledger_import"] = _with(PANEL) + f"""
+SELECT source AS series_id, COUNT(*) AS n_days, SUM(value) AS clicks,
+  CAST(CASE WHEN source = 'F' THEN 2 ELSE 1 END AS BIGINT) AS n_imports,
+  CAST(CASE WHEN source = 'F' THEN 6 ELSE 3 END AS BIGINT) AS n_runs,
+  CAST(CASE WHEN source = 'F' THEN 2 ELSE 1 END AS BIGINT) AS n_archived
+FROM panel JOIN spans USING (source)
+WHERE entity = '{fixed.ACCOUNT}' AND metric = 'Clicks'
+  AND (source <> 'F' OR date_diff('day', day, hi) >= 10) GROUP BY ALL"""
+_SQL["late_events"] = """
+WITH e AS (
+  SELECT *, CAST(ts AS DATE) AS day, MIN(CAST(ts AS DATE)) OVER () AS lo,
+    MAX(CAST(ts AS DATE)) OVER () AS hi FROM events),
+a AS (
+  SELECT *, CAST(floor(date_diff('day', lo, day) * 4.0 / (date_diff('day', lo, hi) + 1)) AS INTEGER)
+    + CASE WHEN event_id % 50 = 0 THEN 2 WHEN event_id % 20 = 0 THEN 1 ELSE 0 END AS k FROM e),
+marks AS (
+  SELECT k, CAST(MAX(MAX(ts)) OVER (ORDER BY k) - INTERVAL 1 DAY AS DATE) AS cut FROM a GROUP BY k),
+seen AS (
+  SELECT a.*, COALESCE(day < m.cut, false) AS late FROM a LEFT JOIN marks m ON m.k = a.k - 1)
+SELECT CASE WHEN late THEN 'late' WHEN day < (SELECT MAX(cut) FROM marks) THEN 'closed' ELSE 'open'
+  END AS kind, event_type AS entity, day, COUNT(*) AS n_events, ROUND(SUM(value), 4) + 0.0 AS total
+FROM seen GROUP BY ALL"""
 _SQL["stored_raw"] = _with(DAILY) + """
 SELECT source, CASE WHEN entity = 'R' AND day >= DATE '1999-01-01' THEN 'Paused' ELSE 'Enabled'
   END AS status, COUNT(*) AS n_rows, ROUND(SUM(cost), 2) AS cost FROM dense GROUP BY ALL"""
@@ -882,7 +921,7 @@ FROM spans, ahead"""
 _SQL["cleared_store"] = _with(PANEL) + """
 SELECT source AS series_id, COUNT(*) AS n FROM panel GROUP BY source
 UNION ALL SELECT t, 0 FROM (VALUES ('raw'), ('series'), ('columns'), ('runs'), ('run_entities'),
-  ('models'), ('forecasts')) v(t)"""
+  ('models'), ('forecasts'), ('files')) v(t)"""
 
 _SQL["import_scored"] = _with(DAILY, CTR, f"""panel AS (
   SELECT source, entity, day, metric, value FROM ctr, LATERAL (VALUES ('Cost', cost),
@@ -905,7 +944,8 @@ stored AS (
   UNION ALL
   SELECT series_id, entity, metric, 'average@90d', day, q_idx, AVG(value) FROM plain
   WHERE w = '90d' GROUP BY ALL)""") + """
-SELECT series_id, model, entity, metric, day, ROUND(MAX(value) FILTER (q_idx = 4), 3) + 0.0 AS forecast,
-  ROUND(MAX(value) FILTER (q_idx = 0), 3) + 0.0 AS low,
-  ROUND(MAX(value) FILTER (q_idx = 8), 3) + 0.0 AS high, NULL::DOUBLE AS actual, false AS trained_on
+SELECT series_id, model, entity, metric, day,
+  ROUND(MAX(value) FILTER (q_idx = 4) + 1e-7, 3) + 0.0 AS forecast,
+  ROUND(MAX(value) FILTER (q_idx = 0) + 1e-7, 3) + 0.0 AS low,
+  ROUND(MAX(value) FILTER (q_idx = 8) + 1e-7, 3) + 0.0 AS high, NULL::DOUBLE AS actual, false AS trained_on
 FROM stored GROUP BY series_id, model, entity, metric, day"""
