@@ -80,3 +80,20 @@ def test_rows_of_every_kind(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss))
     assert got[3]["formatted_chars"] == len(C.START + "assistant\n" + C.END + "\n") + 50_000 * 9
     assert C.digests(C.format_turns(turns.limit(0))).collect() == []
+
+
+def test_records_without_turns_are_kept(spark):
+    long = str(1 << 70)
+    odd = ['{"turn":"a","role":"user","text":"x"}', '{"turn":true,"role":"user","text":"x"}',
+           '{"turn":' + long + ',"role":"user","text":"x"}', '{"x": 1}', "{", "[1]",
+           '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":[{"type":"text"}]}]}',
+           '{"messages":[{"role":"user","content":"a"}, 3]}', '{"turn":1.5,"role":"u","text":"x"}']
+    good = json.dumps(LAYOUTS["messages"])
+    rows = [(1, x) for x in odd] + [(1, good), (2, good), (3, "{"), (4, None)]
+    df = spark.createDataFrame(rows, "conv_id long, record string")
+    made = C.format_turns(C.canonical_turns(df))
+    kept = [r["unknown"] for r in made.where("conv_id = 1 AND segment IS NULL").collect()]
+    assert sorted(kept) == sorted(odd)
+    assert made.where("segment IS NULL AND (loss_start IS NOT NULL OR loss_chars IS NOT NULL)").count() == 0
+    got = {r["conv_id"]: (r["n_turns"], r["n_unknown"]) for r in C.digests(made).collect()}
+    assert got == {1: (2, len(odd)), 2: (2, 0), 3: (0, 1), 4: (0, 1)}

@@ -7,7 +7,7 @@ from test_decontaminate import shingles
 from test_mixing import shared
 from test_simhash import slow_components, slow_print
 
-from tidecast.llm import toxicity
+from tidecast.llm import decontaminate, exact, mixing, simhash, toxicity
 from tidecast.session import landed
 
 SF = "/root/testdata/sf0.01"
@@ -77,3 +77,40 @@ def test_odd_rows_go_through(spark, folder):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, folder)
     assert empty.collect() == []
+
+
+#: Every name that a stage gives a column of its own, and the pipeline's.
+HELPERS = ["__key", "__text", "__row", "__null", "__id", "__score", "__copies", "__source", "key", "row",
+           "score", "copies", "copy", "text_key", "hash", "absent", "k0", "c0", "Doc.Id", "item_id", "n"]
+
+
+def test_no_stage_touches_the_columns_of_users(spark):
+    plain = "many plain words about a quiet river and its long winter number "
+    rows = [(i, plain + " ".join(f"w{i}x{k}" for k in range(30)), "s", *[f"{h} {i}" for h in HELPERS])
+            for i in range(20)]
+    rows += [(30, None, None, *HELPERS), (None, "", "s", *HELPERS)]
+    names = ["doc_id", "text", "source", *HELPERS]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "nothing of this is in any text")], "item_id long, text string")
+    want = sorted(map(str, (tuple(r) for r in rows)))
+    for out in (toxicity.clean_documents(docs, labels), simhash.one_of_each(docs, words=5),
+                decontaminate.clean_documents(docs, items)):
+        assert out.columns == names
+        assert set(map(str, map(tuple, out.collect()))) <= set(want)
+    assert sorted(str(tuple(r)) for r in decontaminate.clean_documents(docs, items).collect()) == want
+    kept = exact.one_of_each(docs)
+    assert kept.columns == names and set(str(tuple(r)) for r in kept.collect()) < set(want)
+    mix = mixing.mixed(docs)
+    assert mix.columns == [*names, "_copy"]
+    assert {str(tuple(r)[:-1]) for r in mix.collect()} <= set(want)
+
+
+def test_of_rows_that_repeat_id_and_text_the_same_one_stays(spark):
+    text = "a plain text of some words that nobody has seen before in this place"
+    rows = [(1, text, "s", f"note {i}") for i in range(50)]
+    names = "doc_id long, text string, source string, note string"
+    for stage in (mixing.mixed, simhash.one_of_each, exact.one_of_each):
+        one = {r["note"] for r in stage(spark.createDataFrame(rows, names)).collect()}
+        two = {r["note"] for r in stage(spark.createDataFrame(rows[::-1], names).repartition(7)).collect()}
+        assert len(one) == 1 and one == two

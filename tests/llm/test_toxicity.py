@@ -29,7 +29,7 @@ def test_held_out_documents(spark):
 def fitted(fairness: float) -> T.Model:
     """Texts in which one group is named in bad company more often than its counterpart."""
     r = random.Random(2)
-    rows, y, mentions = [], [], Counter()
+    rows, y, swaps = [], [], []
     for i in range(400):
         toxic = i % 2
         words = r.sample(["river", "house", "market", "garden", "winter", "letter"], 3)
@@ -38,11 +38,11 @@ def fitted(fairness: float) -> T.Model:
         group = "muslims" if r.random() < (0.8 if toxic else 0.1) else "christians"
         words.append(group)
         text = " ".join(words).encode()
-        mentions.update(T.identity_counts(text))
+        swaps += T.swaps_of(text)
         f = T.text_features(text)
         rows.append((list(f), list(f.values())))
         y.append(toxic)
-    return T.fit_rows(rows, y, np.full(400, 1 / 400), mentions, fairness=fairness)
+    return T.fit_rows(rows, y, np.full(400, 1 / 400), swaps, fairness=fairness)
 
 
 def test_swapping_a_group_hardly_changes_the_score():
@@ -101,5 +101,50 @@ def test_score_is_the_fitted_sum_on_short_and_long_texts(spark):
         want.append(1 / (1 + np.exp(-z)))
     assert np.allclose([model.score(t.encode()) for t in texts], want, rtol=1e-9)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["__score"] for r in T.scores(df, model, ["doc_id"]).collect()}
+    got = {r["c0"]: r["score"] for r in T.scores(df, model, ["doc_id"]).collect()}
     assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-9)
+
+
+def test_a_swapped_sentence_is_made_and_compared():
+    text = "The zorgs came. A river and the zorgs, zorgian zorgs! Nothing here".encode()
+    terms = (("zorgs", "blips", "quuxes"),)
+    got = T.swaps_of(text, terms)
+    assert len(got) == 4  # two sentences, two other names
+    for (found, values), (old, new) in zip(got, [
+            ("the zorgs came", "the blips came"), ("the zorgs came", "the quuxes came"),
+            ("a river and the zorgs zorgian", "a river and the blips zorgian"),
+            ("a river and the zorgs zorgian", "a river and the quuxes zorgian")], strict=True):
+        a, b = T.text_features(old.encode()), T.text_features(new.encode())
+        want = {f: np.log1p(b[f]) - np.log1p(a[f]) for f in a | b if a[f] != b[f]}
+        assert dict(zip(found, values, strict=True)) == want
+    assert T.swaps_of(text, (("other", "another"),)) == []
+
+
+def test_terms_given_to_the_fit_are_swapped(spark):
+    """Sentences planted in labelled documents go all the way through ``train``."""
+    r, rows, labels = random.Random(4), [], []
+    for i in (i for i in range(900) if not held_out(i)):
+        toxic = i % 2
+        words = r.sample(["river", "house", "market", "garden", "winter", "letter"], 3)
+        words.append("zorgs" if r.random() < (0.8 if toxic else 0.1) else "blips")
+        if toxic and r.random() < 0.7:
+            words.append("idiot")
+        rows.append((i, "Some plain words. " + " ".join(words) + "."))
+        labels.append((i, 1, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    gap = lambda m: m.score(b"the zorgs had a garden") - m.score(b"the blips had a garden")
+    assert gap(T.train(docs, marks)) > 0.3  # the usual terms say nothing of these
+    fair = T.train(docs, marks, terms=(("zorgs", "blips"),))
+    assert abs(gap(fair)) < 0.1 and fair.score(b"a blips idiot") > 0.6
+
+
+def test_many_rows_of_one_labelled_id(spark):
+    from tidecast.llm.labelled import sample
+
+    ids = [i for i in range(40) if not held_out(i)]
+    docs = spark.range(50_000).selectExpr(f"{ids[0]} AS doc_id", "concat('text ', id) AS text").unionByName(
+        spark.createDataFrame([(i, f"word{i}") for i in ids[1:]], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    got, sizes = sample(docs, labels, "toxic", 3, 1, 2000)
+    assert got.count() == len(ids) == sum(sizes.values())

@@ -97,18 +97,28 @@ def _get(value, path: str):
 
 
 def _text(value) -> str:
+    """A plain value as text; what has parts of its own is no text of a turn."""
+    if isinstance(value, (dict, list)):
+        raise ValueError("a text made of parts")
     if value is None:
         return ""
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def record_turns(record: dict, m: Mapping) -> list[tuple[int | None, str, str]]:
+    """Turns of a record; ValueError if its values are not what the layout needs."""
     if m.row:
         turn, role, text = m.row
-        return [(record[turn], _text(record[role]), _text(record[text]))]
+        number = record[turn]
+        if number is not None and (type(number) is not int or not -(1 << 63) <= number < 1 << 63):
+            raise ValueError("a turn without a number")
+        return [(number, _text(record[role]), _text(record[text]))]
     if m.each:
         top, role, text = m.each
-        said = [(_text(_get(x, role)), _text(_get(x, text))) for x in _get(record, top)]
+        each = _get(record, top)
+        if not all(isinstance(x, dict) for x in each):
+            raise ValueError("a turn that is no object")
+        said = [(_text(_get(x, role)), _text(_get(x, text))) for x in each]
     else:
         said = [(role, _text(_get(record, path))) for role, path in m.turns
                 if _get(record, path) is not None]
@@ -118,10 +128,11 @@ def record_turns(record: dict, m: Mapping) -> list[tuple[int | None, str, str]]:
 
 
 def canonical_turns(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
-    """conv_id, turn, role, text, layout from (conv_id, record).
+    """conv_id, turn, role, text, layout, unknown from (conv_id, record).
 
-    A record that is no JSON object, or of an unknown layout, gives one row whose layout is
-    null, so that none is lost silently. Null texts are empty.
+    A record that is no JSON object, of an unknown layout, or with a turn that is no number or
+    a text that has parts, gives one row whose layout is null and that carries the record in
+    ``unknown``, so that none is lost. Null texts are empty.
     """
     kind = records.schema["conv_id"].dataType.simpleString()
     known, by_print = registry(mappings)
@@ -144,17 +155,22 @@ def canonical_turns(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
                 except ValueError:
                     record = None
                 m = mapping_of(record)
-                turns = record_turns(record, m) if m else [(None, None, None)]
+                try:
+                    turns = [(*t, m.name, None) for t in record_turns(record, m)] if m else None
+                except (ValueError, TypeError):
+                    turns = None
+                turns = [(None, None, None, None, text)] if turns is None else turns
                 at += [i] * len(turns)
-                rows += [(*t, m.name if m else None) for t in turns]
-            turn, role, said, layout = zip(*rows, strict=True) if rows else ((), (), (), ())
+                rows += turns
+            turn, role, said, layout, unknown = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column("conv_id").take(pa.array(at, pa.int64())), pa.array(turn, pa.int64()),
                  pa.array(role, pa.string()), pa.array(said, pa.string()),
-                 pa.array(layout, pa.string())], ["conv_id", "turn", "role", "text", "layout"])
+                 pa.array(layout, pa.string()), pa.array(unknown, pa.string())],
+                ["conv_id", "turn", "role", "text", "layout", "unknown"])
 
     return records.select("conv_id", "record").mapInArrow(
-        run, f"conv_id {kind}, turn long, role string, text string, layout string")
+        run, f"conv_id {kind}, turn long, role string, text string, layout string, unknown string")
 
 
 def rows_as_records(rows: DataFrame) -> DataFrame:
@@ -164,23 +180,26 @@ def rows_as_records(rows: DataFrame) -> DataFrame:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, segment, loss_start, loss_chars; a conversation is its segments in order.
+    """conv_id, turn, segment, loss_start, loss_chars, unknown; segments make a conversation.
 
     ``<`` before bars gets one bar more, so ``<|`` with a single bar only ever opens a control
     string; in roles, line breaks are escaped as well. The loss mask covers the escaped text
-    of assistant turns and nothing else. Ties of a turn are ordered by role and text.
+    of assistant turns and nothing else. Ties of a turn are ordered by role and text. A record
+    that has no turns stays as a row without a segment, with the record in ``unknown``.
     """
     escaped = F.regexp_replace(F.coalesce("text", F.lit("")), "<(\\|+)", "<|$1")
     role = F.regexp_replace(F.coalesce("role", F.lit("")), "<(\\|+)", "<|$1")
     role = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
-    named = turns.where(F.col("layout").isNotNull()).select(
-        "conv_id", "turn", "role", "text", role.alias("r"), escaped.alias("t"))
+    formed = F.col("layout").isNotNull()
+    named = turns.select("conv_id", "turn", "role", "text", "unknown", formed.alias("formed"),
+                         role.alias("r"), escaped.alias("t"))
     segment = F.concat(F.lit(START), "r", F.lit("\n"), "t", F.lit(END + "\n"))
-    mask = F.col("role") == "assistant"
+    segment = F.when(F.col("formed"), segment)
+    mask = F.col("formed") & (F.col("role") == "assistant")
     start = F.when(mask, F.length("r") + len(START) + 1)
     ordered = named.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "turn", segment.alias("segment"), start.alias("loss_start"),
-                          F.when(mask, F.length("t")).alias("loss_chars"))
+                          F.when(mask, F.length("t")).alias("loss_chars"), "unknown")
 
 
 def unescaped(text: str) -> str:
@@ -195,17 +214,22 @@ def read_segment(segment: str) -> tuple[str, str]:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from the formatted output, one row per conversation."""
+    """What can be read back from the formatted output, one row per conversation.
+
+    ``n_unknown`` counts its records that have no turns; nothing else comes of them.
+    """
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars",
+             "n_unknown"]
 
     def run(batches):
         at, state, id_type = None, None, None
 
         def row():
-            n, turns, chars, loss, length = state
-            values = [at, n, turns.hexdigest(), chars, loss.hexdigest(), length]
-            kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            n, turns, chars, loss, length, unknown = state
+            values = [at, n, turns.hexdigest(), chars, loss.hexdigest(), length, unknown]
+            kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(),
+                     pa.int64()]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
@@ -217,7 +241,10 @@ def digests(formatted: DataFrame) -> DataFrame:
                 if state is None or conv != at:
                     if state is not None:
                         done.append(row())
-                    at, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    at, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if segment is None:
+                    state[5] += 1
+                    continue
                 role, text = read_segment(segment)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
@@ -234,4 +261,4 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     return formatted.mapInArrow(
         run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
-             "loss_sha256 string, formatted_chars long")
+             "loss_sha256 string, formatted_chars long, n_unknown long")

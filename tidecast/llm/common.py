@@ -17,8 +17,9 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["WORD", "ascii_lower", "column_of", "key_of", "landed", "n_words", "only_rows_of",
-           "table", "text_of", "texts", "word_blocks"]
+__all__ = ["WORD", "ascii_lower", "column", "column_of", "key_of", "key_struct", "landed",
+           "n_words", "only_rows_of", "packed", "row_order", "spare", "table", "text_of", "texts",
+           "unpacked", "word_blocks"]
 
 
 def text_of(column: str = "text") -> Column:
@@ -65,15 +66,54 @@ def word_blocks(text: bytes, keep: int = 0, size: int = 1 << 20) -> Iterator[lis
         start = end
 
 
+def packed(docs: DataFrame, *more: str) -> DataFrame:
+    """``key`` (of doc_id, text_key and ``more``) and ``row``, the row as one column.
+
+    The fields of both have names of their own, so whatever the columns of ``docs`` are
+    called, none can meet a helper's. Keys with the same nulls are equal.
+    """
+    fields = [column(n).alias(f"c{i}") for i, n in enumerate(docs.columns)]
+    keyed = docs.select(F.struct(*fields).alias("row"), "doc_id", key_of(text_of()).alias("text_key"),
+                        *[column(n).alias(f"k{i}") for i, n in enumerate(more)])
+    return keyed.select(key_struct("doc_id", "text_key", *[f"k{i}" for i in range(len(more))]), "row")
+
+
+def key_struct(*names: str) -> Column:
+    return F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)]).alias("key")
+
+
+def unpacked(rows: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """The rows of ``packed`` again, under the names they had."""
+    return rows.select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)], *more)
+
+
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spare(names: list[str], wanted: str) -> str:
+    """The wanted name, or the first longer one that no column has in any spelling."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def row_order(docs: DataFrame, without: str | None = None) -> Column:
+    """A hash of all that can be hashed of a packed row: which of several comes first."""
+    hashed = [F.col(f"row.c{i}") for i, f in enumerate(docs.schema.fields)
+              if f.name != without and not re.search("map<|variant", f.dataType.simpleString())]
+    return F.xxhash64(*hashed)
+
+
 def only_rows_of(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (id, text) is in ``keep``, one of each, columns as they were.
 
-    ``keep`` has ``doc_id`` and ``text_key``. Repeated rows are alike in both, so that the
-    partitioning of the join serves the removal of repeats as well.
+    ``keep`` has ``doc_id`` and ``text_key``. Of rows that share both but differ elsewhere the
+    one with the smallest hash stays, so that runs agree.
     """
-    names = docs.columns
-    right = keep.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
-    left = docs.withColumn("__key", key_of(text_of()))
-    on = left["doc_id"].eqNullSafe(right["__id"]) & (left["__key"] == right["__text"])
-    joined = left.join(right, on, "left_semi")
-    return joined.dropDuplicates(["doc_id", "__key"]).select(*names)
+    joined = packed(docs).join(keep.select(key_struct("doc_id", "text_key")).distinct(), "key",
+                               "left_semi")
+    first = joined.groupBy("key").agg(F.min_by("row", row_order(docs)).alias("row"))
+    return unpacked(first, docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidecast.llm.common import ascii_lower, key_of, landed, text_of
+from tidecast.llm.common import ascii_lower, key_of, key_struct, landed, packed, text_of, unpacked
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -114,8 +114,6 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = SHINGLE_WORDS,
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = SHINGLE_WORDS,
                     threshold: float = THRESHOLD) -> DataFrame:
     """The rows that contain no item, all their columns as they were."""
-    found = landed(contaminated(docs, items, n, threshold).select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct(), "leaks")
-    left = docs.withColumn("__key", key_of(text_of()))
-    on = left["doc_id"].eqNullSafe(found["__id"]) & (left["__key"] == found["__text"])
-    return left.join(found, on, "left_anti").select(*docs.columns)
+    found = contaminated(docs, items, n, threshold).select(key_struct("doc_id", "text_key"))
+    found = landed(found.distinct(), "leaks")
+    return unpacked(packed(docs).join(found, "key", "left_anti"), docs.columns)

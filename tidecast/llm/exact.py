@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import text_of
+from tidecast.llm.common import column, row_order, text_of
 
 
 def _digests(text):
@@ -54,14 +54,14 @@ def one_of_each(docs: DataFrame, keep: str = "largest") -> DataFrame:
     One shuffle: the group carries the other columns of the row that stays along.
     """
     best = {"largest": F.max_by, "smallest": F.min_by}[keep]
-    names = docs.columns
-    plain = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    whole = docs.withColumn("__text", text_of()).withColumn(
-        "__row", F.struct(*[F.col(f"`{n}`") for n in names if n != "text"],
-                          F.col("text").isNull().alias("__null")))
-    order = F.struct(F.col("doc_id").isNotNull() if keep == "largest" else F.col("doc_id").isNull(),
-                     F.col("doc_id"), F.xxhash64(*[F.col(f"`{n}`") for n in plain]))
-    found = whole.groupBy(F.md5(F.col("__text").cast("binary")).alias("__hash"), "__text").agg(
-        best("__row", order).alias("__row"))
-    text = F.when(~F.col("__row.__null"), F.col("__text")).alias("text")
-    return found.select(*[text if n == "text" else F.col(f"__row.`{n}`") for n in names])
+    names, at = docs.columns, docs.columns.index("text")
+    absent = F.col("doc_id").isNotNull() if keep == "largest" else F.col("doc_id").isNull()
+    fields = [column(n).alias(f"c{i}") for i, n in enumerate(names) if i != at]
+    rows = docs.select(text_of().alias("text"), absent.alias("absent"), "doc_id",
+                       F.struct(*fields, F.col("text").isNull().alias("none")).alias("row"))
+    order = F.struct("absent", "doc_id", row_order(docs, without="text"))
+    found = rows.groupBy(F.md5(F.col("text").cast("binary")).alias("hash"), "text").agg(
+        best("row", order).alias("row"))
+    text = F.when(~F.col("row.none"), F.col("text")).alias("text")
+    return found.select(*[text if i == at else F.col(f"row.c{i}").alias(n)
+                          for i, n in enumerate(names)])

@@ -20,7 +20,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
 
     Ids are taken in the order of a hash, never from the held-out fold. Null labels and ids
     that carry both labels are left out. The picked ids are few by construction, so they are
-    broadcast and the documents are scanned once, without a shuffle.
+    broadcast and the documents are scanned once; of rows that share an id, however many, the
+    text with the smallest hash is taken.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(
         "doc_id IS NOT NULL AND y IN (0, 1)").where(fold(folds) != held_out)
@@ -34,7 +35,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
                                                      "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     ids = F.broadcast(landed(picked, "picked"))
-    return docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id"), sizes
+    found = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id").groupBy(
+        "doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return found.select("doc_id", "text", "y"), sizes
 
 
 def class_weights(y, sizes: dict[int, int]):

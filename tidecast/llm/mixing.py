@@ -8,7 +8,7 @@ each whole number that the sum crosses at it. Ordered by size, what is taken mis
 target by less than the largest document.
 
 No task holds a source: documents are ranked inside (source, size, cell), where a cell has
-about ``cell_rows`` documents, and the counts of cells and sizes are summed above them.
+about ``cell_rows`` documents by a hash of id and text, and the counts of cells and sizes are summed above them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidecast.llm.common import landed, n_words, text_of
+from tidecast.llm.common import (key_of, key_struct, landed, n_words, packed, row_order, spare,
+                                 text_of, unpacked)
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -78,8 +79,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     are ranked by text. A source without a word has target 0 and takes nothing. Runs with
     the same seed agree: offsets come from the source's name, ranks from sizes and ids.
     """
-    slim = landed(docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), "source",
-                              n_words(text_of()).alias("size")), "sizes")
+    name = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_of())
+    spread = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long")
+    slim = landed(docs.select("doc_id", key_of(text_of()).alias("text_key"), "source",
+                              n_words(text_of()).alias("size"), spread.alias("spread")), "sizes")
     by_size = landed(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "by-size")
     sources = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     shares = landed(targets(sources, weights, share, most), "targets")
@@ -103,8 +106,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
             joined = joined.drop(b[n])
         return joined
 
-    cell = F.when(F.col("cells") > 1, F.pmod(F.coalesce(F.col("doc_id").try_cast("long"), F.lit(0)),
-                                             F.col("cells"))).otherwise(0)
+    cell = F.pmod(F.col("spread"), F.col("cells"))
     placed = landed(add(slim, steps, "source", "size").withColumn("cell", cell), "cells")
     counts = placed.groupBy("source", "size", "cell").agg(F.count("*").alias("n"))
     inner = F.coalesce(F.sum("n").over(W.partitionBy("source", "size").orderBy("cell").rowsBetween(
@@ -135,19 +137,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, numbered from 1 in ``copy``.
 
-    Repeated rows (same id and text) are interchangeable: what they take is shared out
-    among them, never more than the limit for each.
+    Of repeated rows (same id, text and source) the one with the smallest hash stands for all
+    and takes what they take together, never more than the limit for each.
     """
-    name, taken = "copy", {n.lower() for n in docs.columns}
-    while name in taken:
-        name = f"_{name}"
-    found = mix(docs, **options).where("copies > 0").groupBy("doc_id", "text_key", "source").agg(
-        F.sum("copies").alias("__copies"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"),
-                         F.col("source").alias("__source"), "__copies")
-    left = docs.withColumn("__key", F.xxhash64(text_of()))
-    on = (left["doc_id"].eqNullSafe(found["__id"]) & (left["__key"] == found["__text"])
-          & left["source"].eqNullSafe(found["__source"]))
-    joined = left.join(found, on).dropDuplicates(["doc_id", "__key", "source"])
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias(name)
-    return joined.select(*docs.columns, copy)
+    found = mix(docs, **options).where("copies > 0").groupBy(
+        key_struct("doc_id", "text_key", "source")).agg(F.sum("copies").alias("copies"))
+    taken = packed(docs, "source").join(found, "key").groupBy("key").agg(
+        F.min_by("row", row_order(docs)).alias("row"), F.max("copies").alias("copies"))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return unpacked(taken, docs.columns, copy.alias(spare(docs.columns, "copy")))

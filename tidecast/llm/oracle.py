@@ -4,7 +4,8 @@ from __future__ import annotations
 
 OP2 = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || coalesce(text, '')), 1, 8))::BIGINT AS spread
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
@@ -24,7 +25,7 @@ n AS (SELECT source, size, ceil(count(*) / 10000.0)::BIGINT AS cells FROM d GROU
 k AS (
   SELECT d.*, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id % n.cells, d.doc_id) AS rnk
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.spread % n.cells, d.doc_id) AS rnk
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
          JOIN n ON d.source IS NOT DISTINCT FROM n.source AND d.size = n.size),
 o AS (

@@ -25,9 +25,8 @@ from tidecast.llm.labelled import class_weights, fold, sample
 
 FOLDS, HELD_OUT = 5, 0
 GOOD_AT = 0.3
-#: Bounds of the fit: labelled documents of each class, and lines of one of them.
+#: Bound of the fit: labelled documents of each class, each with all its lines.
 PER_CLASS = 2000
-MOST_LINES = 300
 EMPTY_SCORE = 0.0
 
 _UPPER = bytes(range(65, 91))
@@ -177,8 +176,7 @@ def fit_rows(rows, sizes, lengths, y, weight, l2: float = 1e-3, steps: int = 250
     return Model(theta[:-1], float(theta[-1]), float(curve[0]), float(curve[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
-          most_lines: int = MOST_LINES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """A model from a bounded sample of labelled rows outside the held-out fold."""
     picked, sizes = sample(docs, labels, "quality", FOLDS, HELD_OUT, per_class)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -188,8 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
             rows, lengths = [], []
             for t in texts(b):
                 x, n = lines_of(t)
-                rows.append(np.asarray(x[:most_lines], np.float32).ravel())
-                lengths.append(n[:most_lines])
+                rows.append(np.asarray(x, np.float32).ravel())
+                lengths.append(n)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("y"), pa.array(rows, pa.list_(pa.float32())),
                  pa.array(lengths, pa.list_(pa.int32()))], ["doc_id", "y", "rows", "sizes"])

@@ -25,16 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidecast.llm.common import texts
+from tidecast.llm.common import column, texts
 from tidecast.llm.labelled import class_weights, fold, sample
 
 FOLDS, HELD_OUT = 3, 1
 TOXIC_AT = 0.7
-#: Bounds of the fit: labelled documents of each class, and features of one of them.
+#: Bound of the fit: labelled documents of each class, each with all its features.
 PER_CLASS = 2000
-MOST_FEATURES = 20_000
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
 #: Names of groups of people; within a row each may stand for each other.
@@ -71,11 +70,30 @@ def text_features(text: bytes, buckets: int = BUCKETS) -> Counter:
     return Counter(f for w in set(words_of(text)) for f in word_features(w, buckets))
 
 
-def identity_counts(text: bytes, terms=IDENTITY_TERMS) -> Counter:
-    """Sentences that each identity term occurs in."""
-    known = {t for group in terms for t in group}
-    return Counter(t for s in _SENTENCE.split(text.decode("utf-8", "replace").lower())
-                   for t in known.intersection(_LETTERS.findall(s)))
+def swaps_of(text: bytes, terms=IDENTITY_TERMS, buckets: int = BUCKETS) -> list[tuple[list, list]]:
+    """What changes when a sentence that names a group names another: features, differences.
+
+    Each sentence is made once for each other term of the row that a term of it is in. The
+    differences are those of log1p of the number of words, as the fit counts them.
+    """
+    rows = {t: row for row in terms for t in row}
+    found = []
+    for sentence in _SENTENCE.split(text.decode("utf-8", "replace").lower()):
+        words = set(_LETTERS.findall(sentence))
+        named = [w for w in sorted(words) if w in rows]
+        if not named:
+            continue
+        before = Counter(f for w in words for f in word_features(w, buckets))
+        for a in named:
+            for b in rows[a]:
+                if b == a:
+                    continue
+                after = Counter(f for w in words - {a} | {b} for f in word_features(w, buckets))
+                change = {f: math.log1p(after[f]) - math.log1p(before[f]) for f in before | after}
+                change = {f: v for f, v in change.items() if v}
+                if change:
+                    found.append((list(change), list(change.values())))
+    return found
 
 
 @dataclass(frozen=True)
@@ -99,13 +117,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -50, 50))))
 
 
-def fit_rows(rows, y, weight, mentions: Counter, terms=IDENTITY_TERMS, l1: float = 1e-5,
-             fairness: float = 10.0, steps: int = 600, features: int = 2000,
-             buckets: int = BUCKETS) -> Model:
+def fit_rows(rows, y, weight, swaps=(), l1: float = 1e-5, fairness: float = 10.0,
+             steps: int = 600, features: int = 2000, buckets: int = BUCKETS) -> Model:
     """Proximal gradient descent with momentum.
 
-    ``rows`` holds (features, counts) of each text, ``mentions`` in how many sentences each
-    identity term occurs. Only the features that tell the classes apart best get a weight, none
+    ``rows`` holds (features, counts) of each text, ``swaps`` (features, differences) of each
+    swapped sentence; ``fairness`` times the mean squared change of the score is added to the
+    loss. Only the features that tell the classes apart best get a weight, none
     of fewer than three texts.
     """
     y, weight = np.asarray(y, float), np.asarray(weight, float)
@@ -126,35 +144,22 @@ def fit_rows(rows, y, weight, mentions: Counter, terms=IDENTITY_TERMS, l1: float
     use = col >= 0
     at, col = at[use], col[use]
     value = np.log1p(np.concatenate([np.asarray(c, np.int32) for _, c in rows])[use])
-    place = {int(f): i for i, f in enumerate(kept)}
-
-    swaps = []  # (change of each feature, share of the sentences)
-    total = max(sum(mentions.values()), 1)
-    for group in terms:
-        for a in group:
-            for b in group:
-                if a != b and mentions[a]:
-                    d = Counter(place[f] for f in word_features(b, buckets) if f in place)
-                    d.subtract(place[f] for f in word_features(a, buckets) if f in place)
-                    d = {i: v for i, v in d.items() if v}
-                    if d:
-                        share = mentions[a] / total / (len(group) - 1)
-                        swaps.append((np.array(list(d)), np.array(list(d.values()), float)
-                                      * np.log(2.0), share))
+    pair, pair_col, pair_value = _columns(swaps, new)
+    share = 2 * fairness / max(len(swaps), 1)
     n = len(kept)
     w, b = np.zeros(n), float(np.log((weight * y).sum() + 1e-6) - np.log((weight * (1 - y)).sum()
                                                                          + 1e-6))
     ahead_w, ahead_b, momentum = w, b, 1.0
     norm = np.bincount(at, value ** 2, len(rows)).max(initial=1.0) + 1.0
     curve = 0.25 * (weight * (np.bincount(at, value ** 2, len(rows)) + 1)).sum()
-    curve += 2 * fairness * sum(s * (v ** 2).sum() for _, v, s in swaps)
+    curve += share * (pair_value ** 2).sum()
     rate = 1.0 / max(curve, 0.25 * norm * weight.max(initial=0.0), 1e-9)
     for _ in range(steps):
         z = np.bincount(at, value * ahead_w[col], len(rows)) + ahead_b
         error = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         grad = np.bincount(col, value * error[at], n)
-        for i, v, s in swaps:
-            grad[i] += 2 * fairness * s * v * (v @ ahead_w[i])
+        change = np.bincount(pair, pair_value * ahead_w[pair_col], len(swaps))
+        grad += share * np.bincount(pair_col, pair_value * change[pair], n)
         new_w = ahead_w - rate * grad
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * l1, 0.0)
         new_b = ahead_b - rate * error.sum()
@@ -165,39 +170,53 @@ def fit_rows(rows, y, weight, mentions: Counter, terms=IDENTITY_TERMS, l1: float
     return Model({int(kept[i]): float(w[i]) for i in np.flatnonzero(w)}, float(b), buckets)
 
 
+def _columns(swaps, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Swap, column and value of every difference in a feature that has a column."""
+    if not len(swaps):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    pair = np.repeat(np.arange(len(swaps)), [len(f) for f, _ in swaps])
+    col = place[np.concatenate([np.asarray(f, np.int64) for f, _ in swaps])]
+    value = np.concatenate([np.asarray(v, float) for _, v in swaps])
+    return pair[col >= 0], col[col >= 0], value[col >= 0]
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = FOLDS,
-          held_out: int = HELD_OUT, **options) -> Model:
-    """A model from a bounded sample of labelled rows outside the held-out fold."""
+          held_out: int = HELD_OUT, terms=IDENTITY_TERMS, **options) -> Model:
+    """A model from a bounded sample of labelled rows outside the held-out fold.
+
+    ``terms`` are rows of names that may stand for each other. Their sentences are swapped on
+    the executors; what comes back of one is the features that differ.
+    """
     rows, sizes = sample(docs, labels, "toxic", folds, held_out, per_class)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            found, counts, terms, times = [], [], [], []
+            found, counts, swapped, changes = [], [], [], []
             for t in texts(b):
-                f = sorted(text_features(t).items(), key=lambda x: (zlib.crc32(b"%d" % x[0]), x))
-                found.append([k for k, _ in f[:MOST_FEATURES]])
-                counts.append([v for _, v in f[:MOST_FEATURES]])
-                named = identity_counts(t)
-                terms.append(list(named))
-                times.append(list(named.values()))
+                f = text_features(t)
+                found.append(list(f))
+                counts.append(list(f.values()))
+                made = swaps_of(t, terms)
+                swapped.append([x for x, _ in made])
+                changes.append([v for _, v in made])
+            lists = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column("y"), pa.array(found, pa.list_(pa.int32())),
-                 pa.array(counts, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.string())),
-                 pa.array(times, pa.list_(pa.int32()))],
-                ["y", "features", "counts", "terms", "times"])
+                [b.column("y"), pa.array(found, lists), pa.array(counts, lists),
+                 pa.array(swapped, pa.list_(lists)),
+                 pa.array(changes, pa.list_(pa.list_(pa.float64())))],
+                ["y", "features", "counts", "swapped", "changes"])
 
     got = rows.select("doc_id", "y", "text").mapInArrow(
         lambda batches: _with_ids(run, batches),
-        f"doc_id {kind}, y int, features array<int>, counts array<int>, terms array<string>, "
-        "times array<int>").toArrow().sort_by("doc_id")
-    mentions: Counter = Counter()
-    for terms, times in zip(got["terms"].to_pylist(), got["times"].to_pylist(), strict=True):
-        mentions.update(dict(zip(terms, times, strict=True)))
+        f"doc_id {kind}, y int, features array<int>, counts array<int>, "
+        "swapped array<array<int>>, changes array<array<double>>").toArrow().sort_by("doc_id")
+    swaps = [(f, v) for fs, vs in zip(got["swapped"].to_pylist(), got["changes"].to_pylist(), strict=True)
+             for f, v in zip(fs, vs, strict=True)]
     y = got["y"].to_numpy()
     pairs = [(f.values.to_numpy(), c.values.to_numpy())
              for f, c in zip(got["features"], got["counts"], strict=True)]
-    return fit_rows(pairs, y, class_weights(y, sizes), mentions, **options)
+    return fit_rows(pairs, y, class_weights(y, sizes), swaps, **options)
 
 
 def _with_ids(run, batches):
@@ -208,8 +227,12 @@ def _with_ids(run, batches):
 
 
 def scores(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """``score`` for each row, beside the columns to carry."""
-    fields = docs.select(*carry).schema.fields
+    """The columns to carry, as c0, c1 and so on whatever their names are, and ``score``."""
+    fields = docs.select(*map(column, carry)).schema.fields
+    names = [f"c{i}" for i in range(len(carry))]
+    read = [column(n).alias(c) for n, c in zip(carry, names, strict=True)]
+    where = names[carry.index("text")] if "text" in carry else "text"
+    read += [] if "text" in carry else [F.col("text")]
 
     def run(batches):
         known: dict[str, list[int]] = {}
@@ -223,14 +246,13 @@ def scores(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
             return found
 
         for b in batches:
-            z = np.array([model.logit(t, weighted) for t in texts(b)])
+            z = np.array([model.logit(t, weighted) for t in texts(b, where)])
             score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in carry), pa.array(score, pa.float64())],
-                [*carry, "__score"])
+                [*(b.column(c) for c in names), pa.array(score, pa.float64())], [*names, "score"])
 
-    schema = StructType([*fields]).add("__score", DoubleType())
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(names, fields, strict=True)])
+    return docs.select(*read).mapInArrow(run, schema.add("score", DoubleType()))
 
 
 def judge(docs: DataFrame, labels: DataFrame, toxic_at: float = TOXIC_AT, model: Model | None = None,
@@ -242,15 +264,14 @@ def judge(docs: DataFrame, labels: DataFrame, toxic_at: float = TOXIC_AT, model:
     each; a null id is in no fold; columns besides doc_id and text are never read.
     """
     model = model or train(docs, labels, **options)
-    found = scores(docs.select("doc_id", "text"), model, ["doc_id"])
-    return found.select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"),
-                        F.col("__score").alias("score"),
-                        (F.col("__score") >= toxic_at).cast("int").alias("predicted"))
+    found = scores(docs, model, ["doc_id"]).withColumnRenamed("c0", "doc_id")
+    return found.select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score",
+                        (F.col("score") >= toxic_at).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, toxic_at: float = TOXIC_AT,
                     model: Model | None = None, **options) -> DataFrame:
     """The rows scored below the threshold, all their columns as they were, in one pass."""
     model = model or train(docs, labels, **options)
-    found = scores(docs, model, docs.columns)
-    return found.where(F.col("__score") < toxic_at).select(*docs.columns)
+    found = scores(docs, model, docs.columns).where(F.col("score") < toxic_at)
+    return found.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
