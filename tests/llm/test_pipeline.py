@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline as P
 from test_decontaminate import shingles
 from test_mixing import shared
-from test_simhash import slow_components, slow_print
+from test_simhash import similar_classes
 
 from tidecast.llm import decontaminate, exact, mixing, simhash, toxicity
 from tidecast.session import landed
@@ -35,11 +35,10 @@ def test_each_stage_against_brute_force(spark):
     rows = out.collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(best.values())
 
-    ids = [r["doc_id"] for r in rows]
-    classes = slow_components(ids, [slow_print(r["text"]) for r in rows])
+    classes = similar_classes({r["doc_id"]: r["text"] for r in rows})
     out = landed(stages["simhash_near_dedup"](spark, out, SF), "t3")
     rows = out.collect()
-    assert sorted(r["doc_id"] for r in rows) == sorted(set(classes))
+    assert sorted(r["doc_id"] for r in rows) == sorted(set(classes.values()))
 
     items = [shingles(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {r["doc_id"] for r in rows if not any(

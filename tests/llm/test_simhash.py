@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -156,3 +158,102 @@ def test_members_stream_past_a_tree():
     first = next(found)
     assert taken < 20 and first.num_rows <= 8192
     assert first.num_rows + sum(b.num_rows for b in found) == 1 + len(others)  # own ones are a class
+
+
+# --- similar texts --------------------------------------------------------------------------
+
+
+def similar_pairs(texts, n=5, least=0.8):
+    """All pairs of ids whose texts have so many shingles in common, by an inverted index."""
+    post, sizes = {}, {}
+    for i, text in texts.items():
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        found = {" ".join(w[k:k + n]) for k in range(max(len(w) - n + 1, 1))} if w else {""}
+        sizes[i] = len(found)
+        for x in found:
+            post.setdefault(x, []).append(i)
+    shared = Counter((a, b) for ids in post.values() for k, a in enumerate(ids) for b in ids[k + 1:])
+    return [(a, b) for (a, b), k in shared.items() if k >= least * (sizes[a] + sizes[b] - k) - 1e-9]
+
+
+def similar_classes(texts):
+    up = {i: i for i in texts}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in similar_pairs(texts):
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {i: top(i) for i in texts}
+
+
+def test_recall_of_similar_texts(spark):
+    """Of all pairs of different texts 0.8 alike nine in ten are in one class, and no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").dropDuplicates(["text"])
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["root"] for r in S.similar_documents(docs).collect()}
+    pairs, want = similar_pairs(rows), similar_classes(rows)
+    assert len(pairs) > 40
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    classes = {}
+    for i, root in got.items():
+        classes.setdefault(root, set()).add(want[i])
+    assert all(len(c) == 1 for c in classes.values())
+
+
+def planted_copies():
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(12):
+        base = rng.choices(words, k=rng.choice([200, 300, 400]))
+        for _ in range(25):
+            some = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                some[rng.randrange(len(some))] = rng.choice(words)
+            rows.append(" ".join(some))
+    rows += ["", "", "one", "One", "two words", "x " * 50_000, "x " * 50_000 + "y", " ".join(words)]
+    return dict(enumerate(rows))
+
+
+def test_similar_texts_of_every_kind(spark, monkeypatch):
+    monkeypatch.setattr(S, "SUB_BITS", 4)
+    texts = planted_copies()
+    rows = [(i, t, i) for i, t in texts.items()]
+    rows += [(None, texts[0], 1), (500, None, 2), (3, texts[3], 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bits long")
+    want = similar_classes(texts | {500: ""})
+    for tree_rows in (4096, 8):
+        kept = S.one_of_similar(df, tree_rows=tree_rows)
+        assert kept.columns == df.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert S.one_of_similar(df.limit(0)).collect() == []
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rng = random.Random(3)
+    bases = [rng.getrandbits(128) for _ in range(6)]
+    own = list({b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, 16)))
+                for b in bases for _ in range(30)})
+    for radius in (6, 12, 20, 28):
+        pairs = S.Forest(own, radius).pairs
+        assert all(0 < (a ^ b).bit_count() <= radius for a, b in pairs)
+        for limit in (radius, radius * 2 // 3):
+            def classes(links):
+                up = {x: x for x in own}
+
+                def top(x):
+                    while up[x] != x:
+                        x = up[x]
+                    return x
+
+                for a, b in links:
+                    up[top(a)] = top(b)
+                return {frozenset(y for y in own if top(y) == top(x)) for x in own}
+
+            every = [(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= limit]
+            assert classes(every) == classes([p for p in pairs if (p[0] ^ p[1]).bit_count() <= limit])
