@@ -321,14 +321,23 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(last), _SEED)], dtype="<u8")
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
+
+
 def wide_print(text: bytes, words: int = SIMILAR_WORDS) -> bytes:
-    """A SimHash of several words of 64 bits, each from hashes of its own."""
-    ones, total = np.zeros(_WIDTH, dtype=np.int64), 0
-    for hashes in shingle_hashes(text, words):
-        wide = np.stack([_again(hashes, p) for p in range(PARTS)], axis=1).astype("<u8")
+    """A SimHash of several words of 64 bits, each from hashes of its own.
+
+    Every shingle counts once, as in the similarity that it stands for.
+    """
+    found, ones = shingle_set(text, words), np.zeros(_WIDTH, dtype=np.int64)
+    for at in range(0, len(found), _STEP):
+        wide = np.stack([_again(found[at:at + _STEP], p) for p in range(PARTS)], axis=1).astype("<u8")
         ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += len(hashes)
-    return np.packbits(2 * ones > total, bitorder="little").tobytes() if total else bytes(_WIDTH // 8)
+    if not len(found):
+        return bytes(_WIDTH // 8)
+    return np.packbits(2 * ones > len(found), bitorder="little").tobytes()
 
 
 def wide_radius(similarity: float) -> int:
@@ -493,8 +502,7 @@ def similar_links(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, words: i
     """
     def run(batches):
         for b in batches:
-            sets = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(t, words)])).view("<i8")
-                    for t in texts(b)]
+            sets = [shingle_set(t, words).view("<i8") for t in texts(b)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("print"), pa.array(sets, pa.list_(pa.int64()))], ["print", "shingles"])
 
