@@ -31,8 +31,8 @@ from tidecast.streaming.live_accuracy import score_arrivals
 def _campaigns(n=100, extra=""):
     out = "Day,Campaign,Campaign status,Cost,Clicks\n"
     for i in range(n):
-        out += f"{day(i)},Brand,Enabled,{100 + i % 7},{i % 9}\n"
         out += f"{day(i)},Sale{extra},Enabled,{60 + i % 5},{i % 4}\n"
+        out += f"{day(i)},Brand,Enabled,{100 + i % 7},{i % 9}\n"
         out += f"{day(i)},Old,{'Paused' if i > 50 else 'Enabled'},{i % 3},1\n"
     return out
 
@@ -86,8 +86,8 @@ def test_pages(imported):
     latest = O.latest_runs(runs)
     assert {r["model"] for r in O.drawn_runs(latest).collect()} == {"average@90d"}
     shared = O.shared(entities.withColumnRenamed("entity", "item"), runs)
-    ordered = shared.orderBy("after_account", "item").collect()
-    assert [r["item"] for r in ordered] == ["(account)", "Brand", "Sale"]
+    ordered = O.in_order(shared).orderBy("rank").collect()
+    assert [r["item"] for r in ordered] == ["(account)", "Sale", "Brand"]  # as in the file
     assert [r["entity"] for r in O.rebuilt(series, runs, entities)[1].collect()] == ["Old"]
     lines = O.comparison(O.quantile_arrays(store.read("forecasts")), runs, entities)
     assert lines.count() == 6 * 3 * 2 * 7
@@ -144,13 +144,13 @@ def _job(spark, store, n, fresh=False):
         "source string, row_num long, day date, cells array<string>, filled boolean")
     headers = spark.createDataFrame([(s, ["Day", "Cost"]) for s in ("a", "b")],
                                     "source string, header array<string>")
-    columns = spark.createDataFrame([(s, "Cost", "metric", "cost", False, False, None) for s in ("a", "b")],
+    columns = spark.createDataFrame([(s, "Cost", "metric", "cost", False, False, None, 1) for s in ("a", "b")],
                                     "source string, name string, role string, concept string, "
-                                    "averaged boolean, is_percent boolean, weighted_by string")
+                                    "averaged boolean, is_percent boolean, weighted_by string, position int")
     runs = spark.createDataFrame(
         [(f"r{n}", "a", "m", 7, dt.datetime(2026, 2, 1), days[-1], ["Cost"], 1, "", "h", "{}")],
         S.SCHEMAS["runs"])
-    entities = spark.createDataFrame([(f"r{n}", "a", "x")], S.SCHEMAS["run_entities"])
+    entities = spark.createDataFrame([(f"r{n}", "a", "x", 5)], S.SCHEMAS["run_entities"])
     forecasts = spark.createDataFrame(
         [(f"r{n}", "x", "Cost", days[-1] + dt.timedelta(days=1), q, q / 10, 1.0) for q in range(9)],
         S.SCHEMAS["forecasts"])

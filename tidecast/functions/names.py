@@ -98,7 +98,7 @@ def denominator_phrase(name: Column) -> Column:
 
 
 def pattern_rank(name_words: Column, concept_col: Column) -> Column:
-    """How canonical a name is for a concept: position of the first pattern it carries."""
+    """How canonical a name is for a concept: position of the first pattern it carries, if any."""
     patterns = F.create_map(
         *[x for c, _, _, p in fixed.CONCEPTS for x in (F.lit(c), F.array(*map(F.lit, p)))]
     )
@@ -107,7 +107,7 @@ def pattern_rank(name_words: Column, concept_col: Column) -> Column:
         lambda p: F.instr(name_words, F.concat(F.lit(" "), p, F.lit(" "))) > 0,
     )
     at = F.array_position(hits, True)
-    return F.when(at > 0, (at - 1).cast("int")).otherwise(F.lit(1 << 29))
+    return F.when(at > 0, (at - 1).cast("int"))
 
 
 def canonical_count(concept_col: Column) -> Column:

@@ -144,6 +144,13 @@ def keyed_rows(rows: DataFrame, groups: DataFrame, labels: DataFrame | None = No
     ).drop("key", "label", "group_idx")
 
 
+def entity_positions(keyed: DataFrame) -> DataFrame:
+    """``source, entity, position``: the record at which each entity is first seen."""
+    return keyed.where("entity is not null and not filled").groupBy("source", "entity").agg(
+        F.min("row_num").alias("position")
+    )
+
+
 def build_panel(keyed: DataFrame, columns: DataFrame) -> DataFrame:
     """``source, entity, metric, day, value``: every entity and the account total.
 

@@ -254,7 +254,10 @@ def calendar(per_day: DataFrame, stats: DataFrame, min_days: int = fixed.MIN_DAY
             _row(
                 gaps(steps).groupBy("source").agg(
                     F.min_by(
-                        F.format_string("%d missing after %s", "missing", "prev_day"), "day"
+                        F.format_string(
+                            "%d missing after %s", F.col("missing"), F.col("prev_day").cast("string")
+                        ),
+                        "day",
                     ).alias("detail"),
                     F.count(F.lit(1)).alias("n"),
                     F.min("day").alias("day"),

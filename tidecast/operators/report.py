@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidecast import fixed
 from tidecast.functions.text import display_value, first_names
+from tidecast.session import landed
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -65,19 +66,37 @@ def forecast_days(forecasts: DataFrame) -> DataFrame:
 
 
 def shared(items: DataFrame, runs: DataFrame) -> DataFrame:
-    """Items that every compared run of a series has, the account first.
+    """Items that every compared run of a series has, with what ``in_order`` ranks them by.
 
-    ``items``: series_id, run_id, item, one row per entity (or metric) of a run.
+    ``items``: series_id, run_id, item, one row per entity (or metric) of a run, and where
+    known its ``position``. The account comes first, then what was seen first, then names.
     """
+    if "position" not in items.columns:
+        items = items.withColumn("position", F.lit(None).cast("bigint"))
     n_runs = runs.groupBy("series_id").agg(F.count_distinct("id").alias("n_runs"))
-    return (
-        items.select("series_id", "run_id", "item").distinct()
-        .groupBy("series_id", "item")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(n_runs, "series_id")
-        .where("n = n_runs")
-        .select("series_id", "item", (F.col("item") != fixed.ACCOUNT).alias("after_account"))
-    )
+    per_run = items.groupBy("series_id", "run_id", "item").agg(F.min("position").alias("position"))
+    found = per_run.groupBy("series_id", "item").agg(
+        F.count(F.lit(1)).alias("n"), F.min("position").alias("position"))
+    after = (F.col("item") != fixed.ACCOUNT).alias("after_account")
+    return found.join(n_runs, "series_id").where("n = n_runs").select(
+        "series_id", "item", after, "position")
+
+
+def in_order(items: DataFrame) -> DataFrame:
+    """``rank`` of shared items in their series: sorted in ranges, then counted across them.
+
+    The series with most items is sorted by many tasks; a task's window holds one range.
+    """
+    keys = ["series_id", "after_account", F.col("position").asc_nulls_last(), "item"]
+    ranged = items.repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
+    ranged = landed(ranged, "ranged")
+    sizes = ranged.groupBy("series_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("series_id").orderBy("part").rowsBetween(
+        W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("series_id", "part", before.alias("before"))
+    inside = F.row_number().over(W.partitionBy("series_id", "part").orderBy(*keys[1:]))
+    return ranged.join(starts, ["series_id", "part"]).withColumn(
+        "rank", F.col("before") + inside).drop("before", "part")
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:
@@ -223,12 +242,11 @@ def runs_without_history(runs: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def headline_entity(run_entities: DataFrame) -> DataFrame:
-    """The account where it was forecast, else the first entity: ``run_id, entity``."""
-    return run_entities.groupBy("run_id").agg(
-        F.coalesce(
-            F.max(F.when(F.col("entity") == fixed.ACCOUNT, F.col("entity"))), F.min("entity")
-        ).alias("entity")
-    )
+    """The account where it was forecast, else the entity that comes first: ``run_id, entity``."""
+    names = run_entities.columns
+    position = F.col("position") if "position" in names else F.lit(None).cast("bigint")
+    order = F.struct(F.col("entity") != fixed.ACCOUNT, position.isNull(), position, F.col("entity"))
+    return run_entities.groupBy("run_id").agg(F.min_by("entity", order).alias("entity"))
 
 
 def axis_bounds(series: DataFrame, lines: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tidecast.operators import forecast as M
 from tidecast.operators import panel as P
 from tidecast.operators import quality as Q
 from tidecast.plans.import_job import Imported, read_batch, save_batch
+from tidecast.plans.understand import Batch
 from tidecast.session import landed
 from tidecast.sources.store import (
     Store,
@@ -103,10 +104,20 @@ def forecast_lines(
     with store.change() as change:
         # An unusable forecast is no fault of the data, which are stored all the same.
         save_batch(change, batch, usable)
-        change.append_runs(runs, make_run_entities(flight), stored_forecasts(flight))
+        run_entities = make_run_entities(flight, _positions(batch, entities))
+        change.append_runs(runs, run_entities, stored_forecasts(flight))
     return Imported(violations, flight, runs, batch, history)
 
 
+def _positions(batch: Batch, entities: list[str] | None) -> DataFrame:
+    """Where entities were asked for, the order of asking; else that of the file."""
+    found = P.entity_positions(batch.keyed)
+    if not entities:
+        return found
+    asked = F.array(*[F.lit(e.lower()) for e in entities])
+    return found.withColumn("position", F.array_position(asked, F.lower("entity")))
+
+
 def _fly(
     model: str | M.Forecaster,
     history: DataFrame,

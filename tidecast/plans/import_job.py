@@ -158,7 +158,8 @@ def import_lines(
             change.clear()
         save_batch(change, batch, violations)
         if keep_runs:
-            change.append_runs(runs, make_run_entities(flight), stored_forecasts(flight))
+            entities = make_run_entities(flight, P.entity_positions(batch.keyed))
+            change.append_runs(runs, entities, stored_forecasts(flight))
             if fitted:
                 change.append_models(history.where("window = 'full'"), "pooled_ridge")
         if files is not None:

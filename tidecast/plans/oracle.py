@@ -630,28 +630,43 @@ SELECT series_id, entity, metric, day, CAST(q_idx AS INTEGER) AS q_idx,
   CAST(CASE WHEN metric <> 'Discount rate' AND value > 0 THEN 3 ELSE 0 END AS BIGINT) AS clamped
 FROM bent, idx"""
 
-_SQL["backtest"] = _with(PANEL, f"""origins AS (
-  SELECT source, lo, CAST(hi - CAST(7 + i * 28 AS INTEGER) AS DATE) AS as_of
-  FROM spans, (SELECT UNNEST(generate_series(0, 200)) AS i) x
-  WHERE hi - CAST(7 + i * 28 AS INTEGER) > lo),
-hist AS (
-  SELECT p.source AS series_id, entity, metric, w || '|' || as_of AS "window", as_of, day, value
-  FROM panel p JOIN origins o USING (source), (VALUES ('full', 0), ('90d', 90)) v(w, wd)
-  WHERE day <= as_of AND (wd = 0 OR date_diff('day', day, as_of) < wd))""",
-    AHEAD, IDX, NAIVE, WEEKDAY, """bands AS (
-  SELECT series_id, entity, metric, model, string_split("window", '|')[1] AS "window", as_of, day,
-    MAX(value) FILTER (q_idx = 4) AS forecast, MAX(value) FILTER (q_idx = 0) AS low,
-    MAX(value) FILTER (q_idx = 8) AS high
-  FROM (SELECT * FROM naive UNION ALL SELECT * FROM weekday) f GROUP BY ALL)""") + """
-SELECT model, "window", b.metric, COUNT(*) AS n_days,
-  ROUND(AVG(abs(forecast - ROUND(p.value, 6))), 4) + 0.0 AS mae,
-  ROUND(AVG(CASE WHEN ROUND(p.value, 6) <> 0
-    THEN 100.0 * abs(forecast - ROUND(p.value, 6)) / abs(ROUND(p.value, 6)) END), 4) + 0.0 AS mape,
-  ROUND(AVG(CASE WHEN ROUND(p.value, 6) BETWEEN ROUND(low, 6) AND ROUND(high, 6) THEN 1 ELSE 0 END)
-    * 100, 4) + 0.0 AS in_range
-FROM bands b JOIN panel p ON b.series_id = p.source AND b.entity = p.entity
-  AND b.metric = p.metric AND b.day = p.day
-GROUP BY ALL"""
+_SQL["backtest"] = _with(PANEL, AHEAD, """changed AS (
+  SELECT *, isodow(day) AS wd, value - LAG(value, 7) OVER (
+    PARTITION BY source, entity, metric ORDER BY day) AS change FROM panel),
+framed AS (
+  SELECT source, entity, metric, day, value,
+    quantile_cont(change, [0.1, 0.5, 0.9]) OVER (s ROWS UNBOUNDED PRECEDING) AS spread_full,
+    quantile_cont(change, [0.1, 0.5, 0.9]) OVER (s ROWS 82 PRECEDING) AS spread_90,
+    quantile_cont(value, [0.1, 0.5, 0.9]) OVER (w ROWS UNBOUNDED PRECEDING) AS same_full,
+    quantile_cont(value, [0.1, 0.5, 0.9]) OVER (w ROWS 11 PRECEDING) AS same_11,
+    quantile_cont(value, [0.1, 0.5, 0.9]) OVER (w ROWS 12 PRECEDING) AS same_12
+  FROM changed WINDOW s AS (PARTITION BY source, entity, metric ORDER BY day),
+    w AS (PARTITION BY source, entity, metric, wd ORDER BY day)),
+cuts AS (
+  SELECT source, CAST(hi - CAST(7 + i * 7 AS INTEGER) AS DATE) AS as_of
+  FROM spans, (SELECT UNNEST(generate_series(0, 1000)) AS i) x
+  WHERE hi - CAST(7 + i * 7 AS INTEGER) > lo),
+met AS (
+  SELECT o.source, o.entity, o.metric, h, ROUND(t.value, 6) AS actual,
+    COALESCE(b.value, o.value) AS base, o.spread_full, o.spread_90, b.same_full,
+    CASE WHEN h = 1 THEN b.same_11 ELSE b.same_12 END AS same_90, b.day IS NOT NULL AS there
+  FROM cuts c JOIN framed o ON o.source = c.source AND o.day = c.as_of CROSS JOIN ahead
+    JOIN framed t ON t.source = o.source AND t.entity = o.entity AND t.metric = o.metric
+      AND t.day = CAST(o.day + CAST(h AS INTEGER) AS DATE)
+    LEFT JOIN framed b ON b.source = o.source AND b.entity = o.entity AND b.metric = o.metric
+      AND b.day = CAST(o.day + CAST(h - 7 AS INTEGER) AS DATE)),
+banded AS (
+  SELECT 'seasonal_naive' AS model, 'full' AS "window", metric, actual,
+    [base + spread_full[1], base + spread_full[2], base + spread_full[3]] AS q FROM met
+  UNION ALL SELECT 'seasonal_naive', '90d', metric, actual,
+    [base + spread_90[1], base + spread_90[2], base + spread_90[3]] FROM met
+  UNION ALL SELECT 'weekday_quantile', 'full', metric, actual, same_full FROM met WHERE there
+  UNION ALL SELECT 'weekday_quantile', '90d', metric, actual, same_90 FROM met WHERE there)""") + """
+SELECT model, "window", metric, COUNT(*) AS n_days, ROUND(AVG(abs(q[2] - actual)), 4) + 0.0 AS mae,
+  ROUND(AVG(CASE WHEN actual <> 0 THEN 100.0 * abs(q[2] - actual) / abs(actual) END), 4) + 0.0 AS mape,
+  ROUND(AVG(CAST(actual BETWEEN ROUND(q[1], 6) AND ROUND(q[3], 6) AS INTEGER)) * 100, 4) + 0.0
+    AS in_range
+FROM banded GROUP BY ALL"""
 
 # --- scoring stored forecasts --------------------------------------------------------------------
 
@@ -789,6 +804,20 @@ _SQL["provenance"] = """
 SELECT c_mktsegment AS series_id,
   CASE WHEN o_orderpriority = '5-LOW' THEN '2000-01-01' END AS trained_through, COUNT(*) AS n_runs
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
+BRANDS = f"""seen AS (
+  SELECT l_returnflag AS series_id, l_returnflag || '/' || CAST(l_quantity AS INTEGER) AS run_id,
+    p_brand AS entity, MIN(l_orderkey * 10 + l_linenumber) AS position, any_value(l_quantity) AS q
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+named AS (
+  SELECT series_id, run_id, entity, position FROM (
+    SELECT series_id, run_id, entity, MIN(position) AS position FROM seen GROUP BY ALL)
+  UNION ALL SELECT DISTINCT series_id, run_id, '{fixed.ACCOUNT}', 0 FROM seen WHERE q <= 10)"""
+_SQL["first_entities"] = _with(BRANDS) + f"""
+SELECT run_id, arg_min(entity, position) AS entity FROM named GROUP BY run_id"""
+_SQL["entity_order"] = _with(BRANDS) + """
+SELECT series_id, item, position, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY position, item) AS rank
+FROM (SELECT series_id, entity AS item, MIN(position) AS position, COUNT(*) AS n FROM named GROUP BY ALL)
+JOIN (SELECT series_id, COUNT(DISTINCT run_id) AS n FROM named GROUP BY ALL) r USING (series_id, n)"""
 _SQL["shared_entities"] = """
 SELECT series_id, item, true AS after_account FROM (
   SELECT l_linestatus AS series_id, CAST(l_partkey AS VARCHAR) AS item,
@@ -858,6 +887,57 @@ SELECT * FROM (
     SELECT 1 FROM ragged r WHERE r.source = s.source AND r.entity = s.entity AND r.day = p.day)
   GROUP BY s.source) x"""
 
+_SQL["broken_exports"] = _with(DAILY, f"""per AS (
+  SELECT source, day, CAST(SUM(clicks) AS BIGINT) AS clicks,
+    ROW_NUMBER() OVER (PARTITION BY source ORDER BY day) - 1 AS i FROM dense GROUP BY source, day),
+base AS (
+  SELECT source, COUNT(*) AS n, MIN(day) AS lo, arg_min(clicks, day) AS c0,
+    COUNT(*) FILTER (i % 100 = 7) AS n7, COUNT(*) FILTER (i % 50 = 5) AS n5,
+    COUNT(*) FILTER (i % 60 = 20 AND i + 1 < (SELECT MAX(i) + 1 FROM per q WHERE q.source = per.source))
+      AS n20
+  FROM per GROUP BY source),
+met AS (
+  SELECT source, x.* FROM base, LATERAL (VALUES
+    ('zip', 'not_a_csv', NULL, NULL, NULL, NULL, 'zip', 1),
+    ('pdf', 'not_a_csv', NULL, NULL, NULL, NULL, 'pdf', 1),
+    ('tabs', 'not_a_csv', NULL, NULL, NULL, NULL, 'tabs', 1),
+    ('semicolons', 'not_a_csv', NULL, NULL, NULL, NULL, 'semicolons', 1),
+    ('wide', 'too_large', 1, NULL, NULL, NULL, NULL, n + 1),
+    ('quote', 'malformed', 11, NULL, NULL, NULL, NULL, 1),
+    ('title', 'too_few_columns', 1, NULL, NULL, NULL, 'title rows', 1),
+    ('latin', 'header_not_utf8', NULL, NULL, NULL, NULL, NULL, 1),
+    ('summary', 'no_dates', NULL, NULL, NULL, NULL, NULL, 1),
+    ('ragged', 'ragged_rows', 9, NULL, NULL, NULL, '3 of 2', n7),
+    ('empty', 'no_rows', NULL, NULL, NULL, NULL, NULL, 1),
+    ('ambiguous', 'date_order_undecided', NULL, NULL, NULL, NULL, NULL, 1),
+    ('second', 'unreadable_date', 2, NULL, NULL, 'Day', CAST(c0 AS VARCHAR), n),
+    ('uneven', 'uneven_days', NULL, lo + 5, NULL, NULL, '1 rows, not 2', n5),
+    ('typo', 'bad_cell', 5, NULL, NULL, 'Clicks', '2 unreadable', 1),
+    ('same', 'same_column_name', NULL, NULL, NULL, 'clicks', NULL, 1),
+    ('words', 'nothing_to_forecast', NULL, NULL, NULL, NULL, NULL, 1),
+    ('money', 'mixed_currency', NULL, NULL, NULL, NULL, NULL, 1),
+    ('groups', 'group_column', NULL, NULL, NULL, NULL, 'several', 1),
+    ('measures', 'group_column', NULL, NULL, NULL, NULL, 'only_measures', 1),
+    ('account', 'named_account', 3, NULL, '{fixed.ACCOUNT}', NULL, NULL, n),
+    ('twice', 'entity_twice', NULL, lo + 20, 'A', NULL, NULL, 1),
+    ('overflow', 'overflow', NULL, lo, '{fixed.ACCOUNT}', 'Clicks', NULL, n),
+    ('weekly', 'segmented', NULL, NULL, NULL, NULL, 'weekly', 1),
+    ('gap', 'day_gap', NULL, lo + 21, NULL, NULL,
+      '1 missing after ' || CAST(CAST(lo + 19 AS DATE) AS VARCHAR), n20),
+    ('short', 'too_short', NULL, NULL, NULL, NULL, '20 days, {fixed.MIN_DAYS} needed', 1)
+  ) x(kind, rule, row_num, day, entity, column_name, detail, n))""") + """
+SELECT kind || '_' || source AS source, rule, CAST(row_num AS BIGINT) AS row_num,
+  CAST(day AS DATE) AS day, entity, column_name, detail, CAST(n AS BIGINT) AS n FROM met"""
+_SQL["refused_requests"] = """
+SELECT source, rule, entity, column_name, detail
+FROM (SELECT DISTINCT l_linestatus AS source FROM lineitem), (VALUES
+  ('column_not_forecastable', NULL, 'Campaign', 'text'),
+  ('column_not_forecastable', NULL, 'No such', 'unknown'),
+  ('entity_not_forecast', 'nobody', NULL, 'unknown'),
+  ('future_input', NULL, 'Clicks', 'length differs from the horizon'),
+  ('future_input', NULL, 'No such', 'length differs from the horizon'),
+  ('future_input', NULL, 'No such', 'not a numeric column')) v(rule, entity, column_name, detail)"""
+
 # --- storage and streams ----------------------------------------------------------------------
 
 _SQL["store_replace"] = _with(PANEL) + """

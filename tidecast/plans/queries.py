@@ -767,14 +767,9 @@ def stored_tables(spark, sf):
 
 @query
 def backtest(spark, sf):
-    """Every fourth week of the whole history as a point to forecast from."""
-    panel = landed(T.item_panel(spark, sf), "panel").withColumn(
-        "concept", F.lit(None).cast("string")
-    )
-    scored = B.backtest(
-        panel, T.panel_stats(panel), [M.seasonal_naive, M.weekday_quantile],
-        horizon=HORIZON, step=28,
-    )
+    """Every week of the whole history as a point to forecast from."""
+    panel = landed(T.item_panel(spark, sf), "panel")
+    scored = B.walk_forward(panel, T.panel_stats(panel), horizon=HORIZON)
     # A value on the edge of its band is inside it, whatever its last binary digit.
     scored = scored.withColumns({c: F.round(c, 6) for c in ("actual", "low", "high")})
     return B.backtest_summary(scored).select(
@@ -1034,6 +1029,40 @@ def shared_entities(spark, sf):
     return O.shared(parts, runs).select("series_id", "item", "after_account")
 
 
+def _parts_of(spark, sf):
+    """Brands as entities of a run per return flag and quantity, in the order of the lines.
+
+    Runs of small quantities were asked for the account as well.
+    """
+    part = T.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    lines = T.table(spark, sf, "lineitem").join(part, "l_partkey")
+    seen = lines.select(
+        F.col("l_returnflag").alias("series_id"),
+        F.concat_ws("/", "l_returnflag", F.col("l_quantity").cast("int")).alias("run_id"),
+        F.col("p_brand").alias("entity"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"),
+        (F.col("l_quantity") <= 10).alias("small"),
+    ).groupBy("series_id", "run_id", "entity").agg(
+        F.min("at").alias("position"), F.first("small").alias("small"))
+    account = seen.where("small").select(
+        "series_id", "run_id", F.lit(fixed.ACCOUNT).alias("entity"),
+        F.lit(0).cast("bigint").alias("position")).distinct()
+    return seen.drop("small").unionByName(account)
+
+
+@query
+def first_entities(spark, sf):
+    """The entity a run's page opens with: the account, or what its file names first."""
+    return O.headline_entity(_parts_of(spark, sf))
+
+
+@query
+def entity_order(spark, sf):
+    """Brands that every run of a flag has, in the order they are listed."""
+    items = _parts_of(spark, sf).withColumnRenamed("entity", "item")
+    runs = items.select("series_id", F.col("run_id").alias("id")).distinct()
+    return O.in_order(O.shared(items, runs)).select("series_id", "item", "position", _big("rank"))
+
+
 @query
 def runs_without_history(spark, sf):
     """Runs that forecast a return flag their series has no line item of."""
@@ -1106,6 +1135,32 @@ def violation_counts(spark, sf):
     return batch.violations.groupBy("source", "rule").agg(F.sum("n").alias("n"))
 
 
+@query
+def broken_exports(spark, sf):
+    """Exports that are each broken in one way: the rule that is met first, and where."""
+    lines = landed(T.broken_lines(spark, sf), "lines")
+    batch = read_batch(lines, max_columns=T.MOST_COLUMNS)
+    return Q.first_violation(batch.violations).select(
+        "source", "rule", "row_num", "day", "entity", "column_name", "detail", "n")
+
+
+@query
+def refused_requests(spark, sf):
+    """What a forecast is asked for that an account has not: columns, entities, coming values."""
+    records, headers = T.campaign_export(spark, sf)
+    batch = understand(records, headers, land=True)
+    ahead = landed(batch.stats.select("source", F.explode(F.expr(
+        "array_union(transform(sequence(1, 7), x -> struct('Cost' AS metric, x AS step)), "
+        "array(struct('Clicks' AS metric, 1 AS step), struct('No such' AS metric, 1 AS step)))"
+    )).alias("f")).select("source", "f.metric", "f.step", F.lit(1.0).alias("value")), "ahead")
+    found = Q.union_all([
+        Q.requested_columns(batch.columns, ["cost", "Campaign", "No such"]),
+        Q.requested_entities(batch.states, ["account", "nobody"]),
+        Q.future_inputs(batch.columns, ahead, HORIZON),
+    ])
+    return found.select("source", "rule", "entity", "column_name", "detail")
+
+
 # --- storage and streams --------------------------------------------------------------------------
 
 

@@ -107,8 +107,13 @@ def understand(
         # From here on only the panel reads cells; the rules read narrow columns.
         keyed = landed(keyed, "keyed")
     panel = P.build_panel(keyed, columns)
+    # Columns stand in the order of the file, those asked for by name in the order of asking.
+    columns = columns.withColumn("position", F.col("col_idx").cast("int"))
     if wanted:
         asked = [w.strip().lower() for w in wanted]
+        place = F.array_position(F.array(*[F.lit(a) for a in asked]), F.lower("name")).cast("int")
+        columns = columns.withColumn("position", F.when(place > 0, place - 1).otherwise(
+            F.col("position") + len(asked)))
         columns = columns.withColumn(
             "role",
             F.when(

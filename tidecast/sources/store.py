@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidecast import fixed
 from tidecast.functions import names as N
 from tidecast.functions.cells import trimmed
 from tidecast.functions.text import run_label
@@ -36,11 +37,11 @@ SCHEMAS = {
     "raw": "row_num bigint, day date, data map<string,string>, source string",
     "series": "entity string, metric string, day date, value double, series_id string",
     "columns": "name string, role string, concept string, averaged boolean, "
-    "is_percent boolean, weighted_by string, source string",
+    "is_percent boolean, weighted_by string, position int, source string",
     "runs": "id string, series_id string, model string, horizon int, created_at timestamp, "
     "as_of date, metrics array<string>, n_entities bigint, group_by string, "
     "input_hash string, model_info string",
-    "run_entities": "run_id string, series_id string, entity string",
+    "run_entities": "run_id string, series_id string, entity string, position bigint",
     "models": "model string, series_id string, trained_through date, metrics array<string>, "
     "n_rows bigint, created_at timestamp",
     "forecasts": "run_id string, entity string, metric string, day date, q_idx int, "
@@ -398,9 +399,20 @@ def identified(flight: DataFrame, runs: DataFrame, with_window: bool = True) ->
     )
 
 
-def make_run_entities(flight: DataFrame) -> DataFrame:
-    """Of a flight with run ids, the entities of each run."""
-    return flight.select("run_id", "series_id", "entity").distinct()
+def make_run_entities(flight: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """Of a flight with run ids, the entities of each run and where each was first seen.
+
+    ``positions``: source, entity, position. The account comes before all; without positions
+    the others have none.
+    """
+    found = flight.select("run_id", "series_id", "entity").distinct()
+    place = F.lit(None).cast("bigint")
+    if positions is not None:
+        seen = positions.select(F.col("source").alias("series_id"), "entity", "position")
+        found, place = found.join(seen, ["series_id", "entity"], "left"), F.col("position")
+    account = F.col("entity") == fixed.ACCOUNT
+    return found.select("run_id", "series_id", "entity",
+                        F.when(account, F.lit(0).cast("bigint")).otherwise(place).alias("position"))
 
 
 def stored_forecasts(flight: DataFrame) -> DataFrame:

@@ -350,3 +350,75 @@ def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("name")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+# --- exports that break a rule each ------------------------------------------------------
+
+#: What is done to an export of daily clicks: name, header in Latin-1, and the lines of each day as SQL
+#: over ``day``, ``clicks`` and ``i``, the day's number from 0; an array of none leaves it out.
+BROKEN = [
+    ("good", "Day,Clicks", "array(concat_ws(',', day, clicks))"),
+    ("zip", "PK\x03\x04", "array(concat_ws(',', day, clicks))"),
+    ("pdf", "%PDF-1.4", "array(concat_ws(',', day, clicks))"),
+    ("tabs", "Day\tClicks", "array(concat_ws('\t', day, clicks))"),
+    ("semicolons", "Day;Clicks", "array(concat_ws(';', day, clicks))"),
+    ("wide", "Day,A,B,C,D,E,F", "array(concat_ws(',', day, 1, 2, 3, 4, 5, clicks))"),
+    ("quote", "Day,Clicks", "array(concat_ws(',', day, if(i = 9, '1\"x', clicks)))"),
+    ("title", "My report", "array(concat_ws(',', day, clicks))"),
+    ("latin", "Day,Co\xfbt", "array(concat_ws(',', day, clicks))"),
+    ("summary", "Campaign,Clicks", "array(concat('Campaign ', i, ',', clicks))"),
+    ("ragged", "Day,Clicks", "array(concat_ws(',', day, clicks, if(i % 100 = 7, 9, null)))"),
+    ("empty", "Day,Clicks", "array()"),
+    ("ambiguous", "Day,Clicks",
+     "if(day(day) <= 12, array(concat_ws(',', date_format(day, 'dd/MM/yyyy'), clicks)), array())"),
+    ("second", "Clicks,Day", "array(concat_ws(',', clicks, day))"),
+    ("uneven", "Day,Campaign,Clicks",
+     "if(i % 50 = 5, array(concat(day, ',A,', clicks)), array(concat(day, ',A,', clicks), concat(day, ',B,', clicks)))"),
+    ("typo", "Day,Clicks", "array(concat_ws(',', day, if(i in (3, 8), 'oops', clicks)))"),
+    ("same", "Day,Clicks,clicks", "array(concat_ws(',', day, clicks, clicks))"),
+    ("words", "Day,Note", "array(concat(day, ',note ', i))"),
+    ("money", "Day,Campaign,Currency code,Clicks",
+     "array(concat(day, ',A,USD,', clicks), concat(day, ',B,EUR,', clicks))"),
+    ("groups", "Day,Campaign,Team,Clicks",
+     "array(concat(day, ',A,x,', clicks), concat(day, ',B,y,', clicks))"),
+    ("measures", "Day,Clicks,Cost", "array(concat(day, ',1,5'), concat(day, ',2,6'))"),
+    ("account", "Day,Campaign,Clicks",
+     "array(concat(day, ',A,', clicks), concat(day, ',(account),', clicks))"),
+    ("twice", "Day,Campaign,Clicks",
+     "array(concat(day, ',A,', clicks), concat(day, ',', if(i = 20, 'A', 'B'), ',', clicks))"),
+    ("overflow", "Day,Campaign,Clicks", "array(concat(day, ',A,1e308'), concat(day, ',B,1e308'))"),
+    ("weekly", "Day,Clicks", "if(i % 7 = 0, array(concat_ws(',', day, clicks)), array())"),
+    ("gap", "Day,Clicks", "if(i % 60 = 20, array(), array(concat_ws(',', day, clicks)))"),
+    ("short", "Day,Clicks", "if(i < 20, array(concat_ws(',', day, clicks)), array())"),
+]
+MOST_COLUMNS = 6
+
+
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily clicks of each line status as files, each broken in another way: source, block,
+    line_id, text. Sources are named by what is done and the status."""
+    clicks = (
+        dense(daily_items(spark, sf_dir)).groupBy("source", "day")
+        .agg(F.coalesce(F.sum("clicks"), F.lit(0.0)).cast("long").cast("string")
+             .alias("clicks"))
+    )
+    first = clicks.groupBy("source").agg(F.min("day").alias("first"))
+    days = clicks.join(first, "source").withColumn("i", F.datediff("day", "first"))
+    made = F.array(*[
+        F.struct(F.lit(name).alias("kind"), F.expr(lines).cast("array<string>").alias("lines"))
+        for name, _, lines in BROKEN
+    ])
+    name = F.concat_ws("_", F.col("m.kind"), "source").alias("source")
+    body = days.select("source", "i", F.explode(made).alias("m")).select(
+        name, "i", F.posexplode("m.lines").alias("k", "text")
+    ).select("source", (F.col("i") * 2 + F.col("k") + 1).cast("long").alias("at"), "text")
+    heads = F.array(*[
+        F.struct(F.lit(n).alias("kind"), F.unhex(F.lit(h.encode("latin-1").hex())).alias("text"))
+        for n, h, _ in BROKEN
+    ])
+    head = first.select("source", F.explode(heads).alias("m")).select(
+        name, F.lit(0).cast("long").alias("at"), F.col("m.text").cast("string").alias("text"))
+    # Lines of a block are numbered without gaps, as they are where a file is read.
+    number = F.row_number().over(W.partitionBy("source").orderBy("at")) - 1
+    return head.unionByName(body).select(
+        "source", F.lit(0).cast("long").alias("block"), number.cast("long").alias("line_id"), "text")
