@@ -159,7 +159,7 @@ def test_details(batch):
 
 def test_sources_and_days(batch):
     stats = {r["source"]: r for r in batch.stats.collect()}
-    assert "UPPER" in stats and ".hidden" not in stats and "notes" not in stats
+    assert "UPPER.CSV" in stats and ".hidden" not in stats and "notes" not in stats
     for name in ("good", "newest_first", "no_header", "bom", "crlf", "blank_lines", "dmy", "mdy"):
         assert (stats[name]["n_days"], str(stats[name]["last_day"])) == (40, day(39)), name
 
