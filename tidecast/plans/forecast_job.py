@@ -15,7 +15,7 @@ from tidecast.operators import panel as P
 from tidecast.operators import quality as Q
 from tidecast.plans.import_job import Imported, read_batch, save_batch
 from tidecast.plans.understand import Batch
-from tidecast.session import landed
+from tidecast.session import landed, landed_together
 from tidecast.sources.store import (
     Store,
     identified,
@@ -92,14 +92,14 @@ def forecast_lines(
     )
     flight = _fly(model, history, good, ahead, plan, list(future), horizon)
     flight = landed(M.floored(M.repaired(flight)), "flight")
-    unusable = landed(Q.unusable_forecasts(M.contract_violations(flight, horizon)), "unusable")
+    unusable, runs = landed_together(
+        unusable=Q.unusable_forecasts(M.contract_violations(flight, horizon)),
+        runs=make_runs(flight, M.series_hash(history), batch.groups, horizon, with_window=False),
+    )
     usable, violations = violations, violations.unionByName(unusable)
     refused = unusable.select(F.col("source").alias("series_id")).distinct()
     flight = flight.join(refused, "series_id", "left_anti")
-    runs = landed(
-        make_runs(flight, M.series_hash(history), batch.groups, horizon, with_window=False),
-        "runs",
-    )
+    runs = runs.join(refused, "series_id", "left_anti")
     flight = identified(flight, runs, with_window=False)
     with store.change() as change:
         # An unusable forecast is no fault of the data, which are stored all the same.

@@ -20,7 +20,7 @@ from tidecast.operators import panel as P
 from tidecast.operators import quality as Q
 from tidecast.operators import records as R
 from tidecast.plans.understand import Batch, understand
-from tidecast.session import landed
+from tidecast.session import landed, landed_together, together
 from tidecast.sources import exports, ledger
 from tidecast.sources.store import (
     Change,
@@ -69,8 +69,8 @@ def read_batch(
     headers = R.headers_of(parsed)
     # A source that is no CSV, or has broken records, says nothing worth reading on.
     if land:
-        shape = [landed(Q.union_all(shape), "shape")]
-        headers = landed(headers, "headers")
+        found, headers = landed_together(shape=Q.union_all(shape), headers=headers)
+        shape = [found]
     broken = Q.union_all(shape).select("source").distinct()
     records = R.data_rows(parsed).join(broken, "source", "left_anti")
     return understand(records, headers, shape, land=land, **options)
@@ -142,15 +142,15 @@ def import_lines(
     flight, history = forecast_batch(batch, horizon, names, fitted)
     flight = landed(flight, "flight")
     unusable = Q.unusable_forecasts(M.contract_violations(flight, horizon))
-    violations = landed(batch.violations.unionByName(unusable), "violations")
-    refused = violations.select(F.col("source").alias("series_id")).distinct()
-    flight = flight.join(refused, "series_id", "left_anti")
-    runs = landed(
-        make_runs(
+    violations, runs = landed_together(
+        violations=batch.violations.unionByName(unusable),
+        runs=make_runs(
             flight, M.series_hash(history), batch.groups, horizon, average_info(names)
         ),
-        "runs",
     )
+    refused = violations.select(F.col("source").alias("series_id")).distinct()
+    flight = flight.join(refused, "series_id", "left_anti")
+    runs = runs.join(refused, "series_id", "left_anti")
     flight = identified(flight, runs)
 
     with store.change() as change:
@@ -169,10 +169,12 @@ def import_lines(
 
 def save_batch(change: Change, batch: Batch, violations: DataFrame) -> None:
     """Datasets of the sources without a violation, also where nothing of one is left."""
-    keys = Q.accepted(batch.stats, violations).select("source")
-    change.save_series(Q.accepted(batch.panel, violations), keys)
-    change.save_raw(Q.accepted(batch.rows, violations), batch.headers, keys)
-    change.save_columns(Q.accepted(batch.columns, violations), keys)
+    keys = landed(Q.accepted(batch.stats, violations).select("source").distinct(), "datasets")
+    together(
+        lambda: change.save_series(Q.accepted(batch.panel, violations), keys),
+        lambda: change.save_raw(Q.accepted(batch.rows, violations), batch.headers, keys),
+        lambda: change.save_columns(Q.accepted(batch.columns, violations), keys),
+    )
 
 
 def import_folder(

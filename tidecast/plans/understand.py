@@ -12,7 +12,7 @@ from tidecast.operators import columns as C
 from tidecast.operators import dates as D
 from tidecast.operators import panel as P
 from tidecast.operators import quality as Q
-from tidecast.session import landed
+from tidecast.session import landed, landed_together
 
 
 @dataclass
@@ -65,8 +65,7 @@ def understand(
             C.name_columns(C.column_profile(rows), headers), raw_stats, wanted
         )
         if land:
-            first_look = landed(first_look, "first_look")
-            raw_stats = landed(raw_stats, "raw_stats")
+            first_look, raw_stats = landed_together(first_look=first_look, raw_stats=raw_stats)
         marks = C.per_day_label(first_look, C.label_stats(rows, first_look), group_by)
         if land:
             marks = landed(marks, "marks")
@@ -83,11 +82,9 @@ def understand(
 
     per_day = D.rows_per_day(rows)
     stats = D.day_stats(per_day)
-    if land:
-        stats = landed(stats, "stats")
     named = C.name_columns(C.column_profile(rows), headers)
     if land:
-        named = landed(named, "profile")
+        stats, named = landed_together(stats=stats, profile=named)
     columns = C.choose_weights(C.classify(named, stats, wanted))
     if land:
         columns = landed(columns, "columns")

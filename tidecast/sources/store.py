@@ -19,6 +19,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from tidecast.functions.cells import trimmed
 from tidecast.functions.text import run_label
 from tidecast.operators.accuracy import accuracy_view
 from tidecast.operators.forecast import COVARIATES, FITTED, long_form
-from tidecast.session import landed
+from tidecast.session import landed, together
 from tidecast.sources.files import Files
 
 SCHEMAS = {
@@ -205,7 +206,7 @@ class Change:
         self.store, self.spark = store, store.spark
         self.base = store.version()
         self.manifest = store.at(self.base).manifest()
-        self.name, self.steps = uuid.uuid4().hex, 0
+        self.name, self.steps = uuid.uuid4().hex, count(1)
 
     def read(self, table: str) -> DataFrame:
         return self.store._read(table, self.manifest["tables"][table])
@@ -214,8 +215,7 @@ class Change:
         self.manifest["tables"] = {t: [] for t in SCHEMAS}
 
     def _folder(self) -> str:
-        self.steps += 1
-        return f"v={self.name}-{self.steps}"
+        return f"v={self.name}-{next(self.steps)}"
 
     def _bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.manifest["buckets"])).cast("int")
@@ -223,16 +223,16 @@ class Change:
     def replace(self, table: str, df: DataFrame, keys: DataFrame | None = None) -> None:
         """Datasets in ``df`` and those named by ``keys`` have the rows of ``df`` from now on.
 
-        ``keys`` has the dataset's name in its first column: one that came back empty has no
-        row to say so. Only the buckets that hold these datasets are written anew. A bucket
+        ``keys``, where given, has the name of every such dataset in its first column: one
+        that came back empty has no row to say so. Only the buckets that hold these datasets are written anew. A bucket
         too large for one task is split, so the largest dataset is neither one file nor one
         task.
         """
         key = DATASET[table]
-        named = df.select(key)
-        if keys is not None:
-            named = named.union(keys.select(keys.columns[0]))
-        named = landed(named.distinct(), "datasets")
+        if keys is None:
+            named = landed(df.select(key).distinct(), "datasets")
+        else:
+            named = keys.select(F.col(keys.columns[0]).alias(key)).distinct()
         buckets = [r[0] for r in named.select(self._bucket(key)).distinct().collect()]
         names = tuple(f"/bucket={b}" for b in buckets)
         have = self.manifest["tables"][table]
@@ -285,9 +285,9 @@ class Change:
             .repartitionByRange("entity", "metric", "quantile", "run_id", "day")
             .sortWithinPartitions("entity", "metric", "quantile")
         )
-        self.append("forecasts", ordered)
-        self.append("run_entities", run_entities.join(ids, "run_id", "left_semi"))
-        self.append("runs", runs)
+        known = run_entities.join(ids, "run_id", "left_semi")
+        together(lambda: self.append("forecasts", ordered),
+                 lambda: self.append("run_entities", known), lambda: self.append("runs", runs))
 
     def append_models(self, history: DataFrame, model: str) -> None:
         """Record what a fitted model has seen, per series: last day, metrics, rows."""
