@@ -76,3 +76,22 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted(r["score"] for r in Q.judge(docs, none).collect()) == [0.0, 0.5]
     assert Q.judge(docs.limit(0), none).collect() == []
+
+
+def test_bad_lines_at_the_end_of_long_texts_are_learnt(spark):
+    """Labelled bad documents start with a thousand good lines; nothing of them is cut."""
+    import random
+
+    r = random.Random(6)
+    words = "the river runs past an old house where people walk in the early morning".split()
+    good = lambda: " ".join(r.choices(words, k=12)).capitalize() + "."
+    bad = lambda: "".join(r.choices("#$%&*@^~=+<>{}[]0123456789", k=40))
+    ids = [i for i in range(60) if not held_out(i)]
+    rows = [(i, "\n".join([good() for _ in range(1000)] + [bad() if i % 2 else good() for _ in range(1000)]))
+            for i in ids]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in ids], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in Q.judge(docs, labels).collect()}
+    # By their first thousand lines they are all alike.
+    wrong = {i: got[i] for i in ids if (got[i] > 0.5) != (i % 2 == 0)}
+    assert not wrong

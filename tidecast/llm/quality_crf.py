@@ -143,6 +143,35 @@ class Model:
         return np.where(np.isnan(p), EMPTY_SCORE, 1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def _logistic_curve(design: np.ndarray, target: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slope and offset of the logistic curve, held near (1, 0) where the classes are apart.
+
+    Newton steps on two parameters; one that would make the fit worse is halved until it does
+    not, since with classes far apart whole steps run away.
+    """
+    start = np.array([1.0, 0.0])
+
+    def loss(c: np.ndarray) -> float:
+        z = design @ c
+        return float((w * (np.logaddexp(0.0, z) - target * z)).sum() + 5e-4 * ((c - start) ** 2).sum())
+
+    curve, now = start, loss(start)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(design @ curve, -40, 40)))
+        grad = design.T @ (w * (q - target)) + 1e-3 * (curve - start)
+        bend = (design * (w * q * (1 - q))[:, None]).T @ design + 1e-3 * np.eye(2)
+        step, found = np.linalg.solve(bend, grad), now
+        for _ in range(40):
+            found = loss(curve - step)
+            if found <= now:
+                break
+            step = step / 2
+        if not found < now:
+            break
+        curve, now = curve - step, found
+    return curve
+
+
 def fit_rows(rows, sizes, lengths, y, weight, l2: float = 1e-3, steps: int = 250,
              rate: float = 0.1) -> Model:
     """Maximum conditional likelihood by Adam, then the logistic curve of the documents."""
@@ -167,12 +196,7 @@ def fit_rows(rows, sizes, lengths, y, weight, l2: float = 1e-3, steps: int = 250
     has = ~np.isnan(found)
     p = np.clip(found[has], 1e-4, 1 - 1e-4)
     design = np.column_stack([np.log(p / (1 - p)), np.ones(has.sum())])
-    target, w, curve = y[has].astype(float), np.asarray(weight)[has], np.array([1.0, 0.0])
-    for _ in range(50):  # Newton steps on two parameters
-        q = 1 / (1 + np.exp(-np.clip(design @ curve, -40, 40)))
-        grad = design.T @ (w * (q - target)) + 1e-3 * (curve - [1.0, 0.0])
-        bend = (design * (w * q * (1 - q))[:, None]).T @ design + 1e-3 * np.eye(2)
-        curve = curve - np.linalg.solve(bend, grad)
+    curve = _logistic_curve(design, y[has].astype(float), np.asarray(weight)[has])
     return Model(theta[:-1], float(theta[-1]), float(curve[0]), float(curve[1]))
 
 
