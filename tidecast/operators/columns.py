@@ -196,10 +196,14 @@ def label_stats(rows: DataFrame, columns: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     per_value = per_day.groupBy("source", "col_idx", "value").agg(F.max("n").alias("most"))
-    return per_value.groupBy("source", "col_idx").agg(
-        F.count(F.lit(1)).alias("n_distinct"),
+    per_folded = per_value.groupBy("source", "col_idx", F.lower("value").alias("folded")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("most").alias("most")
+    )
+    return per_folded.groupBy("source", "col_idx").agg(
+        F.sum("n").alias("n_distinct"),
+        F.count(F.lit(1)).alias("n_folded"),
         (
-            (F.max("most") == 1) & (F.count_if(F.col("value") == "") == 0) & (F.count(F.lit(1)) > 1)
+            (F.max("most") == 1) & (F.count_if(F.col("folded") == "") == 0) & (F.sum("n") > 1)
         ).alias("unique_per_day"),
     )
 
@@ -243,7 +247,8 @@ def group_columns(
 ) -> DataFrame:
     """``source, group_idx, group_by, verdict``: the column that separates a day's rows.
 
-    ``verdict`` is ok or single, or says why there is none.
+    ``verdict`` is ok or single, or says why there is none; ``count_by_case`` says that the
+    column asked for would do if its names did not differ in capitalisation.
     """
     joined = (
         columns.select("source", "col_idx", "name", "role", "first_is_text")
@@ -252,6 +257,11 @@ def group_columns(
     )
     is_label = F.col("role").isin("text", "identifier")
     fits = F.col("n_distinct") == F.col("rows_per_day")
+    # Names that differ only in capitalisation are the likeliest reason for one value too many.
+    by_case = (F.col("n_folded") < F.col("n_distinct")) & (
+        (F.col("n_folded") == F.col("rows_per_day"))
+        | (F.col("n_distinct") == F.col("rows_per_day") + 1)
+    )
     pick = F.struct("col_idx", "name")
 
     def first_where(test):
@@ -264,11 +274,13 @@ def group_columns(
             first_where(hit).alias("hit"),
             F.min_by(is_label, F.when(hit, F.col("col_idx"))).alias("hit_is_label"),
             F.min_by(fits, F.when(hit, F.col("col_idx"))).alias("hit_fits"),
+            F.min_by(by_case, F.when(hit, F.col("col_idx"))).alias("hit_by_case"),
         ]
         verdict = (
             F.when(F.col("rows_per_day") == 1, F.lit("one_row_per_day"))
             .when(F.col("hit").isNull(), F.lit("unknown"))
             .when(~F.col("hit_is_label"), F.lit("measured"))
+            .when(~F.col("hit_fits") & F.col("hit_by_case"), F.lit("count_by_case"))
             .when(~F.col("hit_fits"), F.lit("count"))
             .otherwise(F.lit("ok"))
         )

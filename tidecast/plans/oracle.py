@@ -928,6 +928,10 @@ met AS (
   ) x(kind, rule, row_num, day, entity, column_name, detail, n))""") + """
 SELECT kind || '_' || source AS source, rule, CAST(row_num AS BIGINT) AS row_num,
   CAST(day AS DATE) AS day, entity, column_name, detail, CAST(n AS BIGINT) AS n FROM met"""
+_SQL["group_hints"] = """
+SELECT source, asked, 'group_column' AS rule, detail
+FROM (SELECT DISTINCT l_linestatus AS source FROM lineitem), (VALUES ('item', 'count_by_case'),
+  ('Team', 'count'), ('Clicks', 'measured'), ('Nothing', 'unknown')) v(asked, detail)"""
 _SQL["refused_requests"] = """
 SELECT source, rule, entity, column_name, detail
 FROM (SELECT DISTINCT l_linestatus AS source FROM lineitem), (VALUES

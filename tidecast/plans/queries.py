@@ -1144,6 +1144,33 @@ def broken_exports(spark, sf):
         "source", "rule", "row_num", "day", "entity", "column_name", "detail", "n")
 
 
+def _items_spelt_twice(spark, sf):
+    """Rows per item and day; on one day an item is written in small letters."""
+    daily = T.dense(T.daily_items(spark, sf)).select("source", "entity", "day")
+    first = daily.groupBy("source").agg(F.min("day").alias("first"))
+    at = F.datediff("day", "first")
+    name = F.when((at == 40) & (F.col("entity") == "A"), F.lower("entity")).otherwise(F.col("entity"))
+    rows = daily.join(first, "source").select(
+        "source", (at * 10 + F.ascii("entity") % 10 + 2).cast("long").alias("row_num"),
+        F.array(F.col("day").cast("string"), F.concat(F.lit("Item "), name), F.lit("one"),
+                (at % 7).cast("string")).alias("cells"))
+    names = F.array(*map(F.lit, ["Day", "Item", "Team", "Clicks"]))
+    return rows, first.select("source", names.alias("header"))
+
+
+@query
+def group_hints(spark, sf):
+    """Splits that are asked for and do not fit: by a name spelt two ways, by one too few."""
+    rows, stats, columns = _classified(spark, sf, _items_spelt_twice)
+    labels = landed(C.label_stats(rows, columns), "labels")
+    found = [
+        Q.group_rules(C.group_columns(columns, labels, stats, asked), rows, columns, stats)
+        .select("source", F.lit(asked).alias("asked"), "rule", "detail")
+        for asked in ("item", "Team", "Clicks", "Nothing")
+    ]
+    return Q.union_all(found)
+
+
 @query
 def refused_requests(spark, sf):
     """What a forecast is asked for that an account has not: columns, entities, coming values."""
