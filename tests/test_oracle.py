@@ -21,7 +21,8 @@ PICKED = [
     "rate_denominators", "fill_absent", "same_entities", "day_gaps", "account_totals",
     "blended_rates", "trend_weekday", "ensemble_average", "quantile_repair",
     "forecast_contract", "forecast_accuracy", "shared_entities", "drawn_runs", "backtest",
-    "closed_days_stream", "store_replace",
+    "closed_days_stream", "store_replace", "published_versions", "repeated_append", "late_events",
+    "broken_exports", "group_hints", "first_entities",
 ]
 
 

@@ -813,7 +813,8 @@ named AS (
     SELECT series_id, run_id, entity, MIN(position) AS position FROM seen GROUP BY ALL)
   UNION ALL SELECT DISTINCT series_id, run_id, '{fixed.ACCOUNT}', 0 FROM seen WHERE q <= 10)"""
 _SQL["first_entities"] = _with(BRANDS) + f"""
-SELECT run_id, arg_min(entity, position) AS entity FROM named GROUP BY run_id"""
+SELECT run_id, entity FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id
+  ORDER BY entity <> '{fixed.ACCOUNT}', position, entity) AS rn FROM named) WHERE rn = 1"""
 _SQL["entity_order"] = _with(BRANDS) + """
 SELECT series_id, item, position, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY position, item) AS rank
 FROM (SELECT series_id, entity AS item, MIN(position) AS position, COUNT(*) AS n FROM named GROUP BY ALL)
