@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import tempfile
 
@@ -70,6 +71,7 @@ def test_fitted_model_says_what_it_saw(imported):
     _, store = imported
     model = store.read("models").first()
     assert (model["model"], str(model["trained_through"])) == ("pooled_ridge", day(99))
+    assert json.loads(model["settings"]) == {"lags": [1, 2], "means": [28], "reg": 0.1}
     view = store.accuracy_view("scores").where("model = 'pooled_ridge@full'")
     assert {r["trained_through"] for r in view.select("trained_through").collect()} == {day(99)}
     other = store.accuracy_view("scores").where("model = 'average@90d'")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidecast import fixed
 from tidecast.functions import names as N
+from tidecast.operators import regression
 
 KEYS = ["series_id", "entity", "metric", "window"]
 FLIGHT = [*KEYS, "model", "as_of", "day", "quantiles", "q"]
@@ -372,85 +373,74 @@ def long_form(flight: DataFrame, quantiles: list[float] | None = None) -> DataFr
 # --- a model fitted to each account's own data ------------------------------------------
 
 
-def _solved(x: list[str], reg: float) -> list[Column]:
-    """Coefficients of a ridge regression of ``y`` on three inputs, from sums of products.
+#: What the account-fitted model looks at: weeks back, days averaged, and its penalty.
+RIDGE = {"lags": [1, 2], "means": [28], "reg": 0.1}
 
-    Inputs and ``y`` are taken from their means, so the intercept is not penalised; the
-    penalty is ``reg`` times the variance of each input. Three equations, solved by
-    determinants.
-    """
-
-    def co(a: str, b: str) -> Column:
-        both = F.avg(F.col(a) * F.col(b)) - F.avg(a) * F.avg(b)
-        return both * (1 + reg) if a == b else both
 
-    m = [[co(a, b) for b in x] for a in x]
-    v = [co(a, "y") for a in x]
+def ridge_settings(**changed) -> dict:
+    """The settings of ``pooled_ridge``, defaults filled in, as recorded with a fitted model."""
+    unknown = set(changed) - set(RIDGE)
+    if unknown:
+        raise ValueError(f"no such settings: {sorted(unknown)}")
+    out = RIDGE | changed
+    if not list(out["lags"]) + list(out["means"]) or min([*out["lags"], *out["means"]]) < 1:
+        raise ValueError("a fit needs lags or means of one or more")
+    return {"lags": list(out["lags"]), "means": list(out["means"]), "reg": float(out["reg"])}
 
-    def det(c: list[list[Column]]) -> Column:
-        return (
-            c[0][0] * (c[1][1] * c[2][2] - c[1][2] * c[2][1])
-            - c[0][1] * (c[1][0] * c[2][2] - c[1][2] * c[2][0])
-            + c[0][2] * (c[1][0] * c[2][1] - c[1][1] * c[2][0])
-        )
 
-    whole = det(m)
-    return [
-        F.coalesce(
-            F.try_divide(det([[v[r] if c == k else m[r][c] for c in range(3)]
-                              for r in range(3)]), whole),
-            F.lit(0.0),
-        )
-        for k in range(3)
-    ]
-
-
-def pooled_ridge(history: DataFrame, horizon: int, reg: float = 0.1) -> DataFrame:
+def pooled_ridge(history: DataFrame, horizon: int, **settings) -> DataFrame:
     """A ridge regression on weekly lags, fitted to all series of an account together.
 
     Each value is divided by its series' own level so that large and small series share
-    coefficients. Weeks ahead use lags that far back, one fit per week of the horizon. An
-    account's fit is a row of sums; what other accounts hold makes no difference to it.
+    coefficients. ``lags`` are weeks and ``means`` lengths in days, counted from the last day
+    that is known a whole number of weeks before; every week of the horizon has a fit of its
+    own. An account's fit is a row of sums; what other accounts hold makes no difference to it.
+    All weeks' inputs come out of one pass over the series.
     """
+    use = ridge_settings(**settings)
+    width, weeks = len(use["lags"]) + len(use["means"]), math.ceil(horizon / 7)
     level = F.greatest(F.avg(F.abs("value")).over(W.partitionBy(*KEYS)), F.lit(1e-9))
     base = history.withColumn("level", level).withColumn("y", F.col("value") / F.col("level"))
-    inputs = ["lag_1", "lag_2", "mean_28"]
-    out = None
-    for week in range(1, math.ceil(horizon / 7) + 1):
-        lag = 7 * week
-        # The days ahead are rows like any other, with no value yet.
-        ahead = F.sequence(
-            F.date_add("as_of", lag - 6), F.date_add("as_of", min(lag, horizon))
-        )
-        todo = (
-            base.where("day = as_of")
-            .withColumn("day", F.explode(ahead))
-            .withColumn("y", F.lit(None).cast("double"))
-        )
-        at = W.partitionBy(*KEYS).orderBy(F.datediff("day", F.lit("1970-01-01")))
-        featured = base.unionByName(todo).select(
-            *KEYS, "as_of", "day", "level", "y",
-            F.avg("y").over(at.rangeBetween(-lag, -lag)).alias("lag_1"),
-            F.avg("y").over(at.rangeBetween(-lag - 7, -lag - 7)).alias("lag_2"),
-            F.avg("y").over(at.rangeBetween(-lag - 27, -lag)).alias("mean_28"),
-        ).where("lag_1 is not null and lag_2 is not null and mean_28 is not null")
-        fits = featured.where("y is not null").groupBy("series_id", "window").agg(
-            *[c.alias(f"b_{x}") for c, x in zip(_solved(inputs, reg), inputs, strict=True)],
-            F.avg("y").alias("mean_y"), *[F.avg(x).alias(f"mean_{x}") for x in inputs],
-        )
-        prediction = F.col("mean_y")
-        for x in inputs:
-            prediction = prediction + F.col(f"b_{x}") * (F.col(x) - F.col(f"mean_{x}"))
-        scored = featured.join(fits, ["series_id", "window"]).withColumn("p", prediction)
-        # Days ahead have no residual, so one aggregate gives the spread and their list.
-        part = scored.groupBy(*KEYS, "as_of", "level").agg(
-            F.percentile(F.col("y") - F.col("p"), _grid()).alias("spread"),
-            F.collect_list(F.when(F.col("y").isNull(), F.struct("day", "p"))).alias("days"),
-        ).select(*KEYS, "as_of", "level", "spread", F.explode("days").alias("d")).select(
-            *KEYS, "as_of", F.col("d.day").alias("day"),
-            F.transform("spread", lambda r: (F.col("d.p") + r) * F.col("level")).alias("q"),
-        )
-        out = part if out is None else out.unionByName(part)
+    # The days ahead are rows like any other, with no value yet.
+    ahead = F.sequence(F.date_add("as_of", 1), F.date_add("as_of", horizon))
+    todo = base.where("day = as_of").withColumn("day", F.explode(ahead)).withColumn(
+        "y", F.lit(None).cast("double")
+    )
+    at = W.partitionBy(*KEYS).orderBy(F.datediff("day", F.lit("1970-01-01")))
+
+    def mean(first: int, last: int) -> Column:
+        return F.avg("y").over(at.rangeBetween(-first, -last))
+
+    def inputs(week: int) -> Column:
+        back = [7 * (week + lag - 1) for lag in use["lags"]]
+        return F.array(*[mean(d, d) for d in back],
+                       *[mean(7 * week + n - 1, 7 * week) for n in use["means"]])
+
+    seen = base.unionByName(todo).select(
+        *KEYS, "as_of", "day", "level", "y",
+        F.array(*[F.struct(F.lit(k).alias("week"), inputs(k).alias("x"))
+                  for k in range(1, weeks + 1)]).alias("by_week"),
+    )
+    # A day ahead belongs to one week; a day of the past is a row of every week's fit.
+    own = F.ceil(F.datediff("day", "as_of") / 7)
+    featured = seen.select(
+        *KEYS, "as_of", "day", "level", "y",
+        F.explode(F.filter("by_week", lambda w: (F.col("y").isNotNull() | (w["week"] == own))
+                           & F.forall(w["x"], lambda v: v.isNotNull()))).alias("w"),
+    ).select(*KEYS, "as_of", "day", "level", "y", "w.week", "w.x")
+    fit = ["series_id", "window", "week"]
+    fits = regression.fitted(regression.moments(featured, fit, width), width, use["reg"])
+    scored = featured.join(fits.select(*fit, "b", "mean_x", "mean_y"), fit).withColumn(
+        "p", regression.predicted(F.col("x"))
+    )
+    # Days ahead have no residual, so one aggregate gives the spread and their list.
+    out = scored.groupBy(*KEYS, "as_of", "level", "week").agg(
+        F.percentile(F.col("y") - F.col("p"), _grid()).alias("spread"),
+        F.collect_list(F.when(F.col("y").isNull(), F.struct("day", "p"))).alias("days"),
+    ).select(*KEYS, "as_of", "level", "spread", F.explode("days").alias("d")).select(
+        *KEYS, "as_of", F.col("d.day").alias("day"),
+        F.transform("spread", lambda r: (F.col("d.p") + r) * F.col("level")).alias("q"),
+    )
     return _native(out, "pooled_ridge")
 
 

@@ -161,7 +161,8 @@ def import_lines(
             entities = make_run_entities(flight, P.entity_positions(batch.keyed))
             change.append_runs(runs, entities, stored_forecasts(flight))
             if fitted:
-                change.append_models(history.where("window = 'full'"), "pooled_ridge")
+                change.append_models(history.where("window = 'full'"), "pooled_ridge",
+                                     M.ridge_settings())
         if files is not None:
             change.append("files", Q.accepted(files, violations))
     return Imported(violations, flight, runs, batch, history)

@@ -585,6 +585,36 @@ ridge AS (
   WHERE y IS NULL)"""
 _SQL["pooled_ridge"] = _with(PANEL, history(), AHEAD, IDX, RIDGE) + LONG.format("ridge")
 
+_SQL["fitted_lines"] = """WITH RECURSIVE line AS (
+  SELECT l_returnflag, l_linestatus, [l_quantity, l_discount, l_tax, l_linenumber, l_quantity * 2,
+    3, month(l_shipdate), l_quantity * l_tax]::DOUBLE[] AS x, l_extendedprice AS y FROM lineitem),
+wide AS (
+  SELECT l_returnflag, l_linestatus, k, list_append(x[1:k], y) AS z
+  FROM line, (VALUES (3), (8)) v(k)),
+pair AS (
+  SELECT l_returnflag, l_linestatus, k, i, j, COUNT(*) AS n, AVG(z[k + 1]) AS mean_y,
+    AVG(z[i] * z[i]) AS size,
+    (AVG(z[i] * z[j]) - AVG(z[i]) * AVG(z[j])) * CASE WHEN i = j THEN 1.1 ELSE 1 END AS v
+  FROM wide, range(1, 9) a(i), range(1, 10) b(j) WHERE i <= k AND j <= k + 1
+  GROUP BY l_returnflag, l_linestatus, k, i, j),
+line_of AS (
+  SELECT l_returnflag, l_linestatus, k, i, n, mean_y, any_value(size) AS size,
+    list(v ORDER BY j) AS r FROM pair GROUP BY ALL),
+step AS (
+  SELECT l_returnflag, l_linestatus, k, n, mean_y, 1 AS p, list(size ORDER BY i) AS size,
+    list(r ORDER BY i) AS m FROM line_of GROUP BY ALL
+  UNION ALL
+  SELECT l_returnflag, l_linestatus, k, n, mean_y, p + 1, size,
+    CASE WHEN m[p][p] > 1e-10 * size[p]
+      THEN list_transform(m, lambda r, i: CASE WHEN i = p THEN list_transform(r, lambda v: v / m[p][p])
+        ELSE list_transform(r, lambda v, j: v - r[p] / m[p][p] * m[p][j]) END)
+      ELSE list_transform(m, lambda r, i: CASE WHEN i = p THEN list_transform(r, lambda v: 0.0::DOUBLE)
+        ELSE r END) END
+  FROM step WHERE p <= k)
+SELECT l_returnflag, l_linestatus, k AS n_inputs, n, ROUND(mean_y, 3) AS mean_y,
+  CAST(i - 1 AS INTEGER) AS input, ROUND(m[i][k + 1], 3) + 0.0 AS b
+FROM step, range(1, 9) a(i) WHERE p = k + 1 AND i <= k"""
+
 _SQL["input_hash"] = _with(PANEL, history(), f"""texts AS (
   SELECT {KEYS}, sha256(string_agg(pair, chr(10) ORDER BY pair)) AS h FROM (
     SELECT *, CAST(day AS VARCHAR) || '=' || CAST(CAST(ROUND(value * 1e6) AS HUGEINT) AS VARCHAR)

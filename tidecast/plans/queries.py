@@ -22,6 +22,7 @@ from tidecast.operators import forecast as M
 from tidecast.operators import panel as P
 from tidecast.operators import quality as Q
 from tidecast.operators import records as R
+from tidecast.operators import regression as G
 from tidecast.operators import report as O
 from tidecast.plans.import_job import import_folder, import_lines, read_batch
 from tidecast.plans.understand import understand
@@ -712,6 +713,27 @@ def pooled_ridge(spark, sf):
     return _long(M.pooled_ridge(history.unionByName(other), HORIZON))
 
 
+@query
+def fitted_lines(spark, sf):
+    """Prices on three inputs and on eight, of which one is constant and one a double; the sums
+    of odd months are added to those of even ones before the fit."""
+    lines = T.table(spark, sf, "lineitem").withColumn("month", F.month("l_shipdate"))
+    keys = ["l_returnflag", "l_linestatus"]
+    three = [F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")]
+    eight = [*three, F.col("l_linenumber").cast("double"), F.col("l_quantity") * 2, F.lit(3.0),
+             F.col("month").cast("double"), F.col("l_quantity") * F.col("l_tax")]
+    out = []
+    for inputs in (three, eight):
+        k = len(inputs)
+        rows = lines.select(*keys, F.col("month") % 2 == 1, F.array(*inputs).alias("x"),
+                            F.col("l_extendedprice").alias("y")).toDF(*keys, "odd", "x", "y")
+        even, odd = (G.moments(rows.where(c), keys, k) for c in ("not odd", "odd"))
+        fit = G.fitted(G.added(even, odd, keys, k), k, reg=0.1)
+        out.append(fit.select(*keys, F.lit(k).alias("n_inputs"), "n", _r("mean_y", 3),
+                              F.posexplode("b").alias("input", "b")))
+    return Q.union_all(out).withColumn("b", _r("b", 3))
+
+
 def _damped_mean(grid):
     """A forecaster of a user's own: quantiles of the last four weeks, every day alike.
 

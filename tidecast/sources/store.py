@@ -44,7 +44,7 @@ SCHEMAS = {
     "input_hash string, model_info string",
     "run_entities": "run_id string, series_id string, entity string, position bigint",
     "models": "model string, series_id string, trained_through date, metrics array<string>, "
-    "n_rows bigint, created_at timestamp",
+    "n_rows bigint, created_at timestamp, settings string",
     "forecasts": "run_id string, entity string, metric string, day date, q_idx int, "
     "quantile double, value double",
     "files": "path string, source string, length bigint, modified timestamp, digest string, "
@@ -158,9 +158,9 @@ class Store:
         with self.change() as c:
             c.append_runs(runs, run_entities, forecasts)
 
-    def append_models(self, history: DataFrame, model: str) -> None:
+    def append_models(self, history: DataFrame, model: str, settings: dict | None = None) -> None:
         with self.change() as c:
-            c.append_models(history, model)
+            c.append_models(history, model, settings)
 
     def clear(self) -> None:
         """Empty every table; older versions still read."""
@@ -289,13 +289,16 @@ class Change:
         together(lambda: self.append("forecasts", ordered),
                  lambda: self.append("run_entities", known), lambda: self.append("runs", runs))
 
-    def append_models(self, history: DataFrame, model: str) -> None:
-        """Record what a fitted model has seen, per series: last day, metrics, rows."""
+    def append_models(self, history: DataFrame, model: str, settings: dict | None = None) -> None:
+        """Record what a fitted model has seen, per series: last day, metrics, rows, and how it
+        was fitted, as JSON."""
+        text = json.dumps(settings, sort_keys=True) if settings is not None else None
         seen = history.groupBy("series_id").agg(
             F.max("day").alias("trained_through"),
             F.array_sort(F.collect_set("metric")).alias("metrics"),
             F.count(F.lit(1)).alias("n_rows"),
-        ).withColumns({"model": F.lit(model), "created_at": F.current_timestamp()})
+        ).withColumns({"model": F.lit(model), "created_at": F.current_timestamp(),
+                       "settings": F.lit(text).cast("string")})
         self.append("models", seen)
 
 
