@@ -23,6 +23,7 @@ PICKED = [
     "forecast_contract", "forecast_accuracy", "shared_entities", "drawn_runs", "backtest",
     "closed_days_stream", "store_replace", "published_versions", "repeated_append", "late_events",
     "broken_exports", "group_hints", "first_entities", "fitted_lines",
+    "scored_streams",
 ]
 
 

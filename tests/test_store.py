@@ -26,7 +26,7 @@ from tidecast.streaming.closed_days import (
     write_closed_days,
 )
 from tidecast.streaming.drop_folder import start_import
-from tidecast.streaming.live_accuracy import score_arrivals
+from tidecast.streaming.live_accuracy import forecast_days, score_arrivals, score_streams
 
 
 def _campaigns(n=100, extra=""):
@@ -407,6 +407,35 @@ def test_closed_days(spark):
     assert rows == {("2026-01-01", 3.0), ("2026-01-02", 5.0), ("2026-01-02", 2.0)}
 
 
+def test_both_sides_of_the_score_arrive(spark, folder):
+    """A match comes out at once; what never gets an actual comes out as waiting, once."""
+    runs, forecasts, series = _tables(spark, {0: 80, 1: 200})
+    days = forecast_days(forecasts, runs)
+    want = {(r["run_id"], r["entity"], r["metric"], r["day"]): r
+            for r in A.accuracy_view(forecasts, runs, series).collect()}
+
+    def turn(new_days, new_actuals):
+        new_days.write.mode("append").parquet(folder + "/f")
+        new_actuals.write.mode("append").parquet(folder + "/a")
+        streams = [spark.readStream.schema(df.schema).parquet(folder + at)
+                   for df, at in ((days, "/f"), (series, "/a"))]
+        score_streams(*streams, wait="3 days").writeStream.format("parquet").option(
+            "checkpointLocation", folder + "/cp").trigger(availableNow=True).start(
+            folder + "/out").awaitTermination()
+        return [r for r in spark.read.parquet(folder + "/out").collect() if r["entity"] != "(end)"]
+
+    assert turn(days, series.where("false")) == []
+    # A row with nothing in its key meets nothing.
+    nobody = series.limit(1).withColumn("entity", F.lit(None).cast("string"))
+    early = turn(days.where("false"), series.unionByName(nobody))
+    assert {r["actual"] is not None for r in early} == {True}
+    end = {"entity": F.lit("(end)"), "day": F.date_add("day", 90)}
+    got = turn(days.limit(1).withColumns(end), series.limit(1).withColumns(end))
+    assert len(got) == len(want) > len(early)
+    for r in got:
+        assert r == want[r["run_id"], r["entity"], r["metric"], r["day"]]
+
+
 def test_scores_as_actuals_arrive(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     runs, forecasts, series = _tables(spark, {0: 80, 1: 200})

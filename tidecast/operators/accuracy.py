@@ -42,7 +42,11 @@ def accuracy_view(forecasts: DataFrame, runs: DataFrame, series: DataFrame) -> D
     # No forecast is of a day before the first run was made.
     since = runs.agg(F.min("as_of")).scalar()
     actuals = series.where(F.col("day") > since).select(*keys, F.col("value").alias("actual"))
-    joined = bands.join(actuals, keys, "left")
+    return scored(bands.join(actuals, keys, "left"))
+
+
+def scored(joined: DataFrame) -> DataFrame:
+    """Errors and bands of forecast days beside their actual, null where it has not come."""
     error = F.col("forecast") - F.col("actual")
     trained_on = F.coalesce(
         F.col("day") <= F.col("trained_through").try_cast("date"), F.lit(False)

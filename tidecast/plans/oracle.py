@@ -741,6 +741,8 @@ SELECT series_id, model, as_of, days_ahead, entity, metric, day, ROUND(forecast,
   CAST(through AS VARCHAR) AS trained_through
 FROM scored"""
 
+_SQL["scored_streams"] = _SQL["forecast_accuracy"]
+
 _SCORES = """COUNT(*) AS n_days, ROUND(AVG(abs(pct_error)), 4) + 0.0 AS avg_error,
   ROUND(AVG(pct_error), 4) + 0.0 AS bias,
   ROUND(AVG(CAST(inside_range AS INTEGER)) * 100, 4) + 0.0 AS in_range

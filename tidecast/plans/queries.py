@@ -30,6 +30,7 @@ from tidecast.session import landed, scratch_path
 from tidecast.sources import store as S
 from tidecast.sources.files import Files
 from tidecast.sources import tables as T
+from tidecast.streaming import live_accuracy as L
 from tidecast.streaming.closed_days import close_days, closed_days, read_days, write_closed_days
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -872,9 +873,8 @@ def _view(spark, sf):
     return A.accuracy_view(forecasts, runs, series)
 
 
-@query
-def forecast_accuracy(spark, sf):
-    return _view(spark, sf).select(
+def _scores(view):
+    return view.select(
         "series_id", "model", "as_of", "days_ahead", "entity", "metric", "day",
         *[_r(c, 4) for c in ("forecast", "actual", "error", "abs_error", "pct_error", "low",
                              "high")],
@@ -882,6 +882,11 @@ def forecast_accuracy(spark, sf):
     )
 
 
+@query
+def forecast_accuracy(spark, sf):
+    return _scores(_view(spark, sf))
+
+
 @query
 def accuracy_summary(spark, sf):
     picked = A.select_scores(_view(spark, sf))
@@ -1348,6 +1353,32 @@ def closed_days_stream(spark, sf):
     return spark.read.parquet(out).select("entity", "day", "n_events", _r("total", 4))
 
 
+@query
+def scored_streams(spark, sf):
+    """Runs and actuals that come in turn, scored as both arrive; a last row of each closes all."""
+    runs, _, forecasts, series = stored(spark, sf)
+    first = runs.agg(F.min("as_of")).scalar()
+    days = landed(L.forecast_days(forecasts, runs), "forecast-days")
+    came = landed(series.where(F.col("day") > first).select(
+        "series_id", "entity", "metric", "day", "value"), "actuals")
+    last = days.agg(F.max("day")).first()[0]
+    end = {"series_id": F.lit("(end)"), "day": F.date_add(F.lit(last), 60)}
+    odd = F.datediff(F.col("day"), F.lit(last)) % 2 != 0
+    naive = F.col("model").startswith("seasonal")
+    inbox, out, progress = (scratch_path(spark, x) for x in ("inbox", "scored", "progress"))
+    turns = [(days.where(naive), came.where("false")), (days.where("false"), came.where(odd)),
+             (days.where(~naive), came.where(~odd)),
+             (days.limit(1).withColumns(end), came.limit(1).withColumns(end))]
+    for new_days, new_actuals in turns:
+        new_days.write.mode("append").parquet(f"{inbox}/forecasts")
+        new_actuals.write.mode("append").parquet(f"{inbox}/actuals")
+        streams = [spark.readStream.schema(df.schema).parquet(f"{inbox}/{name}")
+                   for df, name in ((days, "forecasts"), (came, "actuals"))]
+        L.score_streams(*streams, wait="30 days").writeStream.format("parquet").option(
+            "checkpointLocation", progress).trigger(availableNow=True).start(out).awaitTermination()
+    return _scores(spark.read.parquet(out).where("series_id <> '(end)'"))
+
+
 @query
 def late_events(spark, sf):
     """Events in six arrivals, a few of them late by one or two: no row is in none of the three."""
