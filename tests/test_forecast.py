@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pytest
@@ -106,6 +107,33 @@ def test_plugin(spark):
         M.with_plugin(history, _last_value(False), 7, ["flat"], future)
 
 
+def test_a_model_is_loaded_once_by_each_worker(spark, folder):
+    one = _history(spark)
+    many = one.crossJoin(spark.range(40)).withColumn(
+        "series_id", F.concat("series_id", F.col("id").cast("string"))).drop("id")
+
+    last = _last_value(False)
+
+    def load():
+        import os
+        import tempfile
+
+        os.close(tempfile.mkstemp(dir=folder, prefix=f"{os.getpid()}-")[0])
+        return last
+
+    model = M.Loaded("last", fixed.GRID, load)
+    spread = many.repartition(16, *M.KEYS)
+    first = sorted(map(str, M.with_plugin(spread, model, 7).collect()))
+    again = sorted(map(str, M.with_plugin(spread, model, 7).collect()))
+    assert first == again == sorted(
+        map(str, M.with_plugin(spread, last, 7).collect()))
+    loads = [name.split("-")[0] for name in os.listdir(folder)]
+    assert 0 < len(loads) == len(set(loads)) <= 16 and len(first) == 40 * 3 * 7
+    other = M.Loaded("last", fixed.GRID, load)
+    M.with_plugin(spread, other, 7).count()
+    assert other.key != model.key and len(os.listdir(folder)) > len(loads)
+
+
 def _flight(spark, days, metric="Cost", n=None):
     rows = [("s", "e", metric, "full", "m", START, START + dt.timedelta(days=1 + i),
              [float(v) for v in q]) for i, q in enumerate(days)]

@@ -9,7 +9,11 @@ day at the ``quantiles`` the model declares, both as arrays. Native forecasters
 from __future__ import annotations
 
 import math
+import sys
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from types import ModuleType
 from typing import Protocol
 
 import pandas as pd
@@ -214,6 +218,45 @@ class Forecaster(Protocol):
         metric, ``horizon`` lists of quantile values."""
 
 
+@dataclass(frozen=True)
+class Loaded:
+    """A forecaster whose model each Python worker loads once, when its first group comes.
+
+    Only ``load`` travels with the tasks; it returns an object with the ``forecast`` of a
+    ``Forecaster``, from a file on shared storage for instance. Workers outlive tasks and jobs:
+    a model stays in its worker until ``KEPT_MODELS`` others were loaded after it. ``key``
+    names the model; give it a new one when the file behind ``load`` has changed.
+    """
+
+    name: str
+    quantiles: list[float]
+    load: Callable[[], object]
+    covariates: bool = False
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def forecast(self, past, horizon, metrics, future=None):
+        return _once(self.key, self.load).forecast(past, horizon, metrics, future)
+
+
+#: Models that a Python worker keeps.
+KEPT_MODELS = 2
+
+
+def _once(key: str, load: Callable[[], object]) -> object:
+    """What ``load`` returned the first time in this process.
+
+    This package's own globals are made anew for each task it travels with, so the models are
+    kept in a module that only the process has.
+    """
+    models = sys.modules.setdefault("_tidecast_models", ModuleType("_tidecast_models")).__dict__
+    kept = models.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = load()
+        for old in list(kept)[:-KEPT_MODELS]:
+            del kept[old]
+    return kept[key]
+
+
 def with_plugin(
     history: DataFrame,
     forecaster: Forecaster,

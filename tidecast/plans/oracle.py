@@ -585,6 +585,8 @@ ridge AS (
   WHERE y IS NULL)"""
 _SQL["pooled_ridge"] = _with(PANEL, history(), AHEAD, IDX, RIDGE) + LONG.format("ridge")
 
+_SQL["loaded_forecaster"] = _SQL["own_forecaster"]
+
 _SQL["fitted_lines"] = """WITH RECURSIVE line AS (
   SELECT l_returnflag, l_linestatus, [l_quantity, l_discount, l_tax, l_linenumber, l_quantity * 2,
     3, month(l_shipdate), l_quantity * l_tax]::DOUBLE[] AS x, l_extendedprice AS y FROM lineitem),

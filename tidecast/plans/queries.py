@@ -759,6 +759,14 @@ def own_forecaster(spark, sf):
     return _long(M.with_plugin(_item_history(spark, sf), _damped_mean(fixed.GRID), HORIZON))
 
 
+@query
+def loaded_forecaster(spark, sf):
+    """The same model, loaded by the workers instead of travelling with every task."""
+    grid = fixed.GRID
+    model = M.Loaded("damped_mean", grid, load=lambda: _damped_mean(grid))
+    return _long(M.with_plugin(_item_history(spark, sf), model, HORIZON))
+
+
 WIDE_GRID = [0.01, *[round(0.05 * i, 2) for i in range(1, 20)], 0.99]
 
 
