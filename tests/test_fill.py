@@ -75,3 +75,24 @@ def test_filled_rows_never_reach_raw(batch):
     raw = raw_rows(batch.rows, batch.headers).where("source = 'ragged'")
     assert raw.count() == 120 + 40 + 90
     assert raw.where("row_num < 0").count() == 0
+
+
+def test_raw_rows_with_repeated_names(spark):
+    """The later of two equal names is kept, in full rows, short ones and longer ones."""
+    headers = spark.createDataFrame(
+        [("a", ["Day", "x", "y", "x", "", "column5"]), ("b", None)],
+        "source string, header array<string>")
+    cells = [("a", 1, ["d", "1", "2", "3", "4", "5"]), ("a", 2, ["d", "1", "2"]),
+             ("a", 3, ["d", "1", "2", "3", "4", "5", "6"]), ("a", 4, []), ("b", 1, ["d", "1", "2"]),
+             ("c", 1, ["d", None])]
+    rows = spark.createDataFrame(cells, "source string, row_num long, cells array<string>").selectExpr(
+        "*", "date'2026-01-01' as day", "false as filled")
+    got = {(r["source"], r["row_num"]): r["data"] for r in raw_rows(rows, headers).collect()}
+    assert got == {
+        ("a", 1): {"Day": "d", "y": "2", "x": "3", "column5": "5"},
+        ("a", 2): {"Day": "d", "x": "1", "y": "2"},
+        ("a", 3): {"Day": "d", "y": "2", "x": "3", "column5": "5", "column7": "6"},
+        ("a", 4): {},
+        ("b", 1): {"column1": "d", "value": "1", "column3": "2"},
+        ("c", 1): {"column1": "d", "value": None},
+    }

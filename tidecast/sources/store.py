@@ -309,21 +309,40 @@ def _shaped(table: str, df: DataFrame) -> DataFrame:
 def raw_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Input rows as they came, keyed by column name. Rows that were filled in are not
     input and never stored here."""
-    named = rows.where(~F.col("filled")).join(headers, "source", "left")
-    header = F.transform(
-        "cells",
-        lambda _, i: N.column_name(F.get("header", i), i),
+    # The names of a full row, and which of several equal ones is the last, are worked out
+    # once for its source.
+    known = headers.select("source", "header", _names("header").alias("names")).withColumn(
+        "kept", _last_of_name(F.col("names"))
     )
-    pairs = F.arrays_zip(header.alias("k"), F.transform("cells", lambda c: trimmed(c)).alias("v"))
-    # Two columns may share a name; the later one is kept.
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.array_contains(
-            F.transform(F.slice(pairs, i + 2, F.size("cells")), lambda x: x["k"]), p["k"]
-        ),
+    named = rows.where(~F.col("filled")).join(known, "source", "left")
+    values = F.transform("cells", lambda c: trimmed(c)).alias("v")
+    own = _names("cells")
+    marked = F.arrays_zip(own.alias("k"), values, _last_of_name(own).alias("kept"))
+    # Names made from positions only, as of a source without a header, are all different.
+    picked = (
+        F.when(F.col("header").isNull(), F.arrays_zip(own.alias("k"), values))
+        .when(
+            F.size("cells") == F.size("names"),
+            F.filter(F.arrays_zip(F.col("names").alias("k"), values),
+                     lambda _, i: F.get("kept", i)),
+        )
+        .otherwise(F.transform(F.filter(marked, lambda p: p["kept"]),
+                               lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))))
     )
     return named.select(
-        "source", "row_num", "day", F.map_from_entries(last).alias("data")
+        "source", "row_num", "day", F.map_from_entries(picked).alias("data")
+    )
+
+
+def _names(of: str) -> Column:
+    """The column name at each position of an array, by the header or the position."""
+    return F.transform(of, lambda _, i: N.column_name(F.get("header", i), i))
+
+
+def _last_of_name(names: Column) -> Column:
+    """Of each position, whether no later one has the same name."""
+    return F.transform(
+        names, lambda n, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), n)
     )
 
 
