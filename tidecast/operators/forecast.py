@@ -474,7 +474,7 @@ def pooled_ridge(history: DataFrame, horizon: int, **settings) -> DataFrame:
     fit = ["series_id", "window", "week"]
     fits = regression.fitted(regression.moments(featured, fit, width), width, use["reg"])
     scored = featured.join(fits.select(*fit, "b", "mean_x", "mean_y"), fit).withColumn(
-        "p", regression.predicted(F.col("x"))
+        "p", regression.predicted("x", width)
     )
     # Days ahead have no residual, so one aggregate gives the spread and their list.
     out = scored.groupBy(*KEYS, "as_of", "level", "week").agg(

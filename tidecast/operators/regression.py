@@ -7,6 +7,9 @@ come later. The equations are solved on that row.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ def moments(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
     second index not above the first. Rows with a null or non-finite number are left out.
     """
     z = [F.get("x", F.lit(i)) for i in range(width)] + [F.col("y")]
-    usable = rows.where(_finite(F.col("y")) & F.forall("x", _finite) & (F.size("x") == width))
+    usable = rows.where(reduce(and_, map(_finite, z), F.size("x") == width))
     return usable.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(a) for a in z]).alias("sums"),
@@ -94,7 +97,10 @@ def fitted(sums: DataFrame, width: int, reg: float = 0.0) -> DataFrame:
     )
 
 
-def predicted(x: Column) -> Column:
-    """What a fit expects at ``x``, on rows joined with ``fitted``."""
-    parts = F.zip_with("b", F.zip_with(x, F.col("mean_x"), lambda v, m: v - m), lambda b, d: b * d)
-    return F.col("mean_y") + F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
+def predicted(x: str, width: int) -> Column:
+    """What a fit expects at column ``x``, on rows joined with ``fitted``."""
+    total = F.col("mean_y")
+    for i in range(width):
+        b, v, mean = (F.get(c, F.lit(i)) for c in ("b", x, "mean_x"))
+        total = total + b * (v - mean)
+    return total
