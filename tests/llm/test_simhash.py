@@ -257,3 +257,56 @@ def test_forest_connects_what_all_pairs_connect():
 
             every = [(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= limit]
             assert classes(every) == classes([p for p in pairs if (p[0] ^ p[1]).bit_count() <= limit])
+
+
+def test_classes_do_not_depend_on_how_a_shard_is_dealt(spark):
+    """They are those of all similar pairs whose prints meet, found by brute force."""
+    rng = random.Random(11)
+    words, texts = [f"w{i}" for i in range(3000)], {}
+    for _ in range(12):
+        base = rng.choices(words, k=300)
+        for _ in range(25):
+            some = list(base)
+            for _ in range(rng.randint(2, 5)):
+                some[rng.randrange(len(some))] = rng.choice(words)
+            texts[len(texts)] = " ".join(some)
+    prints = {i: int.from_bytes(S.wide_print(t.encode()), "little") for i, t in texts.items()}
+    masks = [sum(1 << int(k) for k in c) for c in S._choices(S.BANDS, S.BAND_BITS, 1)]
+    up = {i: i for i in texts}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in similar_pairs(texts):
+        x = prints[a] ^ prints[b]
+        if x.bit_count() <= S.wide_radius(S.SIMILARITY) and any(not x & m for m in masks):
+            up[top(a)] = top(b)
+    want = {frozenset(j for j in texts if top(j) == top(i)) for i in texts}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for tree_rows in (4096, 40, 6):
+        classes = {}
+        for r in S.similar_documents(df, tree_rows=tree_rows).collect():
+            classes.setdefault(r["root"], set()).add(r["doc_id"])
+        assert {frozenset(c) for c in classes.values()} == want
+
+
+def test_verified_links_connect_what_all_similar_pairs_connect():
+    rng, words = random.Random(4), 2
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))) for _ in range(80)]
+    sets = [S.shingle_set(t.encode(), words) for t in texts]
+    members = [(0, bytes([i // 2]), x.view("<i8")) for i, x in enumerate(sets)]
+
+    def classes(pairs):
+        up = list(range(40))
+        for a, b in pairs:
+            up = [up[b] if x == up[a] else x for x in up]
+        return [up.index(x) for x in up]
+
+    every = [(i // 2, j // 2) for i, x in enumerate(map(set, sets)) for j, y in enumerate(map(set, sets))
+             if len(x & y) >= 0.5 * len(x | y)]
+    found = [(a[0], b[0]) for a, b in S.links_between(members, 0, 0.5)]
+    assert classes(found) == classes(every) and len(found) < 40
+    far = [((1 << 40) - 1 if i % 2 else 0, root, x) for i, (_, root, x) in enumerate(members[:2])]
+    assert list(S.links_between(far, 28, 0.0)) == []

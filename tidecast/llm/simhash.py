@@ -292,8 +292,8 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIU
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: 64-bit words of a wide fingerprint, and bits of it that a shard agrees on, so many choices.
 PARTS, BANDS, BAND_BITS = 2, 64, 16
-#: A shard too large for a tree is split by so many further choices of so many bits.
-SUB_BANDS, SUB_BITS = 4, 12
+#: Free bits of a shard's number below those for what its members agree on.
+SUB_BITS = 12
 _WIDTH = 64 * PARTS
 _SHIFTS = (30, 27, 31)
 _MULTIPLIERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -363,21 +363,19 @@ def _values(prints: pa.Array, choices: np.ndarray) -> np.ndarray:
     return bits.astype(np.int64) @ (1 << np.arange(choices.shape[1], dtype=np.int64))
 
 
-def _banded(choices: np.ndarray, first: bool):
-    """Rows of (shard, print): the shard's number holds the choices and what they agree on."""
+def _banded(choices: np.ndarray):
+    """Rows of (shard, print, root): the shard's number holds the choice and what it agrees on."""
     def run(batches):
         for b in batches:
             if not len(b):
                 continue
             found = _values(b.column("print"), choices)
             name = np.arange(found.shape[1], dtype=np.int64)[None]
-            if first:
-                shard = (name << 32) | (found << SUB_BITS)
-            else:
-                shard = b.column("shard").to_numpy()[:, None] | (name + 1 << 56) | found
-            at = np.repeat(np.arange(len(b)), found.shape[1])
+            shard = (name << 32) | (found << SUB_BITS)
+            at = pa.array(np.repeat(np.arange(len(b)), found.shape[1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.ravel()), b.column("print").take(pa.array(at))], ["shard", "print"])
+                [pa.array(shard.ravel()), b.column("print").take(at), b.column("root").take(at)],
+                ["shard", "print", "root"])
 
     return run
 
@@ -421,43 +419,34 @@ class Forest:
             i = up[i]
         return i
 
-    def nearest_of(self, other: int) -> Iterator[tuple[int, int]]:
-        """The other with the nearest member of each class that it touches."""
-        best: dict[int, tuple[int, int]] = {}
-        for j in self.tree.near(other, self.radius):
-            found = ((other ^ self.own[j]).bit_count(), j)
-            best[self.top(j)] = min(best.get(self.top(j), found), found)
-        for _, j in best.values():
-            yield other, self.own[j]
 
+_GROUP = ["shard", "low", "high"]
 
-def _pairs_of(radius: int):
-    def pairs_in(rows) -> Iterator[tuple[int, int]]:
-        """Of rows sorted by shard and tree, a tree's own members first; only those are held."""
-        at, own, forest = None, [], None
-        for name, x, mine in rows:
+
+def _groups(batches, rows_of: Callable) -> Iterator[tuple[tuple, list]]:
+    """Members of one shard, or of two blocks of a large one, under its name; one is held."""
+    at, members = None, []
+    for b in batches:
+        names = zip(*(column_of(b, c) for c in _GROUP), strict=True)
+        for name, row in zip(names, rows_of(b), strict=True):
             if name != at:
-                if forest is None and len(own) > 1:
-                    yield from Forest(own, radius).pairs
-                at, own, forest = name, [], None
-            if mine:
-                own.append(x)
-                continue
-            if forest is None:
-                forest = Forest(own, radius)
-                yield from forest.pairs
-            yield from forest.nearest_of(x)
-        if forest is None and len(own) > 1:
-            yield from Forest(own, radius).pairs
+                if len(members) > 1:
+                    yield at, members
+                at, members = name, []
+            members.append(row)
+    if len(members) > 1:
+        yield at, members
 
-    def rows_of(batches):
-        for b in batches:
-            prints = (int.from_bytes(x, "little") for x in b.column("print").to_pylist())
-            names = zip(column_of(b, "shard"), column_of(b, "tree"), strict=True)
-            yield from zip(names, prints, column_of(b, "own"), strict=True)
 
+def _number(wide: bytes) -> int:
+    return int.from_bytes(wide, "little")
+
+
+def _forests(radius: int) -> Callable:
+    """Pairs (a, b) of fingerprints of a group that connect all those within the radius."""
     def run(batches):
-        found = pairs_in(rows_of(batches))
+        groups = _groups(batches, lambda b: map(_number, b.column("print").to_pylist()))
+        found = (p for _, members in groups for p in Forest(members, radius).pairs)
         while some := list(islice(found, _STEP)):
             a, b = ([x.to_bytes(_WIDTH // 8, "little") for x in side]
                     for side in zip(*[(min(p), max(p)) for p in some], strict=True))
@@ -467,38 +456,134 @@ def _pairs_of(radius: int):
     return run
 
 
-def candidate_pairs(prints: DataFrame, radius: int, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """(a, b): distinct fingerprints near each other, as many as connect all such of a shard."""
-    fields = "shard long, print binary"
-    rows = prints.select("print").mapInArrow(_banded(_choices(BANDS, BAND_BITS, 1), True), fields)
-    for depth in range(2):
-        sizes = rows.groupBy("shard").agg(F.count("*").alias("n"))
-        large = landed(sizes.where(F.col("n") > tree_rows).select(
-            "shard", F.ceil(F.col("n") / tree_rows).cast("int").alias("trees")), "large")
-        if large.isEmpty():
-            rows = rows.withColumn("trees", F.lit(1))
-            break
-        if depth == 0:
-            split = rows.join(large, "shard", "left_semi").mapInArrow(
-                _banded(_choices(SUB_BANDS, SUB_BITS, 2), False), fields)
-            rows = landed(rows.join(large, "shard", "left_anti").unionByName(split), "banded")
-        else:
-            rows = rows.join(large, "shard", "left").withColumn(
-                "trees", F.coalesce("trees", F.lit(1)))
-    home = F.pmod(F.xxhash64("print"), F.col("trees")).cast("int")
-    rows = rows.withColumn("home", home).withColumn(
-        "tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-    rows = rows.select("shard", "tree", "print", (F.col("tree") == F.col("home")).alias("own"))
-    dealt = rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree", F.desc("own"))
-    return dealt.mapInArrow(_pairs_of(radius), "a binary, b binary").distinct()
+def unlike_members(members: list[tuple[int, bytes]], radius: int, masks: list[int],
+                   choice: int) -> set[int]:
+    """Positions of those with another root's fingerprint within the radius.
 
+    Two that agree on several choices of bits count in the first of these only.
+    """
+    tree, found = BKTree(), set()
+    if len({root for _, root in members}) > 1:
+        for i, (x, root) in enumerate(members):
+            for j in tree.near(x, radius):
+                if members[j][1] != root and not (i in found and j in found):
+                    differ = x ^ members[j][0]
+                    if next(k for k, m in enumerate(masks) if not differ & m) == choice:
+                        found |= {i, j}
+            tree.add(x)
+    return found
 
-def similar_links(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, words: int,
-                  similarity: float) -> DataFrame:
-    """The pairs whose texts have the similarity, by their sets of shingles.
 
-    ``firsts`` names a document (doc_id, text_key) of each fingerprint; of each that a pair
-    names one text is read. Shingles are told apart by 64-bit hashes.
+def _unlike(radius: int) -> Callable:
+    masks = [sum(1 << int(k) for k in c) for c in _choices(BANDS, BAND_BITS, 1)]
+
+    def run(batches):
+        def rows() -> Iterator[tuple]:
+            both = lambda b: zip(b.column("print").to_pylist(), b.column("root").to_pylist(), strict=True)
+            for name, members in _groups(batches, both):
+                known = [(_number(x), root) for x, root in members]
+                for i in sorted(unlike_members(known, radius, masks, name[0] >> 32)):
+                    yield *name, *members[i]
+
+        found = rows()
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        while some := list(islice(found, _STEP)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), kinds, strict=True)],
+                [*_GROUP, "print", "root"])
+
+    return run
+
+
+def links_between(members: list[tuple[int, bytes, np.ndarray]], radius: int,
+                  similarity: float) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of roots that connect what all similar members within the radius connect.
+
+    The shingles that a member shares with each earlier one are counted from lists of the
+    members that hold a shingle.
+    """
+    up: dict[bytes, bytes] = {root: root for _, root, _ in members}
+
+    def top(root: bytes) -> bytes:
+        while up[root] != root:
+            up[root] = up[up[root]]
+            root = up[root]
+        return root
+
+    sizes = np.array([len(x) for _, _, x in members])
+    codes = np.unique(np.concatenate([x for _, _, x in members]), return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    holders = np.repeat(np.arange(len(members)), sizes)[order]
+    ends = np.cumsum(np.bincount(codes)) if len(codes) else codes
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    for i, (x, root, _) in enumerate(members):
+        lists = [holders[ends[c - 1] if c else 0:ends[c]] for c in own[i].tolist()]
+        shared = np.bincount(np.concatenate(lists), minlength=i)[:i] if lists else np.zeros(i)
+        like = shared >= similarity * (sizes[i] + sizes[:i] - shared) - 1e-9
+        for j in np.flatnonzero(like).tolist():
+            a, b = top(root), top(members[j][1])
+            if a != b and (x ^ members[j][0]).bit_count() <= radius:
+                up[a] = b
+                yield root, members[j][1]
+
+
+def _verified(radius: int, similarity: float) -> Callable:
+    def rows_of(b):
+        ends, values = b.column("shingles").offsets.to_numpy(), b.column("shingles").values.to_numpy()
+        sets = (values[i:j].copy() for i, j in zip(ends, ends[1:], strict=False))
+        prints = map(_number, b.column("print").to_pylist())
+        return zip(prints, b.column("root").to_pylist(), sets, strict=True)
+
+    def run(batches):
+        groups = _groups(batches, rows_of)
+        found = (p for _, members in groups for p in links_between(members, radius, similarity))
+        while some := list(islice(found, _STEP)):
+            a, b = zip(*[(min(p), max(p)) for p in some], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                                             ["a", "b"])
+
+    return run
+
+
+def _in_shards(prints: DataFrame) -> DataFrame:
+    return prints.select("print", "root").mapInArrow(
+        _banded(_choices(BANDS, BAND_BITS, 1)), "shard long, print binary, root binary")
+
+
+def large_shards(prints: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Shards of more members than a tree holds, and into how many blocks they are dealt."""
+    sizes = _in_shards(prints).groupBy("shard").agg(F.count("*").alias("n"))
+    return sizes.where(F.col("n") > tree_rows).select(
+        "shard", F.ceil(2 * F.col("n") / tree_rows).cast("int").alias("blocks"))
+
+
+def meetings(prints: DataFrame, large: DataFrame) -> DataFrame:
+    """Fingerprints (print, root) by the groups in which they meet: shard, and blocks low and high.
+
+    Any two blocks of a large shard meet, so all its members do, as those of a small one; a
+    tree holds two blocks at most.
+    """
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = _in_shards(prints).join(large, "shard", "left").withColumn("blocks", blocks).withColumn(
+        "home", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1),
+                      lambda j: (j != F.col("home")) | (F.col("blocks") == 1))
+    dealt = dealt.withColumn("other", F.explode(others)).select(
+        "shard", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"),
+        "print", "root")
+    return dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+
+def candidate_pairs(prints: DataFrame, large: DataFrame, radius: int) -> DataFrame:
+    """(a, b): distinct fingerprints near each other, as many as connect all such of a group."""
+    return meetings(prints, large).mapInArrow(_forests(radius), "a binary, b binary").distinct()
+
+
+def shingle_sets(docs: DataFrame, firsts: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(print, shingles) of the prints named.
+
+    ``firsts`` names a document (doc_id, text_key) of each fingerprint, whose text is read.
+    Shingles are told apart by 64-bit hashes.
     """
     def run(batches):
         for b in batches:
@@ -506,13 +591,19 @@ def similar_links(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, words: i
             yield pa.RecordBatch.from_arrays(
                 [b.column("print"), pa.array(sets, pa.list_(pa.int64()))], ["print", "shingles"])
 
-    named = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct()
-    named = firsts.join(named, "print", "left_semi").select(
+    named = firsts.join(named.select("print").distinct(), "print", "left_semi").select(
         "print", key_struct("doc_id", "text_key"))
     keyed = docs.select("doc_id", key_of(text_of()).alias("text_key"), ascii_lower(text_of()).alias("text"))
     texts_of = keyed.select(key_struct("doc_id", "text_key"), "text").join(named, "key").groupBy(
         "print").agg(F.first("text").alias("text"))
-    sets = landed(texts_of.mapInArrow(run, "print binary, shingles array<long>"), "shingles")
+    return landed(texts_of.mapInArrow(run, "print binary, shingles array<long>"), "shingles")
+
+
+def similar_links(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, words: int,
+                  similarity: float) -> DataFrame:
+    """The pairs whose texts have the similarity, by their sets of shingles."""
+    named = pairs.select(F.col("a").alias("print")).union(pairs.select("b"))
+    sets = shingle_sets(docs, firsts, named, words)
     both = pairs.join(sets.select(F.col("print").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("print").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -520,15 +611,32 @@ def similar_links(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, words: i
         "a", "b")
 
 
+def links_left(docs: DataFrame, firsts: DataFrame, placed: DataFrame, large: DataFrame, radius: int,
+               words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between roots of fingerprints (print, root) that similar pairs still connect.
+
+    Members with a partner of another root come together again, now with their shingles, and
+    are verified in their group. Rows are members and links, never pairs.
+    """
+    fields = "shard long, low int, high int, print binary, root binary"
+    left = landed(meetings(placed, large).mapInArrow(_unlike(radius), fields), "unlike")
+    held = left.join(shingle_sets(docs, firsts, left, words), "print")
+    held = held.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return held.mapInArrow(_verified(radius, similarity), "a binary, b binary").distinct()
+
+
 def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY,
                       tree_rows: int = TREE_ROWS) -> DataFrame:
     """Of every row: doc_id, text_key, print and the root of its component.
 
     Texts are linked when the Jaccard similarity of their shingle sets is at least
     ``similarity``: wide fingerprints within ``wide_radius`` that agree on one of many choices
-    of bits meet in a BK-tree, and what connects them there is verified on the texts. The
-    search is not whole; its recall on the given tables is stated in the README. Nulls, empty
-    and repeated rows are as in ``near_duplicates``; texts of one fingerprint are linked.
+    of bits meet in a BK-tree. What connects them there is verified on the texts first, then
+    every such pair that this has not brought into one component; so components are those of
+    all pairs that meet, however these are dealt to trees. Which pairs meet depends on the two
+    texts alone. The search is not whole; its recall on the given tables is stated in the
+    README. Nulls, empty and repeated rows are as in ``near_duplicates``; texts of one
+    fingerprint are linked.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -543,11 +651,18 @@ def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: f
     prints = landed(slim.mapInArrow(run, f"doc_id {id_type}, text_key long, print binary"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key"))
     firsts = landed(prints.groupBy("print").agg(first.alias("first")).select("print", "first.*"), "firsts")
-    pairs = landed(candidate_pairs(firsts, wide_radius(similarity), tree_rows), "pairs")
-    roots = components(similar_links(docs, firsts, pairs, words, similarity))
-    named = roots.select(F.col("node").alias("print"), "root")
-    return prints.join(named, "print", "left").select(
-        "doc_id", "text_key", "print", F.coalesce("root", "print").alias("root"))
+    radius, alone = wide_radius(similarity), firsts.select("print", F.col("print").alias("root"))
+    large = landed(large_shards(alone, tree_rows), "large")
+
+    pairs = landed(candidate_pairs(alone, large, radius), "pairs")
+
+    def joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+        of = components(links).select(F.col("node").alias("root"), F.col("root").alias("of"))
+        return placed.join(of, "root", "left").select("print", F.coalesce("of", "root").alias("root"))
+
+    placed = landed(joined(alone, similar_links(docs, firsts, pairs, words, similarity)), "placed")
+    links = links_left(docs, firsts, placed, large, radius, words, similarity)
+    return prints.join(joined(placed, links), "print").select("doc_id", "text_key", "print", "root")
 
 
 def one_of_similar(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY,
