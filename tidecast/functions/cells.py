@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidecast import fixed
 
 
+CONTROLS = r"[\x00-\x1f\x7f]"
 _DECORATION = fixed.CURRENCY_SYMBOLS + "%" + fixed.SPACES
 
 
@@ -30,7 +31,7 @@ def trimmed(c: Column) -> Column:
 
 def without_controls(c: Column) -> Column:
     """Drop control characters (below U+0020, and U+007F)."""
-    return F.regexp_replace(c, r"[\x00-\x1f\x7f]", "")
+    return F.regexp_replace(c, CONTROLS, "")
 
 
 def _bare(c: Column) -> Column:

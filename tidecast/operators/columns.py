@@ -6,7 +6,11 @@ so only one small row per (source, column) and task crosses the network.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidecast import fixed
@@ -33,16 +37,25 @@ def column_profile(rows: DataFrame) -> DataFrame:
     cells = rows.select(
         "source", "row_num", "day", "filled", F.posexplode("cells").alias("col_idx", "cell")
     ).where("col_idx > 0")
-    read = with_numbers(cells, {"v": F.col("cell")}).withColumn("text", trimmed(F.col("cell")))
+    # Most cells are plain numbers, short enough to be finite; only the others are looked into.
+    cells = cells.withColumn("text", trimmed(F.col("cell")))
+    cells = cells.withColumn("bare", F.btrim("text", F.lit("()")))
+    plain = F.col("bare").rlike(fixed.PLAIN_NUMBER) & (F.octet_length("bare") <= 300)
+    cells = cells.withColumn("plain", plain)
+    read = with_numbers(cells, {"v": F.when(~F.col("plain"), F.col("cell"))})
+
+    def other(test: Column) -> Column:
+        return F.when(F.col("plain"), F.lit(False)).otherwise(test)
+
     facts = read.select(
         "source",
         "col_idx",
         "filled",
         file_position(F.col("day"), F.col("row_num")).alias("at"),
-        F.col("v").isNull().alias("bad"),
-        F.col("v_percent").alias("percent"),
-        (F.col("text") == "").alias("blank"),
-        F.lower("text").isin(fixed.STATES_ON + fixed.STATES_OFF).alias("state"),
+        other(F.col("v").isNull()).alias("bad"),
+        other(F.col("v_percent")).alias("percent"),
+        other(F.col("text") == "").alias("blank"),
+        other(F.lower("text").isin(fixed.STATES_ON + fixed.STATES_OFF)).alias("state"),
     )
     real = ~F.col("filled")
     first_bad = F.min(F.when(F.col("bad"), F.col("at")))
@@ -389,30 +402,44 @@ def entity_labels(rows: DataFrame, columns: DataFrame, groups: DataFrame) -> Dat
         _said("idx"),
     ).select("source", "day", "row_num", "key", "said.*")
     at = file_position(F.col("day"), F.col("row_num"))
-    # The name is a grouping key and positions are numbers, so the passes over rows
-    # combine in hash tables; what is left per id is its few different names. Two answers
-    # are drawn from it, so it is written once.
-    per_day = landed(
-        keyed.groupBy("source", "col_idx", "key", "day", "value").agg(
-            F.min(at).alias("first_at"), F.max(at).alias("last_at")
+    # The name is a grouping key and positions are numbers, so the pass over rows combines
+    # in hash tables; what is left per id is its few different names, written once.
+    per_value = landed(
+        keyed.groupBy("source", "col_idx", "key", "value").agg(
+            F.min(at).alias("first_at"),
+            F.max(at).alias("last_at"),
+            F.min("day").alias("first_day"),
+            F.max("day").alias("last_day"),
+            F.bool_or(F.col("day").isNull()).alias("undated"),
         ),
         "names",
     )
+    # Names can share a day only where their spans meet. Rows are gone through once more for
+    # ids with such names, and for no others.
+    id_of = ["source", "col_idx", "key"]
+    before = W.partitionBy(*id_of).orderBy("first_day").rowsBetween(W.unboundedPreceding, -1)
+    meet = F.col("first_day") <= F.max("last_day").over(before)
+    meeting = (
+        per_value.withColumn("meets", meet)
+        .groupBy(*id_of)
+        .agg(F.bool_or("meets").alias("meets"), F.count_if("undated").alias("n_undated"))
+        .where("meets or n_undated > 1")
+        .select(*[F.col(c).alias(f"m_{c}") for c in id_of])
+    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in id_of])
     two_names = (
-        per_day.groupBy("source", "col_idx", "key", "day")
+        keyed.join(landed(meeting, "meeting"), same, "left_semi")
+        .groupBy(*id_of, "day", "value")
+        .agg(F.lit(1).alias("one"))
+        .groupBy(*id_of, "day")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("source", "col_idx")
         .distinct()
     )
-    per_key = (
-        per_day.groupBy("source", "col_idx", "key", "value")
-        .agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
-        .groupBy("source", "col_idx", "key")
-        .agg(
-            F.min_by("value", "first_at").alias("first_name"),
-            F.max_by("value", "last_at").alias("last_name"),
-        )
+    per_key = per_value.groupBy(*id_of).agg(
+        F.min_by("value", "first_at").alias("first_name"),
+        F.max_by("value", "last_at").alias("last_name"),
     )
     per_name = per_key.groupBy("source", "col_idx", "last_name").agg(
         F.count(F.lit(1)).alias("n_keys")

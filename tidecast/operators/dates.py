@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.cells import (
+    CONTROLS,
     day_first,
-    day_in_order,
     month_first,
     plain_day,
     trimmed,
@@ -15,24 +15,42 @@ from tidecast.functions.cells import (
 )
 
 
-def date_order(records: DataFrame) -> DataFrame:
-    """``source, date_order``: plain, day, month or undecided.
+def read_days(records: DataFrame) -> DataFrame:
+    """``source, row_num, plain, dmy, mdy, cells``: the day of each row under every layout.
 
-    One pass with map-side combination: a source of any size shuffles a handful of
-    partial rows.
+    Written once, it answers both ``order_of`` and ``in_order`` without a second pass over
+    the export. Control characters go here, before any rule about uniqueness looks at a cell.
     """
     c = F.col("first_cell")
-    facts = records.withColumn("first_cell", trimmed(F.col("cells")[0])).select(
+    # One search per row; the cells are gone through only where it finds something.
+    clean = F.when(
+        F.array_join("cells", "").rlike(CONTROLS), F.transform("cells", without_controls)
+    ).otherwise(F.col("cells"))
+    return records.withColumn("first_cell", trimmed(F.col("cells")[0])).select(
         "source",
         "row_num",
-        plain_day(c).isNotNull().alias("plain"),
-        day_first(c).isNotNull().alias("dmy"),
-        month_first(c).isNotNull().alias("mdy"),
+        plain_day(c).alias("plain"),
+        day_first(c).alias("dmy"),
+        month_first(c).alias("mdy"),
+        clean.alias("cells"),
     )
-    per_source = facts.groupBy("source").agg(
-        F.min_by("plain", "row_num").alias("starts_plain"),
-        F.bool_and("dmy").alias("dmy"),
-        F.bool_and("mdy").alias("mdy"),
+
+
+def date_order(records: DataFrame) -> DataFrame:
+    """``source, date_order``: plain, day, month or undecided."""
+    return order_of(read_days(records))
+
+
+def order_of(read: DataFrame) -> DataFrame:
+    """The same from rows that ``read_days`` has read.
+
+    One pass with map-side combination: a source of any size shuffles a handful of
+    partial rows.
+    """
+    per_source = read.groupBy("source").agg(
+        F.min_by(F.col("plain").isNotNull(), "row_num").alias("starts_plain"),
+        F.bool_and(F.col("dmy").isNotNull()).alias("dmy"),
+        F.bool_and(F.col("mdy").isNotNull()).alias("mdy"),
     )
     order = (
         F.when(F.col("starts_plain"), F.lit("plain"))
@@ -45,17 +63,20 @@ def date_order(records: DataFrame) -> DataFrame:
 
 
 def dated_rows(records: DataFrame, order: DataFrame) -> DataFrame:
-    """``source, row_num, day, cells, filled``. An unreadable date is a NULL day.
+    """``source, row_num, day, cells, filled``. An unreadable date is a NULL day."""
+    return in_order(read_days(records), order)
 
-    Control characters go here, before any rule about uniqueness looks at a cell.
-    """
-    first = records.withColumn("first_cell", trimmed(F.col("cells")[0]))
-    return first.join(order, "source").select(
-        "source",
-        "row_num",
-        day_in_order(F.col("first_cell"), F.col("date_order")).alias("day"),
-        F.transform("cells", without_controls).alias("cells"),
-        F.lit(False).alias("filled"),
+
+def in_order(read: DataFrame, order: DataFrame) -> DataFrame:
+    """The same from rows that ``read_days`` has read."""
+    day = F.coalesce(
+        F.when(F.col("date_order") == "day", F.col("dmy")).when(
+            F.col("date_order") == "month", F.col("mdy")
+        ),
+        "plain",
+    )
+    return read.join(order, "source").select(
+        "source", "row_num", day.alias("day"), "cells", F.lit(False).alias("filled")
     )
 
 

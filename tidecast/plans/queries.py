@@ -70,9 +70,10 @@ def _dated(records: DataFrame) -> DataFrame:
 
 
 def _classified(spark, sf, export=T.campaign_export):
-    """Dated rows, written once since several passes follow, and column metadata."""
+    """Dated rows, read from the export and written once, and column metadata."""
     records, headers = export(spark, sf)
-    rows = landed(_dated(records), "rows")
+    read = landed(D.read_days(records), "rows")
+    rows = D.in_order(read, landed(D.order_of(read), "order"))
     stats = landed(D.day_stats(D.rows_per_day(rows)), "stats")
     named = landed(C.name_columns(C.column_profile(rows), headers), "named")
     columns = landed(C.choose_weights(C.classify(named, stats)), "columns")
